@@ -37,8 +37,8 @@ def unravel_index(sample_id, n_lat: int, n_lon: int) -> dict[str, Column]:
     sid = _col(sample_id)
     per_step = n_lat * n_lon
     return {
-        "time": F.floor(sid / F.lit(per_step)).cast("int"),
-        "lat": F.floor(F.pmod(sid, F.lit(per_step)) / F.lit(n_lon)).cast("int"),
+        "time": F.call_function("div", sid, F.lit(per_step)).cast("int"),
+        "lat": F.call_function("div", F.pmod(sid, F.lit(per_step)), F.lit(n_lon)).cast("int"),
         "lon": F.pmod(sid, F.lit(n_lon)).cast("int"),
     }
 

@@ -14,26 +14,36 @@ from pyspark.sql import functions as F
 from gridspark.functions import is_number
 from gridspark.runtime import attach, settle
 
-GROUP_LIMIT = 1_000_000
+GROUP_LIMIT = 100_000
 BINS = 4096
 
 
-def exact_quantiles(df: DataFrame, col: str, probs, by=(), limit: int = GROUP_LIMIT) -> DataFrame:
-    """(by…, n, quantiles ARRAY<DOUBLE>) with linear interpolation; nulls and NaN ignored."""
+def largest_group(df: DataFrame, col: str, by=()) -> int:
+    """Row count of the largest group, nulls and NaN left out."""
+    sizes = df.where(is_number(F.col(col).cast("double"))).groupBy(*by).count()
+    return sizes.agg(F.max("count")).first()[0] or 0
+
+
+def exact_quantiles(df: DataFrame, col: str, probs, by=(), limit: int = GROUP_LIMIT,
+                    largest: int | None = None) -> DataFrame:
+    """(by…, n, quantiles ARRAY<DOUBLE>) with linear interpolation; nulls and NaN ignored.
+
+    ``largest`` is an upper bound of the group sizes, where the caller knows one.
+    """
     by, probs = list(by), [float(p) for p in probs]
     data = df.select(*by, F.col(col).cast("double").alias("_v")).where(is_number("_v"))
-    if not by:
-        data = data.withColumn("_all", F.lit(0))
-    keys = by or ["_all"]
-    groups = settle(data.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")))
-    largest = groups.agg(F.max("n")).first()[0] or 0
+    if largest is None or largest > limit:
+        largest = largest_group(data, "_v", by)
     if largest <= limit:
-        found = data.groupBy(*keys).agg(
+        return data.groupBy(*by).agg(
             F.count("*").alias("n"),
             F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("quantiles"))
-    else:
-        found = _narrow(data, groups, keys, probs, limit)
+    keys = by or ["_all"]
+    if not by:
+        data = data.withColumn("_all", F.lit(0))
+    groups = data.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    found = _narrow(data, groups, keys, probs, limit)
     return found if by else found.drop("_all")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions import scale_vector, unscale_vector
+from gridspark.runtime import attach
 
 
 def scaler_fit(df: DataFrame, col: str) -> DataFrame:
@@ -34,22 +35,26 @@ def scaler_merge(state: DataFrame, new_state: DataFrame) -> DataFrame:
         (F.coalesce("a.m2", F.lit(0.0)) + F.coalesce("b.m2", F.lit(0.0)) + between).alias("m2"))
 
 
-def scaler_arrays(state: DataFrame):
-    """(mean, scale) arrays as scalar subqueries; an element without spread has scale 1."""
+def scaler_arrays(state: DataFrame) -> DataFrame:
+    """The state as one row of arrays; an element without spread has scale 1."""
     spread = F.sqrt(F.try_divide("m2", "n"))
     scale = F.when(spread > 0, spread).otherwise(1.0)
     row = F.array_sort(F.collect_list(F.struct("idx", "mean", scale.alias("scale"))))
-    packed = state.agg(row.alias("s")).select(F.struct(
-        F.col("s")["mean"].alias("mean"), F.col("s")["scale"].alias("scale"))).scalar()
-    return packed.getField("mean"), packed.getField("scale")
+    return state.agg(row.alias("s")).select(
+        F.col("s")["mean"].alias("_mean"), F.col("s")["scale"].alias("_scale"))
+
+
+def _with_state(df: DataFrame, state: DataFrame, value, out: str) -> DataFrame:
+    # One row with two arrays of the vector's width: attached as a scalar subquery.
+    return attach(df, scaler_arrays(state)).withColumn(out, value).drop("_mean", "_scale")
 
 
 def scaler_transform(df: DataFrame, state: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    return df.withColumn(out or col, scale_vector(col, *scaler_arrays(state)))
+    return _with_state(df, state, scale_vector(col, "_mean", "_scale"), out or col)
 
 
 def scaler_inverse(df: DataFrame, state: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    return df.withColumn(out or col, unscale_vector(col, *scaler_arrays(state)))
+    return _with_state(df, state, unscale_vector(col, "_mean", "_scale"), out or col)
 
 
 def save_scaler(state: DataFrame, path: str) -> None:

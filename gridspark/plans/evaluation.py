@@ -121,13 +121,13 @@ def robust_level_metrics(spark, folder):
     r AS (SELECT plevel, series, min(v) AS lo, (max(v) - min(v)) / 1000 AS w, count(*) AS n FROM s GROUP BY 1, 2),
     c AS (SELECT plevel, series, least(floor((v - lo) / w), 999) AS bin, count(*) AS c
           FROM s JOIN r USING (plevel, series) GROUP BY 1, 2, 3)
-    SELECT r.plevel AS plevel, r.series AS series, CAST(b AS INT) AS bin, round(lo + b * w, 4) AS lo,
-      round(lo + (b + 1) * w, 4) AS hi, coalesce(c.c, 0) AS count, round(coalesce(c.c, 0) / (n * w), 12) AS density
+    SELECT r.plevel AS plevel, r.series AS series, CAST(b AS INT) AS bin, round(lo + b * w, 6) AS lo,
+      round(lo + (b + 1) * w, 6) AS hi, coalesce(c.c, 0) AS count, round(coalesce(c.c, 0) / (n * w), 12) AS density
     FROM r CROSS JOIN (SELECT range AS b FROM range(1000))
     LEFT JOIN c ON c.plevel = r.plevel AND c.series = r.series AND c.bin = b"""))
 def histogram_pair(spark, folder):
     out = histogram_pair_of(fx.pairs(spark, folder), 1000)
-    return rounded(rounded(out, 4, "lo", "hi"), 12, "density")
+    return rounded(rounded(out, 6, "lo", "hi"), 12, "density")
 
 
 def metrics_table(spark, folder):

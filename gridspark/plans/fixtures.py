@@ -146,6 +146,8 @@ def with_tables(body: str) -> str:
     for name in CTE:
         if re.search(rf"\b{name}\b", body):
             add(name)
+    if not used:
+        return body.strip()
     head = ", ".join(f"{n} AS ({CTE[n]})" for n in used)
     body = body.strip()
     if body.upper().startswith("WITH "):

@@ -6,11 +6,12 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 
 
-def query(sql: str | None = None):
-    """Register a (spark, folder) -> DataFrame function under its own name."""
+def query(sql: str | None = None, name: str | None = None):
+    """Register a (spark, folder) -> DataFrame function, by default under its own name."""
     def add(fn):
-        QUERIES[fn.__name__] = fn
+        key = name or fn.__name__
+        QUERIES[key] = fn
         if sql is not None:
-            ORACLE[fn.__name__] = sql
+            ORACLE[key] = sql
         return fn
     return add

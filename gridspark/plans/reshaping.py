@@ -36,15 +36,15 @@ def lat_profile(spark, folder):
     return rs.select_lat(fx.cells(spark, folder), 2)
 
 
-@query(sql(f"SELECT {SID} AS sample_id, plevel, ucomp FROM cells"))
-def ravel_index_(spark, folder):
+@query(sql(f"SELECT {SID} AS sample_id, plevel, ucomp FROM cells"), name="ravel_index")
+def ravel_index_query(spark, folder):
     sid = ravel_index("time", "lat", "lon", fx.N_LAT, fx.N_LON)
     return fx.cells(spark, folder).select(sid.alias("sample_id"), "plevel", "ucomp")
 
 
 @query(sql("""SELECT sample_id, CAST(sample_id // 150 AS INT) AS time,
-    CAST(sample_id % 150 // 15 AS INT) AS lat, CAST(sample_id % 15 AS INT) AS lon FROM samples"""))
-def unravel_index_(spark, folder):
+    CAST(sample_id % 150 // 15 AS INT) AS lat, CAST(sample_id % 15 AS INT) AS lon FROM samples"""), name="unravel_index")
+def unravel_index_query(spark, folder):
     where = unravel_index("sample_id", fx.OBS_LAT, fx.OBS_LON)
     return fx.samples(spark, folder).select("sample_id", *[c.alias(n) for n, c in where.items()])
 
@@ -149,8 +149,8 @@ def rescale(spark, folder):
 
 @query(sql("""SELECT sample_id, gwfu, pos FROM (
     SELECT *, row_number() OVER (ORDER BY gwfu, sample_id) - 1 AS pos FROM samples)
-    WHERE pos >= 400 AND pos < 500"""))
-def row_range_(spark, folder):
+    WHERE pos >= 400 AND pos < 500"""), name="row_range")
+def row_range_query(spark, folder):
     placed = global_index(fx.samples(spark, folder), ["gwfu", "sample_id"])
     return row_range(placed, 400, 500)
 
@@ -164,14 +164,14 @@ def difference_field(spark, folder):
 
 
 @query(sql("""SELECT time, plevel, lat, lon, round(CASE WHEN ucomp <= 2 THEN 0 WHEN ucomp >= 60 THEN 1
-    WHEN ucomp < 10 THEN (ucomp - 2) / 8 * 0.5 ELSE (ucomp - 10) / 50 * 0.5 + 0.5 END, 9) AS norm FROM cells"""))
-def midpoint_norm_(spark, folder):
+    WHEN ucomp < 10 THEN (ucomp - 2) / 8 * 0.5 ELSE (ucomp - 10) / 50 * 0.5 + 0.5 END, 9) AS norm FROM cells"""), name="midpoint_norm")
+def midpoint_norm_query(spark, folder):
     return fx.cells(spark, folder).select(*CELL, F.round(midpoint_norm("ucomp", 2, 10, 60), 9).alias("norm"))
 
 
 @query(sql("""SELECT time, plevel, lat, lon, round((ucomp - lo) / (hi - lo), 9) AS norm
-    FROM cells, (SELECT min(ucomp) AS lo, max(ucomp) AS hi FROM cells)"""))
-def minmax_norm_(spark, folder):
+    FROM cells, (SELECT min(ucomp) AS lo, max(ucomp) AS hi FROM cells)"""), name="minmax_norm")
+def minmax_norm_query(spark, folder):
     return minmax_scaled(fx.cells(spark, folder), "ucomp").select(*CELL, F.round("norm", 9).alias("norm"))
 
 

@@ -19,6 +19,7 @@ def local_session(cpus: str = "8", **conf: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("gridspark")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", cpus)
