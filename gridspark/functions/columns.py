@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,9 +104,16 @@ def minmax_norm(value, lo, hi) -> Column:
 
 
 def scientific(value, decimals: int = 2) -> Column:
-    """Scientific text with at most ``decimals`` decimals: 1.5e+00, 1.e+00, 1.23e+05."""
-    text = F.format_string(f"%.{decimals}e", _col(value).cast("double"))
-    return F.regexp_replace(text, r"(\.[0-9]*?)0+e", "$1e")
+    """Scientific text with at most ``decimals`` decimals: 1.5e+00, 1.e+00, 1.23e+05.
+
+    The JVM's formatter rounds ties of the shortest digits up; the wanted text rounds the
+    exact binary value, so the batch is formatted in Python. Meant for summary rows.
+    """
+    @F.pandas_udf("string")
+    def text(numbers: pd.Series) -> pd.Series:
+        return numbers.map(lambda x: np.format_float_scientific(x, precision=decimals), na_action=None)
+
+    return text(_col(value).cast("double"))
 
 
 # --- vectors ---------------------------------------------------------------------------

@@ -1 +1,127 @@
-"""Queries."""
+"""Queries for training, scoring and attribution."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from gridspark.operators import network, scaler, scoring, split, training
+from gridspark.operators.index import shuffle_rank
+from gridspark.operators.reshape import slice_levels
+from gridspark.plans import fixtures as fx
+from gridspark.plans.evaluation import rounded
+from gridspark.plans.fixtures import with_tables as sql
+from gridspark.plans.registry import query
+from gridspark.plans.sampling import FITTED
+
+SEED = 7
+
+
+def linear_weights(spark):
+    """A linear model given by a rule: weight ((7 i + 3 j) mod 11 - 5) / 10, bias j / 10."""
+    i, j = np.indices((fx.FEATURES, fx.TARGETS))
+    weights = ((7 * i + 3 * j) % 11 - 5) / 10
+    matrix = np.vstack([weights, np.arange(fx.TARGETS)[None, :] / 10])
+    return network.to_table(spark, network.Net([], [[matrix]]))
+
+
+def linear_scored(spark, folder):
+    rows = fx.vectors(spark, folder)
+    return scoring.batch_score(rows, linear_weights(spark), scaler.scaler_fit(rows, "features"),
+                               scaler.scaler_fit(rows, "gwfu"))
+
+
+LINEAR_SCORE = f"""
+    WITH e AS (SELECT sample_id, CAST(unnest(range(52)) AS INT) AS idx, unnest(features) AS v FROM vectors),
+    z AS (SELECT sample_id, idx, (v - mean) / sqrt(m2 / n) AS z FROM e JOIN ({FITTED}) USING (idx)),
+    y AS (SELECT sample_id, CAST(unnest(range(6)) AS INT) AS plevel, unnest(gwfu) AS target FROM vectors),
+    s AS (SELECT plevel, avg(target) AS m, stddev_pop(target) AS sd FROM y GROUP BY plevel),
+    p AS (SELECT sample_id, plevel, plevel / 10.0::DOUBLE + sum(z * ((7 * idx + 3 * plevel) % 11 - 5) / 10.0::DOUBLE) AS p
+          FROM z, (SELECT CAST(range AS INT) AS plevel FROM range(6)) GROUP BY sample_id, plevel)
+    SELECT y.sample_id AS sample_id, y.plevel AS plevel, round(target, 8) AS target, round(p * sd + m, 8) AS prediction
+    FROM y JOIN p USING (sample_id, plevel) JOIN s USING (plevel)"""
+
+
+@query(sql(LINEAR_SCORE))
+def batch_score(spark, folder):
+    rows = linear_scored(spark, folder).select(
+        "sample_id", F.posexplode(F.arrays_zip("target", "prediction")).alias("plevel", "z"))
+    return rounded(rows.select("sample_id", "plevel", "z.target", "z.prediction"), 8, "target", "prediction")
+
+
+ATTRIBUTION = f"""
+    WITH r AS (SELECT sample_id, features, row_number() OVER (ORDER BY md5('{SEED}:' || sample_id)) - 1 AS pos
+               FROM vectors),
+    e AS (SELECT pos, unnest(range(52)) AS idx, unnest(features) AS v FROM r),
+    b AS (SELECT idx, avg(v) AS m FROM e WHERE pos < 200 GROUP BY idx)
+    SELECT CAST(idx AS INT) AS idx, avg(abs((v - m) * ((7 * idx + 3 * 2) % 11 - 5) / 10.0::DOUBLE)) AS mean_abs
+    FROM e JOIN b USING (idx) WHERE pos >= 200 GROUP BY idx"""
+
+
+def _attributed(spark, folder, weights, block=None, n_permutations=8):
+    rows = shuffle_rank(fx.vectors(spark, folder).select("sample_id", "features"), SEED)
+    parts = split.attribution_split(rows, 200, rows.count())
+    return scoring.attribution(parts.where("role = 'test'"), parts.where("role = 'background'"), weights,
+                               2, block, n_permutations, SEED)
+
+
+@query(sql(f"SELECT idx, round(mean_abs, 8) AS mean_abs FROM ({ATTRIBUTION}) WHERE idx >= 10 AND idx < 40"))
+def attribution(spark, folder):
+    return rounded(_attributed(spark, folder, linear_weights(spark), (10, 40)), 8, "mean_abs")
+
+
+@query(sql(f"SELECT idx, round(mean_abs, 8) AS mean_abs FROM ({ATTRIBUTION}) ORDER BY mean_abs DESC, idx LIMIT 7"))
+def attribution_topk(spark, folder):
+    found = _attributed(spark, folder, linear_weights(spark))
+    return rounded(scoring.attribution_topk(found, 7), 8, "mean_abs")
+
+
+@query()
+def attribution_net(spark, folder):
+    net = network.new_net(fx.FEATURES, fx.TARGETS, (16,), (8,), seed=1)
+    return _attributed(spark, folder, network.to_table(spark, net), n_permutations=2)
+
+
+def training_batches(spark, folder, batch_size=64):
+    """Scaled features and targets in balanced batches."""
+    rows = fx.vectors(spark, folder)
+    scaled = scaler.scaler_transform(rows, scaler.scaler_fit(rows, "features"), "features")
+    scaled = scaler.scaler_transform(scaled, scaler.scaler_fit(rows, "gwfu"), "gwfu", "target")
+    return split.minibatches(scaled.select("sample_id", "source", "features", "target"),
+                             batch_size, 500_000, SEED)
+
+
+def _trained(spark, folder, **options):
+    given = dict(trunk=(32, 32), head=(16, 8), optimizer=training.Adam(1e-3), epochs=2, steps_per_epoch=3)
+    return training.train_mlp(training_batches(spark, folder), **{**given, **options})
+
+
+@query()
+def mlp_train(spark, folder):
+    weights, _ = _trained(spark, folder)
+    return weights.select("part", "head", "layer", "n_rows", "n_cols")
+
+
+@query()
+def mlp_train_small(spark, folder):
+    """The small net on one output, with the last fifth of the rows for validation."""
+    rows = shuffle_rank(fx.vectors(spark, folder), SEED).select(
+        "sample_id", "source", "pos", "features", "gwfu")
+    labelled = split.tail_split(slice_levels(rows, 0, 1, ["gwfu"]).withColumnRenamed("gwfu", "target"),
+                                rows.count(), 0.2)
+    batches = split.minibatches(labelled.where("split = 'train'"), 64, 500_000, SEED)
+    _, log = training.train_mlp(
+        batches, trunk=network.SMALL_TRUNK, head=None, loss="mse", optimizer=training.RMSprop(),
+        epochs=2, steps_per_epoch=3, val=labelled.where("split = 'val'"),
+        control=training.TrainControl(patience=10))
+    return log
+
+
+@query()
+def training_log(spark, folder):
+    return _trained(spark, folder, loss="mse")[1]
+
+
+@query()
+def mlp_resume(spark, folder):
+    weights, _ = _trained(spark, folder, epochs=1)
+    clipped = training.Adam(1e-3, clip=0.1)
+    return _trained(spark, folder, epochs=1, optimizer=clipped, init_weights=weights)[1]

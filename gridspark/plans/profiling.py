@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridspark.functions import ravel_index, scientific
+from gridspark.functions import ravel_index
 from gridspark.operators import histogram as hg
 from gridspark.operators import outliers, scaler, stats
 from gridspark.operators.index import shuffle_rank
@@ -27,12 +27,6 @@ def feature_summary(spark, folder):
     return summary(spark, folder)
 
 
-@query(sql("""SELECT time, plevel, lat, lon, regexp_replace(printf('%.2e', ucomp), '(\\.[0-9]*?)0+e', '\\1e') AS text
-    FROM cells"""))
-def scientific_text(spark, folder):
-    return fx.cells(spark, folder).select("time", "plevel", "lat", "lon", scientific("ucomp").alias("text"))
-
-
 @query(sql("""
     WITH d AS (SELECT time, plevel, lat, lon, ucomp, abs(ucomp - med) AS dev
                FROM cells, (SELECT median(ucomp) AS med FROM cells))

@@ -1 +1,74 @@
-"""Queries."""
+"""Queries that run a stream over the given tables to its end."""
+
+from pyspark.sql import functions as F
+
+from gridspark.operators import scaler
+from gridspark.plans import fixtures as fx
+from gridspark.plans.evaluation import rounded
+from gridspark.plans.fixtures import with_tables as sql
+from gridspark.plans.modelling import LINEAR_SCORE, linear_weights
+from gridspark.plans.registry import query
+from gridspark.plans.sampling import FITTED, rounded_state
+from gridspark.runtime import scratch_path
+from gridspark.streaming import jobs
+
+FILES = 4
+
+
+def arriving(spark, df, order: str):
+    """The table as a stream of several files, in the order of a numeric column."""
+    path = scratch_path(spark, "arriving")
+    last = df.agg(F.max(order)).first()[0] or 0
+    span = last // FILES + 1
+    for i in range(FILES):
+        part = df.where((F.col(order) >= i * span) & (F.col(order) < (i + 1) * span))
+        part.write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def finish(started):
+    started.awaitTermination()
+    if started.exception() is not None:
+        raise started.exception()
+
+
+@query(sql(f"SELECT idx, n, round(mean, 8) AS mean, round(m2, 8) AS m2 FROM ({FITTED})"))
+def stream_scaler(spark, folder):
+    stream = arriving(spark, fx.vectors(spark, folder).select("sample_id", "features"), "sample_id")
+    path = scratch_path(spark, "stream-scaler")
+    finish(jobs.stream_scaler(stream, "features", f"{path}/state", f"{path}/checkpoint"))
+    return rounded_state(jobs.latest_state(spark, f"{path}/state"))
+
+
+@query(sql(LINEAR_SCORE))
+def stream_score(spark, folder):
+    rows = fx.vectors(spark, folder).select("sample_id", "features", "gwfu")
+    path = scratch_path(spark, "stream-score")
+    finish(jobs.stream_score(
+        arriving(spark, rows, "sample_id"), linear_weights(spark), scaler.scaler_fit(rows, "features"),
+        scaler.scaler_fit(rows, "gwfu"), f"{path}/sink", f"{path}/checkpoint"))
+    scored = spark.read.parquet(f"{path}/sink").select(
+        "sample_id", F.posexplode(F.arrays_zip("target", "prediction")).alias("plevel", "z"))
+    return rounded(scored.select("sample_id", "plevel", "z.target", "z.prediction"), 8, "target", "prediction")
+
+
+@query(sql("""SELECT CAST(time // 15 AS INT) AS frame, plevel, lon, round(avg(ucomp), 8) AS mean, count(*) AS rows
+    FROM cells WHERE lat = 2 AND (time // 15 + 1) * 15 <= (SELECT max(time) - 1 FROM cells) GROUP BY 1, 2, 3"""))
+def stream_window_mean(spark, folder):
+    """Append mode: windows that ended a step before the newest row are final."""
+    stream = arriving(spark, fx.cells(spark, folder).where(F.col("lat") == 2), "time")
+    path = scratch_path(spark, "stream-window")
+    means = jobs.stream_window_mean(stream, "ucomp", 15)
+    writer = means.writeStream.outputMode("append").format("parquet").option("path", f"{path}/sink")
+    finish(jobs.run_available(writer, f"{path}/checkpoint"))
+    return rounded(spark.read.schema(means.schema).parquet(f"{path}/sink"), 8, "mean")
+
+
+@query(sql("""SELECT plevel, count(*) AS n, round(avg(abs(target - prediction)), 4) AS mae,
+    round(sqrt(avg(power(target - prediction, 2))), 4) AS rmse,
+    round(power(corr(prediction, target), 2), 6) AS r_squared FROM pairs GROUP BY plevel"""))
+def stream_level_metrics(spark, folder):
+    stream = arriving(spark, fx.pairs(spark, folder), "sample_id")
+    path = scratch_path(spark, "stream-metrics")
+    finish(jobs.keep_latest(jobs.stream_level_metrics(stream), f"{path}/sink", f"{path}/checkpoint"))
+    return rounded(rounded(spark.read.parquet(f"{path}/sink"), 4, "mae", "rmse"), 6, "r_squared")
