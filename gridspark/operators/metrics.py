@@ -15,7 +15,8 @@ from gridspark.functions import (
 from gridspark.operators.quantiles import exact_quantiles
 from gridspark.operators.reshape import with_pressure
 
-ERROR = F.col("target") - F.col("prediction")
+def error() -> Column:
+    return F.col("target") - F.col("prediction")
 
 
 def r_squared(x="prediction", y="target") -> Column:
@@ -27,8 +28,8 @@ def r_squared(x="prediction", y="target") -> Column:
 def level_metrics(pairs: DataFrame, by="plevel") -> DataFrame:
     return pairs.groupBy(by).agg(
         F.count("*").alias("n"),
-        F.avg(F.abs(ERROR)).alias("mae"),
-        F.sqrt(F.avg(ERROR * ERROR)).alias("rmse"),
+        F.avg(F.abs(error())).alias("mae"),
+        F.sqrt(F.avg(error() * error())).alias("rmse"),
         r_squared().alias("r_squared"),
     )
 
@@ -96,10 +97,10 @@ def r2_profile(pairs: DataFrame, levels: DataFrame, reverse=False) -> DataFrame:
 
 def losses(pairs: DataFrame, by="plevel") -> DataFrame:
     return pairs.groupBy(by).agg(
-        F.avg(log_cosh(ERROR)).alias("log_cosh"),
-        F.avg(ERROR * ERROR).alias("mse"),
-        F.avg(F.abs(ERROR)).alias("mae"),
-        F.sqrt(F.avg(ERROR * ERROR)).alias("rmse"),
+        F.avg(log_cosh(error())).alias("log_cosh"),
+        F.avg(error() * error()).alias("mse"),
+        F.avg(F.abs(error())).alias("mae"),
+        F.sqrt(F.avg(error() * error())).alias("rmse"),
     )
 
 
@@ -111,5 +112,5 @@ def total_losses(pairs: DataFrame, by="plevel") -> DataFrame:
 
 def composite_loss(pairs: DataFrame, switch_level: int = 13) -> DataFrame:
     """Mean square error below ``switch_level``, mean absolute error from it on."""
-    loss = F.when(F.col("plevel") < switch_level, ERROR * ERROR).otherwise(F.abs(ERROR))
+    loss = F.when(F.col("plevel") < switch_level, error() * error()).otherwise(F.abs(error()))
     return pairs.groupBy("plevel").agg(F.avg(loss).alias("loss"))

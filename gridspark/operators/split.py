@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import hash_normal, shuffle_key
 from gridspark.operators.index import shuffle_rank
-from gridspark.runtime import attach
+from gridspark.runtime import attach, settle
 
 
 def split_sizes(n: int, test_frac: float, val_frac: float) -> tuple[int, int, int]:
@@ -85,22 +85,21 @@ def minibatches(df: DataFrame, batch_size: int, chunk_size: int, seed, steps: in
     and the short rest of a chunk is dropped. With ``steps``, a source that runs out
     starts again until every batch up to ``steps`` is filled; without, one pass is given.
     """
-    per_source = batch_size // df.select(source).distinct().count()
-    placed = shuffle_rank(df, seed, key, "_pos", by=(source,))
-    chunked = placed.withColumn("_chunk", F.floor(F.col("_pos") / chunk_size))
+    # Source sizes, one row each, fix how many full batches every chunk gives.
+    sizes = settle(df.groupBy(source).agg(F.count("*").alias("_rows")))
+    per_source = batch_size // max(sizes.count(), 1)
+    full = chunk_size // per_source
+    rest = F.floor(F.col("_rows") % chunk_size / per_source)
+    sizes = sizes.withColumn("_batches", F.floor(F.col("_rows") / chunk_size) * full + rest)
+
+    placed = attach(shuffle_rank(df, seed, key, "_pos", by=(source,)), sizes, [source], settled=True)
+    chunked = placed.withColumns({"_chunk": F.floor(F.col("_pos") / chunk_size),
+                                  "_mix": shuffle_key(f"{seed}/mix", key)})
     mixed = Window.partitionBy(source, "_chunk").orderBy("_mix", key)
-    rank = F.row_number().over(mixed) - 1
-    ranked = chunked.withColumn("_mix", shuffle_key(f"{seed}/mix", key)).withColumn("_rank", rank)
-
-    # Source sizes fix how many full batches each chunk gives.
-    full, rest = chunk_size // per_source, F.col("_rows") % chunk_size
-    sizes = df.groupBy(source).agg(F.count("*").alias("_rows")).withColumn(
-        "_batches", F.floor(F.col("_rows") / chunk_size) * full + F.floor(rest / per_source))
-    known = attach(ranked, sizes, [source])
+    ranked = chunked.withColumn("_rank", F.row_number().over(mixed) - 1)
     chunk_rows = F.least(F.lit(chunk_size), F.col("_rows") - F.col("_chunk") * chunk_size)
-    in_chunk = F.floor(F.col("_rank") / per_source)
-    kept = known.where(F.col("_rank") < F.floor(chunk_rows / per_source) * per_source)
-    batched = kept.withColumn("batch_id", F.col("_chunk") * full + in_chunk)
+    kept = ranked.where(F.col("_rank") < F.floor(chunk_rows / per_source) * per_source)
+    batched = kept.withColumn("batch_id", F.col("_chunk") * full + F.floor(F.col("_rank") / per_source))
     if steps is not None:
         again = F.sequence(F.col("batch_id"), F.lit(steps - 1).cast("bigint"), F.col("_batches"))
         batched = batched.where(F.col("batch_id") < steps).withColumn("batch_id", F.explode(again))

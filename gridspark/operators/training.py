@@ -22,8 +22,10 @@ from gridspark.operators import network
 from gridspark.runtime import scratch_path
 
 PIECE = 65_536  # gradient elements per row sent to the reducers
-LANES = 32      # first-level reducers per piece
+LANES = 32      # first-level reducers per piece, for steps of many tasks
+FEW_TASKS = 64  # up to here one reducer per piece takes all tasks' gradients
 BLOCK = 64      # batches per folder
+TASK_BYTES = 128 << 20
 
 
 @dataclass
@@ -71,7 +73,7 @@ class TrainControl:
 SUMS = "piece INT, lane INT, n BIGINT, loss DOUBLE, mae DOUBLE, mse DOUBLE, gradient ARRAY<DOUBLE>"
 
 
-def batch_sums(rows: DataFrame, net, loss: str, with_gradient: bool = True):
+def batch_sums(rows: DataFrame, net, loss: str, with_gradient: bool = True, lanes: int = LANES):
     """(n, loss, mae, mse, gradient) averaged over the rows of (features, target)."""
     held = rows.sparkSession.sparkContext.broadcast(net)
     size = net.flat().size
@@ -87,7 +89,7 @@ def batch_sums(rows: DataFrame, net, loss: str, with_gradient: bool = True):
                 if with_gradient:
                     total += grad
         if n:
-            lane = TaskContext.get().partitionId() % LANES
+            lane = TaskContext.get().partitionId() % lanes
             starts = range(0, size, PIECE) if with_gradient else [0]
             pieces = [total[s:s + PIECE] if with_gradient else np.zeros(0) for s in starts]
             yield pd.DataFrame({
@@ -102,8 +104,9 @@ def batch_sums(rows: DataFrame, net, loss: str, with_gradient: bool = True):
         return head
 
     parts = rows.select("features", "target").mapInPandas(partial, SUMS)
-    lanes = parts.groupBy("piece", "lane").applyInPandas(add, SUMS)
-    whole = lanes.groupBy("piece").applyInPandas(add, SUMS)
+    if lanes > 1:
+        parts = parts.groupBy("piece", "lane").applyInPandas(add, SUMS)
+    whole = parts.groupBy("piece").applyInPandas(add, SUMS)
     found = sorted(whole.collect(), key=lambda r: r.piece)
     held.unpersist()
     if not found:
@@ -145,13 +148,16 @@ def train_mlp(batches: DataFrame, trunk=network.TRUNK, head=network.HEAD, loss:
     spark = batches.sparkSession
     optimizer, control = optimizer or Adam(), control or TrainControl()
     stored = store_batches(batches)
-    n_batches = stored.agg(F.max("batch_id") + 1).first()[0]
+    n_batches, n_rows = stored.agg(F.max("batch_id") + 1, F.count("*")).first()
     if init_weights is not None:
         net = network.from_table(init_weights)
     else:
         shape = stored.select(F.size("features").alias("x"), F.size("target").alias("y")).first()
         net = network.new_net(shape.x, shape.y, trunk, head, seed)
 
+    row_bytes = 8 * (net.matrices[0].shape[0] + sum(h[-1].shape[1] for h in net.heads))
+    lanes = 1 if n_rows / n_batches * row_bytes <= FEW_TASKS * TASK_BYTES else LANES
+
     flat, best, best_flat, waited, flat_epochs, log, step = net.flat(), np.inf, net.flat(), 0, 0, [], 0
     for epoch in range(1, epochs + 1):
         seen = []
@@ -159,7 +165,7 @@ def train_mlp(batches: DataFrame, trunk=network.TRUNK, head=network.HEAD, loss:
             number = step % n_batches
             step += 1
             rows = stored.where((F.col("block") == number // BLOCK) & (F.col("batch_id") == number))
-            _, value, mae, mse, grad = batch_sums(rows, net, loss)
+            _, value, mae, mse, grad = batch_sums(rows, net, loss, lanes=lanes)
             seen.append((value, mae, mse))
             if not np.isfinite(value):
                 break

@@ -135,7 +135,7 @@ def metrics_table(spark, folder):
     tagged = fx.experiment_pairs(spark, folder)
     names = ex.experiment_registry(spark).select("experiment_no", "experiment")
     per = tagged.groupBy("experiment_no", "target_name", "plevel").agg(
-        F.avg(F.abs(mt.ERROR)).alias("mae"), F.sqrt(F.avg(mt.ERROR * mt.ERROR)).alias("rmse"),
+        F.avg(F.abs(mt.error())).alias("mae"), F.sqrt(F.avg(mt.error() * mt.error())).alias("rmse"),
         mt.r_squared().alias("r_squared"))
     return per.withColumnRenamed("target_name", "target").join(F.broadcast(names), "experiment_no").drop(
         "experiment_no")

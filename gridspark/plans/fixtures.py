@@ -65,7 +65,8 @@ def observations(spark, folder) -> DataFrame:
         F.avg("l_extendedprice").alias("gwfu"), F.avg("l_quantity").alias("ucomp"))
 
 
-PREDICTION = F.col("l_extendedprice") * 0.9 + F.col("l_quantity") * 800
+def _prediction() -> Column:
+    return F.col("l_extendedprice") * 0.9 + F.col("l_quantity") * 800
 
 
 def pairs(spark, folder) -> DataFrame:
@@ -73,7 +74,7 @@ def pairs(spark, folder) -> DataFrame:
         F.col("l_orderkey").alias("sample_id"),
         (F.col("l_linenumber") - 1).alias("plevel"),
         F.col("l_extendedprice").alias("target"),
-        PREDICTION.alias("prediction"))
+        _prediction().alias("prediction"))
 
 
 def experiment_pairs(spark, folder) -> DataFrame:
@@ -83,7 +84,7 @@ def experiment_pairs(spark, folder) -> DataFrame:
         F.when(F.col("l_returnflag") == "A", "gwfu").otherwise("gwfv").alias("target_name"),
         (F.col("l_linenumber") - 1).alias("plevel"),
         F.col("l_extendedprice").alias("target"),
-        PREDICTION.alias("prediction"))
+        _prediction().alias("prediction"))
 
 
 def vectors(spark, folder) -> DataFrame:

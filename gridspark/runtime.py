@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,6 +34,19 @@ def local_session(cpus: str = "8", **conf: str) -> SparkSession:
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        here = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="gridspark-code-"), "gridspark")
+        context.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(here), "gridspark"))
+        _SHIPPED.add(context.applicationId)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)
