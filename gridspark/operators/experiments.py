@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.operators.stats import box_stats
+from gridspark.runtime import small
 
 # Experiment names and labels, and the target each one does not apply to.
 EXPERIMENTS = (
@@ -37,12 +38,9 @@ def exclusion_table(spark: SparkSession, rows=EXCLUSIONS) -> DataFrame:
 
 
 def applicable(metrics: DataFrame, experiments: DataFrame, exclusions: DataFrame) -> DataFrame:
-    """Metrics of registered experiments, without the excluded (experiment, target) pairs.
-
-    Both dimension tables list experiments by hand and are broadcast for that reason.
-    """
-    kept = metrics.join(F.broadcast(exclusions), ["experiment", "target"], "left_anti")
-    return kept.join(F.broadcast(experiments.select("experiment", "label")), "experiment")
+    """Metrics of registered experiments, without the excluded (experiment, target) pairs."""
+    kept = metrics.join(small(exclusions), ["experiment", "target"], "left_anti")
+    return kept.join(small(experiments.select("experiment", "label")), "experiment")
 
 
 def experiment_matrix(metrics: DataFrame, experiments: DataFrame, exclusions: DataFrame,

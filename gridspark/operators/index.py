@@ -17,12 +17,14 @@ DIGITS = 4  # 65,536 buckets: about 15 million rows each at 10^12 rows
 
 
 def global_index(df: DataFrame, order_cols, out: str = "pos") -> DataFrame:
-    """Exact position of every row in the given order (which should have no ties).
+    """Exact position of every row in the given order; a row hash breaks ties.
 
-    Rows are range-partitioned and numbered inside their partition; the result is
-    checkpointed once so partition numbers and offsets agree after any lost executor.
+    Rows are range-partitioned (ties too, so one frequent value is not one task) and
+    numbered inside their partition. The result is checkpointed once, so that partition
+    numbers and offsets agree after any lost executor.
     """
-    ranged = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    order = [*order_cols, F.xxhash64(*df.columns)]
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = settle(ranged.withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)  # partition number sits above the 33-bit row number
     counts = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.operators.reshape import difference
+from gridspark.runtime import attach
 
 WINDOW_STEPS = 60  # 15 days of 6-hour steps
 FRAME_STEPS = 15
@@ -43,6 +44,16 @@ def concat_years(years, steps_per_year: int = STEPS_PER_YEAR) -> DataFrame:
     return reduce(DataFrame.unionByName, moved)
 
 
+def sources_in_line(cells: DataFrame, source: str = "source") -> DataFrame:
+    """Tagged sources end to end on the time axis, in the order of their names."""
+    ends = cells.groupBy(source).agg((F.max("time") + 1).alias("_steps"))
+    # One row per source; the window runs over those rows only.
+    earlier = Window.orderBy(source).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(source, F.coalesce(F.sum("_steps").over(earlier), F.lit(0)).alias("_start"))
+    moved = (F.col("time") + F.col("_start")).cast("int")
+    return attach(cells, starts, [source]).withColumn("time", moved).drop("_start")
+
+
 def profile_difference(truth: DataFrame, prediction: DataFrame, **zonal_mean_args) -> DataFrame:
     """Zonal means of both fields and their difference on one (window, level) grid."""
     return difference(zonal_mean(truth, **zonal_mean_args),

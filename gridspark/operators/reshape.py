@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions import cell_label, surface_label, unravel_index
+from gridspark.runtime import small
 
 COLUMN_KEY = ("time", "lat", "lon")
 
@@ -169,8 +170,8 @@ def levels_table(spark: SparkSession, lo: int = 0, hi: int = len(LEVEL_HPA), hpa
 
 
 def with_pressure(df: DataFrame, levels: DataFrame) -> DataFrame:
-    """Pressure labels; the level coordinate has one row per model level."""
-    return df.join(F.broadcast(levels), "plevel")
+    """Pressure labels by level index."""
+    return df.join(small(levels), "plevel")
 
 
 def with_level_names(df: DataFrame, levels: DataFrame) -> DataFrame:

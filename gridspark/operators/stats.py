@@ -9,7 +9,7 @@ from gridspark.functions import is_number, minmax_norm, scientific
 from gridspark.operators.histogram import histogram
 from gridspark.operators.index import sample_exact
 from gridspark.operators.quantiles import exact_quantiles
-from gridspark.runtime import attach, settle
+from gridspark.runtime import attach, settle, small
 
 
 def feature_summary(cells: DataFrame, variables, meta: DataFrame | None = None,
@@ -29,9 +29,8 @@ def feature_summary(cells: DataFrame, variables, meta: DataFrame | None = None,
     texts = {f"{c}_text": scientific(c) for c in ("mean", "std", "max", "min")}
     summary = rows.withColumns(texts)
     if meta is not None:
-        # The variable dimension has one row per variable name in the call.
         described = meta.where(F.col("name").isin(list(variables))).dropDuplicates(["name"])
-        summary = summary.join(F.broadcast(described), "name", "left")
+        summary = summary.join(small(described), "name", "left")
     return summary
 
 

@@ -118,15 +118,26 @@ def batch_sums(rows: DataFrame, net, loss: str, with_gradient: bool = True, lane
 
 
 def store_batches(batches: DataFrame) -> DataFrame:
-    """(batch_id, features, target) written once, in folders of consecutive batches."""
+    """(source, batch_id, features, target) written once, in folders of consecutive batches."""
     path = scratch_path(batches.sparkSession, "batches")
-    blocked = batches.select("batch_id", "features", "target",
+    source = F.col("source") if "source" in batches.columns else F.lit(0)
+    blocked = batches.select(source.cast("string").alias("source"), "batch_id", "features", "target",
                              F.floor(F.col("batch_id") / BLOCK).alias("block"))
-    (blocked.repartitionByRange("batch_id").sortWithinPartitions("batch_id")
+    (blocked.repartitionByRange("batch_id", "source").sortWithinPartitions("batch_id")
      .write.partitionBy("block").parquet(path))
     return batches.sparkSession.read.parquet(path)
 
 
+def step_rows(stored: DataFrame, lengths: dict, step: int) -> DataFrame:
+    """The rows of one step: from each source its next batch, starting over at its end."""
+    wanted = {source: step % length for source, length in lengths.items()}
+    match = F.lit(False)
+    for source, number in wanted.items():
+        match = match | ((F.col("source") == source) & (F.col("batch_id") == number))
+    folders = sorted({number // BLOCK for number in wanted.values()})
+    return stored.where(F.col("block").isin(folders) & match)
+
+
 LOG = StructType([
     StructField("epoch", IntegerType()), StructField("steps", LongType()),
     *[StructField(c, DoubleType()) for c in ("loss", "mae", "mse", "rmse", "val_loss", "learning_rate")],
@@ -138,17 +149,20 @@ def train_mlp(batches: DataFrame, trunk=network.TRUNK, head=network.HEAD, loss:
               val: DataFrame | None = None, control: TrainControl | None = None,
               init_weights: DataFrame | None = None, seed: int = 0,
               checkpoint_path: str | None = None):
-    """Train on (batch_id, features, target) rows; returns (weights, log) tables.
+    """Train on ([source,] batch_id, features, target) rows; returns (weights, log) tables.
 
-    Loss is the batch mean, summed over the outputs. Batches are used in order and over
-    again. The weights of the best epoch are returned, and written to
+    Loss is the batch mean, summed over the outputs. Batches are used in order, and each
+    source starts over at its end. The weights of the best epoch are returned, and written to
     ``checkpoint_path`` whenever an epoch improves. Training ends on a loss that is not
     a number.
     """
     spark = batches.sparkSession
     optimizer, control = optimizer or Adam(), control or TrainControl()
     stored = store_batches(batches)
-    n_batches, n_rows = stored.agg(F.max("batch_id") + 1, F.count("*")).first()
+    sources = stored.groupBy("source").agg((F.max("batch_id") + 1).alias("n"),
+                                           F.count("*").alias("rows")).collect()
+    lengths = {r.source: r.n for r in sources}
+    batch_rows = sum(r.rows / r.n for r in sources)
     if init_weights is not None:
         net = network.from_table(init_weights)
     else:
@@ -156,15 +170,14 @@ def train_mlp(batches: DataFrame, trunk=network.TRUNK, head=network.HEAD, loss:
         net = network.new_net(shape.x, shape.y, trunk, head, seed)
 
     row_bytes = 8 * (net.matrices[0].shape[0] + sum(h[-1].shape[1] for h in net.heads))
-    lanes = 1 if n_rows / n_batches * row_bytes <= FEW_TASKS * TASK_BYTES else LANES
+    lanes = 1 if batch_rows * row_bytes <= FEW_TASKS * TASK_BYTES else LANES
 
     flat, best, best_flat, waited, flat_epochs, log, step = net.flat(), np.inf, net.flat(), 0, 0, [], 0
     for epoch in range(1, epochs + 1):
         seen = []
         for _ in range(steps_per_epoch):
-            number = step % n_batches
+            rows = step_rows(stored, lengths, step)
             step += 1
-            rows = stored.where((F.col("block") == number // BLOCK) & (F.col("batch_id") == number))
             _, value, mae, mse, grad = batch_sums(rows, net, loss, lanes=lanes)
             seen.append((value, mae, mse))
             if not np.isfinite(value):

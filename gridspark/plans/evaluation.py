@@ -9,6 +9,7 @@ from gridspark.operators.outliers import remove_paired_outliers
 from gridspark.plans import fixtures as fx
 from gridspark.plans.fixtures import with_tables as sql
 from gridspark.plans.registry import query
+from gridspark.runtime import small
 
 
 def rounded(df, digits, *cols):
@@ -137,7 +138,7 @@ def metrics_table(spark, folder):
     per = tagged.groupBy("experiment_no", "target_name", "plevel").agg(
         F.avg(F.abs(mt.error())).alias("mae"), F.sqrt(F.avg(mt.error() * mt.error())).alias("rmse"),
         mt.r_squared().alias("r_squared"))
-    return per.withColumnRenamed("target_name", "target").join(F.broadcast(names), "experiment_no").drop(
+    return per.withColumnRenamed("target_name", "target").join(small(names), "experiment_no").drop(
         "experiment_no")
 
 

@@ -77,6 +77,11 @@ def is_small(state: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return state.limit(rows + 1).count() <= rows
 
 
+def small(state: DataFrame) -> DataFrame:
+    """A dimension table with a broadcast hint, if its row count allows one."""
+    return F.broadcast(state) if is_small(state) else state
+
+
 def attach(df: DataFrame, state: DataFrame, on=(), settled: bool = False) -> DataFrame:
     """Add the columns of ``state`` (one row per group) to every row of its group.
 

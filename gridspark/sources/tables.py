@@ -19,7 +19,8 @@ def write_cube(df: DataFrame, path: str, by: str = "year", mode: str = "overwrit
 
     Rows are spread over tasks by value and time, so one large year is not one task.
     """
-    spread = df.repartition(by, "time").sortWithinPartitions("plevel", "time")
+    order = [c for c in ("plevel", "time") if c in df.columns]
+    spread = df.repartition(by, "time").sortWithinPartitions(*order)
     spread.write.mode(mode).partitionBy(by).option("compression", "zstd").parquet(path)
 
 
