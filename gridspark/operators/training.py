@@ -99,7 +99,7 @@ def batch_sums(rows: DataFrame, net, loss: str, with_gradient: bool = True, lane
     def add(pdf):
         head = pdf.iloc[:1].copy()
         for c in ("n", "loss", "mae", "mse"):
-            head[c] = pdf[c].sum()
+            head[c] = pdf[c].sum(skipna=False)  # a NaN loss must show
         head["gradient"] = [np.sum(np.stack(pdf["gradient"]), axis=0)]
         return head
 
@@ -113,8 +113,10 @@ def batch_sums(rows: DataFrame, net, loss: str, with_gradient: bool = True, lane
         raise ValueError("no rows to train on")
     n = found[0].n
     outputs = sum(h[-1].shape[1] for h in net.heads)
-    flat = np.concatenate([np.array(r.gradient) for r in found]) / n
-    return n, found[0].loss / n, found[0].mae / n / outputs, found[0].mse / n / outputs, flat
+    # NaN comes back from a task as null; float arrays turn it into NaN again.
+    total, mae, mse = np.array([found[0].loss, found[0].mae, found[0].mse], dtype=float) / n
+    flat = np.concatenate([np.array(r.gradient, dtype=float) for r in found]) / n
+    return n, total, mae / outputs, mse / outputs, flat
 
 
 def store_batches(batches: DataFrame) -> DataFrame:
@@ -185,7 +187,7 @@ def train_mlp(batches: DataFrame, trunk=network.TRUNK, head=network.HEAD, loss:
             flat = optimizer.step(flat, grad)
             net = net.with_flat(flat)
         value, mae, mse = np.mean(seen, axis=0)
-        val_loss = batch_sums(val, net, loss, with_gradient=False)[1] if val is not None else None
+        val_loss = None if val is None else float(batch_sums(val, net, loss, with_gradient=False)[1])
         log.append((epoch, step, float(value), float(mae), float(mse), float(np.sqrt(mse)),
                     val_loss, float(optimizer.learning_rate)))
         if not np.isfinite(value):
