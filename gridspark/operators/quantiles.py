@@ -64,15 +64,18 @@ def _narrow(data, groups, keys, probs, limit):
         state = settle(state.where(~is_open).unionByName(tighter))
 
     # Brackets now hold at most ``limit`` rows, or one repeated value: count and pick.
-    rows = _bracketed(data, state.where(F.col("v0").isNull()), keys)
-    counted = rows.groupBy(*item, "n", "spot", "first", "last", "below", "_v").count()
-    upto = F.col("below") + F.sum("count").over(Window.partitionBy(*item).orderBy("_v"))
-    ranked = counted.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("count"))
+    known = state.where(F.col("v0").isNotNull()).select(*item, "n", "spot", "first", "v0", "v1")
+    left = state.where(F.col("v0").isNull())
+    counted = _bracketed(data, left, keys).groupBy(*item, "_v").count()
+    upto = F.sum("count").over(Window.partitionBy(*item).orderBy("_v"))
+    facts = left.select(*item, "n", "spot", "first", "last", "below")
+    ranked = attach(counted.withColumn("upto", upto), facts, item, settled=True).withColumns({
+        "upto": F.col("below") + F.col("upto"),
+        "from": F.col("below") + F.col("upto") - F.col("count")})
     at = {c: (F.col("from") <= F.col(c)) & (F.col(c) < F.col("upto")) for c in ("first", "last")}
     picked = ranked.groupBy(*item, "n", "spot", "first").agg(
         F.max(F.when(at["first"], F.col("_v"))).alias("v0"),
         F.max(F.when(at["last"], F.col("_v"))).alias("v1"))
-    known = state.where(F.col("v0").isNotNull()).select(*picked.columns)
     value = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("spot") - F.col("first"))
     per_prob = F.array_sort(F.collect_list(F.struct("p", value.alias("q"))))
     return picked.unionByName(known).groupBy(*keys, "n").agg(
@@ -80,28 +83,31 @@ def _narrow(data, groups, keys, probs, limit):
 
 
 def _bracketed(data, state, keys):
-    return attach(data, state, keys, settled=True).where(
+    bounds = state.select(*keys, "p", "lo", "hi")
+    return attach(data, bounds, keys, settled=True).where(
         F.col("_v").between(F.col("lo"), F.col("hi")))
 
 
 def _tighten(data, state, keys):
     """Count each open bracket in bins; keep the bin of the wanted ranks."""
+    item = [*keys, "p"]
     offset = F.col("_v") / BINS - F.col("lo") / BINS
     width = F.col("hi") / BINS - F.col("lo") / BINS
     step = F.coalesce(F.floor(F.try_divide(offset, width) * BINS),
                       (F.col("_v") > F.col("lo")).cast("bigint"))
     bins = _bracketed(data, state, keys).groupBy(
-        *state.columns, F.least(step, F.lit(BINS - 1)).alias("bin"),
+        *item, F.least(step, F.lit(BINS - 1)).alias("bin"),
     ).agg(F.count("*").alias("c"), F.min("_v").alias("bmin"), F.max("_v").alias("bmax"))
-    earlier = Window.partitionBy(*keys, "p").orderBy("bin").rowsBetween(
-        Window.unboundedPreceding, -1)
-    start = F.col("below") + F.coalesce(F.sum("c").over(earlier), F.lit(0))
+    earlier = Window.partitionBy(*item).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = bins.withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+    facts = state.select(*item, "n", "spot", "first", "last", "below")
+    start = F.col("below") + F.col("before")
+    spans = attach(before, facts, item, settled=True).withColumn("start", start)
     wanted = (F.col("start") <= F.col("last")) & (F.col("first") < F.col("start") + F.col("c"))
-    kept = bins.withColumn("start", start).where(wanted).groupBy(
-        *keys, "p", "n", "spot", "first", "last",
-    ).agg(F.count("*").alias("bins"), F.min("start").alias("below"), F.sum("c").alias("inside"),
-          F.min("bmin").alias("lo"), F.max("bmax").alias("hi"),
-          F.min("bmax").alias("left"), F.max("bmin").alias("right"))
+    kept = spans.where(wanted).groupBy(*item, "n", "spot", "first", "last").agg(
+        F.count("*").alias("bins"), F.min("start").alias("below"), F.sum("c").alias("inside"),
+        F.min("bmin").alias("lo"), F.max("bmax").alias("hi"),
+        F.min("bmax").alias("left"), F.max("bmin").alias("right"))
     # Ranks in two bins are the last value of one and the first of the next.
     astride = F.col("bins") > 1
     return kept.select(

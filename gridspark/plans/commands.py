@@ -59,6 +59,13 @@ def extract(spark: SparkSession, source: str, out: str, n_lat: int, n_lon: int,
     cells = spark.read.parquet(f"{source}/cells")
     vertical = [f for f in features if f not in tables.SINGLE_LEVEL]
     single = [f for f in features if f in tables.SINGLE_LEVEL]
+    sample_id = ravel_index("time", "lat", "lon", n_lat, n_lon).alias("sample_id")
+    if num_samples is not None:
+        # Draw from the top level, one row per column, so that only drawn columns are built.
+        # The semi-join and the grouping below share one shuffle on the column's key.
+        top = cells.where(F.col("plevel") == 0).select(*reshape.COLUMN_KEY, sample_id)
+        drawn = index.sample_exact(top, num_samples, seed).drop("sample_id")
+        cells = cells.join(drawn, list(reshape.COLUMN_KEY), "left_semi")
     columns = reshape.to_columns(cells, [*vertical, *TARGETS.values()], max(plevels, target_levels))
     columns = reshape.slice_levels(columns, 0, plevels, vertical)
     columns = reshape.slice_levels(columns, 0, target_levels, TARGETS.values())
@@ -66,9 +73,7 @@ def extract(spark: SparkSession, source: str, out: str, n_lat: int, n_lon: int,
         surface = spark.read.parquet(f"{source}/surface").select("time", "lat", "lon", "slp")
         columns = reshape.join_surface(columns, surface)
     rows = reshape.assemble(columns, vertical, single).select(
-        ravel_index("time", "lat", "lon", n_lat, n_lon).alias("sample_id"), "features",
-        *[F.col(v).alias(t) for t, v in TARGETS.items()])
-    rows = index.sample_exact(rows, num_samples, seed)
+        sample_id, "features", *[F.col(v).alias(t) for t, v in TARGETS.items()])
     # A second seed for the order, or the sample's order would follow its own draw.
     placed = (index.shuffle_rank(rows, f"{seed}/order") if shuffle
               else index.global_index(rows, ["sample_id"]))
@@ -82,12 +87,11 @@ def split(spark: SparkSession, source: str, out: str, test_split: float = 0.1, v
           batch_size: int = 100_000, skip_labels: bool = False, scaler_path: str | None = None) -> None:
     """Train, validation and test rows, and scalers fitted on (or carried on with) train."""
     samples = spark.read.parquet(f"{source}/samples")
-    labelled = splits.chunked_split(samples, samples.count(), test_split, val_split, batch_size,
-                                    skip_labels=skip_labels)
+    sizes = (samples.count(), test_split, val_split, batch_size)
+    labelled = splits.chunked_split(samples, *sizes, skip_labels=skip_labels)
     labelled.write.mode("overwrite").partitionBy("split").parquet(f"{out}/samples")
     # Scalers see the targets even where the written rows leave them out.
-    train = splits.chunked_split(samples, samples.count(), test_split, val_split, batch_size).where(
-        F.col("split") == "train")
+    train = splits.chunked_split(samples, *sizes).where(F.col("split") == "train")
     for col in ("features", "gwfu", "gwfv"):
         state = scaler.scaler_fit(train, col)
         if scaler_path:
