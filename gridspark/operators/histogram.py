@@ -28,17 +28,16 @@ def histogram(df: DataFrame, col: str, bins: int = 100, by=(), density: bool = T
     ).withColumn("_width", (F.col("_max") - F.col("_min")) / bins))
     placed = attach(values, ranges, by, settled=True)
     slot = F.floor((F.col("_v") - F.col("_min")) / F.col("_width"))
-    counts = placed.groupBy(*by, F.least(slot, F.lit(bins - 1)).cast("int").alias("bin")).agg(
-        F.count("*").alias("count"))
-    spine = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    full = spine.join(counts, [*by, "bin"], "left")
-    count = F.coalesce("count", F.lit(0))
+    filled = placed.select(*by, F.least(slot, F.lit(bins - 1)).cast("int").alias("bin"), F.lit(1).alias("c"))
+    spine = ranges.select(*by, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), F.lit(0).alias("c"))
+    counts = filled.unionByName(spine).groupBy(*by, "bin").agg(F.sum("c").alias("count"))
+    full = attach(counts, ranges, by, settled=True)
     out = [*by, "bin",
            (F.col("_min") + F.col("bin") * F.col("_width")).alias("lo"),
            (F.col("_min") + (F.col("bin") + 1) * F.col("_width")).alias("hi"),
-           count.alias("count")]
+           "count"]
     if density:
-        out.append((count / (F.col("_n") * F.col("_width"))).alias("density"))
+        out.append((F.col("count") / (F.col("_n") * F.col("_width"))).alias("density"))
     return full.select(*out)
 
 

@@ -14,6 +14,7 @@ from gridspark.functions import (
 )
 from gridspark.operators.quantiles import exact_quantiles
 from gridspark.operators.reshape import with_pressure
+from gridspark.runtime import attach
 
 def error() -> Column:
     return F.col("target") - F.col("prediction")
@@ -81,7 +82,7 @@ def level_stats(pairs: DataFrame, value="target", by="plevel") -> DataFrame:
         F.avg(value).alias("mean"),
     )
     middle = exact_quantiles(pairs, value, [0.5], (by,))
-    return spread.join(middle.select(by, F.col("quantiles")[0].alias("median")), by)
+    return attach(spread, middle.select(by, F.col("quantiles")[0].alias("median")), [by])
 
 
 def level_panels(pairs: DataFrame, levels: DataFrame, chosen) -> DataFrame:

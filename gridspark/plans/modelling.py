@@ -94,6 +94,32 @@ def _trained(spark, folder, **options):
     return training.train_mlp(training_batches(spark, folder), **{**given, **options})
 
 
+LOSSES = f"""
+    WITH e AS (SELECT sample_id, source, CAST(unnest(range(52)) AS INT) AS idx, unnest(features) AS v FROM vectors),
+    z AS (SELECT sample_id, idx, (v - mean) / sqrt(m2 / n) AS z FROM e JOIN ({FITTED}) USING (idx)),
+    y AS (SELECT sample_id, CAST(unnest(range(6)) AS INT) AS plevel, unnest(gwfu) AS t FROM vectors),
+    s AS (SELECT plevel, avg(t) AS m, stddev_pop(t) AS sd FROM y GROUP BY plevel),
+    p AS (SELECT sample_id, plevel, plevel / 10.0::DOUBLE + sum(z * ((7 * idx + 3 * plevel) % 11 - 5) / 10.0::DOUBLE) AS p
+          FROM z, (SELECT CAST(range AS INT) AS plevel FROM range(6)) GROUP BY sample_id, plevel),
+    d AS (SELECT sample_id, sum(power(p - (t - m) / sd, 2)) AS sq, sum(abs(p - (t - m) / sd)) AS ab
+          FROM y JOIN p USING (sample_id, plevel) JOIN s USING (plevel) GROUP BY sample_id),
+    r AS (SELECT sample_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('{SEED}/mix:' || sample_id)) - 1 AS rk,
+          count(*) OVER (PARTITION BY source) AS rows FROM vectors),
+    b AS (SELECT sample_id, source, rk // 32 AS batch_id, rows // 32 AS batches FROM r WHERE rk < rows // 32 * 32),
+    st AS (SELECT step, avg(sq) AS sq, avg(ab) AS ab FROM b JOIN (SELECT range AS step FROM range(10))
+           ON batch_id = step % batches JOIN d USING (sample_id) GROUP BY step)
+    SELECT CAST(step // 5 + 1 AS INT) AS epoch, round(avg(sq), 8) AS loss, round(avg(ab) / 6, 8) AS mae,
+      round(avg(sq) / 6, 8) AS mse FROM st GROUP BY 1"""
+
+
+@query(sql(LOSSES))
+def training_loss(spark, folder):
+    """Epoch losses of a fixed linear model: scaling, balanced batches, cycling, reduction."""
+    _, log = _trained(spark, folder, loss="mse", optimizer=training.Adam(0.0), epochs=2, steps_per_epoch=5,
+                      init_weights=linear_weights(spark))
+    return rounded(log.select("epoch", "loss", "mae", "mse"), 8, "loss", "mae", "mse")
+
+
 @query()
 def mlp_train(spark, folder):
     weights, _ = _trained(spark, folder)

@@ -86,9 +86,10 @@ def small(state: DataFrame) -> DataFrame:
 def attach(df: DataFrame, state: DataFrame, on=(), settled: bool = False) -> DataFrame:
     """Add the columns of ``state`` (one row per group) to every row of its group.
 
-    A single-row state becomes a scalar subquery. A keyed state is computed once,
-    counted, and broadcast when small; otherwise the join is salted by row content, so
-    that a group with a third of all rows still spreads over ``SALTS`` tasks.
+    Every row stays: a row whose group has no state gets nulls, and a null key matches a
+    null key. A single-row state becomes a scalar subquery. A keyed state is computed
+    once, counted, and broadcast when small; otherwise the join is salted by row content,
+    so that a group with a third of all rows still spreads over ``SALTS`` tasks.
     """
     on = list(on)
     if not on:
@@ -96,8 +97,12 @@ def attach(df: DataFrame, state: DataFrame, on=(), settled: bool = False) -> Dat
         return df.withColumns({c: packed.getField(c) for c in state.columns})
     if not settled:
         state = settle(state)
+    keys = {k: f"_on_{k}" for k in on}
+    right = state.withColumnsRenamed(keys)
+    match = [F.col(k).eqNullSafe(F.col(other)) for k, other in keys.items()]
     if is_small(state):
-        return df.join(F.broadcast(state), on)
+        return df.join(F.broadcast(right), match, "left").drop(*keys.values())
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
-    copies = state.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"]).drop("_salt")
+    copies = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    match.append(F.col("_salt") == F.col("_copy"))
+    return salted.join(copies, match, "left").drop("_salt", "_copy", *keys.values())

@@ -191,3 +191,23 @@ def test_salted_attach_equals_broadcast(spark, monkeypatch):
     monkeypatch.setattr("gridspark.runtime.is_small", lambda *_: False)
     salted = attach(df, state, ["g"])
     assert sorted(map(tuple, salted.select("g", "x", "m").collect())) == want
+
+
+def test_groups_without_numbers_and_null_groups_keep_their_rows(spark):
+    rows = [(1, 1.0), (1, 2.0), (1, 3.0), (1, 99.0), (2, float("nan")), (2, None), (None, 5.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "g INT, x DOUBLE")
+    got = outliers.flag_outliers(df, "x", ["g"]).collect()
+    assert len(got) == len(rows)
+    assert [(r.g, r.x) for r in got if r.is_outlier] == [(1, 99.0)]
+    boxes = {r.g: r.median for r in stats.box_stats(df, "x", ["g"]).collect()}
+    assert boxes == {1: 2.5, None: 5.0}
+    bars = histogram.histogram(df, "x", 4, ["g"]).collect()
+    assert {(g, sum(r["count"] for r in bars if r.g == g)) for g in (1, None)} == {(1, 4), (None, 2)}
+    assert len(bars) == 8
+
+
+@pytest.mark.parametrize("limit", [5, 10**6])
+def test_one_group_with_most_rows(spark, limit):
+    groups = {0: np.concatenate([RNG.normal(size=3000), np.full(2000, 0.5)]), 1: [1.0, 2.0], 2: [3.0]}
+    got = exact_quantiles(grouped(spark, groups), "x", [0.1, 0.5], ["g"], limit=limit).collect()
+    assert all(np.allclose(r.quantiles, np.quantile(groups[r.g], [0.1, 0.5])) for r in got) and len(got) == 3
