@@ -76,3 +76,16 @@ def sample_exact(df: DataFrame, n: int | None, seed, key: str = "sample_id") ->
     nth = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", key))
     last = last.withColumn("_nth", nth).where(F.col("_nth") <= F.lit(n) - cut.getField("_start"))
     return whole.unionByName(last.drop("_nth")).drop("_key", "_bucket")
+
+
+def sample_by_ids(df: DataFrame, ids: DataFrame, n: int | None, seed, key: str = "sample_id") -> DataFrame:
+    """Rows whose id is among ``n`` drawn from the distinct ``ids``.
+
+    Gives the ids of :func:`sample_exact`, but ``df`` is only filtered, by the largest
+    hash key drawn; it may have several rows per id and is read once.
+    """
+    if n is None:
+        return df
+    last = sample_exact(ids.select(key), n, seed, key).agg(
+        F.max(shuffle_key(seed, key)).alias("last")).scalar()
+    return df.where(shuffle_key(seed, key) <= last)

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import ravel_index
 from gridspark.operators import (
-    experiments, histogram, index, metrics, outliers, profiles, reshape, scaler, scoring, stats,
-    training,
+    experiments, histogram, index, metrics, outliers, reshape, scaler, scoring, stats, training,
 )
 from gridspark.operators import split as splits
+from gridspark.runtime import scratch_path
 from gridspark.sources import grid, tables
 
 # Default features in vector order, target variables, levels kept.
@@ -31,10 +31,10 @@ def ingest(spark: SparkSession, path: str, out: str, variables, surface_variable
 
     Several files are put end to end in time, in the order of their names.
     """
-    cells = profiles.sources_in_line(grid.read_grid(spark, path, variables))
+    cells = grid.read_grid(spark, path, variables, in_line=True)
     tables.write_cube(cells, f"{out}/cells", by="source")
     if surface_variables:
-        surface = profiles.sources_in_line(grid.read_grid(spark, path, surface_variables))
+        surface = grid.read_grid(spark, path, surface_variables, in_line=True)
         tables.write_cube(surface, f"{out}/surface", by="source")
     stored = spark.read.parquet(f"{out}/cells")
     tables.write_summary_json(stats.feature_summary(stored, variables), f"{out}/summary")
@@ -55,25 +55,37 @@ def ingest(spark: SparkSession, path: str, out: str, variables, surface_variable
 def extract(spark: SparkSession, source: str, out: str, n_lat: int, n_lon: int, features=FEATURES,
             plevels: int = PLEVELS, target_levels: int = TARGET_LEVELS, num_samples: int | None = None,
             shuffle: bool = True, seed: int = 0) -> None:
-    """Cubes to one row per vertical column: features, both targets, and a position."""
-    cells = spark.read.parquet(f"{source}/cells")
+    """One row per vertical column: features, both targets, and a position.
+
+    ``source`` is an ingested folder, or a glob of netCDF files, which are read as columns
+    and need no shuffle to build them.
+    """
     vertical = [f for f in features if f not in tables.SINGLE_LEVEL]
     single = [f for f in features if f in tables.SINGLE_LEVEL]
+    variables = [*vertical, *TARGETS.values()]
     sample_id = ravel_index("time", "lat", "lon", n_lat, n_lon).alias("sample_id")
-    if num_samples is not None:
-        # Draw from the top level, one row per column, so that only drawn columns are built.
-        # The semi-join and the grouping below share one shuffle on the column's key.
-        top = cells.where(F.col("plevel") == 0).select(*reshape.COLUMN_KEY, sample_id)
-        drawn = index.sample_exact(top, num_samples, seed).drop("sample_id")
-        cells = cells.join(drawn, list(reshape.COLUMN_KEY), "left_semi")
-    columns = reshape.to_columns(cells, [*vertical, *TARGETS.values()], max(plevels, target_levels))
+    if source.endswith(".nc"):
+        surface = ["slp"] if "slp" in single else []
+        columns = grid.read_columns(spark, source, [*variables, *surface], in_line=True)
+        ids = spark.range(grid.count_columns(source, variables[0])).withColumnRenamed("id", "sample_id")
+        columns = index.sample_by_ids(columns.withColumn("sample_id", sample_id), ids, num_samples, seed)
+    else:
+        cells = spark.read.parquet(f"{source}/cells").withColumn("sample_id", sample_id)
+        # The top level has one row per column; only cells of drawn columns are shuffled.
+        top = cells.where(F.col("plevel") == 0)
+        cells = index.sample_by_ids(cells, top, num_samples, seed)
+        columns = reshape.to_columns(cells, variables, max(plevels, target_levels))
+        if "slp" in single:
+            surface = spark.read.parquet(f"{source}/surface").select("time", "lat", "lon", "slp")
+            columns = reshape.join_surface(columns, surface)
     columns = reshape.slice_levels(columns, 0, plevels, vertical)
     columns = reshape.slice_levels(columns, 0, target_levels, TARGETS.values())
-    if "slp" in single:
-        surface = spark.read.parquet(f"{source}/surface").select("time", "lat", "lon", "slp")
-        columns = reshape.join_surface(columns, surface)
     rows = reshape.assemble(columns, vertical, single).select(
         sample_id, "features", *[F.col(v).alias(t) for t, v in TARGETS.items()])
+    # Built once, then ranked: the rank's counting pass reads back the ids alone.
+    built = scratch_path(spark, "columns")
+    rows.write.parquet(built)
+    rows = spark.read.parquet(built)
     # A second seed for the order, or the sample's order would follow its own draw.
     placed = (index.shuffle_rank(rows, f"{seed}/order") if shuffle
               else index.global_index(rows, ["sample_id"]))

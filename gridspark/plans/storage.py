@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gridspark.operators import scaler, split
+from gridspark.operators.profiles import sources_in_line
+from gridspark.operators.reshape import COLUMN_KEY, explode_levels
 from gridspark.plans import fixtures as fx
 from gridspark.plans.evaluation import rounded
 from gridspark.plans.fixtures import with_tables as sql
@@ -124,11 +126,22 @@ def export_netcdf(cells, path: str, names, steps: int) -> None:
     cells.groupBy(F.expr(f"time div {steps}")).applyInPandas(save, "block INT").count()
 
 
-@query(sql("SELECT time, plevel, lat, lon, ucomp, temp FROM cells"))
-def grid_load(spark, folder):
-    """The cube as netCDF files of ten steps each, loaded in parallel and put in line."""
+def _exported(spark, folder) -> str:
+    """The cube as netCDF files of ten steps each."""
     path = scratch_path(spark, "netcdf").removeprefix("file:")
     export_netcdf(fx.cells(spark, folder), path, ["ucomp", "temp"], 10)
-    loaded = grid.read_grid(spark, f"{path}/*.nc", ["ucomp", "temp"], steps=4)
-    block = F.regexp_extract("source", "part([0-9]+)", 1).cast("int")
-    return loaded.withColumn("time", F.col("time") + block * 10).drop("source")
+    return f"{path}/*.nc"
+
+
+@query(sql("SELECT time, plevel, lat, lon, ucomp, temp FROM cells"))
+def grid_load(spark, folder):
+    """Files loaded in parallel as cells and put in line."""
+    loaded = grid.read_grid(spark, _exported(spark, folder), ["ucomp", "temp"], steps=4, in_line=True)
+    return loaded.drop("source")
+
+
+@query(sql("SELECT time, lat, lon, plevel AS pos, ucomp, temp FROM cells"))
+def grid_columns(spark, folder):
+    """Files loaded in parallel as vertical columns and put in line."""
+    loaded = grid.read_columns(spark, _exported(spark, folder), ["ucomp", "temp"], steps=4)
+    return explode_levels(sources_in_line(loaded), ["ucomp", "temp"], COLUMN_KEY, "pos")

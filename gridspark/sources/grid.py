@@ -103,18 +103,21 @@ class GridPartition(InputPartition):
     path: str
     start: int
     stop: int
+    offset: int  # added to the time index
 
 
 class GridReader(DataSourceReader):
-    def __init__(self, paths, names, steps):
-        self.paths, self.names, self.steps = paths, names, steps
+    def __init__(self, paths, names, steps, in_line):
+        self.paths, self.names, self.steps, self.in_line = paths, names, steps, in_line
 
     def partitions(self):
-        found = []
+        found, before = [], 0
         for path in self.paths:
             length = variables_of(path)[self.names[0]].shape[0]
-            found += [GridPartition(path, s, min(s + self.steps, length))
+            found += [GridPartition(path, s, min(s + self.steps, length), before)
                       for s in range(0, length, self.steps)]
+            if self.in_line:
+                before += length
         return found
 
     def read(self, part):
@@ -128,15 +131,41 @@ class GridReader(DataSourceReader):
         with open(part.path, "rb") as f:
             for t in range(part.start, part.stop):
                 index = np.indices((1, *shape[1:])).reshape(len(shape), -1).astype(np.int32)
-                index[0] += t
+                index[0] += t + part.offset
                 size = index.shape[1]
                 columns = [pa.array([source] * size), *(pa.array(i) for i in index)]
                 columns += [pa.array(_slab(f, v, t, t + 1)) for v in wanted]
                 yield pa.RecordBatch.from_arrays(columns, ["source", *axes, *self.names])
 
 
+class ColumnReader(GridReader):
+    """Vertical columns: a time step holds all levels, so no shuffle is needed to join them."""
+
+    def read(self, part):
+        known = variables_of(part.path)
+        wanted = [known[n] for n in self.names]
+        grid_shape = wanted[0].shape[-2:]
+        index = np.indices(grid_shape).reshape(2, -1).astype(np.int32)
+        size = index.shape[1]
+        source = pa.array([os.path.basename(part.path)] * size)
+        with open(part.path, "rb") as f:
+            for t in range(part.start, part.stop):
+                time = np.full(size, t + part.offset, np.int32)
+                columns = [source, pa.array(time), *(pa.array(i) for i in index)]
+                for v in wanted:
+                    values = _slab(f, v, t, t + 1)
+                    if len(v.shape) == 4:
+                        levels = v.shape[1]
+                        offsets = np.arange(0, values.size + 1, levels, dtype=np.int32)
+                        values = values.reshape(levels, size).T.ravel()
+                        columns.append(pa.ListArray.from_arrays(offsets, values))
+                    else:
+                        columns.append(pa.array(values))
+                yield pa.RecordBatch.from_arrays(columns, ["source", "time", "lat", "lon", *self.names])
+
+
 class GridSource(DataSource):
-    """format("grid") with options path (a glob), variables (comma list), steps."""
+    """format("grid") with options path (a glob), variables (comma list), steps, in_line."""
 
     @classmethod
     def name(cls):
@@ -157,19 +186,60 @@ class GridSource(DataSource):
         fields = ["source STRING", *(f"{a} INT" for a in axes), *(f"{n} DOUBLE" for n in names)]
         return ", ".join(fields)
 
+    def _plan(self):
+        in_line = self.options.get("in_line", "false").lower() == "true"
+        return self._paths(), self._names(), int(self.options.get("steps", "8")), in_line
+
+    def reader(self, schema):
+        return GridReader(*self._plan())
+
+
+class ColumnSource(GridSource):
+    """format("grid_columns"), same options: four-axis variables become arrays by level."""
+
+    @classmethod
+    def name(cls):
+        return "grid_columns"
+
+    def schema(self):
+        known = variables_of(self._paths()[0])
+        kind = {4: "ARRAY<DOUBLE>", 3: "DOUBLE"}
+        fields = [f"{n} {kind[len(known[n].shape)]}" for n in self._names()]
+        return ", ".join(["source STRING", "time INT", "lat INT", "lon INT", *fields])
+
     def reader(self, schema):
-        return GridReader(self._paths(), self._names(), int(self.options.get("steps", "8")))
+        return ColumnReader(*self._plan())
+
+
+def _load(spark, kind, path, variables, steps, in_line):
+    spark.dataSource.register(kind)
+    return (spark.read.format(kind.name()).option("path", path)
+            .option("variables", ",".join(variables)).option("steps", str(steps))
+            .option("in_line", str(in_line)).load())
 
 
-def read_grid(spark: SparkSession, path: str, variables, steps: int = 8) -> DataFrame:
+def read_columns(spark: SparkSession, path: str, variables, steps: int = 8, in_line: bool = False) -> DataFrame:
+    """Vertical columns (source, time, lat, lon, …) straight from the files, without a shuffle.
+
+    Variables may have four axes (arrays by level) or three (plain numbers).
+    """
+    return _load(spark, ColumnSource, path, variables, steps, in_line)
+
+
+def read_grid(spark: SparkSession, path: str, variables, steps: int = 8, in_line: bool = False) -> DataFrame:
     """Cells of variables that share a shape, from every file of the glob.
 
     Four axes give (source, time, plevel, lat, lon, …), three a surface without plevel,
-    one a level coordinate. ``steps`` time steps make one partition.
+    one a level coordinate. ``steps`` time steps make one partition. With ``in_line``,
+    the time axes of the files follow each other in the order of their names.
     """
-    spark.dataSource.register(GridSource)
-    return (spark.read.format("grid").option("path", path)
-            .option("variables", ",".join(variables)).option("steps", str(steps)).load())
+    return _load(spark, GridSource, path, variables, steps, in_line)
+
+
+def count_columns(path: str, variable: str) -> int:
+    """Vertical columns in all files of the glob, from their headers."""
+    shapes = [variables_of(p)[variable].shape for p in sorted(glob.glob(path))]
+    return sum(s[0] * s[-2] * s[-1] for s in shapes)
 
 
 def read_variables(spark: SparkSession, path: str) -> DataFrame:

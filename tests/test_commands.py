@@ -47,6 +47,11 @@ def test_commands_end_to_end(spark, world):
         want = [*cube["temp"][t, :3, lat, lon], *cube["ucomp"][t, :3, lat, lon], cube["slp"][t, lat, lon], lat, lon]
         assert r.features == want and r.gwfu == cube["gwfu_cgwd"][t, :2, lat, lon].tolist()
 
+    commands.extract(spark, f"{root}/year*.nc", f"{root}/direct", LAT, LON, FEATURES, plevels=3, target_levels=2,
+                     num_samples=300, seed=1)
+    direct = spark.read.parquet(f"{root}/direct/samples").collect()
+    assert sorted(map(tuple, direct)) == sorted(map(tuple, rows))
+
     commands.split(spark, f"{root}/rows", f"{root}/split", 0.1, 0.1, 100)
     split = spark.read.parquet(f"{root}/split/samples")
     assert {r.split: r["count"] for r in split.groupBy("split").count().collect()} == {

@@ -43,6 +43,14 @@ def test_sample_is_the_head_of_the_shuffle(spark):
     assert sample == {r.sample_id for r in ranked.where("pos < 60").collect()}
 
 
+def test_sample_by_ids_keeps_all_rows_of_drawn_ids(spark):
+    rows = ids(spark, 200).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    drawn = {r.sample_id for r in index.sample_exact(ids(spark, 200), 30, 4).collect()}
+    got = index.sample_by_ids(rows, ids(spark, 200), 30, 4).collect()
+    assert len(got) == 90 and {r.sample_id for r in got} == drawn
+    assert index.sample_by_ids(rows, ids(spark, 200), None, 4).count() == 600
+
+
 def test_global_index_follows_the_order_with_ties(spark):
     df = spark.createDataFrame([(i % 3, i) for i in range(1000)], "k INT, v INT").repartition(9)
     rows = index.global_index(df, ["k"]).orderBy("pos").collect()

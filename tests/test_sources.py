@@ -44,6 +44,19 @@ def test_grid_load(spark, tmp_path, unlimited, wide):
     assert [(r.plevel, r.level) for r in levels] == [(0, 1.0), (1, 10.0), (2, 100.0)]
 
 
+@pytest.mark.parametrize("unlimited", [None, "time"])
+def test_columns_load_without_a_shuffle(spark, tmp_path, unlimited):
+    cube, whole, low = year(tmp_path / "a.nc", unlimited)
+    columns = grid.read_columns(spark, str(tmp_path / "a.nc"), ["temp", "slp", "ucomp"], steps=2)
+    assert "Exchange" not in columns._jdf.queryExecution().toString()
+    rows = columns.collect()
+    assert len(rows) == low.size
+    for r in rows:
+        at = (r.time, slice(None), r.lat, r.lon)
+        assert r.temp == cube[at].tolist() and r.ucomp == whole[at].tolist()
+        assert r.slp == np.float32(low[r.time, r.lat, r.lon])
+
+
 def test_attributes_and_refusals(spark, tmp_path):
     year(tmp_path / "a.nc")
     rows = {r.name: r for r in grid.read_variables(spark, str(tmp_path / "a.nc")).collect()}
@@ -57,10 +70,14 @@ def test_attributes_and_refusals(spark, tmp_path):
 def test_several_files_in_line(spark, tmp_path):
     one, *_ = year(tmp_path / "y1.nc")
     two, *_ = year(tmp_path / "y2.nc", shift=100.0)
-    cells = sources_in_line(grid.read_grid(spark, str(tmp_path / "y*.nc"), ["temp"]))
+    files = str(tmp_path / "y*.nc")
     both = np.concatenate([one, two])
-    for r in cells.collect():
-        assert r.temp == both[r.time, r.plevel, r.lat, r.lon]
+    apart = grid.read_grid(spark, files, ["temp"], steps=3)
+    for cells in (sources_in_line(apart), grid.read_grid(spark, files, ["temp"], steps=3, in_line=True)):
+        rows = cells.collect()
+        assert len(rows) == both.size
+        assert all(r.temp == both[r.time, r.plevel, r.lat, r.lon] for r in rows)
+    assert grid.count_columns(files, "temp") == 10 * 2 * 4
 
 
 @pytest.mark.parametrize("header", [True, False])
