@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions import (
-    log_cosh, vector_mean, vector_median, vector_std,
+    log_cosh, t_two_sided, vector_mean, vector_median, vector_std,
 )
 from gridspark.operators.quantiles import exact_quantiles
 from gridspark.operators.reshape import with_pressure
@@ -40,7 +40,7 @@ def level_r2(pairs: DataFrame, by="plevel") -> DataFrame:
 
 
 def level_regression(pairs: DataFrame, by="plevel") -> DataFrame:
-    """Least-squares line target ~ prediction: slope, intercept, r, and slope error."""
+    """Least-squares line target ~ prediction: slope, intercept, r, p-value and slope error."""
     moments = pairs.groupBy(by).agg(
         F.count("*").alias("n"),
         F.avg("prediction").alias("mx"),
@@ -52,13 +52,18 @@ def level_regression(pairs: DataFrame, by="plevel") -> DataFrame:
     slope = F.try_divide("cov", "vx")
     r = F.coalesce(F.try_divide(F.col("cov"), F.sqrt("vx") * F.sqrt("vy")), F.lit(0.0))
     unexplained = F.greatest(F.lit(0.0), (1 - r * r) * F.try_divide("vy", "vx"))
-    return moments.select(
+    free = F.col("n") - 2
+    lines = moments.select(
         by, "n",
         slope.alias("slope"),
         (F.col("my") - slope * F.col("mx")).alias("intercept"),
         r.alias("r_value"),
-        F.when(F.col("n") > 2, F.sqrt(F.try_divide(unexplained, F.col("n") - 2))).alias("stderr"),
+        F.when(free > 0, F.sqrt(F.try_divide(unexplained, free))).alias("stderr"),
     )
+    tiny = 1e-20  # keeps the statistic finite for a perfect fit
+    r = F.col("r_value")
+    t = r * F.sqrt(free / ((1 - r + tiny) * (1 + r + tiny)))
+    return lines.withColumn("p_value", F.when(free > 0, t_two_sided(F.when(free > 0, t), free)))
 
 
 def sample_stats(scored: DataFrame, vector="target") -> DataFrame:

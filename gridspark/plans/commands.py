@@ -18,11 +18,12 @@ from gridspark.operators import split as splits
 from gridspark.runtime import scratch_path
 from gridspark.sources import grid, tables
 
-# Default features in vector order, target variables, levels kept.
+# Default features in vector order, target variables, levels kept and shown.
 FEATURES = ("temp", "hght", "ucomp", "vcomp", "omega", "slp", "lat", "lon")
 TARGETS = {"gwfu": "gwfu_cgwd", "gwfv": "gwfv_cgwd"}
 PLEVELS = 40
 TARGET_LEVELS = 33
+PANEL_LEVELS = (13, 20, 23, 27)
 
 
 def ingest(spark: SparkSession, path: str, out: str, variables, surface_variables=("slp",),
@@ -43,6 +44,7 @@ def ingest(spark: SparkSession, path: str, out: str, variables, surface_variable
         kept = outliers.remove_outliers(stored.select(name), name)
         histogram.normalise_histogram(histogram.histogram(kept, name)).write.mode(
             "overwrite").parquet(f"{out}/distribution/{name}")
+        stats.box_stats(kept, name).write.mode("overwrite").parquet(f"{out}/box/{name}")
     if len(targets) == 2:
         low = stored.where(F.col("plevel") < TARGET_LEVELS)
         cell = F.concat_ws(":", "time", "plevel", "lat", "lon")
@@ -136,8 +138,9 @@ def train(spark: SparkSession, sources, scaler_path: str, out: str, target: str
 
 def evaluate(spark: SparkSession, source: str, scaler_path: str, model: str, out: str, target: str = "gwfu",
              num_samples: int | None = None, remove_outliers: float | None = None,
-             random_inputs: bool = False, bins: int = 1000, seed: int = 0) -> None:
-    """Scores, metrics by level and by sample, and distributions by level."""
+             random_inputs: bool = False, bins: int = 1000, panels=PANEL_LEVELS, levels: DataFrame | None = None,
+             seed: int = 0) -> None:
+    """Scores; metrics, distributions and correlation by level; statistics by sample."""
     rows = spark.read.parquet(f"{source}/samples")
     if num_samples is not None:
         rows = splits.eval_subsample(rows, num_samples)
@@ -161,6 +164,10 @@ def evaluate(spark: SparkSession, source: str, scaler_path: str, model: str, out
     tables.write_metrics(by_level, f"{out}/level_metrics")
     tables.write_metrics(metrics.sample_stats(scored), f"{out}/sample_metrics")
     tables.write_metrics(histogram.histogram_pair(pairs, bins), f"{out}/distributions")
+    levels = reshape.levels_table(spark) if levels is None else levels
+    tables.write_metrics(metrics.r2_profile(pairs, levels), f"{out}/r2_profile")
+    limits = stats.value_limits(pairs, ["target", "prediction"], symmetric=True, pad=1.2, by=["plevel"])
+    tables.write_metrics(metrics.level_panels(pairs, levels, panels).join(limits, "plevel"), f"{out}/panels")
 
 
 def attribute(spark: SparkSession, source: str, scaler_path: str, model: str, out: str, level: int = 13,

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gridspark.functions import t_two_sided
 from gridspark.operators import experiments as ex
 from gridspark.operators import metrics as mt
 from gridspark.operators.histogram import histogram_pair as histogram_pair_of
@@ -9,7 +10,7 @@ from gridspark.operators.outliers import remove_paired_outliers
 from gridspark.plans import fixtures as fx
 from gridspark.plans.fixtures import with_tables as sql
 from gridspark.plans.registry import query
-from gridspark.runtime import small
+from gridspark.runtime import attach, small
 
 
 def rounded(df, digits, *cols):
@@ -34,8 +35,20 @@ def level_r2(spark, folder):
     round(sqrt((1 - power(corr(target, prediction), 2)) * var_pop(target) / var_pop(prediction) / (count(*) - 2)), 8)
       AS stderr FROM pairs GROUP BY plevel"""))
 def level_regression(spark, folder):
-    out = rounded(mt.level_regression(fx.pairs(spark, folder)), 8, "slope", "r_value", "stderr")
-    return rounded(out, 4, "intercept")
+    lines = mt.level_regression(fx.pairs(spark, folder)).drop("p_value")
+    return rounded(rounded(lines, 8, "slope", "r_value", "stderr"), 4, "intercept")
+
+
+@query(sql("""WITH s AS (SELECT plevel, avg(target) AS m, stddev_pop(target) AS sd FROM pairs GROUP BY plevel)
+    SELECT sample_id, round(1 - 2 / pi() * atan(abs(z)), 8) AS p1, round(1 - abs(z) / sqrt(2 + z * z), 8) AS p2
+    FROM (SELECT sample_id, (target - m) / sd AS z FROM pairs JOIN s USING (plevel))"""))
+def t_probability(spark, folder):
+    """Two-sided Student probabilities of standardised targets, at 1 and 2 degrees of freedom."""
+    rows = fx.pairs(spark, folder)
+    state = rows.groupBy("plevel").agg(F.avg("target").alias("m"), F.stddev_pop("target").alias("sd"))
+    z = attach(rows, state, ["plevel"]).select("sample_id", ((F.col("target") - F.col("m")) / F.col("sd")).alias("z"))
+    return rounded(z.select("sample_id", t_two_sided("z", F.lit(1)).alias("p1"),
+                            t_two_sided("z", F.lit(2)).alias("p2")), 8, "p1", "p2")
 
 
 @query(sql("""SELECT sample_id, round(list_stddev_pop(gwfu), 8) AS std, list_min(gwfu) AS min, list_max(gwfu) AS max,

@@ -60,7 +60,7 @@ def stream_window_mean(spark, folder):
     path = scratch_path(spark, "stream-window")
     means = jobs.stream_window_mean(stream, "ucomp", 15)
     writer = means.writeStream.outputMode("append").format("parquet").option("path", f"{path}/sink")
-    finish(jobs.run_available(writer, f"{path}/checkpoint"))
+    finish(jobs.start(writer, f"{path}/checkpoint"))
     return rounded(spark.read.schema(means.schema).parquet(f"{path}/sink"), 8, "mean")
 
 

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Fixed values of the file format: number types by code.
@@ -236,6 +237,11 @@ def read_grid(spark: SparkSession, path: str, variables, steps: int = 8, in_line
     return _load(spark, GridSource, path, variables, steps, in_line)
 
 
+def read_levels(spark: SparkSession, path: str, name: str = "level") -> DataFrame:
+    """The level coordinate of one file: plevel, hpa."""
+    return read_grid(spark, path, [name]).select("plevel", F.col(name).alias("hpa"))
+
+
 def count_columns(path: str, variable: str) -> int:
     """Vertical columns in all files of the glob, from their headers."""
     shapes = [variables_of(p)[variable].shape for p in sorted(glob.glob(path))]

@@ -17,13 +17,16 @@ from gridspark.operators.scoring import batch_score
 STEP_HOURS = 6
 
 
-def run_available(writer, checkpoint: str) -> StreamingQuery:
-    """Start on everything that is there now; the query ends when it is done."""
-    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start(writer, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Run on what is there now and end, or go on at an interval such as "1 minute"."""
+    writer = writer.option("checkpointLocation", checkpoint)
+    if every is None:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=every).start()
 
 
 def stream_scaler(stream: DataFrame, col: str, state_path: str, checkpoint: str,
-                  initial: DataFrame | None = None) -> StreamingQuery:
+                  initial: DataFrame | None = None, every: str | None = None) -> StreamingQuery:
     """Merge each batch into the scaler state; state n is state n-1 plus batch n."""
     def merge(batch: DataFrame, number: int):
         spark = batch.sparkSession
@@ -33,7 +36,7 @@ def stream_scaler(stream: DataFrame, col: str, state_path: str, checkpoint: str,
             state = scaler_merge(before, state)
         state.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
 
-    return run_available(stream.writeStream.foreachBatch(merge), checkpoint)
+    return start(stream.writeStream.foreachBatch(merge), checkpoint, every)
 
 
 def latest_state(spark: SparkSession, state_path: str) -> DataFrame:
@@ -43,21 +46,21 @@ def latest_state(spark: SparkSession, state_path: str) -> DataFrame:
 
 
 def stream_score(stream: DataFrame, weights: DataFrame, x_state: DataFrame, y_state: DataFrame,
-                 sink: str, checkpoint: str, target: str = "gwfu") -> StreamingQuery:
+                 sink: str, checkpoint: str, target: str = "gwfu", every: str | None = None) -> StreamingQuery:
     """Score columns as they arrive; each batch is one folder of the sink."""
     def score(batch: DataFrame, number: int):
         scored = batch_score(batch, weights, x_state, y_state, target)
         scored.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    return run_available(stream.writeStream.foreachBatch(score), checkpoint)
+    return start(stream.writeStream.foreachBatch(score), checkpoint, every)
 
 
 def stream_window_mean(stream: DataFrame, col: str, window: int, delay: str = "6 hours",
                        keys=("plevel", "lon"), time="time") -> DataFrame:
     """Tumbling means of ``window`` 6-hour steps; rows later than ``delay`` are left out.
 
-    Time starts at the epoch, so windows match time div ``window``. ``steps`` counts the
-    distinct-free rows of a window, to tell whole windows from incomplete ones.
+    Time starts at the epoch, so windows match time div ``window``. ``rows`` counts what a
+    mean holds, to tell whole windows from incomplete ones.
     """
     at = F.timestamp_seconds(F.col(time).cast("bigint") * (STEP_HOURS * 3600))
     span = F.window("ts", f"{window * STEP_HOURS} hours")
@@ -73,9 +76,9 @@ def stream_level_metrics(stream: DataFrame) -> DataFrame:
     return level_metrics(stream)
 
 
-def keep_latest(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def keep_latest(result: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Write the whole (small) aggregate after each batch, in place of the one before."""
     def replace(batch: DataFrame, _: int):
         batch.write.mode("overwrite").parquet(path)
 
-    return run_available(result.writeStream.outputMode("complete").foreachBatch(replace), checkpoint)
+    return start(result.writeStream.outputMode("complete").foreachBatch(replace), checkpoint, every)

@@ -80,3 +80,13 @@ def test_labels(spark):
 def test_number_check_excludes_nan_and_null(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "x DOUBLE")
     assert df.where(fn.is_number(F.col("x"))).count() == 1
+
+
+def test_student_probability(spark):
+    df = spark.createDataFrame([(2.0, 10.0), (0.0, 5.0), (1.0, 1.0), (-3.0, 2.0), (1.96, 1e6), (60.0, 3.0)],
+                               "t DOUBLE, f DOUBLE")
+    got = [r[0] for r in df.select(fn.t_two_sided("t", "f")).collect()]
+    angle = np.arctan(60 / np.sqrt(3))  # closed forms for 1, 2 and 3 degrees of freedom
+    three = 1 - 2 / np.pi * (angle + np.sin(angle) * np.cos(angle))
+    want = [0.0733880348, 1.0, 0.5, 1 - 3 / np.sqrt(11), 0.0499958, three]
+    assert np.allclose(got, want, rtol=1e-5)

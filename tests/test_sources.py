@@ -40,8 +40,8 @@ def test_grid_load(spark, tmp_path, unlimited, wide):
     surface = grid.read_grid(spark, str(tmp_path / "a.nc"), ["slp"]).collect()
     assert len(surface) == low.size
     assert all(r.slp == np.float32(low[r.time, r.lat, r.lon]) for r in surface)
-    levels = grid.read_grid(spark, str(tmp_path / "a.nc"), ["level"]).orderBy("plevel").collect()
-    assert [(r.plevel, r.level) for r in levels] == [(0, 1.0), (1, 10.0), (2, 100.0)]
+    levels = grid.read_levels(spark, str(tmp_path / "a.nc")).orderBy("plevel").collect()
+    assert [(r.plevel, r.hpa) for r in levels] == [(0, 1.0), (1, 10.0), (2, 100.0)]
 
 
 @pytest.mark.parametrize("unlimited", [None, "time"])

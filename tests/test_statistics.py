@@ -166,6 +166,17 @@ def test_regression_line(spark):
     stderr = np.sqrt((left**2).sum() / 48 / ((x - x.mean()) ** 2).sum())
     assert np.allclose([r.slope, r.intercept, r.stderr], [slope, intercept, stderr])
     assert np.isclose(r.r_value, np.corrcoef(x, y)[0, 1])
+    assert 0 < r.p_value < 1e-10
+
+
+@pytest.mark.parametrize("y,want", [([1.0, 3.0, 2.0], None), ([1.0, 2.0, 3.0], 0.0), ([1.0, 0.0, 1.0], 1.0)])
+def test_p_value_of_three_points(spark, y, want):
+    x = np.array([0.0, 1.0, 2.0])
+    r = metrics.level_regression(pairs(spark, y, x)).first()
+    if want is None:  # one degree of freedom has a closed form
+        t = r.r_value * np.sqrt(1 / (1 - r.r_value**2))
+        want = 1 - 2 / np.pi * np.arctan(abs(t))
+    assert np.isclose(r.p_value, want, atol=1e-8)
 
 
 def test_losses_and_composite(spark):

@@ -58,7 +58,7 @@ def test_late_rows_are_left_out_and_open_windows_wait(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     means = jobs.stream_window_mean(stream, "u", 10, "12 hours")
     writer = means.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out"))
-    jobs.run_available(writer, str(tmp_path / "checkpoint")).awaitTermination()
+    jobs.start(writer, str(tmp_path / "checkpoint")).awaitTermination()
     got = spark.read.schema(means.schema).parquet(str(tmp_path / "out")).collect()
     assert sorted((r.frame, r["mean"], r.rows) for r in got) == [(0, 1.0, 10), (1, 1.0, 10)]
 
