@@ -11,61 +11,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions import is_number
-from gridspark.operators.quantiles import exact_quantiles, largest_group
+from gridspark.operators.quantiles import exact_quantiles, group_ranges
 from gridspark.runtime import attach, settle
 
 THRESHOLD = 3.5
 MAD_TO_SIGMA = 0.6745
 
 
-def _median(df: DataFrame, col: str, by, out: str, largest=None) -> DataFrame:
-    found = exact_quantiles(df, col, [0.5], by, largest=largest)
+def _median(df: DataFrame, col: str, by, out: str, ranges: DataFrame | None = None) -> DataFrame:
+    found = exact_quantiles(df, col, [0.5], by, ranges=ranges)
     return settle(found.select(*by, F.col("quantiles")[0].alias(out)))
 
 
-def _flag(df: DataFrame, by, thresh: float, largest: int) -> DataFrame:
+def _flag(df: DataFrame, by, thresh: float, ranges: DataFrame | None = None) -> DataFrame:
     """Flags from a ``_dev`` column of distances to the centre."""
-    judged = attach(df, _median(df, "_dev", by, "_mad", largest), by, settled=True)
+    judged = attach(df, _median(df, "_dev", by, "_mad", ranges), by, settled=True)
     beyond = is_number("_dev") & (F.col("_dev") * MAD_TO_SIGMA > F.col("_mad") * thresh)
     return judged.withColumn("is_outlier", F.coalesce(beyond, F.lit(False)))
 
 
-def flag_outliers(df: DataFrame, col: str, by=(), thresh: float = THRESHOLD,
-                  largest: int | None = None) -> DataFrame:
-    """Add ``is_outlier``, judged over all rows or inside each group.
-
-    ``largest`` is an upper bound of the group sizes, counted when not given.
-    """
+def flag_outliers(df: DataFrame, col: str, by=(), thresh: float = THRESHOLD) -> DataFrame:
+    """Add ``is_outlier``, judged over all rows or inside each group."""
     by = list(by)
-    if largest is None:
-        largest = largest_group(df, col, by)
-    centred = attach(df, _median(df, col, by, "_med", largest), by, settled=True)
+    ranges = group_ranges(df, col, by)
+    medians = _median(df, col, by, "_med", ranges)
+    centred = attach(df, medians, by, settled=True)
     centred = centred.withColumn("_dev", F.abs(F.col(col) - F.col("_med")))
-    return _flag(centred, by, thresh, largest).drop("_med", "_dev", "_mad")
+    # The furthest value from the median is one of the two ends, so no scan is needed.
+    furthest = F.greatest(F.col("hi") - F.col("_med"), F.col("_med") - F.col("lo"))
+    reach = attach(ranges, medians, by, settled=True).withColumns({"hi": furthest, "lo": F.lit(0.0)})
+    return _flag(centred, by, thresh, reach.drop("_med")).drop("_med", "_dev", "_mad")
 
 
 def flag_vector_outliers(df: DataFrame, col: str, thresh: float = THRESHOLD) -> DataFrame:
     """Judge vectors by their Euclidean distance from the per-element median."""
-    rows = df.count()
     elements = df.select(F.posexplode(col).alias("idx", "v"))
-    medians = _median(elements, "v", ["idx"], "m", rows)
+    medians = _median(elements, "v", ["idx"], "m")
     centre = settle(medians.agg(
         F.array_sort(F.collect_list(F.struct("idx", "m"))).alias("s")).select(
         F.col("s")["m"].alias("_centre")))
     gaps = F.zip_with(F.col(col), F.col("_centre"), lambda x, m: (x - m) * (x - m))
     distance = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g))
     measured = attach(df, centre).withColumn("_dev", distance)
-    return _flag(measured, [], thresh, rows).drop("_centre", "_dev", "_mad")
+    return _flag(measured, [], thresh).drop("_centre", "_dev", "_mad")
 
 
-def remove_outliers(df: DataFrame, col: str, by=(), thresh: float = THRESHOLD,
-                    largest: int | None = None) -> DataFrame:
-    flagged = flag_outliers(df, col, by, thresh, largest)
+def remove_outliers(df: DataFrame, col: str, by=(), thresh: float = THRESHOLD) -> DataFrame:
+    flagged = flag_outliers(df, col, by, thresh)
     return flagged.where(~F.col("is_outlier")).drop("is_outlier")
 
 
 def remove_paired_outliers(pairs: DataFrame, thresh: float = THRESHOLD, by=("plevel",)) -> DataFrame:
     """Drop target outliers, then outlying predictions among the rows that are left."""
-    largest = pairs.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    kept = remove_outliers(pairs, "target", by, thresh, largest)
-    return remove_outliers(kept, "prediction", by, thresh, largest)
+    return remove_outliers(remove_outliers(pairs, "target", by, thresh), "prediction", by, thresh)

@@ -18,32 +18,38 @@ GROUP_LIMIT = 100_000
 BINS = 4096
 
 
-def largest_group(df: DataFrame, col: str, by=()) -> int:
-    """Row count of the largest group, nulls and NaN left out."""
-    sizes = df.where(is_number(F.col(col).cast("double"))).groupBy(*by).count()
-    return sizes.agg(F.max("count")).first()[0] or 0
+def group_ranges(df: DataFrame, col: str, by=()) -> DataFrame:
+    """(by…, n, lo, hi) of the numbers of each group, computed once; the key is _all without by."""
+    value = F.col(col).cast("double")
+    return settle(_keyed(df, by).where(is_number(value)).groupBy(*_keys(by)).agg(
+        F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")))
+
+
+def _keys(by) -> list:
+    return list(by) or ["_all"]
+
+
+def _keyed(df: DataFrame, by) -> DataFrame:
+    return df if by else df.withColumn("_all", F.lit(0))
 
 
 def exact_quantiles(df: DataFrame, col: str, probs, by=(), limit: int = GROUP_LIMIT,
-                    largest: int | None = None) -> DataFrame:
+                    ranges: DataFrame | None = None) -> DataFrame:
     """(by…, n, quantiles ARRAY<DOUBLE>) with linear interpolation; nulls and NaN ignored.
 
-    ``largest`` is an upper bound of the group sizes, where the caller knows one.
+    ``ranges`` saves a scan where the caller knows them: exact counts, and bounds that
+    hold every value of the group.
     """
-    by, probs = list(by), [float(p) for p in probs]
-    data = df.select(*by, F.col(col).cast("double").alias("_v")).where(is_number("_v"))
-    if largest is None or largest > limit:
-        largest = largest_group(data, "_v", by)
-    if largest <= limit:
-        return data.groupBy(*by).agg(
+    by, keys, probs = list(by), _keys(by), [float(p) for p in probs]
+    if ranges is None:
+        ranges = group_ranges(df, col, by)
+    data = _keyed(df, by).select(*keys, F.col(col).cast("double").alias("_v")).where(is_number("_v"))
+    if (ranges.agg(F.max("n")).first()[0] or 0) <= limit:
+        found = data.groupBy(*keys).agg(
             F.count("*").alias("n"),
             F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("quantiles"))
-    keys = by or ["_all"]
-    if not by:
-        data = data.withColumn("_all", F.lit(0))
-    groups = data.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    found = _narrow(data, groups, keys, probs, limit)
+    else:
+        found = _narrow(data, ranges, keys, probs, limit)
     return found if by else found.drop("_all")
 
 

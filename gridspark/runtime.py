@@ -99,10 +99,24 @@ def attach(df: DataFrame, state: DataFrame, on=(), settled: bool = False) -> Dat
         state = settle(state)
     keys = {k: f"_on_{k}" for k in on}
     right = state.withColumnsRenamed(keys)
-    match = [F.col(k).eqNullSafe(F.col(other)) for k, other in keys.items()]
-    if is_small(state):
+    rows, has_null = _facts(state, on)
+    if rows <= BROADCAST_ROWS:
+        # Plain equality hashes faster and is the same where no state has a null key.
+        match = [F.col(k).eqNullSafe(F.col(other)) if has_null else F.col(k) == F.col(other)
+                 for k, other in keys.items()]
         return df.join(F.broadcast(right), match, "left").drop(*keys.values())
+    match = [F.col(k).eqNullSafe(F.col(other)) for k, other in keys.items()]
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
     copies = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     match.append(F.col("_salt") == F.col("_copy"))
     return salted.join(copies, match, "left").drop("_salt", "_copy", *keys.values())
+
+
+def _facts(state: DataFrame, keys) -> tuple[int, bool]:
+    """Row count, exact up to one above the broadcast limit, and whether a key is null."""
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    head = state.select(null.alias("null")).limit(BROADCAST_ROWS + 1)
+    rows, nulls = head.agg(F.count("*"), F.count_if("null")).first()
+    return rows, nulls > 0

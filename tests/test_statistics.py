@@ -199,7 +199,7 @@ def test_salted_attach_equals_broadcast(spark, monkeypatch):
     df = grouped(spark, {1: range(100), 2: range(3)})
     state = df.groupBy("g").agg(F.avg("x").alias("m"))
     want = sorted(map(tuple, attach(df, state, ["g"]).select("g", "x", "m").collect()))
-    monkeypatch.setattr("gridspark.runtime.is_small", lambda *_: False)
+    monkeypatch.setattr("gridspark.runtime.BROADCAST_ROWS", 1)
     salted = attach(df, state, ["g"])
     assert sorted(map(tuple, salted.select("g", "x", "m").collect())) == want
 
