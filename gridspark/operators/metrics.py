@@ -90,10 +90,12 @@ def level_stats(pairs: DataFrame, value="target", by="plevel") -> DataFrame:
     return attach(spread, middle.select(by, F.col("quantiles")[0].alias("median")), [by])
 
 
-def level_panels(pairs: DataFrame, levels: DataFrame, chosen) -> DataFrame:
-    """R² rounded to 3 at the chosen levels; only their rows are read."""
+def level_panels(pairs: DataFrame, levels: DataFrame, chosen: dict) -> DataFrame:
+    """R² rounded to 3 at the chosen levels, {level: label}; only their rows are read."""
     picked = pairs.where(F.col("plevel").isin(list(chosen)))
-    return with_pressure(level_r2(picked), levels).withColumn("r_squared", F.round("r_squared", 3))
+    labels = F.create_map(*[F.lit(x) for pair in chosen.items() for x in pair])
+    return with_pressure(level_r2(picked), levels).withColumns({
+        "r_squared": F.round("r_squared", 3), "label": labels[F.col("plevel")]})
 
 
 def r2_profile(pairs: DataFrame, levels: DataFrame, reverse=False) -> DataFrame:

@@ -147,14 +147,15 @@ LOG = StructType([
 
 
 def train_mlp(batches: DataFrame, trunk=network.TRUNK, head=network.HEAD, loss: str = "log_cosh",
-              optimizer=None, epochs: int = 10, steps_per_epoch: int = 1000,
+              optimizer=None, epochs: int = 10, steps_per_epoch: int | None = 1000,
               val: DataFrame | None = None, control: TrainControl | None = None,
               init_weights: DataFrame | None = None, seed: int = 0,
               checkpoint_path: str | None = None):
     """Train on ([source,] batch_id, features, target) rows; returns (weights, log) tables.
 
     Loss is the batch mean, summed over the outputs. Batches are used in order, and each
-    source starts over at its end. The weights of the best epoch are returned, and written to
+    source starts over at its end; without ``steps_per_epoch`` an epoch is one pass of the
+    longest. The weights of the best epoch are returned, and written to
     ``checkpoint_path`` whenever an epoch improves. Training ends on a loss that is not
     a number.
     """
@@ -164,6 +165,7 @@ def train_mlp(batches: DataFrame, trunk=network.TRUNK, head=network.HEAD, loss:
     sources = stored.groupBy("source").agg((F.max("batch_id") + 1).alias("n"),
                                            F.count("*").alias("rows")).collect()
     lengths = {r.source: r.n for r in sources}
+    steps_per_epoch = steps_per_epoch or max(lengths.values())
     batch_rows = sum(r.rows / r.n for r in sources)
     if init_weights is not None:
         net = network.from_table(init_weights)

@@ -23,7 +23,7 @@ FEATURES = ("temp", "hght", "ucomp", "vcomp", "omega", "slp", "lat", "lon")
 TARGETS = {"gwfu": "gwfu_cgwd", "gwfv": "gwfv_cgwd"}
 PLEVELS = 40
 TARGET_LEVELS = 33
-PANEL_LEVELS = (13, 20, 23, 27)
+PANELS = {13: "10 hPa", 20: "50 hPa", 23: "100 hPa", 27: "200 hPa"}
 
 
 def ingest(spark: SparkSession, path: str, out: str, variables, surface_variables=("slp",),
@@ -138,7 +138,7 @@ def train(spark: SparkSession, sources, scaler_path: str, out: str, target: str
 
 def evaluate(spark: SparkSession, source: str, scaler_path: str, model: str, out: str, target: str = "gwfu",
              num_samples: int | None = None, remove_outliers: float | None = None,
-             random_inputs: bool = False, bins: int = 1000, panels=PANEL_LEVELS, levels: DataFrame | None = None,
+             random_inputs: bool = False, bins: int = 1000, panels=PANELS, levels: DataFrame | None = None,
              seed: int = 0) -> None:
     """Scores; metrics, distributions and correlation by level; statistics by sample."""
     rows = spark.read.parquet(f"{source}/samples")

@@ -63,10 +63,12 @@ def level_stats(spark, folder):
     return rounded(mt.level_stats(fx.pairs(spark, folder)), 4, "std", "mean", "median")
 
 
-@query(sql("""SELECT plevel, hpa, round(power(corr(prediction, target), 2), 3) AS r_squared
-    FROM pairs JOIN levels USING (plevel) WHERE plevel IN (1, 3, 4, 6) GROUP BY plevel, hpa"""))
+@query(sql("""SELECT plevel, hpa, round(power(corr(prediction, target), 2), 3) AS r_squared,
+    CASE plevel WHEN 1 THEN '0.5 hPa' WHEN 3 THEN '1 hPa' WHEN 6 THEN '2 hPa' END AS label
+    FROM pairs JOIN levels USING (plevel) WHERE plevel IN (1, 3, 6) GROUP BY plevel, hpa"""))
 def level_panels(spark, folder):
-    return mt.level_panels(fx.pairs(spark, folder), fx.levels(spark), [1, 3, 4, 6])
+    chosen = {1: "0.5 hPa", 3: "1 hPa", 6: "2 hPa"}
+    return mt.level_panels(fx.pairs(spark, folder), fx.levels(spark), chosen)
 
 
 @query(sql("""SELECT plevel, hpa, round(power(corr(prediction, target), 2), 8) AS r_squared

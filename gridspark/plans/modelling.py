@@ -80,7 +80,7 @@ def attribution_net(spark, folder):
     return _attributed(spark, folder, network.to_table(spark, net), n_permutations=2)
 
 
-def training_batches(spark, folder, batch_size=64):
+def training_batches(spark, folder, batch_size=128):
     """Scaled features and targets in balanced batches."""
     rows = fx.vectors(spark, folder)
     scaled = scaler.scaler_transform(rows, scaler.scaler_fit(rows, "features"), "features")
@@ -90,7 +90,7 @@ def training_batches(spark, folder, batch_size=64):
 
 
 def _trained(spark, folder, **options):
-    given = dict(trunk=(32, 32), head=(16, 8), optimizer=training.Adam(1e-3), epochs=2, steps_per_epoch=3)
+    given = dict(trunk=(32, 32), head=(16, 8), optimizer=training.Adam(1e-3), epochs=2, steps_per_epoch=None)
     return training.train_mlp(training_batches(spark, folder), **{**given, **options})
 
 
@@ -105,17 +105,18 @@ LOSSES = f"""
           FROM y JOIN p USING (sample_id, plevel) JOIN s USING (plevel) GROUP BY sample_id),
     r AS (SELECT sample_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('{SEED}/mix:' || sample_id)) - 1 AS rk,
           count(*) OVER (PARTITION BY source) AS rows FROM vectors),
-    b AS (SELECT sample_id, source, rk // 32 AS batch_id, rows // 32 AS batches FROM r WHERE rk < rows // 32 * 32),
-    st AS (SELECT step, avg(sq) AS sq, avg(ab) AS ab FROM b JOIN (SELECT range AS step FROM range(10))
+    b AS (SELECT sample_id, source, rk // 64 AS batch_id, rows // 64 AS batches FROM r WHERE rk < rows // 64 * 64),
+    st AS (SELECT step, avg(sq) AS sq, avg(ab) AS ab
+           FROM b JOIN (SELECT unnest(range(2 * (SELECT max(batches) FROM b))) AS step)
            ON batch_id = step % batches JOIN d USING (sample_id) GROUP BY step)
-    SELECT CAST(step // 5 + 1 AS INT) AS epoch, round(avg(sq), 8) AS loss, round(avg(ab) / 6, 8) AS mae,
-      round(avg(sq) / 6, 8) AS mse FROM st GROUP BY 1"""
+    SELECT CAST(step // (SELECT max(batches) FROM b) + 1 AS INT) AS epoch, round(avg(sq), 8) AS loss,
+      round(avg(ab) / 6, 8) AS mae, round(avg(sq) / 6, 8) AS mse FROM st GROUP BY 1"""
 
 
 @query(sql(LOSSES))
 def training_loss(spark, folder):
     """Epoch losses of a fixed linear model: scaling, balanced batches, cycling, reduction."""
-    _, log = _trained(spark, folder, loss="mse", optimizer=training.Adam(0.0), epochs=2, steps_per_epoch=5,
+    _, log = _trained(spark, folder, loss="mse", optimizer=training.Adam(0.0),
                       init_weights=linear_weights(spark))
     return rounded(log.select("epoch", "loss", "mae", "mse"), 8, "loss", "mae", "mse")
 
@@ -133,10 +134,10 @@ def mlp_train_small(spark, folder):
         "sample_id", "source", "pos", "features", "gwfu")
     labelled = split.tail_split(slice_levels(rows, 0, 1, ["gwfu"]).withColumnRenamed("gwfu", "target"),
                                 rows.count(), 0.2)
-    batches = split.minibatches(labelled.where("split = 'train'"), 64, 500_000, SEED)
+    batches = split.minibatches(labelled.where("split = 'train'"), 128, 500_000, SEED)
     _, log = training.train_mlp(
         batches, trunk=network.SMALL_TRUNK, head=None, loss="mse", optimizer=training.RMSprop(),
-        epochs=2, steps_per_epoch=3, val=labelled.where("split = 'val'"),
+        epochs=2, steps_per_epoch=None, val=labelled.where("split = 'val'"),
         control=training.TrainControl(patience=10))
     return log
 

@@ -107,7 +107,7 @@ def robust_level_moments(spark, folder):
 @query(sql("""
     WITH e AS (SELECT sample_id, unnest(range(6)) AS plevel, unnest(gwfu) AS v FROM vectors),
     st AS (SELECT plevel, avg(v) AS m, stddev_pop(v) AS s FROM e GROUP BY plevel),
-    o AS (SELECT sample_id FROM vectors ORDER BY md5('7:' || sample_id) LIMIT 300),
+    o AS (SELECT sample_id FROM vectors ORDER BY md5('7:' || sample_id) LIMIT 100000),
     z AS (SELECT plevel, (v - m) / s AS z FROM e JOIN st USING (plevel) JOIN o USING (sample_id)),
     r AS (SELECT plevel, min(z) AS lo, (max(z) - min(z)) / 1000 AS w FROM z GROUP BY plevel),
     c AS (SELECT plevel, least(floor((z - lo) / w), 999) AS bin, count(*) AS c FROM z JOIN r USING (plevel) GROUP BY 1, 2)
@@ -117,7 +117,7 @@ def robust_level_moments(spark, folder):
 def scaled_histogram(spark, folder):
     rows = fx.vectors(spark, folder).select("sample_id", "gwfu")
     state = scaler.scaler_fit(rows, "gwfu")
-    return rounded(hg.scaled_histogram(shuffle_rank(rows, 7), state, "gwfu", n=300), 8, "lo", "hi")
+    return rounded(hg.scaled_histogram(shuffle_rank(rows, 7), state, "gwfu"), 8, "lo", "hi")
 
 
 @query(sql("""

@@ -75,7 +75,7 @@ def tail_split(spark, folder):
     return split.tail_split(ranked(spark, folder), n, 0.2).drop("gwfu")
 
 
-BATCH, CHUNK, STEPS = 32, 100, 40
+BATCH, CHUNK = 32, 100
 
 
 @query(sql(f"""
@@ -89,11 +89,13 @@ BATCH, CHUNK, STEPS = 32, 100, 40
           FROM m, k WHERE rk < rows // per * per),
     n AS (SELECT source, max(batch_id) + 1 AS batches FROM f GROUP BY source)
     SELECT sample_id, source, batch_id + lap * batches AS batch_id
-    FROM f JOIN n USING (source), (SELECT range AS lap FROM range({STEPS}))
-    WHERE batch_id + lap * batches < {STEPS}"""))
+    FROM f JOIN n USING (source), (SELECT unnest(range(8)) AS lap)
+    WHERE batch_id + lap * batches < (SELECT 2 * (count(*) // {BATCH}) FROM vectors)"""))
 def minibatches(spark, folder):
+    """Two epochs of balanced batches; each source starts over when it runs out."""
     rows = fx.vectors(spark, folder).select("sample_id", "source")
-    return split.minibatches(rows, BATCH, CHUNK, SEED, steps=STEPS)
+    steps = 2 * split.batches_per_epoch(rows.count(), BATCH)
+    return split.minibatches(rows, BATCH, CHUNK, SEED, steps=steps)
 
 
 @query(sql("""SELECT CAST(trunc(n * k / 256) AS BIGINT) AS batches, n AS samples, k AS sources FROM (

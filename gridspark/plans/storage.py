@@ -111,7 +111,10 @@ def _netcdf(arrays: dict, dims: dict) -> bytes:
 
 
 def export_netcdf(cells, path: str, names, steps: int) -> None:
-    """Write a complete cube as one file per ``steps`` time steps, a task per file."""
+    """Write a complete cube as one file per ``steps`` time steps, a task per file.
+
+    The folder must be mounted on every executor, as for reading the files back.
+    """
     os.makedirs(path, exist_ok=True)
 
     def save(pdf):

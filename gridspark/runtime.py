@@ -15,9 +15,9 @@ BROADCAST_ROWS = 200_000
 SALTS = 32
 
 
-def local_session(cpus: str = "8", **conf: str) -> SparkSession:
+def local_session(cpus: str = "8") -> SparkSession:
     """A session for tests and the benchmark; clusters bring their own."""
-    builder = (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("gridspark")
         .config("spark.ui.enabled", "false")
@@ -27,10 +27,8 @@ def local_session(cpus: str = "8", **conf: str) -> SparkSession:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .getOrCreate()
     )
-    for key, value in conf.items():
-        builder = builder.config(key.replace("__", "."), value)
-    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -39,9 +37,12 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
+    """Send this package to the Python workers of a local session, once per application.
+
+    A cluster has it installed, or gets it with the job (--py-files).
+    """
     context = spark.sparkContext
-    if context.applicationId not in _SHIPPED:
+    if context.master.startswith("local") and context.applicationId not in _SHIPPED:
         here = os.path.dirname(os.path.abspath(__file__))
         target = os.path.join(tempfile.mkdtemp(prefix="gridspark-code-"), "gridspark")
         context.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(here), "gridspark"))

@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 SINGLE_LEVEL = ("slp", "lat", "lon")
 
 
-def write_cube(df: DataFrame, path: str, by: str = "year", mode: str = "overwrite") -> None:
+def write_cube(df: DataFrame, path: str, by: str = "year", mode: str = "overwrite",
+               regroup: bool = False) -> None:
     """Compressed Parquet, a folder per ``by`` value, sorted for level and time pruning.
 
-    Rows are spread over tasks by value and time, so one large year is not one task.
+    Tasks write what they hold, without a shuffle, which suits loads by time range.
+    ``regroup`` first gathers rows of a time step where they are scattered; rows are
+    spread by value and time, so one large year is not one task.
     """
     order = [c for c in ("plevel", "time") if c in df.columns]
-    spread = df.repartition(by, "time").sortWithinPartitions(*order)
-    spread.write.mode(mode).partitionBy(by).option("compression", "zstd").parquet(path)
+    rows = df.repartition(by, "time") if regroup else df
+    rows.sortWithinPartitions(by, *order).write.mode(mode).partitionBy(by).option(
+        "compression", "zstd").parquet(path)
 
 
 def read_cube(spark: SparkSession, path: str) -> DataFrame:

@@ -67,9 +67,9 @@ def test_commands_end_to_end(spark, world):
     assert log[-1].loss < log[0].loss and log[0].val_loss is not None
 
     commands.evaluate(spark, f"{root}/rows", f"{root}/split/scaler", f"{root}/model", f"{root}/eval",
-                      remove_outliers=3.5, bins=20, panels=[1])
+                      remove_outliers=3.5, bins=20, panels={1: "0.5 hPa"})
     panel = spark.read.parquet(f"{root}/eval/panels").first()
-    assert panel.plevel == 1 and panel.hpa == 0.56 and panel.vmin == -panel.vmax
+    assert panel.label == "0.5 hPa" and panel.hpa == 0.56 and panel.vmin == -panel.vmax
     assert spark.read.parquet(f"{root}/eval/r2_profile").count() == 2
     found = {r.plevel: r for r in spark.read.parquet(f"{root}/eval/level_metrics").collect()}
     assert set(found) == {0, 1} and found[0].r_squared > 0.5

@@ -95,10 +95,11 @@ def test_vectors_csv_round_trip(spark, tmp_path, header, key):
     assert tables.read_vectors_csv(spark, path, 12, header, key).count() == 40
 
 
-def test_cube_store_prunes_years(spark, tmp_path):
+@pytest.mark.parametrize("regroup", [True, False])
+def test_cube_store_prunes_years(spark, tmp_path, regroup):
     df = spark.range(1000).selectExpr("cast(id % 4 as int) as year", "cast(id div 4 as int) as time",
                                       "0 as plevel", "cast(id as double) as temp")
-    tables.write_cube(df, str(tmp_path / "cube"))
+    tables.write_cube(df, str(tmp_path / "cube"), regroup=regroup)
     back = tables.read_cube(spark, str(tmp_path / "cube"))
     assert sorted(back.select("temp").collect()) == sorted(df.select("temp").collect())
     plan = back.where("year = 2 and plevel < 3").select("temp")._jdf.queryExecution().toString()
