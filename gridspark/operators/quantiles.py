@@ -82,7 +82,8 @@ def _narrow(data, groups, keys, probs, limit):
     picked = ranked.groupBy(*item, "n", "spot", "first").agg(
         F.max(F.when(at["first"], F.col("_v"))).alias("v0"),
         F.max(F.when(at["last"], F.col("_v"))).alias("v1"))
-    value = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("spot") - F.col("first"))
+    between = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("spot") - F.col("first"))
+    value = F.when(F.col("v0") == F.col("v1"), F.col("v0")).otherwise(between)
     per_prob = F.array_sort(F.collect_list(F.struct("p", value.alias("q"))))
     return picked.unionByName(known).groupBy(*keys, "n").agg(
         F.transform(per_prob, lambda s: s["q"]).alias("quantiles"))
@@ -101,6 +102,10 @@ def _tighten(data, state, keys):
     width = F.col("hi") / BINS - F.col("lo") / BINS
     step = F.coalesce(F.floor(F.try_divide(offset, width) * BINS),
                       (F.col("_v") > F.col("lo")).cast("bigint"))
+    # An infinite end has no width: set the ends apart first, the next pass is finite.
+    endless = (F.col("lo") == float("-inf")) | (F.col("hi") == float("inf"))
+    ends = F.when(F.col("_v") == F.col("lo"), 0).when(F.col("_v") == F.col("hi"), 2).otherwise(1)
+    step = F.when(endless, ends.cast("bigint")).otherwise(step)
     bins = _bracketed(data, state, keys).groupBy(
         *item, F.least(step, F.lit(BINS - 1)).alias("bin"),
     ).agg(F.count("*").alias("c"), F.min("_v").alias("bmin"), F.max("_v").alias("bmax"))

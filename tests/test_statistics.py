@@ -47,6 +47,13 @@ def test_exact_quantiles(spark, name, limit):
     assert np.allclose(got.quantiles, want, rtol=1e-12, atol=5e-324)
 
 
+@pytest.mark.parametrize("limit", [1, 10**6])
+def test_exact_quantiles_with_infinities(spark, limit):
+    xs = np.concatenate([np.full(3, -np.inf), RNG.normal(size=41), np.full(5, np.inf)])
+    got = exact_quantiles(column(spark, xs), "x", [0.0, 0.25, 0.5, 1.0], limit=limit).first()
+    assert np.allclose(got.quantiles, np.sort(xs)[[0, 12, 24, 48]])
+
+
 @pytest.mark.parametrize("limit", [20, 10**6])
 def test_exact_quantiles_by_group_ignore_nan(spark, limit):
     groups = {1: SERIES["normal"], 2: np.append(SERIES["ties"], [np.nan] * 40), 3: [7.0]}
