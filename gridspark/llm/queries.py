@@ -1,8 +1,9 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from gridspark.llm import chat, mixing, urls
+from gridspark.llm import chat, jaccard, mixing, urls
 
 QUERIES = {
+    "op1_jaccard_join": jaccard.op1_jaccard_join,
     "op5_mixing": mixing.op5_mixing,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op9_url_filters": urls.op9_url_filters,
