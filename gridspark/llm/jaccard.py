@@ -202,7 +202,7 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     usable = facts.where("doc_id is not null and n > 0")
     nodes = usable.groupBy("name").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     tied = tied_entries(docs.where("doc_id is not null").select("text"), _entries(width), by_place=False)
-    credit = tied.groupBy("owner").agg(F.sum("place").alias("shared"))
+    credit = tied.groupBy("owner").agg(F.sum("n").alias("shared"))
     half = F.conv(F.substring("name", 1, 16), 16, -10).cast("long")
     open_nodes = settle(nodes.withColumn("owner", half).join(credit, "owner").where(
         100 * F.col("shared") >= percent * F.col("n")).select("name", "rep"))

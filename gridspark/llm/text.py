@@ -134,14 +134,33 @@ def column(values, kind) -> pa.Array:
     return pa.array(values, type=kind)
 
 
-def dealt(part: np.ndarray, n_parts: int, columns: list[np.ndarray]):
-    """(part, bytes of each column) for every part that has entries, in entry order."""
+def packed(numbers: np.ndarray) -> bytes:
+    """Differences as byte planes: runs and rising numbers then compress to little."""
+    steps = np.diff(numbers, prepend=numbers.dtype.type(0))
+    return steps.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()
+
+
+def unpacked(cells, dtype) -> np.ndarray:
+    """The numbers of many packed cells as one array."""
+    size = np.dtype(dtype).itemsize
+    parts = [np.cumsum(np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(size, -1).T).view(dtype).ravel(),
+                       dtype=dtype) for b in cells if b]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
+def dealt(part: np.ndarray, n_parts: int, columns: list[np.ndarray], pack=None):
+    """(part, bytes of each column) for every part that has entries, in entry order.
+
+    Columns marked in ``pack`` are packed.
+    """
+    pack = pack or [False] * len(columns)
     order = np.argsort(part.astype(np.uint16) if n_parts <= 65536 else part, kind="stable")
     counts = np.bincount(part, minlength=n_parts)
     ends = np.cumsum(counts)
     columns = [c[order] for c in columns]
     for p in np.flatnonzero(counts):
-        yield int(p), [c[ends[p] - counts[p]:ends[p]].tobytes() for c in columns]
+        held = [c[ends[p] - counts[p]:ends[p]] for c in columns]
+        yield int(p), [packed(c) if k else c.tobytes() for c, k in zip(held, pack)]
 
 
 def joined(cells, dtype) -> np.ndarray:

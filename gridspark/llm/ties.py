@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.text import U, column, dealt, joined, mix, runs
+from gridspark.llm.text import U, column, dealt, joined, mix, packed, runs, unpacked
 
 FLUSH = 1_500_000
-DEALT = "part int, keys binary, owners binary, places binary, hot binary, owner long, place int"
+DEALT = "part int, keys binary, owners binary, places binary, hot binary, owner long, n int, cell binary"
+NAMES = ["part", "keys", "owners", "places", "hot", "owner", "n", "cell"]
 
 
 def _kept(keys, owners, places, hot, by_place):
@@ -53,14 +54,17 @@ def _map(columns_of, key_type, n_parts, by_place, salt):
         def flush():
             keys, owners, places = (np.concatenate(c) for c in zip(*held))
             entries, tied, hot = _kept(keys, owners, places, np.zeros(0, keys.dtype), by_place)
-            yield from _report(owners[entries[tied]], places[entries[tied]], by_place)
+            seen = _report(owners[entries[tied]], places[entries[tied]], by_place)
+            n = len(seen[0])
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 4, *seen], names=NAMES)
             lone = entries[~tied]
             lone.sort()
             # The bucket is drawn from other bits than the key that is sorted inside it.
             short = lambda k: (k >> U(32)).astype(key_type) if key_type != U else k
             rows = {p: cells for p, cells in dealt(
                 (mix(keys[lone] ^ U(salt)) % U(n_parts)).astype(np.int64), n_parts,
-                [short(keys[lone]), owners[lone], places[lone].astype(np.int32)])}
+                [short(keys[lone]), owners[lone], places[lone].astype(np.int32)], [False, True, True])}
             marks = {p: cells[0] for p, cells in dealt(
                 (mix(hot ^ U(salt)) % U(n_parts)).astype(np.int64), n_parts, [short(hot)])}
             parts = sorted(rows.keys() | marks.keys())
@@ -68,8 +72,8 @@ def _map(columns_of, key_type, n_parts, by_place, salt):
             cells = [rows.get(p, none) for p in parts]
             yield pa.RecordBatch.from_arrays([
                 column(parts, pa.int32()), *[column([c[i] for c in cells], pa.binary()) for i in range(3)],
-                column([marks.get(p) for p in parts], pa.binary()),
-                pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int32())], names=NAMES)
+                column([marks.get(p) for p in parts], pa.binary()), pa.nulls(len(parts), pa.int64()),
+                pa.nulls(len(parts), pa.int32()), pa.nulls(len(parts), pa.binary())], names=NAMES)
 
         for batch in batches:
             for entries in columns_of(batch):
@@ -84,70 +88,51 @@ def _map(columns_of, key_type, n_parts, by_place, salt):
     return deal
 
 
-NAMES = ["part", "keys", "owners", "places", "hot", "owner", "place"]
-
-
 def _report(owners, places, by_place):
-    """Tied entries as rows; without places, a count of them per owner."""
-    if not len(owners):
-        return
-    if not by_place:
-        owners, places = np.unique(owners, return_counts=True)
-    n = len(owners)
-    empty = [pa.nulls(n, pa.binary())] * 4
-    yield pa.RecordBatch.from_arrays([
-        pa.nulls(n, pa.int32()), *empty, column(owners.astype(np.int64), pa.int64()),
-        column(places.astype(np.int32), pa.int32())], names=NAMES)
+    """(owner, how many of its entries are tied, their places packed) of tied entries."""
+    order = np.lexsort((places, owners)) if by_place else np.argsort(owners, kind="stable")
+    owners, places = owners[order], places[order].astype(np.int32)
+    starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]]) if len(owners) else np.zeros(0, np.int64)
+    ends = np.r_[starts[1:], len(owners)].astype(np.int64)
+    cells = [packed(places[s:e]) if by_place else None for s, e in zip(starts, ends)]
+    return [column(owners[starts].astype(np.int64), pa.int64()), column((ends - starts).astype(np.int32), pa.int32()),
+            column(cells, pa.binary())]
 
 
 def _reduce(key_type, by_place):
     def sort(batches):
         held = {}
-        done = []
         for batch in batches:
             parts = batch.column(0).to_pylist()
             cells = [batch.column(i).to_pylist() for i in range(1, 5)]
             for i, part in enumerate(parts):
-                if part is None:
-                    continue
-                held.setdefault(part, []).append([c[i] for c in cells])
-            told = batch.filter(batch.column(5).is_valid())
-            if told.num_rows:
-                done.append((told.column(5).to_numpy(), told.column(6).to_numpy()))
-                yield from _rows(*done.pop())
+                if part is not None:
+                    held.setdefault(part, []).append([c[i] for c in cells])
+            yield batch.filter(batch.column(5).is_valid()).select([5, 6, 7])
         for part in sorted(held):
             keys, owners, places, hot = zip(*held.pop(part))
             keys, hot = joined(keys, key_type), joined(hot, key_type)
-            owners, places = joined(owners, np.int64), joined(places, np.int32)
+            owners, places = unpacked(owners, np.int64), unpacked(places, np.int32)
             entries, tied, _ = _kept(keys, owners, places, hot, by_place)
             found = entries[tied]
-            if by_place:
-                yield from _rows(owners[found], places[found])
-            else:
-                yield from _rows(*np.unique(owners[found], return_counts=True))
+            yield pa.RecordBatch.from_arrays(_report(owners[found], places[found], by_place), names=NAMES[5:])
     return sort
 
 
-def _rows(owners, places):
-    if len(owners):
-        yield pa.RecordBatch.from_arrays([
-            column(owners.astype(np.int64), pa.int64()), column(places.astype(np.int32), pa.int32())],
-            names=["owner", "place"])
-
-
 def tied_entries(rows: DataFrame, entries: Callable, by_place: bool, short: bool = False,
                  salt: int = 0x51ED2701) -> DataFrame:
-    """(owner, place) rows of the entries whose key another entry holds.
+    """(owner, n, cell) rows: the entries whose key another entry holds, packed by owner.
 
     ``entries`` turns an Arrow batch into arrays (keys uint64, owners int64, places int32).
-    With ``by_place`` another place of the same owner counts as another entry, and the rows
-    name places; an owner and place that several rows hold is one entry. Without it only
-    other owners count, and ``place`` is how many keys of the owner are tied: never too low,
-    but too high where several rows hold one owner. ``short`` ships 32 bits of a key instead
-    of 64: some keys then look tied that are not, for callers that test again.
+    With ``by_place`` another place of the same owner counts as another entry, and a cell
+    packs the tied places; an owner and place that several rows hold is one entry. Without
+    it only other owners count, and there are no cells: n, summed by owner, is how many of
+    its keys are tied, never too low, but too high where several rows hold one owner.
+    ``short`` ships 32 bits of a key instead of 64: some keys then look tied that are not,
+    for callers that test again.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = np.uint32 if short else U
     out = rows.mapInArrow(_map(entries, kind, n, by_place, salt), DEALT)
     spot = F.coalesce(F.col("part"), F.pmod(F.xxhash64("owner"), F.lit(n)).cast("int"))
-    return out.repartitionById(n, spot).mapInArrow(_reduce(kind, by_place), "owner long, place int")
+    return out.repartitionById(n, spot).mapInArrow(_reduce(kind, by_place), "owner long, n int, cell binary")
