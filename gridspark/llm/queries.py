@@ -1,11 +1,12 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from gridspark.llm import chat, jaccard, language, mixing, suffixes, urls
+from gridspark.llm import chat, jaccard, language, mixing, quality, suffixes, urls
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
     "op2_language_id": language.op2_language_id,
     "op3_suffix_dedup": suffixes.op3_suffix_dedup,
+    "op4_quality_rules": quality.op4_quality_rules,
     "op5_mixing": mixing.op5_mixing,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op9_url_filters": urls.op9_url_filters,
