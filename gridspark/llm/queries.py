@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from gridspark.llm import chat, jaccard, language, mixing, quality, suffixes, urls
+from gridspark.llm import chat, jaccard, language, mixing, perplexity, quality, suffixes, urls
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_mixing": mixing.op5_mixing,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op7_quality_classifier": perplexity.op7_quality_classifier,
     "op9_url_filters": urls.op9_url_filters,
 }
 ORACLE = {
