@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from gridspark.llm import chat, jaccard, language, mixing, perplexity, quality, suffixes, urls
+from gridspark.llm import chat, jaccard, language, mixing, neighbours, packing, perplexity, quality, suffixes, urls
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
@@ -10,7 +10,9 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_quality_classifier": perplexity.op7_quality_classifier,
+    "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_url_filters": urls.op9_url_filters,
+    "op10_neighbours": neighbours.op10_neighbours,
 }
 ORACLE = {
     "op5_mixing": mixing.SQL,
