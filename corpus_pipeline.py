@@ -1,11 +1,73 @@
-"""A corpus pipeline over the documents table; see STAGES."""
+"""A corpus pipeline over the documents table: five stages, each one of the dealt operators.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. Its result is
+written as Parquet and read again as the next one's documents. All but the last return the
+columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridspark.llm.jaccard import jaccard_groups
+from gridspark.llm.language import UNKNOWN, fold, identify
+from gridspark.llm.mixing import mix_documents, word_count
+from gridspark.llm.packing import pack_documents
+from gridspark.llm.suffixes import drop_repeats
+from gridspark.runtime import scratch_path
+
+MIN_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is known with a score of at least one half."""
+    found = identify(docs, docs.where(fold("doc_id") != 0))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near duplicates.
+
+    Rows that share a doc_id are one document; rows without one are linked with nothing.
+    """
+    groups = jaccard_groups(docs)
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
+    kept = docs.join(first, F.col("doc_id") == F.col("_first")).dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts byte strings that occur elsewhere too; a document of which nothing is left goes."""
+    return drop_repeats(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as the mix reads them: a row per epoch, the last cut at the budget."""
+    return mix_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of documents; epochs of one document are one cluster and never share a bin."""
+    cluster = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"))
+    return pack_documents(docs.select("doc_id", "source", word_count("text").alias("size"), cluster.alias("cluster")))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("source_mix", source_mix),
+    ("packing", packing),
+]
+# Trained models, components and packing have no SQL: tests hold run() against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, folder):
-    """Not assembled yet: the documents as they are."""
-    return spark.read.parquet(f"{folder}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = scratch_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
