@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.llm.links import narrow
 from gridspark.llm.text import SPACES, Prints, U, chunks, column, inside, mix, spread, words
-from gridspark.runtime import ship_package
+from gridspark.runtime import settle, ship_package
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -172,25 +173,30 @@ def _fit_weights(slots, shares, rows, labels, width, rounds=ROUNDS):
     return w, bias
 
 
-def train(labelled: DataFrame, text: str, label: str, key: str, width: int = SLOTS,
+def train(docs: DataFrame, known: DataFrame, text: str, label: str, key: str, width: int = SLOTS,
           per_label: int = ROWS_PER_LABEL) -> Scorer | None:
     """A calibrated scorer from at most ``per_label`` hash-drawn rows of each label, or None.
 
-    Rows without a label or a word are left out; None if a label has no rows.
+    The sample is drawn from ``known`` (key, label), so only its few texts are moved. Rows
+    without a label, a text or a word are left out; None if a label has no rows.
     """
-    known = labelled.where(F.col(label).isin(0, 1) & F.col(text).rlike(r"[^\x20\x09-\x0D]"))
+    known = known.where(F.col(label).isin(0, 1))
     sizes = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
     if len(sizes) < 2:
         return None
     draw = F.xxhash64(F.lit("quality"), key)
     limit = F.when(F.col(label) == 1, int(1_400_000 * per_label / sizes[1]) + 1).otherwise(
         int(1_400_000 * per_label / sizes[0]) + 1)
-    rows = known.where(F.pmod(draw, F.lit(1_000_000)) < limit).select(
-        F.col(text).alias("t"), F.col(label).cast("int").alias("l"), draw.alias("d"))
-    order = Window.partitionBy("l").orderBy("d", "t")
-    rows = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label)
+    drawn = known.where(F.pmod(draw, F.lit(1_000_000)) < limit).select(
+        key, F.col(label).cast("int").alias("l"), draw.alias("d"))
+    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("l").orderBy("d", key)))
+    drawn = settle(drawn.where(F.col("place") <= per_label))
+    texts = narrow(docs.select(key, F.col(text).alias("t")), drawn, key)
+    rows = texts.join(drawn, key).where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
     held = rows.select("t", "l", F.pmod("place", F.lit(CALIBRATION_FOLDS)).alias("f")).mapInArrow(
         _features_of(width), "label int, fold int, slots binary, shares binary").collect()
+    if not held:
+        return None
     held.sort(key=lambda r: (r.label, r.fold, bytes(r.slots), bytes(r.shares)))
     labels = np.array([r.label for r in held], float)
     folds = np.array([r.fold for r in held])
@@ -203,6 +209,8 @@ def train(labelled: DataFrame, text: str, label: str, key: str, width: int = SLO
         return (np.concatenate([slots[i] for i in pick]), np.concatenate([shares[i] for i in pick]),
                 np.repeat(np.arange(len(pick)), counts), labels[pick])
 
+    if len(set(labels)) < 2:
+        return None
     fit, check = folds != 0, folds == 0
     if len(set(labels[fit])) < 2 or len(set(labels[check])) < 2:
         fit = check = np.ones(len(held), bool)
@@ -254,7 +262,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """
     ship_package(docs.sparkSession)
     known = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias("_label"))
-    scorer = train(docs.select(key, text).join(known, key), text, "_label", key)
+    scorer = train(docs, known, text, "_label", key)
     kind = dict(docs.dtypes)[key]
     out = docs.select(F.col(text).alias("_t"), F.col(key).alias("_k")).mapInArrow(
         _apply(scorer), f"_k {kind}, {BASE_FIELDS}, quality double")
