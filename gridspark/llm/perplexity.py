@@ -205,7 +205,7 @@ def judge_perplexity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
     ship_package(docs.sparkSession)
     good = labels.where((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select(key).distinct()
     good = good.where(F.col(key).isNotNull())
-    trusted = narrow(docs.select(key, text), good, key).join(good, key)
+    trusted = narrow(docs.select(key, text), good, key).join(good.hint("merge"), key)
     learn = trusted.where(fold(key) != 0).select(text)
     table, grams, logs = train(learn, docs.select(text))
     model = docs.sparkSession.sparkContext.broadcast((table, grams, logs))
