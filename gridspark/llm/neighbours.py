@@ -20,8 +20,9 @@ from gridspark.llm.text import column
 from gridspark.runtime import settle, ship_package
 
 SAMPLE = 6000
-PART_ROWS = 1000
-MAX_PARTS = 256
+# Parts grow with the square root of the table, a part's rows likewise.
+PART_RATIO = 12
+MAX_PARTS = 1024
 NEIGHBOURS = 16
 RECALL = 0.95
 BLOCK = 4096
@@ -122,14 +123,14 @@ class Router:
         return np.argsort(-self.logits(x), 1, kind="stable")[:, :count]
 
 
-def learn(sample: np.ndarray, rows: int, wanted_recall: float = RECALL, part_rows: int = PART_ROWS,
+def learn(sample: np.ndarray, rows: int, wanted_recall: float = RECALL, ratio: int = PART_RATIO,
           max_parts: int = MAX_PARTS, top: int = 20):
     """(router, parts, probes) for a table of ``rows`` vectors, from a sample of them.
 
     A tenth of the sample, which the router does not learn from, sets how many parts a query
     visits: as few as find ``wanted_recall`` of its nearest in the sample; all, if none do.
     """
-    parts = int(min(max_parts, max(1, rows // part_rows), max(1, len(sample) // 40)))
+    parts = int(min(max_parts, max(1, rows**0.5 // ratio), max(1, len(sample) // 40)))
     if parts == 1:
         return None, 1, 1
     held = len(sample) // 10
@@ -215,7 +216,7 @@ def _nearest(top):
 
 
 def search(rows: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", top: int = 20,
-           sample: int = SAMPLE, recall: float = RECALL, part_rows: int = PART_ROWS) -> DataFrame:
+           sample: int = SAMPLE, recall: float = RECALL, ratio: int = PART_RATIO) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest found of each row ``is_query`` selects.
 
     Every other row is a candidate. Nearness is the inner product in double precision, ties go
@@ -243,7 +244,7 @@ def search(rows: DataFrame, is_query, key: str = "vec_id", vector: str = "embedd
     total = base.count()
     drawn = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column(0)
     points = drawn.combine_chunks().flatten().to_numpy().reshape(len(drawn), -1) if total else np.zeros((0, 1))
-    router, parts, probes = learn(points, total, recall, part_rows, top=top)
+    router, parts, probes = learn(points, total, recall, ratio, top=top)
 
     kinds = "vec_id long, v array<double>, ids array<long>, h long, part int, block int"
     counts = base.select("vec_id", "v", "ids", "h").mapInArrow(
