@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.runtime import settle
@@ -63,3 +66,25 @@ def narrow(rows: DataFrame, ids: DataFrame, key: str = "doc_id", bits: int = BIT
     held = rows.withColumn("_h", spot).withColumn("_word", F.expr(f"_h div {WORD_BITS}")).join(
         F.broadcast(marks), "_word")
     return held.where(F.getbit(byte, F.expr("cast(_h % 8 as int)")) == 1).select(*rows.columns)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of finished, settled steps before the next large one.
+
+    Spark removes them once the driver has collected what referred to them, which a quiet
+    driver may not do for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """Arrow batches of whole texts of at most so many rows, for what is computed inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

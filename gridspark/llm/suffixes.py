@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.links import narrow
+from gridspark.llm.links import narrow, release, small_batches
 from gridspark.llm.text import Prints, chunks, column, inside, spread, unpacked
 from gridspark.llm.ties import tied_entries
 from gridspark.runtime import scratch_path, settle, ship_package
@@ -37,7 +37,10 @@ def cover_mask(modulus: int = MODULUS, cover=COVER) -> np.ndarray:
 
 
 def _sample(length, modulus, cover):
-    """Entries of the cover sample of (owner, text) rows, compared on the bytes all ties share."""
+    """Entries of the cover sample of (owner, text) rows, compared on the bytes all ties share.
+
+    Their places are numbers within the sample; see ``_places``.
+    """
     short = length - modulus + 1
     mask = cover_mask(modulus, cover)
 
@@ -49,11 +52,18 @@ def _sample(length, modulus, cover):
             room = np.repeat(sizes - short, sizes)
             at = np.flatnonzero(mask[place % modulus] & (place <= room))
             if len(at):
-                owner = owners[first:first + len(sizes)]
-                yield Prints(buf).of(at, at + short), np.repeat(owner, sizes)[at], place[at].astype(np.int32)
+                row = np.searchsorted(off, at, "right") - 1
+                number = np.arange(len(at)) - np.searchsorted(at, off[:-1])[row]
+                yield Prints(buf).of(at, at + short), owners[first + row], number.astype(np.int32)
     return run
 
 
+def _places(cell, modulus, cover):
+    """The places in a text that a packed list of sample numbers stands for."""
+    number = unpacked([cell], np.int32).astype(np.int64)
+    return number // len(cover) * modulus + np.array(sorted(cover))[number % len(cover)]
+
+
 def _open(places, sizes, off, length, modulus):
     """Marks the starts of strings that hold a tied sample within the first ``modulus`` bytes."""
     edge = np.zeros(int(off[-1]) + 1, np.int32)
@@ -68,17 +78,13 @@ def _open(places, sizes, off, length, modulus):
     return np.cumsum(edge[:-1]) > 0
 
 
-def _lists(cells, first, n):
-    return [np.asarray(c, np.int64) for c in cells.slice(first, n).to_pylist()]
-
-
-def _suffixes(length, modulus):
+def _suffixes(length, modulus, cover):
     """Entries of all strings of (owner, text, places) rows that may repeat."""
     def run(batch):
         owners = batch.column(0).to_numpy()
         for first, buf, off in chunks(batch.column(1)):
             sizes = np.diff(off)
-            places = _lists(batch.column(2), first, len(sizes))
+            places = [_places(c, modulus, cover) for c in batch.column(2).slice(first, len(sizes)).to_pylist()]
             at = np.flatnonzero(_open(places, sizes, off, length, modulus))
             if len(at):
                 row = np.searchsorted(off, at, "right") - 1
@@ -86,16 +92,6 @@ def _suffixes(length, modulus):
     return run
 
 
-def _unpack_rows(batches):
-    for batch in batches:
-        counts = batch.column(1).to_numpy()
-        for at in range(0, len(counts), 2000):
-            places = unpacked(batch.column(2).slice(at, 2000).to_pylist(), np.int32)
-            owners = np.repeat(batch.column(0).to_numpy()[at:at + 2000], counts[at:at + 2000])
-            yield pa.RecordBatch.from_arrays([column(owners, pa.int64()), column(places, pa.int32())],
-                                             names=["owner", "place"])
-
-
 def _cut(length):
     def run(batches):
         for batch in batches:
@@ -106,7 +102,7 @@ def _cut(length):
                 for i, found in enumerate(cells.slice(first, n).to_pylist()):
                     text = buf[off[i]:off[i + 1]]
                     edge = np.zeros(len(text) + 1, np.int32)
-                    at = unpacked(found, np.int32)
+                    at = unpacked([found], np.int32)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + length, -1)
                     gone = np.cumsum(edge[:-1]) > 0
@@ -128,8 +124,8 @@ def _owner(sha):
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS, cover=COVER):
     """Two tables: the facts of every row of ``docs``, and the texts that lose a part.
 
-    Facts: doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row, a null text being
-    empty. Every byte of a string of ``length`` bytes that starts anywhere else too goes,
+    Facts: doc_id, n_bytes, n_removed, n_spans, kept_sha256, sha (of the whole text) of each
+    row, a null text being empty. Every byte of a string of ``length`` bytes that starts anywhere else too goes,
     the same text included; matches never cross rows. Texts shorter than that stay. A text that
     occurs in several rows goes whole if it is long enough. Rows with one doc_id are judged
     each by its own text; a row with a null doc_id keeps its text and matches nothing.
@@ -139,6 +135,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
     """
     spark = docs.sparkSession
     ship_package(spark)
+    with small_batches(spark):
+        return _repeated_bytes(spark, docs, length, modulus, cover)
+
+
+def _repeated_bytes(spark, docs, length, modulus, cover):
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
     facts = settle(rows.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes")))
     usable = facts.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull())
@@ -146,19 +147,21 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
         "owner", _owner("sha"))
 
     texts = rows.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).withColumn("owner", _owner("sha"))
-    sample = tied_entries(texts.select("owner", "text"), _sample(length, modulus, cover), by_place=True, short=True)
-    tied = sample.mapInArrow(_unpack_rows, "owner long, place int").distinct()
-    marks = settle(tied.groupBy("owner").agg(F.collect_list("place").alias("places")))
-    asked = whole.join(marks, "owner").select("owner", F.col("rep").alias("doc_id"), "places")
+    sample = settle(tied_entries(texts.select("owner", "text"), _sample(length, modulus, cover), by_place=True,
+                                 short=True, buckets=1))
+    release(spark)
+    asked = whole.join(sample, "owner").select("owner", F.col("rep").alias("doc_id"), "places")
     path = scratch_path(spark, "tied")
-    narrow(texts, asked).select("doc_id", "owner", "text").join(asked, ["doc_id", "owner"]).dropDuplicates(
+    narrow(texts, asked).select("doc_id", "owner", "text").join(asked.hint("merge"), ["doc_id", "owner"]).dropDuplicates(
         ["owner"]).write.parquet(path)
     tied = spark.read.parquet(path)
 
-    again = tied_entries(tied.select("owner", "text", "places"), _suffixes(length, modulus), by_place=True, salt=0x2F0B5A11)
-    found = again.groupBy("owner").agg(F.collect_list("cell").alias("cells"))
-    cut = tied.select("doc_id", "owner", "text").join(found, "owner").select("owner", "text", "cells")
+    release(spark)
+    again = tied_entries(tied.select("owner", "text", "places"), _suffixes(length, modulus, cover), by_place=True,
+                         salt=0x2F0B5A11)
+    cut = tied.select("owner", "text").join(again.select("owner", "places"), "owner").select("owner", "text", "places")
     cut = settle(cut.mapInArrow(_cut(length), "owner long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
+    release(spark)
 
     known = whole.join(cut.drop("kept"), "owner", "left").drop("owner")
     out = facts.join(known, "sha", "left")
@@ -169,7 +172,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
         "doc_id", "n_bytes",
         F.when(copied, F.col("n_bytes")).when(mine, F.coalesce("n_removed", F.lit(0))).otherwise(0).alias("n_removed"),
         F.when(copied, F.lit(1)).when(mine, F.coalesce("n_spans", F.lit(0))).otherwise(0).cast("long").alias("n_spans"),
-        F.when(copied, F.lit(empty)).when(mine, F.coalesce("kept_sha256", "sha")).otherwise(F.col("sha")).alias("kept_sha256"))
+        F.when(copied, F.lit(empty)).when(mine, F.coalesce("kept_sha256", "sha")).otherwise(F.col("sha")).alias("kept_sha256"),
+        "sha")
     single = whole.where("copies = 1").join(cut.select("owner", "kept"), "owner")
     return facts, single.select(F.col("rep").alias("doc_id"), "sha", "kept")
 
@@ -181,24 +185,20 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     there, is counted anew for the rows that lost something.
     """
     facts, cut = repeated_bytes(docs, length)
-    del facts
-    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    known = docs.withColumn("_sha", sha)
-    copies = known.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).groupBy("_sha").agg(
-        F.count("*").alias("_copies")).where("_copies > 1").select(F.col("_sha").alias("_copy"))
-    whole = known.join(copies, F.col("_sha") == F.col("_copy"), "left").where(
-        F.col("_copy").isNull() | F.col("doc_id").isNull()).drop("_copy")
-    left = cut.select(F.col("sha").alias("_cut"), F.col("doc_id").alias("_id"),
-                      F.try_validate_utf8(F.col("kept").cast("string")).alias("_kept"), "kept")
-    rows = whole.join(left, (F.col("_sha") == F.col("_cut")) & (F.col("doc_id") == F.col("_id")), "left")
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(
-        F.coalesce("_kept", F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")))
-    rows = rows.withColumn("text", text).where(F.col("_cut").isNull() | (F.octet_length("text") > 0))
+    changed = facts.where(F.col("n_removed") > 0).select("doc_id", "sha").distinct().join(
+        cut.select("sha", "kept"), "sha", "left")
+    changed = changed.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_cut"), "kept")
+    known = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = known.join(changed, (F.col("doc_id") == F.col("_id")) & (F.col("_sha") == F.col("_cut")), "left")
+    plain = F.col("_cut").isNull()
+    kept = F.col("kept").cast("string")
+    text = F.when(plain, F.col("text")).otherwise(
+        F.coalesce(F.try_validate_utf8(kept), F.regexp_replace(F.make_valid_utf8(kept), "\ufffd", "")))
+    rows = rows.withColumn("text", text).where(plain | (F.octet_length("text") > 0))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(
-            F.length("text").cast("bigint")))
+        rows = rows.withColumn("n_chars", F.when(plain, F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
     return rows.select(*docs.columns)
 
 
 def op3_suffix_dedup(spark, folder):
-    return repeated_bytes(spark.read.parquet(f"{folder}/documents.parquet"))[0]
+    return repeated_bytes(spark.read.parquet(f"{folder}/documents.parquet"))[0].drop("sha")

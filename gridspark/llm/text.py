@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 SEED = 20_240_601
 BASE = 0x9E3779B97F4A7C15 | 1
 SPACES = np.zeros(256, bool)
@@ -45,7 +45,7 @@ def powers(base: int, n: int) -> np.ndarray:
             m = min(k, size - k)
             known[k:k + m] = known[:m] * U(pow(base, k, 2**64))
             k += m
-        if size <= 4 * CHUNK_BYTES:
+        if size <= 8 * CHUNK_BYTES:
             _POWERS[base] = known
     return known[:n]
 
@@ -148,19 +148,36 @@ def unpacked(cells, dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
+def packed_runs(numbers: np.ndarray) -> bytes:
+    """64-bit numbers that repeat in runs: how many runs, their numbers, their lengths."""
+    starts = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]) if len(numbers) else np.zeros(0, np.int64)
+    lengths = np.diff(np.r_[starts, len(numbers)]).astype(np.int32)
+    return np.int32(len(starts)).tobytes() + numbers[starts].tobytes() + packed(lengths)
+
+
+def unpacked_runs(cells, dtype=np.int64) -> np.ndarray:
+    """The numbers of many cells of packed runs as one array."""
+    parts = []
+    for b in cells:
+        if b:
+            n = int(np.frombuffer(b, np.int32, 1)[0])
+            parts.append(np.repeat(np.frombuffer(b, dtype, n, 4), unpacked([b[4 + 8 * n:]], np.int32)))
+    return np.concatenate(parts) if parts else np.zeros(0, dtype)
+
+
 def dealt(part: np.ndarray, n_parts: int, columns: list[np.ndarray], pack=None):
     """(part, bytes of each column) for every part that has entries, in entry order.
 
-    Columns marked in ``pack`` are packed.
+    ``pack`` names a function to bytes for each column.
     """
-    pack = pack or [False] * len(columns)
+    pack = pack or [np.ndarray.tobytes] * len(columns)
     order = np.argsort(part.astype(np.uint16) if n_parts <= 65536 else part, kind="stable")
     counts = np.bincount(part, minlength=n_parts)
     ends = np.cumsum(counts)
     columns = [c[order] for c in columns]
     for p in np.flatnonzero(counts):
         held = [c[ends[p] - counts[p]:ends[p]] for c in columns]
-        yield int(p), [packed(c) if k else c.tobytes() for c, k in zip(held, pack)]
+        yield int(p), [to_bytes(c) for c, to_bytes in zip(held, pack)]
 
 
 def joined(cells, dtype) -> np.ndarray:

@@ -1,9 +1,10 @@
 """Which of many fingerprints occur more than once, with their owners, in bounded memory.
 
-Entries (key, owner, place) of all rows are dealt by key as packed numbers, a bucket per
-shuffle partition, and one bucket at a time is sorted. Before that, a task resolves what it
-can see itself: a key that several of its owners hold is reported at once and shipped on
-without them, so a key held by a third of all rows is one number per task and flush.
+Entries (key, owner, place) of all rows are dealt by key as packed numbers, several buckets
+per shuffle partition, and one bucket at a time is sorted. Before that, a task resolves what
+it can see itself: a key that several of its owners hold is settled at once and shipped on
+without them, so a key held by a third of all rows is one number per task and flush. What is
+found goes to its owners in a second exchange of packed numbers.
 """
 
 from __future__ import annotations
@@ -15,124 +16,155 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.text import U, column, dealt, joined, mix, packed, runs, unpacked
+from gridspark.llm.text import U, column, dealt, joined, mix, packed, packed_runs, runs, unpacked, unpacked_runs
 
-FLUSH = 1_500_000
-DEALT = "part int, keys binary, owners binary, places binary, hot binary, owner long, n int, cell binary"
-NAMES = ["part", "keys", "owners", "places", "hot", "owner", "n", "cell"]
+FLUSH = 400_000
+ENTRIES = ["part", "keys", "owners", "places", "hot", "told_owners", "told_places"]
+FOUND = ["part", "owners", "places"]
 
 
 def _kept(keys, owners, places, hot, by_place):
     """(entries without repeats, which of their keys are held by several, those keys)."""
     n = len(keys)
+    order, starts, sizes = runs(np.concatenate([keys, hot]))
+    if not len(order):
+        return order, np.zeros(0, bool), keys[:0]
     who = owners.astype(U)
     if by_place:
         who = mix(who + mix(places.astype(U) + U(1)))
-    order, starts, sizes = runs(np.concatenate([keys, hot]))
-    if not len(order):
-        return order, np.zeros(0, bool), np.zeros(0, keys.dtype)
-    known = np.zeros(len(order), bool)
-    known[n:] = True
+    known = order >= n
     ids = np.concatenate([who, np.zeros(len(hot), U)])[order]
-    known = known[order]
     low = np.minimum.reduceat(np.where(known, U(2**64 - 1), ids), starts)
     high = np.maximum.reduceat(np.where(known, U(0), ids), starts)
-    marked = np.logical_or.reduceat(known, starts)
-    several = marked | (low != high)
+    several = np.logical_or.reduceat(known, starts) | (low != high)
     # An untied key has one holder; its first entry stands for its repeats.
-    each = np.repeat(several, sizes)
-    first = np.zeros(len(order), bool)
-    first[starts] = True
-    use = (each | first) & ~known
-    return order[use], each[use], np.concatenate([keys, hot])[order][starts[several]]
+    use = np.repeat(several, sizes)
+    tied = use.copy()
+    use[starts] = True
+    use &= ~known
+    return order[use], tied[use], np.concatenate([keys, hot])[order[starts[several]]]
+
 
+def _told(owners, places, by_place):
+    """Tied entries without repeats, ordered by owner; without places, a count per owner."""
+    if not by_place:
+        return np.unique(owners, return_counts=True)
+    order = np.lexsort((places, owners))
+    owners, places = owners[order], places[order]
+    new = np.ones(len(owners), bool)
+    new[1:] = (owners[1:] != owners[:-1]) | (places[1:] != places[:-1])
+    return owners[new], places[new]
 
-def _map(columns_of, key_type, n_parts, by_place, salt):
+
+def _spot(numbers, salt, n):
+    return (mix(numbers ^ U(salt)) % U(n)).astype(np.int64)
+
+
+def _map(entries_of, key_type, n, by_place, salt):
     def deal(batches):
         held, count = [], 0
 
         def flush():
             keys, owners, places = (np.concatenate(c) for c in zip(*held))
-            entries, tied, hot = _kept(keys, owners, places, np.zeros(0, keys.dtype), by_place)
-            seen = _report(owners[entries[tied]], places[entries[tied]], by_place)
-            n = len(seen[0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int32()), *[pa.nulls(n, pa.binary())] * 4, *seen], names=NAMES)
-            lone = entries[~tied]
-            lone.sort()
+            entries, tied, hot = _kept(keys, owners, places, keys[:0], by_place)
+            told = _told(owners[entries[tied]], places[entries[tied]], by_place)
+            lone = np.sort(entries[~tied])
             # The bucket is drawn from other bits than the key that is sorted inside it.
-            short = lambda k: (k >> U(32)).astype(key_type) if key_type != U else k
-            rows = {p: cells for p, cells in dealt(
-                (mix(keys[lone] ^ U(salt)) % U(n_parts)).astype(np.int64), n_parts,
-                [short(keys[lone]), owners[lone], places[lone].astype(np.int32)], [False, True, True])}
-            marks = {p: cells[0] for p, cells in dealt(
-                (mix(hot ^ U(salt)) % U(n_parts)).astype(np.int64), n_parts, [short(hot)])}
-            parts = sorted(rows.keys() | marks.keys())
-            none = [None, None, None]
-            cells = [rows.get(p, none) for p in parts]
-            yield pa.RecordBatch.from_arrays([
-                column(parts, pa.int32()), *[column([c[i] for c in cells], pa.binary()) for i in range(3)],
-                column([marks.get(p) for p in parts], pa.binary()), pa.nulls(len(parts), pa.int64()),
-                pa.nulls(len(parts), pa.int32()), pa.nulls(len(parts), pa.binary())], names=NAMES)
+            short = (lambda k: (k >> U(32)).astype(key_type)) if key_type != U else (lambda k: k)
+            rows = dict(dealt(_spot(keys[lone], salt, n), n, [
+                short(keys[lone]), owners[lone], places[lone].astype(np.int32)], [np.ndarray.tobytes, packed_runs, packed]))
+            marks = dict(dealt(_spot(hot, salt, n), n, [short(hot)]))
+            # Settled entries spread by owner and place: one owner in many tasks is no hot spot.
+            at = told[0].astype(U) + (mix(told[1].astype(U)) if by_place else U(0))
+            known = dict(dealt(_spot(at, salt + 1, n), n, [told[0], told[1].astype(np.int32)], [packed_runs, packed]))
+            parts = sorted(rows.keys() | marks.keys() | known.keys())
+            cells = [[*rows.get(p, [None] * 3), *marks.get(p, [None]), *known.get(p, [None] * 2)] for p in parts]
+            yield pa.RecordBatch.from_arrays(
+                [column(parts, pa.int32()), *[column([c[i] for c in cells], pa.binary()) for i in range(6)]],
+                names=ENTRIES)
 
         for batch in batches:
-            for entries in columns_of(batch):
-                if len(entries[0]):
-                    held.append(entries)
-                    count += len(entries[0])
-                if count >= FLUSH:
-                    yield from flush()
-                    held, count = [], 0
+            for entries in entries_of(batch):
+                # A very long text comes in pieces: what is held at once stays bounded.
+                for start in range(0, len(entries[0]), FLUSH):
+                    held.append([e[start:start + FLUSH] for e in entries])
+                    count += len(held[-1][0])
+                    if count >= FLUSH:
+                        yield from flush()
+                        held, count = [], 0
         if count:
             yield from flush()
     return deal
 
 
-def _report(owners, places, by_place):
-    """(owner, how many of its entries are tied, their places packed) of tied entries."""
-    order = np.lexsort((places, owners)) if by_place else np.argsort(owners, kind="stable")
-    owners, places = owners[order], places[order].astype(np.int32)
-    starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]]) if len(owners) else np.zeros(0, np.int64)
-    ends = np.r_[starts[1:], len(owners)].astype(np.int64)
-    cells = [packed(places[s:e]) if by_place else None for s, e in zip(starts, ends)]
-    return [column(owners[starts].astype(np.int64), pa.int64()), column((ends - starts).astype(np.int32), pa.int32()),
-            column(cells, pa.binary())]
-
-
-def _reduce(key_type, by_place):
+def _sort(key_type, n, by_place, salt):
     def sort(batches):
         held = {}
         for batch in batches:
-            parts = batch.column(0).to_pylist()
-            cells = [batch.column(i).to_pylist() for i in range(1, 5)]
-            for i, part in enumerate(parts):
-                if part is not None:
-                    held.setdefault(part, []).append([c[i] for c in cells])
-            yield batch.filter(batch.column(5).is_valid()).select([5, 6, 7])
+            cells = [batch.column(i).to_pylist() for i in range(7)]
+            for row in zip(*cells):
+                held.setdefault(row[0], []).append(row[1:])
         for part in sorted(held):
-            keys, owners, places, hot = zip(*held.pop(part))
-            keys, hot = joined(keys, key_type), joined(hot, key_type)
-            owners, places = unpacked(owners, np.int64), unpacked(places, np.int32)
-            entries, tied, _ = _kept(keys, owners, places, hot, by_place)
+            keys, owners, places, hot, told_owners, told_places = zip(*held.pop(part))
+            owners, places = unpacked_runs(owners), unpacked(places, np.int32)
+            entries, tied, _ = _kept(joined(keys, key_type), owners, places, joined(hot, key_type), by_place)
             found = entries[tied]
-            yield pa.RecordBatch.from_arrays(_report(owners[found], places[found], by_place), names=NAMES[5:])
+            owners, places = _told(owners[found], places[found], by_place)
+            owners = np.concatenate([owners, unpacked_runs(told_owners)])
+            places = np.concatenate([places, unpacked(told_places, np.int32)])
+            if by_place:
+                owners, places = _told(owners, places, True)
+            rows = list(dealt(_spot(owners.astype(U), salt + 2, n), n,
+                              [owners, places.astype(np.int32)], [packed_runs, packed]))
+            yield pa.RecordBatch.from_arrays(
+                [column([p for p, _ in rows], pa.int32()),
+                 *[column([c[i] for _, c in rows], pa.binary()) for i in range(2)]], names=FOUND)
     return sort
 
 
+def _gather(by_place):
+    def gather(batches):
+        held = {}
+        for batch in batches:
+            for part, owners, places in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                held.setdefault(part, []).append((owners, places))
+        for part in sorted(held):
+            owners, places = zip(*held.pop(part))
+            owners, places = unpacked_runs(owners), unpacked(places, np.int32)
+            if by_place:
+                owners, places = _told(owners, places, True)
+            else:
+                owners, row = np.unique(owners, return_inverse=True)
+                places = np.bincount(row, places, len(owners)).astype(np.int64)
+            starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]]) if len(owners) else np.zeros(0, np.int64)
+            ends = np.r_[starts[1:], len(owners)].astype(np.int64)
+            cells = [packed(places[s:e]) for s, e in zip(starts, ends)] if by_place else [None] * len(starts)
+            yield pa.RecordBatch.from_arrays(
+                [column(owners[starts], pa.int64()), column(ends - starts if by_place else places, pa.int64()),
+                 column(cells, pa.binary())], names=["owner", "n", "places"])
+    return gather
+
+
 def tied_entries(rows: DataFrame, entries: Callable, by_place: bool, short: bool = False,
-                 salt: int = 0x51ED2701) -> DataFrame:
-    """(owner, n, cell) rows: the entries whose key another entry holds, packed by owner.
-
-    ``entries`` turns an Arrow batch into arrays (keys uint64, owners int64, places int32).
-    With ``by_place`` another place of the same owner counts as another entry, and a cell
-    packs the tied places; an owner and place that several rows hold is one entry. Without
-    it only other owners count, and there are no cells: n, summed by owner, is how many of
-    its keys are tied, never too low, but too high where several rows hold one owner.
+                 salt: int = 0x51ED2701, buckets: int = 2) -> DataFrame:
+    """(owner, n, places): for every owner with tied entries, how many, and where.
+
+    An entry is tied if another entry holds its key. ``entries`` turns an Arrow batch into
+    arrays (keys uint64, owners int64, places int32). With ``by_place`` another place of the
+    same owner counts as another entry, and ``places`` packs the tied ones in order; an owner
+    and place that several rows hold is one entry. Without it only other owners count, there
+    are no places, and n is never too low, but too high where several rows hold one owner.
     ``short`` ships 32 bits of a key instead of 64: some keys then look tied that are not,
-    for callers that test again.
+    for callers that test again. The more ``buckets`` a partition has, the less its task holds
+    at once, and the fewer entries of one owner are packed together.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts * buckets
     kind = np.uint32 if short else U
-    out = rows.mapInArrow(_map(entries, kind, n, by_place, salt), DEALT)
-    spot = F.coalesce(F.col("part"), F.pmod(F.xxhash64("owner"), F.lit(n)).cast("int"))
-    return out.repartitionById(n, spot).mapInArrow(_reduce(kind, by_place), "owner long, n int, cell binary")
+    spot = F.pmod("part", F.lit(parts)).cast("int")
+    dealt_out = rows.mapInArrow(
+        _map(entries, kind, n, by_place, salt),
+        "part int, keys binary, owners binary, places binary, hot binary, told_owners binary, told_places binary")
+    found = dealt_out.repartitionById(parts, spot).mapInArrow(
+        _sort(kind, n, by_place, salt), "part int, owners binary, places binary")
+    return found.repartitionById(parts, spot).mapInArrow(_gather(by_place), "owner long, n long, places binary")
