@@ -142,28 +142,28 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, per_source: int =
     piece in bin -1; a null size is 0. A null source or cluster is a value of its own, shared by
     the rows that have it. Rows that share a doc_id are packed one by one. The rests are
     at most ``capacity`` - 1 words, and a group is about ``group_words`` of them, so a
-    task's memory does not grow with the data; rows are dealt by hash of all they hold, with a
-    running number for equal rows, so equal rows spread over all groups.
+    task's memory does not grow with the data; rows are dealt by the hash of a running number,
+    so equal rows spread over all groups.
     """
     ship_package(docs.sparkSession)
     size = F.coalesce(F.col("size"), F.lit(0)).cast("bigint")
     rows = settle(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"),
-                              F.col("cluster").cast("string").alias("cluster")))
+                              F.col("cluster").cast("string").alias("cluster"),
+                              F.monotonically_increasing_id().alias("row")))
     total = rows.agg(F.sum(F.pmod("size", F.lit(capacity)))).first()[0] or 0
     groups = max(1, -(-total // group_words))
     kind = dict(rows.dtypes)["doc_id"]
     full = rows.where(F.col("size") >= capacity).select(
         "doc_id", "source", F.explode(F.sequence(F.lit(0), (F.floor(F.col("size") / capacity) - 1).cast("int"))).alias("piece"))
-    # Bins of one piece are numbered by what they hold; no two share a document and a piece.
-    lone = F.shiftright(F.xxhash64("doc_id", "source", "piece"), 1).bitwiseOR(F.lit(-(1 << 63)))
+    # Bins of one piece get the negative numbers below -1; the rows are settled, so they stay.
     full = full.select("doc_id", "piece", F.lit(capacity).cast("bigint").alias("size"), "source",
-                       lone.alias("bin_id"), F.lit(0).alias("start"))
+                       (-2 - F.monotonically_increasing_id()).alias("bin_id"), F.lit(0).alias("start"))
     rest = rows.withColumns({"piece": F.floor(F.col("size") / capacity).cast("int"),
                              "size": F.pmod("size", F.lit(capacity))})
     empty = rest.where((F.col("size") == 0) & (F.col("piece") == 0)).select(
         "doc_id", "piece", F.col("size"), "source", F.lit(-1).cast("long").alias("bin_id"), F.lit(0).alias("start"))
     rest = rest.where(F.col("size") > 0).withColumn(
-        "grp", F.pmod(F.xxhash64("doc_id", "source", "size", "cluster"), F.lit(groups)))
+        "grp", F.pmod(F.xxhash64("row"), F.lit(groups)))
     packed = rest.groupBy("grp").applyInArrow(
         _pack_group(capacity, per_source),
         f"doc_id {kind}, piece int, size long, source string, bin_id long, start int")
