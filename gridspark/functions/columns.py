@@ -119,21 +119,24 @@ def scientific(value, decimals: int = 2) -> Column:
 def t_two_sided(t, df) -> Column:
     """Probability of |T| >= |t| for Student's t, by the incomplete beta's continued fraction.
 
-    There is no such function in SQL; this runs on result rows, one per group.
+    There is no such function in SQL; this runs on result rows, one per group. Null where
+    the fraction does not converge.
     """
     lgamma = np.vectorize(math.lgamma, otypes=[float])
 
     def fraction(a, b, x):
         c, d = np.ones_like(x), 1.0 / (1.0 - (a + b) * x / (a + 1.0))
         value = d
-        for m in range(1, 500):
+        done = np.zeros(len(x), bool)
+        for m in range(1, 2000):
             for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                          -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
                 d, c = 1.0 / (1.0 + step * d), 1.0 + step / c
                 value = value * c * d
-            if np.all(np.abs(c * d - 1.0) < 1e-15):
+            done |= np.abs(c * d - 1.0) < 1e-14
+            if done.all():
                 break
-        return value
+        return np.where(done, value, np.nan)
 
     @F.pandas_udf("double")
     def run(ts: pd.Series, dfs: pd.Series) -> pd.Series:
@@ -141,15 +144,20 @@ def t_two_sided(t, df) -> Column:
         out = np.where(t == 0, 1.0, np.nan)
         use = (n > 0) & (t != 0) & ~np.isnan(t)
         t, n = t[use], n[use]
+        # With so many degrees of freedom the normal limit is closer than rounding here.
+        limit = n > 1e7
+        n = np.where(limit, 1.0, n)
         x, y = n / (n + t * t), t * t / (n + t * t)
         a, b = n / 2, np.full_like(n, 0.5)
         scale = np.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log(x) + b * np.log(y))
         near = x < (a + 1) / (a + b + 2)  # the fraction converges fast on this side
         part = scale * fraction(np.where(near, a, b), np.where(near, b, a), np.where(near, x, y))
-        out[use] = np.where(near, part / a, 1 - part / b)
+        normal = np.array([math.erfc(abs(v) / math.sqrt(2)) for v in t])
+        out[use] = np.where(limit, normal, np.where(near, part / a, 1 - part / b))
         return pd.Series(out)
 
-    return run(_col(t).cast("double"), _col(df).cast("double"))
+    found = run(_col(t).cast("double"), _col(df).cast("double"))
+    return F.when(~F.isnan(found), found)
 
 
 # --- vectors ---------------------------------------------------------------------------

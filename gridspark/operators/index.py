@@ -53,8 +53,7 @@ def shuffle_rank(df: DataFrame, seed, key: str = "sample_id", out: str = "pos",
     by = list(by)
     keyed = _keyed(df, seed, key)
     starts = _bucket_starts(_keyed(df.select(*by, key), seed, key), by).drop("_n")
-    placed = (attach(keyed, starts, [*by, "_bucket"]) if by
-              else keyed.join(F.broadcast(starts), "_bucket"))
+    placed = attach(keyed, starts, [*by, "_bucket"])
     inside = Window.partitionBy(*by, "_bucket").orderBy("_key", key)
     rank = F.col("_start") + F.row_number().over(inside) - 1
     return placed.withColumn(out, rank).drop("_key", "_bucket", "_start")

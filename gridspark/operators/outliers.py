@@ -7,53 +7,59 @@ distributed (see ``quantiles``); only one row per group is joined back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions import is_number
-from gridspark.operators.quantiles import exact_quantiles, group_ranges
+from gridspark.operators.quantiles import exact_quantiles
 from gridspark.runtime import attach, settle
 
 THRESHOLD = 3.5
 MAD_TO_SIGMA = 0.6745
 
 
-def _median(df: DataFrame, col: str, by, out: str, ranges: DataFrame | None = None) -> DataFrame:
-    found = exact_quantiles(df, col, [0.5], by, ranges=ranges)
+def _median(df: DataFrame, col, by, out: str) -> DataFrame:
+    found = exact_quantiles(df, col, [0.5], by)
     return settle(found.select(*by, F.col("quantiles")[0].alias(out)))
 
 
-def _flag(df: DataFrame, by, thresh: float, ranges: DataFrame | None = None) -> DataFrame:
-    """Flags from a ``_dev`` column of distances to the centre."""
-    judged = attach(df, _median(df, "_dev", by, "_mad", ranges), by, settled=True)
-    beyond = is_number("_dev") & (F.col("_dev") * MAD_TO_SIGMA > F.col("_mad") * thresh)
-    return judged.withColumn("is_outlier", F.coalesce(beyond, F.lit(False)))
+def _beyond(dev: Column, mad, thresh: float) -> Column:
+    """Never null: a value or group without a number is no outlier."""
+    return F.coalesce(is_number(dev) & (dev * MAD_TO_SIGMA > F.col(mad) * thresh), F.lit(False))
+
+
+def outlier_limits(df: DataFrame, col: str, by=()) -> DataFrame:
+    """(by…, _med, _mad): median and median absolute deviation, one row per group, settled."""
+    by = list(by)
+    medians = _median(df, col, by, "_med")
+    centred = attach(df.select(*by, col), medians, by, settled=True)
+    spread = _median(centred, F.abs(F.col(col) - F.col("_med")), by, "_mad")
+    return settle(attach(medians, spread, by, settled=True))
 
 
 def flag_outliers(df: DataFrame, col: str, by=(), thresh: float = THRESHOLD) -> DataFrame:
     """Add ``is_outlier``, judged over all rows or inside each group."""
     by = list(by)
-    ranges = group_ranges(df, col, by)
-    medians = _median(df, col, by, "_med", ranges)
-    centred = attach(df, medians, by, settled=True)
-    centred = centred.withColumn("_dev", F.abs(F.col(col) - F.col("_med")))
-    # The furthest value from the median is one of the two ends, so no scan is needed.
-    furthest = F.greatest(F.col("hi") - F.col("_med"), F.col("_med") - F.col("lo"))
-    reach = attach(ranges, medians, by, settled=True).withColumns({"hi": furthest, "lo": F.lit(0.0)})
-    return _flag(centred, by, thresh, reach.drop("_med")).drop("_med", "_dev", "_mad")
+    judged = attach(df, outlier_limits(df, col, by), by, settled=True)
+    flag = _beyond(F.abs(F.col(col) - F.col("_med")), "_mad", thresh)
+    return judged.withColumn("is_outlier", flag).drop("_med", "_mad")
 
 
 def flag_vector_outliers(df: DataFrame, col: str, thresh: float = THRESHOLD) -> DataFrame:
-    """Judge vectors by their Euclidean distance from the per-element median."""
+    """Judge vectors by their Euclidean distance from the per-element median.
+
+    Elements without any number have no median and are left out of every distance; a
+    vector with another element missing has no distance and is no outlier.
+    """
     elements = df.select(F.posexplode(col).alias("idx", "v"))
     medians = _median(elements, "v", ["idx"], "m")
-    centre = settle(medians.agg(
-        F.array_sort(F.collect_list(F.struct("idx", "m"))).alias("s")).select(
-        F.col("s")["m"].alias("_centre")))
-    gaps = F.zip_with(F.col(col), F.col("_centre"), lambda x, m: (x - m) * (x - m))
+    centre = settle(medians.agg(F.map_from_entries(F.collect_list(F.struct("idx", "m"))).alias("_centre")))
+    gaps = F.transform(F.col(col), lambda x, i: F.when(
+        F.map_contains_key("_centre", i), (x - F.col("_centre")[i]) * (x - F.col("_centre")[i])).otherwise(0.0))
     distance = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g))
     measured = attach(df, centre).withColumn("_dev", distance)
-    return _flag(measured, [], thresh).drop("_centre", "_dev", "_mad")
+    judged = attach(measured, _median(measured, "_dev", [], "_mad"), [], settled=True)
+    return judged.withColumn("is_outlier", _beyond(F.col("_dev"), "_mad", thresh)).drop("_centre", "_dev", "_mad")
 
 
 def remove_outliers(df: DataFrame, col: str, by=(), thresh: float = THRESHOLD) -> DataFrame:
@@ -62,5 +68,8 @@ def remove_outliers(df: DataFrame, col: str, by=(), thresh: float = THRESHOLD) -
 
 
 def remove_paired_outliers(pairs: DataFrame, thresh: float = THRESHOLD, by=("plevel",)) -> DataFrame:
-    """Drop target outliers, then outlying predictions among the rows that are left."""
+    """Drop target outliers, then outlying predictions among the rows that are left.
+
+    Each stage is a small table of limits per group, so the data is only filtered.
+    """
     return remove_outliers(remove_outliers(pairs, "target", by, thresh), "prediction", by, thresh)

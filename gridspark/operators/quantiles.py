@@ -1,126 +1,130 @@
-"""Exact quantiles of groups of any size.
-
-Groups up to ``limit`` rows use the built-in exact percentile. Larger ones are narrowed:
-each pass counts a bracket of values in equal bins (combined before the shuffle), keeps
-the one bin that holds the wanted rank, and stops when the bracket is small. Nothing but
-bin counts is shuffled, so no task ever holds a large group.
+"""Exact quantiles of groups of any size, by one path.
+
+A sketch per group (built in, combined before the shuffle) gives a narrow bracket around each
+wanted rank; the next pass counts what lies below the bracket and the values inside it, so
+the rank is exact whatever the sketch's error. Brackets are ranges of ranks, not of values:
+wide-ranging or mostly equal values need no further pass. Where a bracket still has many
+different values, their counts are cut in cells of equally many and only the cells of the
+wanted ranks stay. No task holds a large group and nothing is approximate.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions import is_number
 from gridspark.runtime import attach, settle
 
-GROUP_LIMIT = 100_000
-BINS = 4096
-
-
-def group_ranges(df: DataFrame, col: str, by=()) -> DataFrame:
-    """(by…, n, lo, hi) of the numbers of each group, computed once; the key is _all without by."""
-    value = F.col(col).cast("double")
-    return settle(_keyed(df, by).where(is_number(value)).groupBy(*_keys(by)).agg(
-        F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")))
-
-
-def _keys(by) -> list:
-    return list(by) or ["_all"]
-
-
-def _keyed(df: DataFrame, by) -> DataFrame:
-    return df if by else df.withColumn("_all", F.lit(0))
-
-
-def exact_quantiles(df: DataFrame, col: str, probs, by=(), limit: int = GROUP_LIMIT,
-                    ranges: DataFrame | None = None) -> DataFrame:
-    """(by…, n, quantiles ARRAY<DOUBLE>) with linear interpolation; nulls and NaN ignored.
-
-    ``ranges`` saves a scan where the caller knows them: exact counts, and bounds that
-    hold every value of the group.
-    """
-    by, keys, probs = list(by), _keys(by), [float(p) for p in probs]
-    if ranges is None:
-        ranges = group_ranges(df, col, by)
-    data = _keyed(df, by).select(*keys, F.col(col).cast("double").alias("_v")).where(is_number("_v"))
-    if (ranges.agg(F.max("n")).first()[0] or 0) <= limit:
-        found = data.groupBy(*keys).agg(
-            F.count("*").alias("n"),
-            F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("quantiles"))
-    else:
-        found = _narrow(data, ranges, keys, probs, limit)
+# A sketch answers within n / ACCURACY ranks; it holds a few times that many values.
+ACCURACY = 1000
+# A bracket is cut in cells while it holds more different values than this.
+BRACKET_VALUES = 2_000_000
+CELLS = 200
+
+
+def _numbers(df: DataFrame, value: Column, keys) -> DataFrame:
+    rows = df if keys != ["_all"] else df.withColumn("_all", F.lit(0))
+    return rows.select(*keys, value.cast("double").alias("_v")).where(is_number("_v"))
+
+
+def exact_quantiles(df: DataFrame, col, probs, by=(), most: int = BRACKET_VALUES,
+                    accuracy: int = ACCURACY) -> DataFrame:
+    """(by…, n, quantiles ARRAY<DOUBLE>) with linear interpolation; nulls and NaN ignored."""
+    by, probs = list(by), [float(p) for p in probs]
+    keys = by or ["_all"]
+    data = _numbers(df, F.col(col) if isinstance(col, str) else col, keys)
+    state = _brackets(data, keys, probs, accuracy)
+    values = _counted(data, state, keys)
+    missed = _missed(values, state, keys)
+    if not missed.isEmpty():
+        # The sketch was worse than promised: these groups are counted whole.
+        whole = state.columns
+        state = settle(attach(state, missed, [*keys, "p"]).withColumns({
+            "lo": F.coalesce("_least", "lo"), "hi": F.coalesce("_most", "hi")}).select(*whole))
+        values = _counted(data, state, keys)
+    while not values.groupBy(*keys, "p").agg(F.count("v").alias("d")).where(F.col("d") > max(most, CELLS)).isEmpty():
+        values = _thinned(values, state, keys, max(most, CELLS))
+    found = _picked(values, state, keys)
     return found if by else found.drop("_all")
 
 
-def _narrow(data, groups, keys, probs, limit):
+def _brackets(data, keys, probs, accuracy):
+    """One row per group and rank: what rank is wanted, and between which values it lies."""
+    # Twice the sketch's error on either side, and the neighbour that interpolation needs.
+    margin = 2.0 / accuracy
+    ends = [[max(p - margin, 0.0), min(p + margin, 1.0)] for p in probs]
+    asked = F.array(*[F.lit(e) for pair in ends for e in pair])
+    sketch = data.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"),
+        F.percentile_approx("_v", asked, accuracy).alias("q"))
+    rows = []
+    for i, (p, (a, b)) in enumerate(zip(probs, ends)):
+        lo = F.col("least") if a == 0 else F.col("q")[2 * i]
+        hi = F.col("most") if b == 1 else F.col("q")[2 * i + 1]
+        # A margin below two ranks is none: such a group is its own bracket.
+        few = F.col("n") * margin < 2
+        rows.append(F.struct(F.lit(i).alias("p"), ((F.col("n") - 1) * p).alias("spot"),
+                             F.when(few, F.col("least")).otherwise(lo).alias("lo"),
+                             F.when(few, F.col("most")).otherwise(hi).alias("hi")))
+    spots = sketch.select(*keys, "n", "least", "most", F.explode(F.array(*rows)).alias("s")).select(
+        *keys, "n", "least", "most", "s.*")
+    return settle(spots.withColumns({"first": F.floor("spot"), "last": F.ceil("spot")}))
+
+
+def _placed(data, state, keys):
+    """Rows of each bracket, and those below it: (keys…, p, v), v null when below."""
+    spans = state.groupBy(*keys).agg(F.collect_list(F.struct("p", "lo", "hi")).alias("_spans"))
+    held = F.filter("_spans", lambda s: F.col("_v") <= s["hi"])
+    rows = attach(data, spans, keys).select(*keys, "_v", F.explode(held).alias("_s"))
+    return rows.select(*keys, F.col("_s.p").alias("p"),
+                       F.when(F.col("_v") >= F.col("_s.lo"), F.col("_v")).alias("v"))
+
+
+def _counted(data, state, keys):
+    """(keys…, p, v, c): how often each value of a bracket occurs; v null for all below it."""
+    return settle(_placed(data, state, keys).groupBy(*keys, "p", "v").agg(F.count("*").alias("c")))
+
+
+def _missed(values, state, keys):
+    """The brackets that do not hold their ranks, with the ends of their group."""
+    c = F.col("c")
+    counts = values.groupBy(*keys, "p").agg(
+        F.coalesce(F.sum(F.when(F.col("v").isNull(), c)), F.lit(0)).alias("below"), F.sum(c).alias("upto"))
+    known = attach(state, counts, [*keys, "p"])
+    hit = (F.col("first") >= F.col("below")) & (F.col("last") < F.col("upto"))
+    return settle(known.where(~F.coalesce(hit, F.lit(False))).select(
+        *keys, "p", F.col("least").alias("_least"), F.col("most").alias("_most")))
+
+
+def _thinned(values, state, keys, most):
+    """Crowded brackets cut in cells of equally many values; the wanted ranks' cells stay."""
     item = [*keys, "p"]
-    spot = F.lit(None)
-    for i, p in enumerate(probs):
-        spot = F.when(F.col("p") == i, (F.col("n") - 1) * p).otherwise(spot)
-    state = settle(
-        groups.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(len(probs) - 1))))
-        .withColumn("spot", spot.cast("double"))
-        .withColumns({"first": F.floor("spot"), "last": F.ceil("spot"),
-                      "below": F.lit(0).cast("bigint"), "inside": F.col("n"),
-                      "v0": F.lit(None).cast("double"), "v1": F.lit(None).cast("double")}))
-    is_open = F.col("v0").isNull() & (F.col("inside") > limit) & (F.col("lo") < F.col("hi"))
-    while not state.where(is_open).isEmpty():
-        tighter = _tighten(data, state.where(is_open), keys)
-        state = settle(state.where(~is_open).unionByName(tighter))
-
-    # Brackets now hold at most ``limit`` rows, or one repeated value: count and pick.
-    known = state.where(F.col("v0").isNotNull()).select(*item, "n", "spot", "first", "v0", "v1")
-    left = state.where(F.col("v0").isNull())
-    counted = _bracketed(data, left, keys).groupBy(*item, "_v").count()
-    upto = F.sum("count").over(Window.partitionBy(*item).orderBy("_v"))
-    facts = left.select(*item, "n", "spot", "first", "last", "below")
-    ranked = attach(counted.withColumn("upto", upto), facts, item, settled=True).withColumns({
-        "upto": F.col("below") + F.col("upto"),
-        "from": F.col("below") + F.col("upto") - F.col("count")})
-    at = {c: (F.col("from") <= F.col(c)) & (F.col(c) < F.col("upto")) for c in ("first", "last")}
+    steps = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
+    cuts = values.where("v is not null").groupBy(*item).agg(
+        F.count("*").alias("d"), F.percentile_approx("v", steps, 10 * CELLS).alias("cuts")).where(F.col("d") > most)
+    rows = attach(values, cuts.drop("d"), item)
+    cell = F.when(F.col("v").isNull(), -1).otherwise(F.size(F.filter("cuts", lambda x: x <= F.col("v"))))
+    cells = rows.where("cuts is not null").groupBy(*item, cell.alias("cell")).agg(
+        F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    upto = F.sum("c").over(Window.partitionBy(*item).orderBy("cell"))
+    ranked = attach(cells.withColumn("upto", upto), state.select(*item, "first", "last"), item, settled=True)
+    wanted = (F.col("upto") > F.col("first")) & (F.col("upto") - F.col("c") <= F.col("last")) & (F.col("cell") >= 0)
+    kept = ranked.where(wanted).groupBy(*item).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    held = attach(values, kept, item).where("hi is null or v is null or v <= hi")
+    return settle(held.withColumn("v", F.when(F.col("lo").isNull() | (F.col("v") >= F.col("lo")), F.col("v"))).groupBy(
+        *item, "v").agg(F.sum("c").alias("c")))
+
+
+def _picked(values, state, keys):
+    item = [*keys, "p"]
+    upto = F.sum("c").over(Window.partitionBy(*item).orderBy(F.col("v").asc_nulls_first()))
+    facts = state.select(*item, "n", "spot", "first", "last")
+    ranked = attach(values.withColumn("upto", upto), facts, item, settled=True).withColumn("from", F.col("upto") - F.col("c"))
+    at = {r: (F.col("from") <= F.col(r)) & (F.col(r) < F.col("upto")) for r in ("first", "last")}
     picked = ranked.groupBy(*item, "n", "spot", "first").agg(
-        F.max(F.when(at["first"], F.col("_v"))).alias("v0"),
-        F.max(F.when(at["last"], F.col("_v"))).alias("v1"))
+        F.max(F.when(at["first"], F.col("v"))).alias("v0"), F.max(F.when(at["last"], F.col("v"))).alias("v1"))
     between = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("spot") - F.col("first"))
     value = F.when(F.col("v0") == F.col("v1"), F.col("v0")).otherwise(between)
-    per_prob = F.array_sort(F.collect_list(F.struct("p", value.alias("q"))))
-    return picked.unionByName(known).groupBy(*keys, "n").agg(
-        F.transform(per_prob, lambda s: s["q"]).alias("quantiles"))
-
-
-def _bracketed(data, state, keys):
-    bounds = state.select(*keys, "p", "lo", "hi")
-    return attach(data, bounds, keys, settled=True).where(
-        F.col("_v").between(F.col("lo"), F.col("hi")))
-
-
-def _tighten(data, state, keys):
-    """Count each open bracket in bins; keep the bin of the wanted ranks."""
-    item = [*keys, "p"]
-    offset = F.col("_v") / BINS - F.col("lo") / BINS
-    width = F.col("hi") / BINS - F.col("lo") / BINS
-    step = F.coalesce(F.floor(F.try_divide(offset, width) * BINS),
-                      (F.col("_v") > F.col("lo")).cast("bigint"))
-    # An infinite end has no width: set the ends apart first, the next pass is finite.
-    endless = (F.col("lo") == float("-inf")) | (F.col("hi") == float("inf"))
-    ends = F.when(F.col("_v") == F.col("lo"), 0).when(F.col("_v") == F.col("hi"), 2).otherwise(1)
-    step = F.when(endless, ends.cast("bigint")).otherwise(step)
-    bins = _bracketed(data, state, keys).groupBy(
-        *item, F.least(step, F.lit(BINS - 1)).alias("bin"),
-    ).agg(F.count("*").alias("c"), F.min("_v").alias("bmin"), F.max("_v").alias("bmax"))
-    earlier = Window.partitionBy(*item).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    before = bins.withColumn("before", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
-    facts = state.select(*item, "n", "spot", "first", "last", "below")
-    start = F.col("below") + F.col("before")
-    spans = attach(before, facts, item, settled=True).withColumn("start", start)
-    wanted = (F.col("start") <= F.col("last")) & (F.col("first") < F.col("start") + F.col("c"))
-    kept = spans.where(wanted).groupBy(*item, "n", "spot", "first", "last").agg(
-        F.count("*").alias("bins"), F.min("start").alias("below"), F.sum("c").alias("inside"),
-        F.min("bmin").alias("lo"), F.max("bmax").alias("hi"),
-        F.min("bmax").alias("left"), F.max("bmin").alias("right"))
-    # Ranks in two bins are the last value of one and the first of the next.
-    astride = F.col("bins") > 1
-    return kept.select(
-        *keys, "n", "lo", "hi", "p", "spot", "first", "last", "below", "inside",
-        F.when(astride, F.col("left")).alias("v0"), F.when(astride, F.col("right")).alias("v1"))
+    return picked.groupBy(*keys, "n").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("p", value.alias("q")))), lambda s: s["q"]).alias("quantiles"))

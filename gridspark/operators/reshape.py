@@ -58,23 +58,20 @@ def to_dense_columns(cells: DataFrame, variables, plevels: int, key=COLUMN_KEY)
     return cells.groupBy(*key).agg(*picks)
 
 
-def assemble(columns: DataFrame, vectors, scalars=(), out="features") -> DataFrame:
-    """Append the feature vector, in the given order, and its width."""
-    parts = [F.col(v) for v in vectors]
-    if scalars:
-        parts.append(F.array(*[F.col(s).cast("double") for s in scalars]))
+def assemble(columns: DataFrame, vectors, scalars=(), out="features", order=None) -> DataFrame:
+    """Append the feature vector and its width; by default vectors first, then scalars."""
+    single = set(scalars)
+    parts = [F.array(F.col(n).cast("double")) if n in single else F.col(n) for n in order or [*vectors, *scalars]]
     return columns.withColumn(out, F.concat(*parts)).withColumn("width", F.size(out))
 
 
-def feature_layout(vectors, scalars, plevels: int) -> dict[str, tuple[int, int]]:
+def feature_layout(vectors, scalars, plevels: int, order=None) -> dict[str, tuple[int, int]]:
     """Start (0-based) and length of each feature's block in the assembled vector."""
-    layout, start = {}, 0
-    for name in vectors:
-        layout[name] = (start, plevels)
-        start += plevels
-    for name in scalars:
-        layout[name] = (start, 1)
-        start += 1
+    layout, start, single = {}, 0, set(scalars)
+    for name in order or [*vectors, *scalars]:
+        width = 1 if name in single else plevels
+        layout[name] = (start, width)
+        start += width
     return layout
 
 

@@ -12,12 +12,14 @@ from gridspark.runtime import attach
 def scaler_fit(df: DataFrame, col: str) -> DataFrame:
     """Count, mean and squared deviations of every element; NaN and nulls ignored.
 
-    Tasks combine before the shuffle, so each sends one row per element at most.
+    An element without any number keeps its row, with count 0. Tasks combine before the
+    shuffle, so each sends one row per element at most.
     """
-    elements = df.select(F.posexplode(col).alias("idx", "v")).where(~F.isnan("v"))
-    n = F.count("v")
+    elements = df.select(F.posexplode(col).alias("idx", "v"))
+    v = F.when(~F.isnan("v"), F.col("v").cast("double"))
+    n = F.count(v)
     return elements.groupBy("idx").agg(
-        n.alias("n"), F.avg("v").alias("mean"), (F.var_pop("v") * n).alias("m2"))
+        n.alias("n"), F.avg(v).alias("mean"), (F.var_pop(v) * n).alias("m2"))
 
 
 def scaler_merge(state: DataFrame, new_state: DataFrame) -> DataFrame:
@@ -36,12 +38,18 @@ def scaler_merge(state: DataFrame, new_state: DataFrame) -> DataFrame:
 
 
 def scaler_arrays(state: DataFrame) -> DataFrame:
-    """The state as one row of arrays; an element without spread has scale 1."""
+    """The state as one row of arrays by element; one without spread has scale 1.
+
+    Elements are placed by their index, so one that no row ever had leaves a null mean
+    there and moves no other.
+    """
     spread = F.sqrt(F.try_divide("m2", "n"))
     scale = F.when(spread > 0, spread).otherwise(1.0)
-    row = F.array_sort(F.collect_list(F.struct("idx", "mean", scale.alias("scale"))))
-    return state.agg(row.alias("s")).select(
-        F.col("s")["mean"].alias("_mean"), F.col("s")["scale"].alias("_scale"))
+    held = state.agg(F.map_from_entries(F.collect_list(F.struct("idx", F.struct("mean", scale.alias("scale"))))).alias("s"),
+                     F.max("idx").alias("last"))
+    at = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.col("s")[i])
+    return held.select(F.transform(at, lambda e: e["mean"]).alias("_mean"),
+                       F.transform(at, lambda e: F.coalesce(e["scale"], F.lit(1.0))).alias("_scale"))
 
 
 def _with_state(df: DataFrame, state: DataFrame, value, out: str) -> DataFrame:

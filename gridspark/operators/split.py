@@ -92,7 +92,9 @@ def minibatches(df: DataFrame, batch_size: int, chunk_size: int, seed, steps: in
     rest = F.floor(F.col("_rows") % chunk_size / per_source)
     sizes = sizes.withColumn("_batches", F.floor(F.col("_rows") / chunk_size) * full + rest)
 
-    placed = attach(shuffle_rank(df, seed, key, "_pos", by=(source,)), sizes, [source], settled=True)
+    # Only the keys are ranked; the rows are joined to their batch once, at the end.
+    narrow = df.select(source, key)
+    placed = attach(shuffle_rank(narrow, seed, key, "_pos", by=(source,)), sizes, [source], settled=True)
     chunked = placed.withColumns({"_chunk": F.floor(F.col("_pos") / chunk_size),
                                   "_mix": shuffle_key(f"{seed}/mix", key)})
     mixed = Window.partitionBy(source, "_chunk").orderBy("_mix", key)
@@ -103,7 +105,9 @@ def minibatches(df: DataFrame, batch_size: int, chunk_size: int, seed, steps: in
     if steps is not None:
         again = F.sequence(F.col("batch_id"), F.lit(steps - 1).cast("bigint"), F.col("_batches"))
         batched = batched.where(F.col("batch_id") < steps).withColumn("batch_id", F.explode(again))
-    return batched.drop("_pos", "_chunk", "_mix", "_rank", "_rows", "_batches")
+    placed = batched.select(F.col(source).alias("_source"), F.col(key).alias("_key"), "batch_id")
+    return df.join(placed, F.col(source).eqNullSafe(F.col("_source")) & (F.col(key) == F.col("_key"))).drop(
+        "_source", "_key")
 
 
 def random_control(df: DataFrame, seed, width: int, key="sample_id", out="features") -> DataFrame:

@@ -46,9 +46,11 @@ def box_stats(df: DataFrame, col: str, by=()) -> DataFrame:
     above = F.col("_v") >= F.col("q1") - reach
     under = F.col("_v") <= F.col("q3") + reach
     keep = [*by, "n", "q1", "median", "q3"]
+    # A whisker never ends inside the box: without a point beyond, it is the box's edge.
+    lowest, highest = F.min(F.when(above, F.col("_v"))), F.max(F.when(under, F.col("_v")))
     return known.groupBy(*keep).agg(
-        F.min(F.when(above, F.col("_v"))).alias("whisker_lo"),
-        F.max(F.when(under, F.col("_v"))).alias("whisker_hi"),
+        F.least(lowest, F.col("q1")).alias("whisker_lo"),
+        F.greatest(highest, F.col("q3")).alias("whisker_hi"),
         F.count_if(~(above & under)).alias("fliers"))
 
 

@@ -22,10 +22,8 @@ from gridspark.operators import network
 from gridspark.runtime import scratch_path
 
 PIECE = 65_536  # gradient elements per row sent to the reducers
-LANES = 32      # first-level reducers per piece, for steps of many tasks
-FEW_TASKS = 64  # up to here one reducer per piece takes all tasks' gradients
+LANES = 32      # first-level reducers per piece
 BLOCK = 64      # batches per folder
-TASK_BYTES = 128 << 20
 
 
 @dataclass
@@ -67,6 +65,7 @@ class TrainControl:
     patience: int = 10
     lr_patience: int = 5
     lr_factor: float = 0.1
+    lr_min_gain: float = 1e-4  # a smaller improvement does not hold off a lower learning rate
     monitor: str = "loss"
 
 
@@ -84,10 +83,12 @@ def batch_sums(rows: DataFrame, net, loss: str, with_gradient: bool = True, lane
         for pdf in batches:
             if len(pdf):
                 x, y = np.stack(pdf["features"]), np.stack(pdf["target"])
-                *part, grad = network.gradient(held.value, x, y, loss)
-                n, sums = n + len(pdf), sums + part
                 if with_gradient:
+                    *part, grad = network.gradient(held.value, x, y, loss)
                     total += grad
+                else:
+                    part = network.losses(held.value, x, y, loss)
+                n, sums = n + len(pdf), sums + part
         if n:
             lane = TaskContext.get().partitionId() % lanes
             starts = range(0, size, PIECE) if with_gradient else [0]
@@ -104,11 +105,9 @@ def batch_sums(rows: DataFrame, net, loss: str, with_gradient: bool = True, lane
         return head
 
     parts = rows.select("features", "target").mapInPandas(partial, SUMS)
-    if lanes > 1:
-        parts = parts.groupBy("piece", "lane").applyInPandas(add, SUMS)
-    whole = parts.groupBy("piece").applyInPandas(add, SUMS)
+    whole = parts.groupBy("piece", "lane").applyInPandas(add, SUMS).groupBy("piece").applyInPandas(add, SUMS)
     found = sorted(whole.collect(), key=lambda r: r.piece)
-    held.unpersist()
+    held.destroy()  # also the driver's copy on disk, one per step
     if not found:
         raise ValueError("no rows to train on")
     n = found[0].n
@@ -148,7 +147,7 @@ LOG = StructType([
 
 def train_mlp(batches: DataFrame, trunk=network.TRUNK, head=network.HEAD, loss: str = "log_cosh",
               optimizer=None, epochs: int = 10, steps_per_epoch: int | None = 1000,
-              val: DataFrame | None = None, control: TrainControl | None = None,
+              val: DataFrame | None = None, val_steps: int | None = None, control: TrainControl | None = None,
               init_weights: DataFrame | None = None, seed: int = 0,
               checkpoint_path: str | None = None):
     """Train on ([source,] batch_id, features, target) rows; returns (weights, log) tables.
@@ -157,7 +156,8 @@ def train_mlp(batches: DataFrame, trunk=network.TRUNK, head=network.HEAD, loss:
     source starts over at its end; without ``steps_per_epoch`` an epoch is one pass of the
     longest. The weights of the best epoch are returned, and written to
     ``checkpoint_path`` whenever an epoch improves. Training ends on a loss that is not
-    a number.
+    a number. ``val`` rows are written once; with ``val_steps`` they hold a batch_id, and an
+    epoch takes that many batches of them, going on where the last one stopped.
     """
     spark = batches.sparkSession
     optimizer, control = optimizer or Adam(), control or TrainControl()
@@ -166,45 +166,59 @@ def train_mlp(batches: DataFrame, trunk=network.TRUNK, head=network.HEAD, loss:
                                            F.count("*").alias("rows")).collect()
     lengths = {r.source: r.n for r in sources}
     steps_per_epoch = steps_per_epoch or max(lengths.values())
-    batch_rows = sum(r.rows / r.n for r in sources)
+    if val is not None:
+        path = scratch_path(spark, "validation")
+        val.write.parquet(path)
+        val = spark.read.parquet(path)
+        if val_steps is not None:
+            val_batches = val.agg(F.max("batch_id")).first()[0] + 1
     if init_weights is not None:
         net = network.from_table(init_weights)
     else:
         shape = stored.select(F.size("features").alias("x"), F.size("target").alias("y")).first()
         net = network.new_net(shape.x, shape.y, trunk, head, seed)
 
-    row_bytes = 8 * (net.matrices[0].shape[0] + sum(h[-1].shape[1] for h in net.heads))
-    lanes = 1 if batch_rows * row_bytes <= FEW_TASKS * TASK_BYTES else LANES
-
-    flat, best, best_flat, waited, flat_epochs, log, step = net.flat(), np.inf, net.flat(), 0, 0, [], 0
+    flat, best_flat, best, best_rate = net.flat(), net.flat(), np.inf, np.inf
+    waited, flat_epochs, log, step = 0, 0, [], 0
     for epoch in range(1, epochs + 1):
         seen = []
         for _ in range(steps_per_epoch):
             rows = step_rows(stored, lengths, step)
             step += 1
-            _, value, mae, mse, grad = batch_sums(rows, net, loss, lanes=lanes)
+            _, value, mae, mse, grad = batch_sums(rows, net, loss)
             seen.append((value, mae, mse))
             if not np.isfinite(value):
                 break
             flat = optimizer.step(flat, grad)
             net = net.with_flat(flat)
         value, mae, mse = np.mean(seen, axis=0)
-        val_loss = None if val is None else float(batch_sums(val, net, loss, with_gradient=False)[1])
+        val_loss = None
+        if val is not None:
+            rows = val
+            if val_steps is not None:
+                first = (epoch - 1) * val_steps
+                numbers = [(first + i) % val_batches for i in range(min(val_steps, val_batches))]
+                rows = val.where(F.col("batch_id").isin(numbers))
+            val_loss = float(batch_sums(rows, net, loss, with_gradient=False)[1])
         log.append((epoch, step, float(value), float(mae), float(mse), float(np.sqrt(mse)),
                     val_loss, float(optimizer.learning_rate)))
         if not np.isfinite(value):
             break
         watched = val_loss if control.monitor == "val_loss" else value
+        if watched < best_rate - control.lr_min_gain:
+            best_rate, flat_epochs = watched, 0
+        else:
+            flat_epochs += 1
+            if flat_epochs >= control.lr_patience:
+                optimizer.learning_rate *= control.lr_factor
+                flat_epochs = 0
         if watched < best:
-            best, best_flat, waited, flat_epochs = watched, flat, 0, 0
+            best, best_flat, waited = watched, flat, 0
             if checkpoint_path:
                 saved = network.to_table(spark, net).withColumn("epoch", F.lit(epoch))
                 saved.write.mode("overwrite").parquet(f"{checkpoint_path}/epoch={epoch:04d}")
         else:
-            waited, flat_epochs = waited + 1, flat_epochs + 1
-            if flat_epochs >= control.lr_patience:
-                optimizer.learning_rate *= control.lr_factor
-                flat_epochs = 0
+            waited += 1
             if waited >= control.patience:
                 break
     return network.to_table(spark, net.with_flat(best_flat)), spark.createDataFrame(log, LOG)

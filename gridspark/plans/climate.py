@@ -21,21 +21,16 @@ def zonal_mean(spark, folder):
     return rounded(pf.zonal_mean(fx.cells(spark, folder), "ucomp", 2, window=10), 8, "mean")
 
 
-YEARS = list(range(1995, 2002))
-
-
-@query(sql("""SELECT (year(l_shipdate) - 1995) * 366 + dayofyear(l_shipdate) - 1 AS time, l_linenumber - 1 AS plevel,
+@query(sql("""SELECT (year(l_shipdate) - (SELECT min(year(l_shipdate)) FROM lineitem)) * 366 + dayofyear(l_shipdate) - 1 AS time, l_linenumber - 1 AS plevel,
     count(*) AS n, round(sum(l_extendedprice), 4) AS gwfu FROM lineitem GROUP BY 1, 2"""))
 def concat_years(spark, folder):
     """Yearly tables, each with its own day axis, put end to end."""
-    lines = fx.table(spark, folder, "lineitem")
-    years = [
-        lines.where(F.year("l_shipdate") == y).select(
-            (F.dayofyear("l_shipdate") - 1).alias("time"), (F.col("l_linenumber") - 1).alias("plevel"),
-            F.col("l_extendedprice").alias("gwfu"))
-        for y in YEARS
-    ]
-    line = pf.concat_years(years, 366)
+    days = fx.table(spark, folder, "lineitem").select(
+        F.year("l_shipdate").alias("year"), (F.dayofyear("l_shipdate") - 1).alias("time"),
+        (F.col("l_linenumber") - 1).alias("plevel"), F.col("l_extendedprice").alias("gwfu"))
+    years = [r.year for r in days.select("year").distinct().orderBy("year").collect()]
+    span = range(years[0], years[-1] + 1)
+    line = pf.concat_years([days.where(F.col("year") == y).drop("year") for y in span], 366)
     daily = line.groupBy(F.col("time").cast("bigint").alias("time"), "plevel").agg(
         F.count("*").alias("n"), F.sum("gwfu").alias("gwfu"))
     return rounded(daily, 4, "gwfu")

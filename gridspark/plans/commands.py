@@ -5,6 +5,7 @@ by row order, everything by ``sample_id``.
 
 from __future__ import annotations
 
+import glob
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from gridspark.functions import ravel_index
 from gridspark.operators import (
     experiments, histogram, index, metrics, outliers, reshape, scaler, scoring, stats, training,
 )
+from gridspark.operators import profiles as climate
 from gridspark.operators import split as splits
 from gridspark.runtime import scratch_path
 from gridspark.sources import grid, tables
@@ -38,7 +40,13 @@ def ingest(spark: SparkSession, path: str, out: str, variables, surface_variable
         surface = grid.read_grid(spark, path, surface_variables, in_line=True)
         tables.write_cube(surface, f"{out}/surface", by="source")
     stored = spark.read.parquet(f"{out}/cells")
-    tables.write_summary_json(stats.feature_summary(stored, variables), f"{out}/summary")
+    # What the files say about their variables; the first file speaks for all.
+    meta = grid.read_variables(spark, sorted(glob.glob(path))[0])
+    summary = stats.feature_summary(stored, variables, meta)
+    if surface_variables:
+        flat = spark.read.parquet(f"{out}/surface")
+        summary = summary.unionByName(stats.feature_summary(flat, surface_variables, meta, ("time", "lat", "lon")))
+    tables.write_summary_json(summary, f"{out}/summary")
     targets = [v for v in TARGETS.values() if v in variables]
     for name in targets:
         kept = outliers.remove_outliers(stored.select(name), name)
@@ -82,7 +90,7 @@ def extract(spark: SparkSession, source: str, out: str, n_lat: int, n_lon: int,
             columns = reshape.join_surface(columns, surface)
     columns = reshape.slice_levels(columns, 0, plevels, vertical)
     columns = reshape.slice_levels(columns, 0, target_levels, TARGETS.values())
-    rows = reshape.assemble(columns, vertical, single).select(
+    rows = reshape.assemble(columns, vertical, single, order=features).select(
         sample_id, "features", *[F.col(v).alias(t) for t, v in TARGETS.items()])
     # Built once, then ranked: the rank's counting pass reads back the ids alone.
     built = scratch_path(spark, "columns")
@@ -117,20 +125,34 @@ def split(spark: SparkSession, source: str, out: str, test_split: float = 0.1, v
 
 
 def train(spark: SparkSession, sources, scaler_path: str, out: str, target: str = "gwfu",
-          batch_size: int = 256, chunk_size: int = 500_000, seed: int = 0, **options) -> None:
-    """Train on the train rows of one or several split folders in balanced batches."""
+          batch_size: int = 256, chunk_size: int = 500_000, seed: int = 0, random_inputs: bool = False,
+          validation_steps: int | None = None, epochs: int = 10, steps_per_epoch: int | None = 1000,
+          **options) -> None:
+    """Train on the train rows of one or several split folders in balanced batches.
+
+    ``random_inputs`` trains a control on N(0, 1) draws instead of the scaled features. With
+    ``validation_steps`` an epoch is judged on that many batches of the validation rows.
+    """
     rows = tables.read_sources(spark, {s: f"{s}/samples" for s in sources})
     x_state = scaler.load_scaler(spark, f"{scaler_path}/features")
     y_state = scaler.load_scaler(spark, f"{scaler_path}/{target}")
 
     def scaled(part):
-        x = scaler.scaler_transform(rows.where(F.col("split") == part), x_state, "features")
+        kept = rows.where(F.col("split") == part)
+        x = (splits.random_control(kept, seed, x_state.count()) if random_inputs
+             else scaler.scaler_transform(kept, x_state, "features"))
         return scaler.scaler_transform(x, y_state, target, "target").select(
             "source", "sample_id", "features", "target")
 
     batches = splits.minibatches(scaled("train"), batch_size, chunk_size, seed)
+    if steps_per_epoch is not None:
+        # A source that is longer never gets further than the steps taken.
+        batches = batches.where(F.col("batch_id") < epochs * steps_per_epoch)
     val = scaled("val")
-    weights, log = training.train_mlp(batches, val=None if val.isEmpty() else val, seed=seed,
+    if validation_steps is not None:
+        val = splits.minibatches(val, batch_size, chunk_size, seed)
+    weights, log = training.train_mlp(batches, val=None if val.isEmpty() else val, val_steps=validation_steps,
+                                      seed=seed, epochs=epochs, steps_per_epoch=steps_per_epoch,
                                       checkpoint_path=f"{out}/checkpoints", **options)
     weights.write.mode("overwrite").parquet(f"{out}/weights")
     log.write.mode("overwrite").parquet(f"{out}/log")
@@ -183,8 +205,30 @@ def attribute(spark: SparkSession, source: str, scaler_path: str, model: str, ou
     top.write.mode("overwrite").parquet(f"{out}/top")
 
 
-def compare(spark: SparkSession, runs: dict[tuple[str, str], str], out: str) -> DataFrame:
-    """Rank evaluated runs, given as {(experiment, target): folder}, per target and level."""
+def profiles(spark: SparkSession, truth, scored, out: str, n_lat: int, n_lon: int, lat: int,
+             window: int = climate.WINDOW_STEPS) -> None:
+    """Scores to climate profiles: windowed zonal means of truth and prediction, and their difference.
+
+    ``truth`` is one folder of (sample_id, target, …) or a list, put in line as years in that
+    order; ``scored`` likewise of (sample_id, prediction, …).
+    """
+    def cells(paths, col):
+        years = [spark.read.parquet(p) for p in ([paths] if isinstance(paths, str) else paths)]
+        years = [reshape.vectors_to_cells(y, [col], n_lat, n_lon).withColumnRenamed(col, "value") for y in years]
+        return climate.sources_in_line(tables.tagged(years)).drop("source")
+
+    both = climate.profile_difference(cells(truth, "target"), cells(scored, "prediction"),
+                                      col="value", lat=lat, window=window)
+    both.write.mode("overwrite").parquet(f"{out}/profiles")
+
+
+def compare(spark: SparkSession, runs: dict[tuple[str, str], str], out: str, registry=experiments.EXPERIMENTS,
+            exclusions=experiments.EXCLUSIONS) -> DataFrame:
+    """Rank evaluated runs, given as {(experiment, target): folder}, per target and level.
+
+    Also written: the mean, the box statistics, and the matrix of registered experiments by
+    level and target, without the excluded pairs.
+    """
     tagged = [
         spark.read.parquet(f"{path}/level_metrics")
         .withColumn("experiment", F.lit(name)).withColumn("target", F.lit(target))
@@ -193,4 +237,8 @@ def compare(spark: SparkSession, runs: dict[tuple[str, str], str], out: str) ->
     found = reduce(DataFrame.unionByName, tagged)
     experiments.experiment_rank(found).write.mode("overwrite").parquet(f"{out}/ranks")
     experiments.experiment_mean_r2(found).write.mode("overwrite").parquet(f"{out}/mean_r2")
+    experiments.experiment_box(found).write.mode("overwrite").parquet(f"{out}/box")
+    experiments.experiment_matrix(
+        found, experiments.experiment_registry(spark, registry), experiments.exclusion_table(spark, exclusions),
+    ).write.mode("overwrite").parquet(f"{out}/matrix")
     return spark.read.parquet(f"{out}/ranks")

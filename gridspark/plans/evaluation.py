@@ -179,8 +179,8 @@ def experiment_mean_r2(spark, folder):
     WITH q AS (SELECT target, experiment, count(*) AS n, quantile_cont(r_squared, 0.25) AS q1,
         quantile_cont(r_squared, 0.5) AS median, quantile_cont(r_squared, 0.75) AS q3 FROM metrics GROUP BY 1, 2)
     SELECT target, experiment, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
-      round(min(CASE WHEN r_squared >= q1 - 1.5 * (q3 - q1) THEN r_squared END), 6) AS whisker_lo,
-      round(max(CASE WHEN r_squared <= q3 + 1.5 * (q3 - q1) THEN r_squared END), 6) AS whisker_hi,
+      round(least(min(CASE WHEN r_squared >= q1 - 1.5 * (q3 - q1) THEN r_squared END), q1), 6) AS whisker_lo,
+      round(greatest(max(CASE WHEN r_squared <= q3 + 1.5 * (q3 - q1) THEN r_squared END), q3), 6) AS whisker_hi,
       count(*) FILTER (r_squared < q1 - 1.5 * (q3 - q1) OR r_squared > q3 + 1.5 * (q3 - q1)) AS fliers
     FROM metrics JOIN q USING (target, experiment) GROUP BY target, experiment, n, q.q1, q.median, q.q3"""))
 def experiment_box(spark, folder):

@@ -56,6 +56,19 @@ def mad_outlier_vector(spark, folder):
     return outliers.flag_vector_outliers(rows, "features", 1.0).drop("features")
 
 
+@query(sql("""
+    WITH e AS (SELECT sample_id, unnest(range(52)) AS idx, unnest(features) AS v FROM vectors),
+    m AS (SELECT idx, median(v) AS med FROM e WHERE idx <> 3 GROUP BY idx),
+    d AS (SELECT sample_id, sqrt(sum(power(v - med, 2))) AS dev FROM e JOIN m USING (idx) GROUP BY sample_id),
+    c AS (SELECT median(dev) AS mid FROM d)
+    SELECT sample_id, 0.6745 * dev > 1.0 * mid AS is_outlier FROM d, c"""))
+def mad_outlier_vector_gap(spark, folder):
+    """An element without a number in any row is left out and moves no other."""
+    rows = fx.vectors(spark, folder).select("sample_id", F.transform(
+        "features", lambda x, i: F.when(i == 3, float("nan")).otherwise(x)).alias("features"))
+    return outliers.flag_vector_outliers(rows, "features", 1.0).drop("features")
+
+
 HIST = """
     WITH r AS (SELECT min(ucomp) AS lo, (max(ucomp) - min(ucomp)) / 100 AS w, count(*) AS n FROM cells),
     c AS (SELECT least(floor((ucomp - lo) / w), 99) AS bin, count(*) AS c FROM cells, r GROUP BY 1),
@@ -124,13 +137,13 @@ def scaled_histogram(spark, folder):
     WITH q AS (SELECT plevel, count(*) AS n, quantile_cont(ucomp, 0.25) AS q1, quantile_cont(ucomp, 0.5) AS median,
                quantile_cont(ucomp, 0.75) AS q3 FROM cells GROUP BY plevel)
     SELECT plevel, n, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
-      min(CASE WHEN ucomp >= q1 - 1.5 * (q3 - q1) THEN ucomp END) AS whisker_lo,
-      max(CASE WHEN ucomp <= q3 + 1.5 * (q3 - q1) THEN ucomp END) AS whisker_hi,
+      round(least(min(CASE WHEN ucomp >= q1 - 1.5 * (q3 - q1) THEN ucomp END), q1), 6) AS whisker_lo,
+      round(greatest(max(CASE WHEN ucomp <= q3 + 1.5 * (q3 - q1) THEN ucomp END), q3), 6) AS whisker_hi,
       count(*) FILTER (ucomp < q1 - 1.5 * (q3 - q1) OR ucomp > q3 + 1.5 * (q3 - q1)) AS fliers
     FROM cells JOIN q USING (plevel) GROUP BY plevel, n, q.q1, q.median, q.q3"""))
 def box_stats(spark, folder):
     found = stats.box_stats(fx.cells(spark, folder), "ucomp", ["plevel"])
-    return rounded(found, 6, "q1", "median", "q3")
+    return rounded(found, 6, "q1", "median", "q3", "whisker_lo", "whisker_hi")
 
 
 JOINT = "SELECT (CAST(time AS BIGINT) * 5 + lat) * 5 * 8 + lon * 8 + plevel AS cell_id, ucomp, temp FROM cells"

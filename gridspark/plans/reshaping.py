@@ -100,6 +100,16 @@ def assemble_features(spark, folder):
     return _assembled(spark, folder).select(sid, F.posexplode("features").alias("idx", "v"), "width")
 
 
+@query(sql(f"""SELECT sample_id, CAST(CASE WHEN idx = 16 THEN 0 WHEN idx < 8 THEN idx + 9 WHEN idx < 16 THEN idx - 7
+    ELSE idx END AS INT) AS idx, v, 19 AS width FROM ({ASSEMBLED})"""))
+def assemble_in_order(spark, folder):
+    """Features as a user lists them: a single one first."""
+    sid = ravel_index("time", "lat", "lon", fx.N_LAT, fx.N_LON).alias("sample_id")
+    columns = _assembled(spark, folder).drop("features", "width")
+    found = rs.assemble(columns, ["temp", "ucomp"], ["slp", "lat", "lon"], order=["slp", "temp", "ucomp", "lat", "lon"])
+    return found.select(sid, F.posexplode("features").alias("idx", "v"), "width")
+
+
 @query(sql(f"""SELECT sample_id, CAST(CASE WHEN idx >= 17 THEN idx - 9 ELSE idx END AS INT) AS idx, v
     FROM ({ASSEMBLED}) WHERE idx < 8 OR idx >= 17"""))
 def feature_subset(spark, folder):
@@ -190,17 +200,17 @@ def paste_join(spark, folder):
     FROM samples a
     JOIN (SELECT l_orderkey AS k, avg(l_extendedprice) AS m FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) u
       ON u.k = a.sample_id
-    JOIN (SELECT l_orderkey AS k, avg(l_extendedprice) AS m FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) v
+    JOIN (SELECT l_orderkey AS k, avg(l_extendedprice) AS m FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1) v
       ON v.k = a.sample_id"""))
 def zip_join(spark, folder):
     lines = fx.table(spark, folder, "lineitem")
 
-    def target(flag, name):
-        return lines.where(F.col("l_returnflag") == flag).groupBy(
+    def target(kept, name):
+        return lines.where(kept).groupBy(
             F.col("l_orderkey").alias("sample_id")).agg(F.round(F.avg("l_extendedprice"), 6).alias(name))
 
     features = fx.samples(spark, folder).withColumnRenamed("gwfu", "total")
-    return rs.zip_join(features, target("A", "gwfu"), target("R", "gwfv"))
+    return rs.zip_join(features, target(F.col("l_returnflag") == "A", "gwfu"), target(F.col("l_returnflag") != "A", "gwfv"))
 
 
 @query(sql("SELECT time, lat, lon, plevel, ucomp, slp FROM cells JOIN surface USING (time, lat, lon)"))

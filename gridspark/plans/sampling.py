@@ -168,3 +168,35 @@ def scaler_inverse(spark, folder):
     state = scaler.scaler_fit(rows, "features")
     back = scaler.scaler_inverse(scaler.scaler_transform(rows, state, "features"), state, "features")
     return back.select("sample_id", F.posexplode("features").alias("idx", "v")).withColumn("v", F.round("v", 8))
+
+
+# Element 3 has no number in any row; element 5 lacks one in every fourth.
+GAPS = """(SELECT sample_id, CAST(unnest(range(52)) AS INT) AS idx, unnest(features) AS raw FROM vectors)"""
+GAPPED = f"""SELECT sample_id, idx, CASE WHEN idx = 3 OR (idx = 5 AND sample_id % 4 = 0) THEN NULL ELSE raw END AS v
+    FROM {GAPS}"""
+
+
+def gapped(spark, folder):
+    rows = fx.vectors(spark, folder)
+    holes = F.transform("features", lambda x, i: F.when(i == 3, float("nan")).when(
+        (i == 5) & (F.pmod("sample_id", F.lit(4)) == 0), None).otherwise(x))
+    return rows.select("sample_id", holes.alias("features"))
+
+
+@query(sql(f"""SELECT idx, count(v) AS n, round(avg(v), 8) AS mean, round(var_pop(v) * count(v), 8) AS m2
+    FROM ({GAPPED}) GROUP BY idx"""))
+def scaler_fit_gaps(spark, folder):
+    return rounded_state(scaler.scaler_fit(gapped(spark, folder), "features"))
+
+
+@query(sql(f"""WITH s AS (SELECT idx, avg(v) AS mean, var_pop(v) AS var FROM ({GAPPED}) GROUP BY idx)
+    SELECT sample_id, idx, round((v - mean) / CASE WHEN var > 0 THEN sqrt(var) ELSE 1 END, 8) AS scaled,
+      round(CASE WHEN idx = 3 THEN NULL ELSE v END, 8) AS back FROM ({GAPPED}) JOIN s USING (idx)"""))
+def scaler_gaps(spark, folder):
+    """Scaled, and scaled back, with an element that has no number: no neighbour moves."""
+    rows = gapped(spark, folder)
+    state = scaler.scaler_fit(rows, "features")
+    scaled = scaler.scaler_transform(rows, state, "features", "scaled")
+    back = scaler.scaler_inverse(scaled, state, "scaled", "back")
+    both = back.select("sample_id", F.posexplode(F.arrays_zip("scaled", "back")).alias("idx", "_z"))
+    return both.select("sample_id", "idx", F.round("_z.scaled", 8).alias("scaled"), F.round("_z.back", 8).alias("back"))

@@ -10,9 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# State tables up to this many rows are broadcast; larger ones take the salted join.
+# Tables up to this many rows may be broadcast; larger ones are joined by a plain shuffle.
 BROADCAST_ROWS = 200_000
-SALTS = 32
 
 
 def local_session(cpus: str = "8") -> SparkSession:
@@ -75,8 +74,8 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def is_small(state: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return state.limit(rows + 1).count() <= rows
+def is_small(state: DataFrame) -> bool:
+    return state.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def small(state: DataFrame) -> DataFrame:
@@ -88,9 +87,9 @@ def attach(df: DataFrame, state: DataFrame, on=(), settled: bool = False) -> Dat
     """Add the columns of ``state`` (one row per group) to every row of its group.
 
     Every row stays: a row whose group has no state gets nulls, and a null key matches a
-    null key. A single-row state becomes a scalar subquery. A keyed state is computed
-    once, counted, and broadcast when small; otherwise the join is salted by row content,
-    so that a group with a third of all rows still spreads over ``SALTS`` tasks.
+    null key. A single-row state becomes a scalar subquery. A keyed state is computed once
+    and counted; up to ``BROADCAST_ROWS`` rows it is broadcast, and beyond that the same
+    equality is a shuffle join, which adaptive execution splits where a group is hot.
     """
     on = list(on)
     if not on:
@@ -99,25 +98,5 @@ def attach(df: DataFrame, state: DataFrame, on=(), settled: bool = False) -> Dat
     if not settled:
         state = settle(state)
     keys = {k: f"_on_{k}" for k in on}
-    right = state.withColumnsRenamed(keys)
-    rows, has_null = _facts(state, on)
-    if rows <= BROADCAST_ROWS:
-        # Plain equality hashes faster and is the same where no state has a null key.
-        match = [F.col(k).eqNullSafe(F.col(other)) if has_null else F.col(k) == F.col(other)
-                 for k, other in keys.items()]
-        return df.join(F.broadcast(right), match, "left").drop(*keys.values())
     match = [F.col(k).eqNullSafe(F.col(other)) for k, other in keys.items()]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
-    copies = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    match.append(F.col("_salt") == F.col("_copy"))
-    return salted.join(copies, match, "left").drop("_salt", "_copy", *keys.values())
-
-
-def _facts(state: DataFrame, keys) -> tuple[int, bool]:
-    """Row count, exact up to one above the broadcast limit, and whether a key is null."""
-    null = F.lit(False)
-    for k in keys:
-        null = null | F.col(k).isNull()
-    head = state.select(null.alias("null")).limit(BROADCAST_ROWS + 1)
-    rows, nulls = head.agg(F.count("*"), F.count_if("null")).first()
-    return rows, nulls > 0
+    return df.join(small(state.withColumnsRenamed(keys)), match, "left").drop(*keys.values())

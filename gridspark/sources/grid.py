@@ -8,6 +8,7 @@ the wanted variables there.
 from __future__ import annotations
 
 import glob
+import math
 import os
 import struct
 from dataclasses import dataclass
@@ -44,7 +45,12 @@ class _Header:
             dims = self._list(lambda: (self._name(), self._int()))
             self._list(self._attribute)
             found = self._list(self._variable)
-        record = sum(v[4] for v in found if v[1] and dims[v[1][0]][1] == 0)
+        of_record = [v for v in found if v[1] and dims[v[1][0]][1] == 0]
+        record = sum(v[4] for v in of_record)
+        if len(of_record) == 1:
+            # A record variable on its own is not padded to four bytes.
+            _, ids, _, code, _, _ = of_record[0]
+            record = math.prod(dims[i][1] for i in ids[1:]) * np.dtype(NUMBER_TYPES[code]).itemsize
         self.variables = {}
         for name, ids, attributes, code, size, begin in found:
             by_record = bool(ids) and dims[ids[0]][1] == 0

@@ -38,6 +38,11 @@ def read_sources(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return reduce(DataFrame.unionByName, tagged)
 
 
+def tagged(parts) -> DataFrame:
+    """Tables of one shape as one, numbered in their order by ``source``."""
+    return reduce(DataFrame.unionByName, [p.withColumn("source", F.lit(f"{i:06d}")) for i, p in enumerate(parts)])
+
+
 def write_vectors_csv(df: DataFrame, path: str, col: str, width: int, header: bool = False,
                       key: str | None = "sample_id", mode: str = "overwrite") -> None:
     """A vector column as ``width`` CSV columns named 0 … width-1, after the key."""

@@ -28,8 +28,10 @@ def write_netcdf(path, dims, variables, unlimited=None, wide=False):
     for n, (axes, array, kind, _) in variables.items():
         data = np.ascontiguousarray(array, ">" + kind)
         records = [r.tobytes() for r in data] if by_record[n] else [data.tobytes()]
-        raw[n] = [r + b"\0" * (-len(r) % 4) for r in records]
-        size[n] = len(raw[n][0])
+        # A record variable on its own is stored without padding, though its size says so.
+        alone = by_record[n] and sum(by_record.values()) == 1
+        raw[n] = [r if alone else r + b"\0" * (-len(r) % 4) for r in records]
+        size[n] = len(records[0]) + -len(records[0]) % 4
     head = b""
     for attempt in range(2):
         offset, begin = len(head), {}

@@ -11,7 +11,7 @@ from tests.netcdf import write_netcdf
 
 T, P, LAT, LON = 30, 4, 2, 3
 VARIABLES = ["temp", "ucomp", "gwfu_cgwd", "gwfv_cgwd"]
-FEATURES = ["temp", "ucomp", "slp", "lat", "lon"]
+FEATURES = ["slp", "temp", "ucomp", "lat", "lon"]
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +36,10 @@ def test_commands_end_to_end(spark, world):
     commands.ingest(spark, f"{root}/year*.nc", f"{root}/raw", VARIABLES, scatter_points=50)
     summary = {r.name: r for r in spark.read.json(f"{root}/raw/summary").collect()}
     assert np.isclose(summary["temp"]["mean"], cube["temp"].mean())
+    assert (summary["temp"].units, summary["temp"].long_name, summary["slp"].units) == ("1", "", "")
+    assert summary["slp"].shape == f"({2 * T}, {LAT}, {LON})" and np.isclose(summary["slp"]["max"], cube["slp"].max())
+    assert all(float(summary[v].mean_text) == float(np.format_float_scientific(cube[v].mean(), precision=2))
+               for v in ("temp", "slp"))
     assert spark.read.parquet(f"{root}/raw/scatter").count() == 50
 
     commands.extract(spark, f"{root}/raw", f"{root}/rows", LAT, LON, FEATURES, plevels=3, target_levels=2,
@@ -44,7 +48,7 @@ def test_commands_end_to_end(spark, world):
     assert len({r.sample_id for r in rows}) == 300 and sorted(r.pos for r in rows) == list(range(300))
     for r in rows[:40]:
         t, lat, lon = np.unravel_index(r.sample_id, (2 * T, LAT, LON))
-        want = [*cube["temp"][t, :3, lat, lon], *cube["ucomp"][t, :3, lat, lon], cube["slp"][t, lat, lon], lat, lon]
+        want = [cube["slp"][t, lat, lon], *cube["temp"][t, :3, lat, lon], *cube["ucomp"][t, :3, lat, lon], lat, lon]
         assert r.features == want and r.gwfu == cube["gwfu_cgwd"][t, :2, lat, lon].tolist()
 
     commands.extract(spark, f"{root}/year*.nc", f"{root}/direct", LAT, LON, FEATURES, plevels=3, target_levels=2,
@@ -84,9 +88,26 @@ def test_commands_end_to_end(spark, world):
     commands.attribute(spark, f"{root}/rows", f"{root}/split/scaler", f"{root}/model", f"{root}/why", level=0,
                        background=50, test=60, n_permutations=4, k=3)
     top = spark.read.parquet(f"{root}/why/top").orderBy(F.desc("mean_abs")).collect()
-    assert top[0].idx == 3  # ucomp on the top level drives the top output
+    assert top[0].idx == 4  # ucomp on the top level drives the top output
 
     ranks = commands.compare(spark, {("full", "gwfu"): f"{root}/eval", ("random", "gwfu"): f"{root}/random"},
                              f"{root}/compare")
     assert {(r.experiment, r["rank"]) for r in ranks.collect()} == {("full", 1), ("random", 2)}
+    commands.compare(spark, {("full_features", "gwfu"): f"{root}/eval", ("full_features", "gwfv"): f"{root}/random"},
+                     f"{root}/compare2")
+    matrix = {r.plevel: r for r in spark.read.parquet(f"{root}/compare2/matrix").collect()}
+    assert set(matrix) == {0, 1} and np.isclose(matrix[0].gwfu, found[0].r_squared)
+    boxes = spark.read.parquet(f"{root}/compare2/box").collect()
+    assert {(r.experiment, r.target) for r in boxes} == {("full_features", "gwfu"), ("full_features", "gwfv")}
+    assert all(r.whisker_lo <= r.q1 <= r.median <= r.q3 <= r.whisker_hi for r in boxes)
+
+    commands.train(spark, [f"{root}/split"], f"{root}/split/scaler", f"{root}/control", batch_size=10, trunk=(4,),
+                   head=None, loss="mse", optimizer=Adam(0.05), epochs=2, steps_per_epoch=2, random_inputs=True,
+                   validation_steps=1)
+    log2 = spark.read.parquet(f"{root}/control/log").collect()
+    assert len(log2) == 2 and all(r.val_loss is not None for r in log2)
+
+    commands.profiles(spark, f"{root}/eval/scored", [f"{root}/eval/scored"], f"{root}/climate", LAT, LON, lat=1, window=10)
+    lines = spark.read.parquet(f"{root}/climate/profiles").collect()
+    assert lines and all(np.isclose(r.difference, r.target - r.prediction) for r in lines)
     assert network.from_table(spark.read.parquet(f"{root}/model/weights")).trunk[0].shape == (10, 16)

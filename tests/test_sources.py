@@ -44,6 +44,15 @@ def test_grid_load(spark, tmp_path, unlimited, wide):
     assert [(r.plevel, r.hpa) for r in levels] == [(0, 1.0), (1, 10.0), (2, 100.0)]
 
 
+@pytest.mark.parametrize("kind, shape", [("i2", (7, 1, 3)), ("i2", (5, 2, 2)), ("f4", (4, 3, 1))])
+def test_a_single_record_variable_is_not_padded(spark, tmp_path, kind, shape):
+    data = np.arange(np.prod(shape)).reshape(shape)
+    write_netcdf(tmp_path / "one.nc", dict(zip(("time", "lat", "lon"), shape)),
+                 {"slp": (("time", "lat", "lon"), data, kind, {})}, unlimited="time")
+    rows = grid.read_grid(spark, str(tmp_path / "one.nc"), ["slp"], steps=2).collect()
+    assert len(rows) == data.size and all(r.slp == data[r.time, r.lat, r.lon] for r in rows)
+
+
 @pytest.mark.parametrize("unlimited", [None, "time"])
 def test_columns_load_without_a_shuffle(spark, tmp_path, unlimited):
     cube, whole, low = year(tmp_path / "a.nc", unlimited)

@@ -35,13 +35,13 @@ SERIES = {
 
 
 @pytest.mark.parametrize("name", sorted(SERIES))
-@pytest.mark.parametrize("limit", [1, 10**6])
-def test_exact_quantiles(spark, name, limit):
+@pytest.mark.parametrize("most, accuracy", [(1, 2), (10**6, 1000)])
+def test_exact_quantiles(spark, name, most, accuracy):
     xs = SERIES[name]
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
     with np.errstate(over="ignore", invalid="ignore"):
         want = np.quantile(xs, probs)
-    got = exact_quantiles(column(spark, xs), "x", probs, limit=limit).first()
+    got = exact_quantiles(column(spark, xs), "x", probs, most=most, accuracy=accuracy).first()
     assert got.n == len(xs)
     # Between the smallest denormals an interpolated value may round either way.
     assert np.allclose(got.quantiles, want, rtol=1e-12, atol=5e-324)
@@ -50,14 +50,14 @@ def test_exact_quantiles(spark, name, limit):
 @pytest.mark.parametrize("limit", [1, 10**6])
 def test_exact_quantiles_with_infinities(spark, limit):
     xs = np.concatenate([np.full(3, -np.inf), RNG.normal(size=41), np.full(5, np.inf)])
-    got = exact_quantiles(column(spark, xs), "x", [0.0, 0.25, 0.5, 1.0], limit=limit).first()
+    got = exact_quantiles(column(spark, xs), "x", [0.0, 0.25, 0.5, 1.0], most=limit, accuracy=2).first()
     assert np.allclose(got.quantiles, np.sort(xs)[[0, 12, 24, 48]])
 
 
 @pytest.mark.parametrize("limit", [20, 10**6])
 def test_exact_quantiles_by_group_ignore_nan(spark, limit):
     groups = {1: SERIES["normal"], 2: np.append(SERIES["ties"], [np.nan] * 40), 3: [7.0]}
-    got = exact_quantiles(grouped(spark, groups), "x", [0.5, 0.75], ["g"], limit=limit).collect()
+    got = exact_quantiles(grouped(spark, groups), "x", [0.5, 0.75], ["g"], most=limit, accuracy=2).collect()
     assert {r.g for r in got} == {1, 2, 3}
     for r in got:
         assert np.allclose(r.quantiles, np.nanquantile(groups[r.g], [0.5, 0.75]))
@@ -202,13 +202,25 @@ def test_value_limits(spark):
     assert np.allclose([r.vmin, r.vmax], [-3.6, 3.6])
 
 
-def test_salted_attach_equals_broadcast(spark, monkeypatch):
+def test_whiskers_do_not_end_inside_the_box(spark):
+    r = stats.box_stats(column(spark, [0, 0, 0, 100]), "x").first()
+    assert (r.whisker_lo, r.whisker_hi, r.q3, r.fliers) == (0.0, 25.0, 25.0, 1)
+
+
+def test_wide_ranging_and_mostly_equal_values(spark):
+    xs = np.concatenate([10.0 ** RNG.uniform(-300, 300, 1500), -(10.0 ** RNG.uniform(-300, 300, 1500)), np.zeros(4000)])
+    got = exact_quantiles(column(spark, xs), "x", [0.05, 0.5, 0.95], most=1).first()
+    assert np.allclose(got.quantiles, np.quantile(xs, [0.05, 0.5, 0.95]))
+
+
+def test_shuffled_attach_equals_broadcast(spark, monkeypatch):
     df = grouped(spark, {1: range(100), 2: range(3)})
     state = df.groupBy("g").agg(F.avg("x").alias("m"))
     want = sorted(map(tuple, attach(df, state, ["g"]).select("g", "x", "m").collect()))
     monkeypatch.setattr("gridspark.runtime.BROADCAST_ROWS", 1)
-    salted = attach(df, state, ["g"])
-    assert sorted(map(tuple, salted.select("g", "x", "m").collect())) == want
+    plain = attach(df, state, ["g"])
+    assert "BROADCAST" not in plain._jdf.queryExecution().logical().toString().upper()
+    assert sorted(map(tuple, plain.select("g", "x", "m").collect())) == want
 
 
 def test_groups_without_numbers_and_null_groups_keep_their_rows(spark):
@@ -227,5 +239,5 @@ def test_groups_without_numbers_and_null_groups_keep_their_rows(spark):
 @pytest.mark.parametrize("limit", [5, 10**6])
 def test_one_group_with_most_rows(spark, limit):
     groups = {0: np.concatenate([RNG.normal(size=3000), np.full(2000, 0.5)]), 1: [1.0, 2.0], 2: [3.0]}
-    got = exact_quantiles(grouped(spark, groups), "x", [0.1, 0.5], ["g"], limit=limit).collect()
+    got = exact_quantiles(grouped(spark, groups), "x", [0.1, 0.5], ["g"], most=limit, accuracy=2).collect()
     assert all(np.allclose(r.quantiles, np.quantile(groups[r.g], [0.1, 0.5])) for r in got) and len(got) == 3
