@@ -11,12 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.operators import network
+from gridspark.operators.index import shuffle_rank
 from gridspark.operators.scaler import scaler_inverse, scaler_transform
 from gridspark.runtime import attach
 
-BACKGROUND_ROWS = 20_000  # the background is sent to every executor, so its size is checked
-
-
 def _matrix(vectors: pa.Array) -> np.ndarray:
     values = vectors.flatten().to_numpy(zero_copy_only=False)
     return values.reshape(len(vectors), -1).astype(float)
@@ -52,8 +50,8 @@ def attribution(df: DataFrame, background: DataFrame, weights: DataFrame, level:
     """Mean size of each feature's contribution to one output: (idx, mean_abs).
 
     Contributions are Shapley values against the background. A linear net has them in
-    closed form, w * (x - background mean), computed without Python; otherwise random
-    feature orders and background rows, drawn per sample id, are averaged.
+    closed form, w * (x - background mean), computed without Python; otherwise see
+    :func:`sampled_attribution`.
     """
     net = network.from_table(weights)
     rows = df.select("sample_id", "features")
@@ -81,35 +79,52 @@ def _linear(rows, background, net, level, block):
     return _mean_size(phi, block)
 
 
+def _one_output(net, level):
+    """The trunk and the head that gives an output, and its place in that head."""
+    start = 0
+    for head in net.heads:
+        width = head[-1].shape[1]
+        if level < start + width:
+            return network.Net(net.trunk, [head]), level - start
+        start += width
+    raise ValueError(f"the net has {start} outputs, there is no {level}")
+
+
+def sampled_attribution(df: DataFrame, background: DataFrame, weights: DataFrame, level: int,
+                        block: tuple[int, int] | None = None, n_permutations: int = 32, seed: int = 0) -> DataFrame:
+    """(idx, mean_abs) by sampled Shapley values, for any net and a background of any size.
+
+    Draw k of a sample replaces features, in a random order, of the background row whose
+    place (in seeded order) is a hash of seed, sample and k; the rows meet in a join.
+    """
+    rows = df.select("sample_id", "features")
+    return _sampled(rows, background, network.from_table(weights), level, block, n_permutations, seed)
+
+
 def _sampled(rows, background, net, level, block, n_permutations, seed):
-    spark = rows.sparkSession
-    if background.limit(BACKGROUND_ROWS + 1).count() > BACKGROUND_ROWS:
-        raise ValueError(f"the background may have at most {BACKGROUND_ROWS} rows")
-    reference = np.array([r[0] for r in background.select("features").orderBy("sample_id").collect()])
-    held = spark.sparkContext.broadcast((net, reference))
-
-    def contributions(model, base, sid, vector):
-        x = np.asarray(vector, dtype=float)
-        rng = np.random.default_rng([seed, int(sid)])
+    model, output = _one_output(net, level)
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    based = shuffle_rank(background.select("sample_id", "features"), seed, out="at").select(
+        "at", F.col("features").alias("base"))
+    size = background.select("sample_id").agg(F.count("*").alias("n")).scalar()
+    drawn = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample_id").cast("string"), F.col("k").cast("string")))
+    place = F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint")
+    paired = drawn.withColumn("at", F.pmod(place, size)).join(based, "at")
+
+    def explain(pdf):
+        x = np.asarray(pdf["features"].iloc[0], dtype=float)
         phi = np.zeros(len(x))
-        for _ in range(n_permutations):
-            order = rng.permutation(len(x))
-            # Row k holds the first k features of x in this order and the rest of the base.
-            taken = np.tri(len(x) + 1, len(x), -1, dtype=bool)
-            steps = np.tile(base[rng.integers(len(base))], (len(x) + 1, 1))
+        # Row k of ``taken`` holds the first k features of the sample and the rest of the base.
+        taken = np.tri(len(x) + 1, len(x), -1, dtype=bool)
+        for k, base in zip(pdf["k"], pdf["base"]):
+            order = np.random.default_rng([seed, int(pdf["sample_id"].iloc[0]), int(k)]).permutation(len(x))
+            steps = np.tile(np.asarray(base, dtype=float), (len(x) + 1, 1))
             steps[:, order] = np.where(taken, x[order], steps[:, order])
-            phi[order] += np.diff(network.forward(model, steps)[:, level])
-        return phi / n_permutations
-
-    def explain(batches):
-        model, base = held.value
-        for pdf in batches:
-            if len(pdf):
-                phi = [contributions(model, base, s, v) for s, v in zip(pdf["sample_id"], pdf["features"])]
-                idx = np.tile(np.arange(len(phi[0]), dtype=np.int32), len(phi))
-                yield pd.DataFrame({"idx": idx, "phi": np.concatenate(phi)})
-
-    return _mean_size(rows.mapInPandas(explain, "idx INT, phi DOUBLE"), block)
+            phi[order] += np.diff(network.forward(held.value, steps)[:, output])
+        return pd.DataFrame({"idx": np.arange(len(x), dtype=np.int32), "phi": phi / len(pdf)})
+
+    return _mean_size(paired.groupBy("sample_id").applyInPandas(explain, "idx INT, phi DOUBLE"), block)
 
 
 def attribution_topk(attr: DataFrame, k: int = 7) -> DataFrame:

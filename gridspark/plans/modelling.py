@@ -74,6 +74,24 @@ def attribution_topk(spark, folder):
     return rounded(scoring.attribution_topk(found, 7), 8, "mean_abs")
 
 
+@query(sql(f"""
+    WITH r AS (SELECT sample_id, features, row_number() OVER (ORDER BY md5('{SEED}:' || sample_id)) - 1 AS pos
+               FROM vectors),
+    d AS (SELECT sample_id, features, CAST('0x' || substr(md5('{SEED}:' || sample_id || ':' || k), 1, 8) AS BIGINT) % 200 AS at
+          FROM r, (SELECT unnest(range(4)) AS k) WHERE pos >= 200),
+    p AS (SELECT d.sample_id, CAST(unnest(range(52)) AS INT) AS idx, unnest(d.features) - unnest(b.features) AS gap
+          FROM d JOIN r b ON b.pos = d.at),
+    q AS (SELECT sample_id, idx, avg(gap) * ((7 * idx + 3 * 2) % 11 - 5) / 10.0::DOUBLE AS phi FROM p GROUP BY sample_id, idx)
+    SELECT idx, round(avg(abs(phi)), 8) AS mean_abs FROM q GROUP BY idx"""))
+def attribution_sampled(spark, folder):
+    """The sampled path with a linear net, where the order of the features does not matter."""
+    rows = shuffle_rank(fx.vectors(spark, folder).select("sample_id", "features"), SEED)
+    parts = split.attribution_split(rows, 200, rows.count())
+    found = scoring.sampled_attribution(parts.where("role = 'test'"), parts.where("role = 'background'"),
+                                        linear_weights(spark), 2, None, 4, SEED)
+    return rounded(found, 8, "mean_abs")
+
+
 @query()
 def attribution_net(spark, folder):
     net = network.new_net(fx.FEATURES, fx.TARGETS, (16,), (8,), seed=1)
@@ -121,10 +139,74 @@ def training_loss(spark, folder):
     return rounded(log.select("epoch", "loss", "mae", "mse"), 8, "loss", "mae", "mse")
 
 
+def _learned_sql(steps: str) -> str:
+    """The linear model after two steps; ``steps`` has the update of step k from w and g."""
+    head = LOSSES[:LOSSES.index("    p AS (")] + LOSSES[LOSSES.index("    r AS ("):LOSSES.index("    st AS (")]
+    return head + f"""
+    x AS (SELECT sample_id, idx, z FROM z UNION ALL SELECT sample_id, 52, 1.0::DOUBLE FROM vectors),
+    t AS (SELECT sample_id, plevel, (t - m) / sd AS t FROM y JOIN s USING (plevel)),
+    w0 AS (SELECT CAST(i.range AS INT) AS idx, CAST(j.range AS INT) AS plevel, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v,
+             CASE WHEN i.range = 52 THEN j.range / 10.0::DOUBLE
+                  ELSE ((7 * i.range + 3 * j.range) % 11 - 5) / 10.0::DOUBLE END AS w FROM range(53) i, range(6) j),
+    {steps}
+    SELECT idx, plevel, round(w, 7) AS w FROM w2"""
+
+
+def _step(k: int, moments: str, update: str, clip: float | None) -> str:
+    g = "g" if clip is None else f"greatest(least(g, {clip}), -{clip})"
+    return f"""d{k} AS (SELECT b.sample_id, w.plevel, sum(z * w.w) - any_value(t.t) AS d
+          FROM b JOIN x ON x.sample_id = b.sample_id JOIN w{k - 1} w USING (idx)
+          JOIN t ON t.sample_id = b.sample_id AND t.plevel = w.plevel
+          WHERE batch_id = {k - 1} % batches GROUP BY ALL),
+    g{k} AS (SELECT idx, plevel, 2 * sum(d * z) / (SELECT count(DISTINCT sample_id) FROM d{k}) AS g
+          FROM d{k} JOIN x USING (sample_id) GROUP BY ALL),
+    u{k} AS (SELECT idx, plevel, w, {moments.replace("G", g)} FROM g{k} JOIN w{k - 1} USING (idx, plevel)),
+    w{k} AS (SELECT idx, plevel, m, v, {update} AS w FROM u{k})"""
+
+
+def _adam_sql(rate: float, clip: float | None) -> str:
+    def update(k):
+        scale = f"{rate} * sqrt(1 - power(0.999::DOUBLE, {k})) / (1 - power(0.9::DOUBLE, {k}))"
+        return f"w - {scale} * m / (sqrt(v) + 1e-8)"
+    moments = ("0.9::DOUBLE * m + (1 - 0.9::DOUBLE) * (G) AS m, "
+               "0.999::DOUBLE * v + (1 - 0.999::DOUBLE) * (G) * (G) AS v")
+    return ",\n    ".join(_step(k, moments, update(k), clip) for k in (1, 2))
+
+
+def _rmsprop_sql(rate: float) -> str:
+    moments = "(G) AS m, 0.9::DOUBLE * v + (1 - 0.9::DOUBLE) * (G) * (G) AS v"
+    return ",\n    ".join(_step(k, moments, f"w - {rate} * m / (sqrt(v) + 1e-7)", None) for k in (1, 2))
+
+
+def _learned(spark, folder, optimizer, **options):
+    """Weights of the linear model after two steps, by input and output."""
+    weights, _ = _trained(spark, folder, loss="mse", optimizer=optimizer, init_weights=linear_weights(spark),
+                          **{"epochs": 1, "steps_per_epoch": 2, **options})
+    cells = weights.select("n_cols", F.posexplode("weights").alias("at", "w"))
+    return cells.select(F.floor(F.col("at") / F.col("n_cols")).cast("int").alias("idx"),
+                        F.pmod("at", "n_cols").alias("plevel"), F.round("w", 7).alias("w"))
+
+
+@query(sql(_learned_sql(_adam_sql(0.01, None))))
+def train_adam(spark, folder):
+    return _learned(spark, folder, training.Adam(0.01))
+
+
+@query(sql(_learned_sql(_adam_sql(0.01, 0.05))))
+def train_adam_clipped(spark, folder):
+    return _learned(spark, folder, training.Adam(0.01, clip=0.05))
+
+
+@query(sql(_learned_sql(_rmsprop_sql(0.002))))
+def train_rmsprop(spark, folder):
+    return _learned(spark, folder, training.RMSprop(0.002))
+
+
 @query()
 def mlp_train(spark, folder):
     weights, _ = _trained(spark, folder)
-    return weights.select("part", "head", "layer", "n_rows", "n_cols")
+    return weights.select("part", "head", "layer", F.posexplode("weights").alias("at", "w")).withColumn(
+        "w", F.round("w", 4))
 
 
 @query()
