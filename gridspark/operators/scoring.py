@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +21,14 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
     return values.reshape(len(vectors), -1).astype(float)
 
 
-def predict(df: DataFrame, weights: DataFrame, col: str = "features", out: str = "prediction") -> DataFrame:
+def share(weights: DataFrame) -> Broadcast:
+    """The model sent to the executors once; its size does not depend on the data."""
+    return weights.sparkSession.sparkContext.broadcast(network.from_table(weights))
+
+
+def predict(df: DataFrame, weights: DataFrame | Broadcast, col: str = "features", out: str = "prediction") -> DataFrame:
     """Forward pass; only the feature column goes through Arrow to Python."""
-    held = df.sparkSession.sparkContext.broadcast(network.from_table(weights))
+    held = weights if isinstance(weights, Broadcast) else share(weights)
 
     @F.arrow_udf("array<double>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -37,7 +43,7 @@ def predict(df: DataFrame, weights: DataFrame, col: str = "features", out: str =
     return df.withColumn(out, run(col))
 
 
-def batch_score(df: DataFrame, weights: DataFrame, x_state: DataFrame, y_state: DataFrame,
+def batch_score(df: DataFrame, weights: DataFrame | Broadcast, x_state: DataFrame, y_state: DataFrame,
                 target: str = "gwfu") -> DataFrame:
     """Scale the features, predict, and unscale the predictions to the target's units."""
     scaled = scaler_transform(df.select("sample_id", "features", target), x_state, "features")

@@ -71,4 +71,4 @@ def stream_level_metrics(spark, folder):
     stream = arriving(spark, fx.pairs(spark, folder), "sample_id")
     path = scratch_path(spark, "stream-metrics")
     finish(jobs.keep_latest(jobs.stream_level_metrics(stream), f"{path}/sink", f"{path}/checkpoint"))
-    return rounded(rounded(spark.read.parquet(f"{path}/sink"), 4, "mae", "rmse"), 6, "r_squared")
+    return rounded(rounded(jobs.latest_state(spark, f"{path}/sink"), 4, "mae", "rmse"), 6, "r_squared")

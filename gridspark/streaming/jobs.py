@@ -1,7 +1,8 @@
 """Scaler state, scores, window means and level metrics kept current on a stream.
 
 Batches are written under their own number, so a batch repeated after a failure replaces
-itself. All paths must lie in storage the whole cluster shares.
+itself. A batch counts once its success mark is there; readers take the newest such batch, and
+all but the last few are removed. All paths must lie in storage the whole cluster shares.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gridspark.operators.metrics import level_metrics
 from gridspark.operators.scaler import scaler_fit, scaler_merge
-from gridspark.operators.scoring import batch_score
+from gridspark.operators.scoring import batch_score, share
+from gridspark.runtime import settle
 
 STEP_HOURS = 6
+KEEP = 3  # batches of a state that stay: the newest, its predecessor, and one being read
 
 
 def start(writer, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -34,20 +37,44 @@ def stream_scaler(stream: DataFrame, col: str, state_path: str, checkpoint: str,
         state = scaler_fit(batch, col)
         if before is not None:
             state = scaler_merge(before, state)
-        state.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+        publish(state, state_path, number)
 
     return start(stream.writeStream.foreachBatch(merge), checkpoint, every)
 
 
+def _published(spark: SparkSession, path: str):
+    """(file system, {number: folder}) of the batches below ``path`` that are complete."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = hadoop(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in files.listStatus(root)] if files.exists(root) else []
+    folders = {int(p.getName().removeprefix("batch=")): p for p in found if p.getName().startswith("batch=")}
+    return files, {n: p for n, p in folders.items() if files.exists(hadoop(p, "_SUCCESS"))}
+
+
+def publish(df: DataFrame, path: str, number: int, keep: int = KEEP) -> None:
+    """Write batch ``number`` and remove complete ones that are ``keep`` or more behind it."""
+    df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    files, done = _published(df.sparkSession, path)
+    for old, folder in done.items():
+        if old <= number - keep:
+            files.delete(folder, True)
+
+
 def latest_state(spark: SparkSession, state_path: str) -> DataFrame:
-    states = spark.read.parquet(state_path)
-    newest = states.agg(F.max("batch")).first()[0]
-    return states.where(F.col("batch") == newest).drop("batch")
+    """The newest complete batch."""
+    _, done = _published(spark, state_path)
+    return spark.read.parquet(f"{state_path}/batch={max(done)}")
 
 
 def stream_score(stream: DataFrame, weights: DataFrame, x_state: DataFrame, y_state: DataFrame,
                  sink: str, checkpoint: str, target: str = "gwfu", every: str | None = None) -> StreamingQuery:
-    """Score columns as they arrive; each batch is one folder of the sink."""
+    """Score columns as they arrive; each batch is one folder of the sink.
+
+    The scaler states are computed and the model is sent once, before the stream starts.
+    """
+    weights, x_state, y_state = share(weights), settle(x_state), settle(y_state)
+
     def score(batch: DataFrame, number: int):
         scored = batch_score(batch, weights, x_state, y_state, target)
         scored.write.mode("overwrite").parquet(f"{sink}/batch={number}")
@@ -77,8 +104,8 @@ def stream_level_metrics(stream: DataFrame) -> DataFrame:
 
 
 def keep_latest(result: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Write the whole (small) aggregate after each batch, in place of the one before."""
-    def replace(batch: DataFrame, _: int):
-        batch.write.mode("overwrite").parquet(path)
+    """Publish the whole (small) aggregate after each batch; read it by ``latest_state``."""
+    def replace(batch: DataFrame, number: int):
+        publish(batch, path, number)
 
     return start(result.writeStream.outputMode("complete").foreachBatch(replace), checkpoint, every)

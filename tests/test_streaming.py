@@ -34,6 +34,17 @@ def test_scaler_goes_on_after_a_restart(spark, tmp_path):
         assert np.allclose(got[i], (90, XS[:, i].mean(), XS[:, i].var() * 90))
 
 
+def test_old_states_go_and_unfinished_ones_do_not_count(spark, tmp_path):
+    root = str(tmp_path)
+    for i in range(6):
+        arrive(spark, f"{root}/in", XS[10 * i:10 * i + 10], 10 * i)
+    assert fit(spark, root)[0][0] == 60
+    kept = sorted(p.name for p in (tmp_path / "state").iterdir() if p.name.startswith("batch="))
+    assert kept == ["batch=3", "batch=4", "batch=5"]
+    (tmp_path / "state" / "batch=6").mkdir()
+    assert {r.n for r in jobs.latest_state(spark, f"{root}/state").collect()} == {60}
+
+
 def test_scaler_starts_from_a_loaded_state(spark, tmp_path):
     root = str(tmp_path)
     arrive(spark, f"{root}/first", XS[:30])
@@ -72,7 +83,7 @@ def test_stream_metrics_equal_batch_metrics(spark, tmp_path, files):
     out = str(tmp_path / "out")
     jobs.keep_latest(jobs.stream_level_metrics(stream), out, str(tmp_path / "checkpoint")).awaitTermination()
     got, want = (np.array(sorted(map(tuple, d.select("plevel", "n", "mae", "rmse", "r_squared").collect())))
-                 for d in (spark.read.parquet(out), metrics.level_metrics(pairs)))
+                 for d in (jobs.latest_state(spark, out), metrics.level_metrics(pairs)))
     assert np.allclose(got, want)
 
 
