@@ -24,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.links import components, narrow
+from gridspark.llm.links import components, narrow, release, small_batches
 from gridspark.llm.text import Prints, U, chunks, column, inside, mix, spread, words
 from gridspark.llm.ties import tied_entries
 from gridspark.runtime import settle, ship_package
 
 WIDTH = 5
 PERCENT = 75
+# Orders whose first tokens choose centres: for all sets, then between clusters only.
 STARS = 3
+LATER_STARS = 4
 CHECKS = 2
 
 
@@ -97,7 +99,8 @@ def _sets(width):
                 tokens, sizes = token_sets(buf, off, width)
                 ends = np.cumsum(sizes)
                 own = [tokens[e - s:e] for s, e in zip(sizes, ends)]
-                lead = [[int(_ordered(t, k).min()) >> 1 if len(t) else None for t in own] for k in range(STARS)]
+                lead = [[int(_ordered(t, k).min()) >> 1 if len(t) else None for t in own]
+                        for k in range(STARS + LATER_STARS)]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(sizes)), column([_name(t).hex() for t in own], pa.string()),
                      column(sizes, pa.int64()), column([t.tobytes() for t in own], pa.binary()),
@@ -132,7 +135,7 @@ def _linked(percent, checks):
                 sizes = len(one), len(two)
                 fits = 100 * min(sizes) >= percent * max(sizes)
                 # The shared prefix in every other order, before the sets are compared.
-                for k in range(STARS, STARS + checks):
+                for k in range(100, 100 + checks):
                     if fits:
                         heads = [first_of(t, len(t) - -(-percent * len(t) // 100) + 1, k) for t in (one, two)]
                         fits = len(np.intersect1d(*heads, assume_unique=True)) > 0
@@ -152,11 +155,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, checks: int) -> D
     return both.mapInArrow(_linked(percent, checks), "a long, b long")
 
 
-def _star_pairs(sets: DataFrame) -> DataFrame:
-    keyed = sets.select("node", F.posexplode("leads").alias("k", "lead")).where("lead is not null")
-    centres = keyed.groupBy("k", "lead").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1")
-    return keyed.join(centres.drop("c"), ["k", "lead"]).where("a < node").select(
-        "a", F.col("node").alias("b")).distinct()
+def _star_pairs(sets: DataFrame, roots: DataFrame, first: int, last: int) -> DataFrame:
+    """Every set with a centre of another cluster that shares its first token in some order.
+
+    The centre is the set with the largest part of tokens that others hold too: a copy that
+    was changed has tokens of its own, what it was made from has fewer.
+    """
+    keyed = sets.select("node", "own_share", F.posexplode("leads").alias("k", "lead")).where(
+        F.col("lead").isNotNull() & F.col("k").between(first, last - 1)).join(roots, "node")
+    centres = keyed.groupBy("k", "lead").agg(F.min(F.struct("own_share", "node", "root")).alias("a"), F.count("*").alias("c")).where("c > 1")
+    return keyed.join(centres.drop("c"), ["k", "lead"]).where(F.col("root") != F.col("a.root")).select(
+        F.col("a.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after joining the clusters that links (a, b) of nodes connect."""
+    ends = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(
+        roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+    tops = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return settle(roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
 def _crossing_pairs(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
@@ -168,7 +186,7 @@ def _crossing_pairs(sets: DataFrame, clusters: DataFrame, percent: int) -> DataF
     own = Window.partitionBy("node")
     placed = shared.withColumns({"rank": F.row_number().over(own.orderBy("df", "token")),
                                  "held": F.count("*").over(own)})
-    placed = placed.join(clusters, "node")
+    placed = placed.join(settle(sets.select("node", "n").join(clusters, "node")), "node")
     place = F.col("n") - F.col("held") + F.col("rank")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     heads = settle(placed.withColumn("place", place).where(F.col("place") <= prefix).select(
@@ -197,35 +215,39 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     """
     spark = docs.sparkSession
     ship_package(spark)
-    docs = docs.select("doc_id", "text")
+    with small_batches(spark):
+        return _jaccard_groups(spark, docs.select("doc_id", "text"), width, percent)
+
+
+def _jaccard_groups(spark, docs, width, percent):
     facts = settle(docs.mapInArrow(_facts(width), "doc_id long, n long, name string"))
     usable = facts.where("doc_id is not null and n > 0")
     nodes = usable.groupBy("name").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     tied = tied_entries(docs.where("doc_id is not null").select("text"), _entries(width), by_place=False)
-    credit = tied.groupBy("owner").agg(F.sum("n").alias("shared"))
+    credit = settle(tied.select("owner", F.col("n").alias("shared")))
+    del tied
+    release(spark)
     half = F.conv(F.substring("name", 1, 16), 16, -10).cast("long")
     open_nodes = settle(nodes.withColumn("owner", half).join(credit, "owner").where(
-        100 * F.col("shared") >= percent * F.col("n")).select("name", "rep"))
+        100 * F.col("shared") >= percent * F.col("n")).select(
+        "name", "rep", F.greatest(1 - F.col("shared") / F.col("n"), F.lit(0.0)).alias("own_share")))
 
     texts = narrow(docs, open_nodes.select(F.col("rep").alias("doc_id")))
     reps = open_nodes.select(F.col("rep").alias("doc_id")).distinct()
-    found = texts.join(reps, "doc_id", "left_semi").mapInArrow(
+    # An inner join: a semi-join would be pushed below the filter of ``narrow``.
+    found = texts.join(reps.hint("merge"), "doc_id").mapInArrow(
         _sets(width), "rep long, name string, n long, tokens binary, leads array<long>")
     # A doc_id with several texts brings sets nobody asked for; equal sets come once.
-    sets = settle(found.join(open_nodes, ["name", "rep"], "left_semi").dropDuplicates(["name"]).withColumn(
+    sets = settle(found.join(open_nodes, ["name", "rep"]).dropDuplicates(["name"]).withColumn(
         "node", F.monotonically_increasing_id()))
 
-    near = components(settle(_verified(_star_pairs(sets), sets, percent, 0)))
-    clusters = settle(sets.select("node", "n").join(near, "node", "left").select(
-        "node", "n", F.coalesce("root", "node").alias("root")))
-    pairs = _crossing_pairs(sets, clusters, percent)
-    crossing = _verified(pairs, sets, percent, CHECKS)
-    roots = clusters.select("node", "root")
-    bridges = crossing.join(roots.withColumnsRenamed({"node": "a", "root": "ra"}), "a").join(
-        roots.withColumnsRenamed({"node": "b", "root": "rb"}), "b").select(
-        F.col("ra").alias("a"), F.col("rb").alias("b"))
-    merged = components(bridges).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    of_set = clusters.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("top"))
+    release(spark)
+    roots = sets.select("node", F.col("node").alias("root"))
+    for first, last in ((0, STARS), (STARS, STARS + LATER_STARS)):
+        roots = _merged(roots, _verified(_star_pairs(sets, roots, first, last), sets, percent, 0))
+    pairs = settle(_crossing_pairs(sets, roots, percent))
+    release(spark)
+    of_set = _merged(roots, _verified(pairs, sets, percent, CHECKS)).withColumnRenamed("root", "top")
     named = sets.select("node", "name", "rep").join(of_set, "node")
     lowest = named.groupBy("top").agg(F.min("rep").alias("low"))
     linked = named.join(lowest, "top").select("name", "low")
