@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions import key_bucket, shuffle_key
-from gridspark.runtime import attach, settle
+from gridspark.runtime import attach, stored
 
 DIGITS = 4  # 65,536 buckets: about 15 million rows each at 10^12 rows
 
@@ -20,12 +20,12 @@ def global_index(df: DataFrame, order_cols, out: str = "pos") -> DataFrame:
     """Exact position of every row in the given order; a row hash breaks ties.
 
     Rows are range-partitioned (ties too, so one frequent value is not one task) and
-    numbered inside their partition. The result is checkpointed once, so that partition
-    numbers and offsets agree after any lost executor.
+    numbered inside their partition. The result is written once, so that partition numbers
+    and offsets agree after any lost executor; counting reads the numbers alone.
     """
     order = [*order_cols, F.xxhash64(*df.columns)]
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = settle(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    numbered = stored(ranged.withColumn("_id", F.monotonically_increasing_id()), "indexed")
     part = F.shiftright("_id", 33)  # partition number sits above the 33-bit row number
     counts = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

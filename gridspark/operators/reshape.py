@@ -38,12 +38,14 @@ def with_grid_index(df: DataFrame) -> DataFrame:
 def to_columns(cells: DataFrame, variables, plevels: int | None = None, key=COLUMN_KEY) -> DataFrame:
     """One row per vertical column, each variable an array ordered by level.
 
-    All variables travel in one shuffle, and a group has one row per level.
+    All variables travel in one shuffle, and a group has one row per level. A column that
+    lacks a level below its highest is refused with an error.
     """
     rows = cells if plevels is None else cells.where(F.col("plevel") < plevels)
     profile = rows.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct("plevel", *variables))).alias("profile"))
-    return profile.select(*key, *[F.col("profile")[v].alias(v) for v in variables])
+    return profile.where(_whole(F.col("profile")["plevel"])).select(
+        *key, *[F.col("profile")[v].alias(v) for v in variables])
 
 
 def to_dense_columns(cells: DataFrame, variables, plevels: int, key=COLUMN_KEY) -> DataFrame:
@@ -88,10 +90,17 @@ def explode_levels(df: DataFrame, vectors, key=("sample_id",), index="plevel") -
 
 
 def stack_levels(df: DataFrame, vectors, key=("sample_id",), index="plevel") -> DataFrame:
-    """Inverse of :func:`explode_levels`."""
+    """Inverse of :func:`explode_levels`; a missing level is refused with an error."""
     stacked = df.groupBy(*key).agg(
         F.array_sort(F.collect_list(F.struct(index, *vectors))).alias("_s"))
-    return stacked.select(*key, *[F.col("_s")[v].alias(v) for v in vectors])
+    return stacked.where(_whole(F.col("_s")[index])).select(*key, *[F.col("_s")[v].alias(v) for v in vectors])
+
+
+def _whole(levels):
+    """True, or an error where a level is missing: what follows it would move up."""
+    expected = F.sequence(F.lit(0), F.size(levels) - 1)
+    gap = F.raise_error(F.concat(F.lit("levels are missing or repeated: "), F.to_json(levels)))
+    return F.when(F.transform(levels, lambda i: i.cast("int")) == expected, True).otherwise(gap.cast("boolean"))
 
 
 def vectors_to_cells(df: DataFrame, vectors, n_lat: int, n_lon: int) -> DataFrame:

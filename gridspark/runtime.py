@@ -74,6 +74,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Written once below the shared folder and read back, column by column where asked."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def is_small(state: DataFrame) -> bool:
     return state.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 

@@ -90,3 +90,21 @@ def test_student_probability(spark):
     three = 1 - 2 / np.pi * (angle + np.sin(angle) * np.cos(angle))
     want = [0.0733880348, 1.0, 0.5, 1 - 3 / np.sqrt(11), 0.0499958, three]
     assert np.allclose(got, want, rtol=1e-5)
+
+
+def test_student_probability_against_the_density(spark):
+    pairs = [(t, f) for f in (3.0, 7.0, 29.0, 250.0, 5e4) for t in (0.3, 1.1, 2.7, 4.2)]
+    got = [r[0] for r in spark.createDataFrame(pairs, "t DOUBLE, f DOUBLE").select(fn.t_two_sided("t", "f")).collect()]
+    for (t, f), p in zip(pairs, got):
+        xs = np.linspace(0, t, 20001)
+        density = (1 + xs * xs / f) ** (-(f + 1) / 2)
+        # The density's constant, from its integral over everything (x = sqrt(f) tan u).
+        u = np.linspace(0, np.pi / 2, 400001)
+        whole = np.sqrt(f) * np.trapezoid(np.cos(u) ** (f - 1), u)
+        assert np.isclose(p, 1 - np.trapezoid(density, xs) / whole, rtol=1e-6, atol=1e-9)
+
+
+def test_student_probability_of_very_many_degrees_of_freedom(spark):
+    df = spark.createDataFrame([(1.96, 1e10), (-1.0, 1e300), (0.5, float("nan")), (1.0, 0.0)], "t DOUBLE, f DOUBLE")
+    got = [r[0] for r in df.select(fn.t_two_sided("t", "f")).collect()]
+    assert np.allclose(got[:2], [0.04999579, 0.31731051], rtol=1e-7) and got[2:] == [None, None]

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.operators import histogram, metrics, outliers, stats
+from gridspark.operators import histogram, metrics, outliers, reshape, stats
 from gridspark.operators.quantiles import exact_quantiles
 from gridspark.runtime import attach
 
@@ -202,6 +202,16 @@ def test_value_limits(spark):
     assert np.allclose([r.vmin, r.vmax], [-3.6, 3.6])
 
 
+def test_missing_levels_are_refused(spark):
+    rows = spark.createDataFrame([(1, 0, 5.0), (1, 2, 7.0)], "sample_id INT, plevel INT, v DOUBLE")
+    with pytest.raises(Exception, match="levels are missing"):
+        reshape.stack_levels(rows, ["v"]).collect()
+    with pytest.raises(Exception, match="levels are missing"):
+        reshape.to_columns(rows, ["v"], key=("sample_id",)).collect()
+    whole = rows.where("plevel = 0")
+    assert reshape.stack_levels(whole, ["v"]).first().v == [5.0]
+
+
 def test_whiskers_do_not_end_inside_the_box(spark):
     r = stats.box_stats(column(spark, [0, 0, 0, 100]), "x").first()
     assert (r.whisker_lo, r.whisker_hi, r.q3, r.fliers) == (0.0, 25.0, 25.0, 1)
