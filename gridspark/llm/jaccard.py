@@ -252,8 +252,9 @@ def _jaccard_groups(spark, docs, width, percent):
     lowest = named.groupBy("top").agg(F.min("rep").alias("low"))
     linked = named.join(lowest, "top").select("name", "low")
     # Copies outside any link still form a group: their common set's smallest document.
-    groups = nodes.join(linked, "name", "left").select(
-        "name", F.coalesce("low", "rep").alias("component"))
+    # Settled, so that the join below is a plain one, which Spark splits where a set is hot.
+    groups = settle(nodes.join(linked, "name", "left").select(
+        "name", F.coalesce("low", "rep").alias("component")))
     out = facts.join(groups, "name", "left")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"),
