@@ -27,6 +27,21 @@ def feature_summary(spark, folder):
     return summary(spark, folder)
 
 
+def _text_sql(column: str) -> str:
+    """Two decimals of the exact value, without trailing zeros."""
+    return f"regexp_replace(printf('%.2e', CAST({column} AS DOUBLE)), '0+e', 'e')"
+
+
+@query(sql(f"""SELECT name, units, {", ".join(f"{_text_sql(c)} AS {c}_text" for c in ("mean", "std", "max", "min"))}
+    FROM ({SUMMARY_SQL.replace("round(avg(", "(avg(").replace("round(stddev_pop(", "(stddev_pop(").replace("), 6)", "))")})
+    LEFT JOIN (VALUES ('temp', 'K')) AS m(name, units) USING (name)"""))
+def feature_summary_text(spark, folder):
+    """The summary's texts, and what is known about a variable beside its numbers."""
+    meta = spark.createDataFrame([("temp", "K"), ("omega", "Pa/s")], "name STRING, units STRING")
+    found = stats.feature_summary(fx.cells(spark, folder), ["ucomp", "temp"], meta)
+    return found.select("name", "units", *[f"{c}_text" for c in ("mean", "std", "max", "min")])
+
+
 @query(sql("""
     WITH d AS (SELECT time, plevel, lat, lon, ucomp, abs(ucomp - med) AS dev
                FROM cells, (SELECT median(ucomp) AS med FROM cells))
