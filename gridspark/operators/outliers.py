@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import is_number
 from gridspark.operators.quantiles import exact_quantiles
-from gridspark.runtime import attach, settle
+from gridspark.runtime import attach, is_small, settle
 
 THRESHOLD = 3.5
 MAD_TO_SIGMA = 0.6745
@@ -29,12 +29,13 @@ def _beyond(dev: Column, mad, thresh: float) -> Column:
 
 
 def outlier_limits(df: DataFrame, col: str, by=()) -> DataFrame:
-    """(by…, _med, _mad): median and median absolute deviation, one row per group, settled."""
+    """(by…, _med, _mad): median and median absolute deviation, one row per group."""
     by = list(by)
     medians = _median(df, col, by, "_med")
-    centred = attach(df.select(*by, col), medians, by, settled=True)
+    few = is_small(medians)
+    centred = attach(df.select(*by, col), medians, by, few=few)
     spread = _median(centred, F.abs(F.col(col) - F.col("_med")), by, "_mad")
-    return settle(attach(medians, spread, by, settled=True))
+    return attach(medians, spread, by, few=few)
 
 
 def flag_outliers(df: DataFrame, col: str, by=(), thresh: float = THRESHOLD) -> DataFrame:

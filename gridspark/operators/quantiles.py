@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions import is_number
-from gridspark.runtime import attach, settle
+from gridspark.runtime import attach, is_small, settle
 
 # A sketch answers within n / ACCURACY ranks; it holds a few times that many values.
 ACCURACY = 1000
@@ -35,17 +35,21 @@ def exact_quantiles(df: DataFrame, col, probs, by=(), most: int = BRACKET_VALUES
     keys = by or ["_all"]
     data = _numbers(df, F.col(col) if isinstance(col, str) else col, keys)
     state = _brackets(data, keys, probs, accuracy)
-    values = _counted(data, state, keys)
-    missed = _missed(values, state, keys)
-    if not missed.isEmpty():
+    few = is_small(state)
+    values = _counted(data, state, keys, few)
+    checked = _checked(values, state, keys, few)
+    missed, crowded = checked.agg(F.count_if("missed"), F.max("different")).first()
+    if missed:
         # The sketch was worse than promised: these groups are counted whole.
-        whole = state.columns
-        state = settle(attach(state, missed, [*keys, "p"]).withColumns({
-            "lo": F.coalesce("_least", "lo"), "hi": F.coalesce("_most", "hi")}).select(*whole))
-        values = _counted(data, state, keys)
-    while not values.groupBy(*keys, "p").agg(F.count("v").alias("d")).where(F.col("d") > max(most, CELLS)).isEmpty():
-        values = _thinned(values, state, keys, max(most, CELLS))
-    found = _picked(values, state, keys)
+        state = settle(checked.withColumns({
+            "lo": F.when(F.col("missed"), F.col("least")).otherwise(F.col("lo")),
+            "hi": F.when(F.col("missed"), F.col("most")).otherwise(F.col("hi"))}).select(*state.columns))
+        values = _counted(data, state, keys, few)
+        crowded = _checked(values, state, keys, few).agg(F.max("different")).first()[0]
+    while (crowded or 0) > max(most, CELLS):
+        values = _thinned(values, state, keys, max(most, CELLS), few)
+        crowded = values.groupBy(*keys, "p").agg(F.count("v").alias("d")).agg(F.max("d")).first()[0]
+    found = _picked(values, state, keys, few)
     return found if by else found.drop("_all")
 
 
@@ -72,55 +76,55 @@ def _brackets(data, keys, probs, accuracy):
     return settle(spots.withColumns({"first": F.floor("spot"), "last": F.ceil("spot")}))
 
 
-def _placed(data, state, keys):
+def _placed(data, state, keys, few):
     """Rows of each bracket, and those below it: (keys…, p, v), v null when below."""
     spans = state.groupBy(*keys).agg(F.collect_list(F.struct("p", "lo", "hi")).alias("_spans"))
     held = F.filter("_spans", lambda s: F.col("_v") <= s["hi"])
-    rows = attach(data, spans, keys).select(*keys, "_v", F.explode(held).alias("_s"))
+    rows = attach(data, spans, keys, few=few).select(*keys, "_v", F.explode(held).alias("_s"))
     return rows.select(*keys, F.col("_s.p").alias("p"),
                        F.when(F.col("_v") >= F.col("_s.lo"), F.col("_v")).alias("v"))
 
 
-def _counted(data, state, keys):
+def _counted(data, state, keys, few):
     """(keys…, p, v, c): how often each value of a bracket occurs; v null for all below it."""
-    return settle(_placed(data, state, keys).groupBy(*keys, "p", "v").agg(F.count("*").alias("c")))
+    return settle(_placed(data, state, keys, few).groupBy(*keys, "p", "v").agg(F.count("*").alias("c")))
 
 
-def _missed(values, state, keys):
-    """The brackets that do not hold their ranks, with the ends of their group."""
+def _checked(values, state, keys, few):
+    """The brackets: whether one misses its ranks, and how many different values it has."""
     c = F.col("c")
     counts = values.groupBy(*keys, "p").agg(
-        F.coalesce(F.sum(F.when(F.col("v").isNull(), c)), F.lit(0)).alias("below"), F.sum(c).alias("upto"))
-    known = attach(state, counts, [*keys, "p"])
+        F.coalesce(F.sum(F.when(F.col("v").isNull(), c)), F.lit(0)).alias("below"), F.sum(c).alias("upto"),
+        F.count("v").alias("different"))
+    known = attach(state, counts, [*keys, "p"], few=few)
     hit = (F.col("first") >= F.col("below")) & (F.col("last") < F.col("upto"))
-    return settle(known.where(~F.coalesce(hit, F.lit(False))).select(
-        *keys, "p", F.col("least").alias("_least"), F.col("most").alias("_most")))
+    return known.withColumn("missed", ~F.coalesce(hit, F.lit(False)))
 
 
-def _thinned(values, state, keys, most):
+def _thinned(values, state, keys, most, few):
     """Crowded brackets cut in cells of equally many values; the wanted ranks' cells stay."""
     item = [*keys, "p"]
     steps = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
     cuts = values.where("v is not null").groupBy(*item).agg(
         F.count("*").alias("d"), F.percentile_approx("v", steps, 10 * CELLS).alias("cuts")).where(F.col("d") > most)
-    rows = attach(values, cuts.drop("d"), item)
+    rows = attach(values, cuts.drop("d"), item, few=few)
     cell = F.when(F.col("v").isNull(), -1).otherwise(F.size(F.filter("cuts", lambda x: x <= F.col("v"))))
     cells = rows.where("cuts is not null").groupBy(*item, cell.alias("cell")).agg(
         F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     upto = F.sum("c").over(Window.partitionBy(*item).orderBy("cell"))
-    ranked = attach(cells.withColumn("upto", upto), state.select(*item, "first", "last"), item, settled=True)
+    ranked = attach(cells.withColumn("upto", upto), state.select(*item, "first", "last"), item, few=few)
     wanted = (F.col("upto") > F.col("first")) & (F.col("upto") - F.col("c") <= F.col("last")) & (F.col("cell") >= 0)
     kept = ranked.where(wanted).groupBy(*item).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    held = attach(values, kept, item).where("hi is null or v is null or v <= hi")
+    held = attach(values, kept, item, few=few).where("hi is null or v is null or v <= hi")
     return settle(held.withColumn("v", F.when(F.col("lo").isNull() | (F.col("v") >= F.col("lo")), F.col("v"))).groupBy(
         *item, "v").agg(F.sum("c").alias("c")))
 
 
-def _picked(values, state, keys):
+def _picked(values, state, keys, few):
     item = [*keys, "p"]
     upto = F.sum("c").over(Window.partitionBy(*item).orderBy(F.col("v").asc_nulls_first()))
     facts = state.select(*item, "n", "spot", "first", "last")
-    ranked = attach(values.withColumn("upto", upto), facts, item, settled=True).withColumn("from", F.col("upto") - F.col("c"))
+    ranked = attach(values.withColumn("upto", upto), facts, item, few=few).withColumn("from", F.col("upto") - F.col("c"))
     at = {r: (F.col("from") <= F.col(r)) & (F.col(r) < F.col("upto")) for r in ("first", "last")}
     picked = ranked.groupBy(*item, "n", "spot", "first").agg(
         F.max(F.when(at["first"], F.col("v"))).alias("v0"), F.max(F.when(at["last"], F.col("v"))).alias("v1"))

@@ -90,20 +90,24 @@ def small(state: DataFrame) -> DataFrame:
     return F.broadcast(state) if is_small(state) else state
 
 
-def attach(df: DataFrame, state: DataFrame, on=(), settled: bool = False) -> DataFrame:
+def attach(df: DataFrame, state: DataFrame, on=(), settled: bool = False,
+           few: bool | None = None) -> DataFrame:
     """Add the columns of ``state`` (one row per group) to every row of its group.
 
     Every row stays: a row whose group has no state gets nulls, and a null key matches a
     null key. A single-row state becomes a scalar subquery. A keyed state is computed once
     and counted; up to ``BROADCAST_ROWS`` rows it is broadcast, and beyond that the same
-    equality is a shuffle join, which adaptive execution splits where a group is hot.
+    equality is a shuffle join, which adaptive execution splits where a group is hot. ``few``
+    saves the count where the caller has made it for the same groups.
     """
     on = list(on)
     if not on:
         packed = state.select(F.struct("*")).scalar()
         return df.withColumns({c: packed.getField(c) for c in state.columns})
-    if not settled:
-        state = settle(state)
+    if few is None:
+        state = state if settled else settle(state)
+        few = is_small(state)
     keys = {k: f"_on_{k}" for k in on}
     match = [F.col(k).eqNullSafe(F.col(other)) for k, other in keys.items()]
-    return df.join(small(state.withColumnsRenamed(keys)), match, "left").drop(*keys.values())
+    right = state.withColumnsRenamed(keys)
+    return df.join(F.broadcast(right) if few else right, match, "left").drop(*keys.values())
