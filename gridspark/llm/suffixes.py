@@ -161,6 +161,7 @@ def _repeated_bytes(spark, docs, length, modulus, cover):
                          salt=0x2F0B5A11)
     cut = tied.select("owner", "text").join(again.select("owner", "places"), "owner").select("owner", "text", "places")
     cut = settle(cut.mapInArrow(_cut(length), "owner long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
+    del again  # or it would hold on to the shuffle of all suffixes
     release(spark)
 
     known = whole.join(cut.drop("kept"), "owner", "left").drop("owner")
