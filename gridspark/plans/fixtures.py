@@ -49,8 +49,8 @@ def forecast(spark, folder) -> DataFrame:
 
 
 def surface(spark, folder) -> DataFrame:
-    bottom = cells(spark, folder).where(F.col("plevel") == LEVELS - 1)
-    return bottom.select("time", "lat", "lon", F.col("ucomp").alias("slp"))
+    """One number per column, from all its levels."""
+    return cells(spark, folder).groupBy("time", "lat", "lon").agg(F.max("ucomp").alias("slp"))
 
 
 def levels(spark) -> DataFrame:
@@ -109,7 +109,7 @@ CTE = {
         CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) AS temp FROM events""",
     "forecast": """SELECT time, plevel, lat, lon,
         ucomp * CAST(0.8 AS DOUBLE) + temp * CAST(0.1 AS DOUBLE) AS ucomp FROM cells""",
-    "surface": "SELECT time, lat, lon, ucomp AS slp FROM cells WHERE plevel = 7",
+    "surface": "SELECT time, lat, lon, max(ucomp) AS slp FROM cells GROUP BY time, lat, lon",
     "levels": "SELECT * FROM (VALUES " + ", ".join(
         f"({i}, CAST({p} AS DOUBLE))" for i, p in enumerate(LEVEL_HPA[:LEVELS])) + ") AS t(plevel, hpa)",
     "observations": """SELECT l_orderkey AS sample_id, l_linenumber - 1 AS plevel,
