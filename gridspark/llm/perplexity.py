@@ -1,12 +1,13 @@
 """Quality classifier: interpolated modified Kneser-Ney over bytes, and quantile thresholds.
 
-Bytes are mapped to 64 symbols (a text start, the 62 most frequent bytes of the trusted text,
-and all others), so an n-gram of four is a 24-bit number. Counts cover all trusted text; each
-task sums its own before they are sharded by n-gram. Joins of sharded counts, order by order,
-give the probability of every n-gram type that any document holds. Whatever the input, these
-are at most 2**24 numbers (64 MB), which is the proven bound of the table tasks look up to sum
-a document's log probabilities. A document is kept up to a quantile of its language, taken
-over trusted documents the model has not seen.
+Every one of the 256 bytes is a symbol of its own beside the start of a text, and an n-gram is
+a 64-bit number in base 257, so no type is folded into another. Counts cover all trusted text;
+each task sums its own before they are sharded by n-gram. Joins of sharded counts, order by
+order, give the probability of every n-gram type that any document holds. Texts are packed in
+chunks of a few MB; the types of each chunk meet the sharded probabilities in a shuffle join,
+and what was found meets the texts of the chunk in another, where it is summed by document.
+These rows grow with the texts; no table of the model is gathered in one place. A document is
+kept up to a quantile of its language, taken over trusted documents the model has not seen.
 """
 
 from __future__ import annotations
@@ -19,83 +20,73 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.llm.language import fold
-from gridspark.llm.links import narrow
+from gridspark.llm.links import narrow, release
 from gridspark.llm.text import chunks, column, inside
-from gridspark.runtime import settle, ship_package
+from gridspark.runtime import settle, ship_package, stored
 
 ORDER = 4
-SYMBOLS = 64
-SYMBOL_BITS = 6
+SYMBOLS = 257
 QUANTILE = 0.99
 GRID = 2000
 MERGE = 4_000_000
-
-
-def byte_counts(texts: DataFrame) -> np.ndarray:
-    """How often each byte occurs in (text) rows: one row of 256 numbers per task is summed."""
-    def run(batches):
-        total = np.zeros(256, np.int64)
-        for batch in batches:
-            for _, buf, _ in chunks(batch.column(0)):
-                total += np.bincount(buf, minlength=256)
-        yield pa.RecordBatch.from_arrays([column(np.arange(256), pa.int32()), column(total, pa.int64())],
-                                         names=["byte", "n"])
-    rows = texts.mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(256, np.int64)
-    for r in rows:
-        out[r.byte] = r.n
-    return out
+TEXTS = 16_000_000
+LEVEL = 9
 
 
 def alphabet(counts: np.ndarray) -> np.ndarray:
-    """byte -> symbol: 1 … 62 by frequency (ties by byte), 63 for the rest; 0 is the start."""
-    table = np.full(256, SYMBOLS - 1, np.int32)
-    order = np.lexsort((np.arange(256), -counts))[:SYMBOLS - 2]
-    order = order[counts[order] > 0]
-    table[order] = np.arange(1, len(order) + 1)
-    return table
+    """byte -> symbol: 1 … 256, one for each byte whatever its count; 0 is the start."""
+    return np.arange(1, len(counts) + 1, dtype=np.int64)
+
 
+def ngrams(buf, off, order: int = ORDER):
+    """The n-gram ending at every byte, as a number; places before a text are start symbols.
 
-def ngrams(buf, off, table, order: int = ORDER):
-    """The n-gram ending at every byte, as a number; places before a text are start symbols."""
+    Orders up to 7 fit 64 bits.
+    """
     sizes = np.diff(off)
-    symbols = table[buf].astype(np.int32)
+    symbols = alphabet(np.zeros(256))[buf]
     grams = symbols.copy()
     place = inside(sizes)
     for back in range(1, order):
-        earlier = np.zeros(len(buf), np.int32)
+        earlier = np.zeros(len(buf), np.int64)
         earlier[back:] = symbols[:-back] if back < len(buf) else 0
         earlier[place < back] = 0
-        grams |= earlier << (SYMBOL_BITS * back)
+        earlier *= SYMBOLS**back
+        grams += earlier
     return grams, sizes
 
 
-def _count(table):
-    def run(batches):
-        held, size = [], 0
+def _count(order):
+    """(g, c) of a task's texts; what outgrows ``MERGE`` types leaves early, in parts to be summed."""
+    def rows(keys, counts):
+        for at in range(0, len(keys), 100_000):
+            s = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([column(keys[s], pa.int64()), column(counts[s], pa.int64())],
+                                             names=["g", "c"])
 
-        def merged():
-            keys = np.concatenate([k for k, _ in held])
-            counts = np.concatenate([c for _, c in held])
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            return keys[starts], np.add.reduceat(counts, starts)
+    def merged(held):
+        keys = np.concatenate([k for k, _ in held])
+        counts = np.concatenate([c for _, c in held])
+        at = np.argsort(keys, kind="stable")
+        keys, counts = keys[at], counts[at]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return keys[starts], np.add.reduceat(counts, starts)
 
+    def run(batches):
+        held, size = [], 0
         for batch in batches:
             for _, buf, off in chunks(batch.column(0)):
                 if len(buf):
-                    held.append(np.unique(ngrams(buf, off, table)[0], return_counts=True))
+                    held.append(np.unique(ngrams(buf, off, order)[0], return_counts=True))
                     size += len(held[-1][0])
                 if size > MERGE:
-                    held = [merged()]
-                    size = len(held[0][0]) // 2
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if size > MERGE // 2:
+                        yield from rows(*held[0])
+                        held, size = [], 0
         if held:
-            keys, counts = merged()
-            for at in range(0, len(keys), 100_000):
-                s = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([column(keys[s].astype(np.int64), pa.int64()),
-                                                  column(counts[s].astype(np.int64), pa.int64())], names=["g", "c"])
+            yield from rows(*merged(held))
     return run
 
 
@@ -113,7 +104,7 @@ def probabilities(counts: DataFrame, types: DataFrame, order: int = ORDER) -> Da
 
     The highest order uses counts, lower ones the number of different symbols before an
     n-gram. An unseen context leaves the probability to the lower order; below the first
-    stands 1 / 64. No context has more than 64 n-grams, so no join key is hot.
+    stands 1 / 257. No context has more than 257 n-grams, so no join key is hot.
     """
     spark = counts.sparkSession
     grams = {order: counts.select("g", F.col("c").alias("a"))}
@@ -139,45 +130,64 @@ def probabilities(counts: DataFrame, types: DataFrame, order: int = ORDER) -> Da
     return lower.select(F.col("s").alias("g"), F.col("q").alias("p"))
 
 
-def train(trusted: DataFrame, texts: DataFrame):
-    """(alphabet, types, log probabilities) for all ``texts`` (text), learned on ``trusted``."""
-    table = alphabet(byte_counts(trusted))
-    counts = settle(trusted.mapInArrow(_count(table), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")))
-    types = settle(texts.mapInArrow(_count(table), "g long, c long").select("g").distinct())
-    scored = probabilities(counts, types).select(F.col("g").cast("int"), F.log("p").cast("float").alias("v"))
-    found = scored.toArrow()
-    return table, found.column(0).to_numpy(), found.column(1).to_numpy()
-
-
-_TABLES: dict = {}
-
-
-def _dense(name, model):
-    """The log probabilities by n-gram number, built once per worker from what was sent."""
-    if name not in _TABLES:
-        table, grams, logs = model.value
-        dense = np.zeros(SYMBOLS**ORDER, np.float32)
-        dense[grams] = logs
-        _TABLES.clear()
-        _TABLES[name] = table, dense
-    return _TABLES[name]
-
-
-def _score(name, model):
+def _pack(order):
+    """A row per chunk of texts: its bytes, keys and different n-grams."""
     def run(batches):
-        table, logs = _dense(name, model)
+        codec = pa.Codec("zstd", compression_level=LEVEL)
         for batch in batches:
-            for first, buf, off in chunks(batch.column(0)):
-                grams, sizes = ngrams(buf, off, table)
-                total = np.concatenate([[0.0], np.cumsum(logs[grams], dtype=np.float64)])
-                mean = (total[off[1:]] - total[off[:-1]]) / np.maximum(sizes, 1)
+            for first, buf, off in chunks(batch.column(0), TEXTS):
+                sizes = np.diff(off)
+                cut = [batch.column(i).slice(first, len(sizes)) for i in range(3)]
+                types = np.unique(np.concatenate([np.unique(ngrams(b, o, order)[0]) for _, b, o in chunks(cut[0])]))
+                rows = pa.array([0, len(sizes)], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(i).slice(first, len(sizes)) for i in range(1, batch.num_columns)],
-                     column(sizes, pa.int64()), column(np.exp(-mean), pa.float64())],
-                    names=[*batch.schema.names[1:], "n_bytes", "perplexity"])
+                    [column([codec.compress(buf.tobytes(), asbytes=True)], pa.binary()),
+                     pa.ListArray.from_arrays(rows, column(sizes, pa.int64())),
+                     *[pa.ListArray.from_arrays(rows, c) for c in cut[1:]],
+                     pa.ListArray.from_arrays(pa.array([0, len(types)], pa.int32()), column(types, pa.int64()))],
+                    names=["body", "sizes", "keys", "langs", "grams"])
     return run
 
 
+def _sum(order):
+    """A chunk and the log probabilities of its n-grams: n_bytes and perplexity of its texts."""
+    def run(packs, found):
+        g, v = found.column("g").to_numpy(), found.column("v").to_numpy().astype(np.float64)
+        at = np.argsort(g)
+        g, v = g[at], v[at]
+        sizes, keys, langs = [packs.column(c)[0].values for c in ("sizes", "keys", "langs")]
+        off = np.r_[0, np.cumsum(sizes.to_numpy())]
+        body = pa.decompress(packs.column("body")[0].as_py(), int(off[-1]), "zstd")
+        texts = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(off), body)
+        means = []
+        for _, buf, ends in chunks(texts):
+            grams, counts = ngrams(buf, ends, order)
+            spot = np.searchsorted(g, grams)
+            if len(grams) and (spot.max() >= len(g) or not np.array_equal(g[spot], grams)):
+                raise ValueError("an n-gram of a chunk has no probability")
+            total = np.concatenate([[0.0], np.cumsum(v[spot])])
+            means.append((total[ends[1:]] - total[ends[:-1]]) / np.maximum(counts, 1))
+        return pa.table([keys, langs, sizes, column(np.exp(-np.concatenate(means)), pa.float64())],
+                        names=["_k", "_l", "n_bytes", "perplexity"])
+    return run
+
+
+def score(rows: DataFrame, trusted: DataFrame, order: int = ORDER) -> DataFrame:
+    """(_k, _l, n_bytes, perplexity) of every row of (_t, _k, _l), learned on ``trusted`` (text)."""
+    counts = settle(trusted.mapInArrow(_count(order), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")))
+    release(rows.sparkSession)
+    kinds = dict(rows.dtypes)
+    packs = rows.mapInArrow(_pack(order), f"body binary, sizes array<long>, keys array<{kinds['_k']}>, "
+                                          f"langs array<{kinds['_l']}>, grams array<long>")
+    packs = stored(packs.withColumn("chunk", F.monotonically_increasing_id()), "perplexity-texts")
+    held = packs.select("chunk", F.explode("grams").alias("g"))
+    known = probabilities(counts, settle(held.select("g").distinct()), order)
+    release(rows.sparkSession)
+    found = held.join(known.hint("merge"), "g").select(F.col("chunk").alias("of"), "g", F.log("p").cast("float").alias("v"))
+    return packs.drop("grams").groupBy("chunk").cogroup(found.groupBy("of")).applyInArrow(
+        _sum(order), f"_k {kinds['_k']}, _l {kinds['_l']}, n_bytes long, perplexity double")
+
+
 def upper_quantile(rows: DataFrame, by: str, value: str, q: float = QUANTILE, grid: int = GRID) -> DataFrame:
     """(by, threshold): the q-quantile of each group, rounded up on a grid of logarithms.
 
@@ -194,7 +204,7 @@ def upper_quantile(rows: DataFrame, by: str, value: str, q: float = QUANTILE, gr
 
 
 def judge_perplexity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
-                     lang: str = "lang", quantile: float = QUANTILE) -> DataFrame:
+                     lang: str = "lang", quantile: float = QUANTILE, order: int = ORDER) -> DataFrame:
     """Per row of ``docs``: key, lang, n_bytes, perplexity, threshold, kept.
 
     Trusted rows are labelled quality 1 and not toxic; four folds of five teach the model, the
@@ -207,12 +217,8 @@ def judge_perplexity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", te
     good = good.where(F.col(key).isNotNull())
     trusted = narrow(docs.select(key, text), good, key).join(good.hint("merge"), key)
     learn = trusted.where(fold(key) != 0).select(text)
-    table, grams, logs = train(learn, docs.select(text))
-    model = docs.sparkSession.sparkContext.broadcast((table, grams, logs))
-    kinds = dict(docs.dtypes)
     rows = docs.select(F.col(text).alias("_t"), F.col(key).alias("_k"), F.col(lang).alias("_l"))
-    scored = settle(rows.mapInArrow(
-        _score(uuid.uuid4().hex, model), f"_k {kinds[key]}, _l {kinds[lang]}, n_bytes long, perplexity double"))
+    scored = settle(score(rows, learn, order))
     perplexity = F.when(F.col("n_bytes") > 0, F.col("perplexity"))
     scored = scored.withColumn("perplexity", perplexity)
     checked = scored.where((fold("_k") == 0) & (F.col("n_bytes") > 0)).join(

@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -241,6 +242,26 @@ def test_perplexity_against_plain_counts(spark):
     assert perplexity.judge_perplexity(frame(spark, []), labels).count() == 0
 
 
+@pytest.mark.parametrize("order", [4, 5])
+def test_perplexity_keeps_every_byte_apart(spark, order):
+    """More than 62 different bytes: characters that are rare in the trusted text stay different ones."""
+    letters = [chr(c) for c in [*range(33, 127), *range(0x3B1, 0x3C9), *range(0x430, 0x44F)]]
+    rng = np.random.default_rng(5)
+    common = ["".join(rng.permutation(letters)) for _ in range(6)]
+    rows = [(i, t + "жщж" * 9) for i, t in enumerate(common)] + [(20, "жщж" * 20), (21, "щщж" * 20), (22, "☃" * 9)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id LONG, quality INT, toxic INT")
+    docs = frame(spark, rows)
+    folds = {r.doc_id: r.f for r in docs.select("doc_id", language.fold("doc_id").alias("f")).collect()}
+    learn = [t for i, t in rows[:6] if folds[i] != 0]
+    p = cache(kneser_ney([[b + 1 for b in t.encode()] for t in learn], order))
+    got = {r.doc_id: r.perplexity for r in perplexity.judge_perplexity(docs, labels, order=order).collect()}
+    for i, t in rows:
+        full = [0] * (order - 1) + [b + 1 for b in t.encode()]
+        logs = [np.log(p(tuple(full[at:at + order]))) for at in range(len(t.encode()))]
+        assert np.isclose(got[i], np.exp(-np.mean(logs)), rtol=1e-4)
+    assert got[20] < got[21] < got[22]
+
+
 def test_threshold_is_a_quantile_of_its_group(spark):
     values = {"a": RNG.lognormal(size=500), "b": RNG.lognormal(2, 1, size=7)}
     df = spark.createDataFrame([(g, float(v)) for g, xs in values.items() for v in xs], "g STRING, v DOUBLE")
