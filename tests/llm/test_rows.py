@@ -109,6 +109,25 @@ def test_long_chains_of_calls(spark):
     assert got == {**{f"c{i}": i for i in range(12)}, "c3x": 0}
 
 
+def test_deep_graphs_of_calls_take_few_rounds(spark, monkeypatch):
+    """A chain of 300 calls, others that branch off and meet again, cycles and absent calls."""
+    needs = {f"c{i}": {f"c{i - 1}"} if i else set() for i in range(300)}
+    needs |= {"join": {"c120", "c299"}, "after": {"join"}, "top": {"after", "c7", "c8"}, "side": {"c40"}}
+    needs |= {"x0": {"x2"}, "x1": {"x0"}, "x2": {"x1"}, "behind": {"x1"}, "both": {"x1", "c1"}, "self": {"self"},
+              "lost": {"gone"}, "later": {"lost"}, "half": {"gone", "c1"}}
+    edges = [(c, n) for c, ns in needs.items() for n in (ns or {None})] + [("c5", None), ("c5", "c4"), (None, "c1")]
+    want, left = {}, dict(needs)
+    while found := {c: 1 + max((want[n] for n in ns), default=-1) for c, ns in left.items() if ns <= want.keys()}:
+        want |= found
+        left = {c: ns for c, ns in left.items() if c not in found}
+    calls = []
+    plain = chat.settle
+    monkeypatch.setattr(chat, "settle", lambda df: calls.append(1) or plain(df))
+    rows = chat.levels(spark.createDataFrame(edges, "call_id STRING, needs STRING")).collect()
+    assert {r.call_id: r.level for r in rows} == want | dict.fromkeys(left) and len(rows) == len(needs)
+    assert want["c299"] == 299 and want["top"] == 302 and len(calls) <= 25
+
+
 @pytest.mark.parametrize("url, host, path, rule", [
     ("https://WWW.Example.ORG/es/1?x", "www.example.org", "/es/1", "example.org/es/"),
     ("http://example.org/en/12", "example.org", "/en/12", "example.org/en/1"),
