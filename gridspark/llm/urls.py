@@ -19,6 +19,9 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
          ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 DAMPING = 0.85
 ROUNDS = 12
+# Of trust and distrust, over all hosts, from one round to the next; both sum to 1 at most.
+TOLERANCE = 1e-9
+MOST_ROUNDS = 1000
 BLOCK_RATIO = 1.0
 PARTS = r"^[\s\S]*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,8 +72,12 @@ def host_links(pages: DataFrame) -> DataFrame:
         (F.col("links") / F.col("back_total")).alias("back_share"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, trust, distrust) after ``rounds`` of personalised PageRank from seed masses.
+def propagate(seeds: DataFrame, links: DataFrame, rounds: int = MOST_ROUNDS, damping: float = DAMPING,
+              tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust) of personalised PageRank from seed masses, at its fixed point.
+
+    Rounds end when the summed change is at most ``tolerance`` and no host was reached for the
+    first time; more than ``rounds`` of them are an error.
 
     ``seeds`` has (host, good, bad), summing to 1 each where there are any. Trust of a host
     is (1 - d) * good + d * sum of trust * share over the hosts linking to it; distrust goes
@@ -93,9 +100,18 @@ def propagate(seeds: DataFrame, links: DataFrame, rounds: int = ROUNDS, damping:
                             ((1 - damping) * F.col("bad")).alias("loss"))
         flow = out.unionByName(back).select(
             "host", (F.col("gain") * damping).alias("gain"), (F.col("loss") * damping).alias("loss"))
-        state = settle(flow.unionByName(start).groupBy("host").agg(
+        before, state = state, settle(flow.unionByName(start).groupBy("host").agg(
             F.sum("gain").alias("trust"), F.sum("loss").alias("distrust")))
-    return state
+        was = before.select(F.col("host").alias("_host"), F.col("trust").alias("_trust"), F.col("distrust").alias("_distrust"))
+        both = state.join(was, F.col("host") == F.col("_host"), "left")
+        change, fresh = F.lit(0.0), F.lit(False)
+        for now in ("trust", "distrust"):
+            then = F.coalesce(f"_{now}", F.lit(0.0))
+            change, fresh = change + F.abs(F.col(now) - then), fresh | ((F.col(now) > 0) & (then == 0))
+        moved = both.agg(F.sum(change).alias("change"), F.count_if(fresh).alias("fresh")).first()
+        if moved.change <= tolerance and not moved.fresh:
+            return state
+    raise ValueError(f"trust still changes after {rounds} rounds")
 
 
 def seed_masses(judged: DataFrame) -> DataFrame:
@@ -109,7 +125,7 @@ def seed_masses(judged: DataFrame) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, rules=RULES, block_ratio: float = BLOCK_RATIO,
-               rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+               rounds: int = MOST_ROUNDS, damping: float = DAMPING) -> DataFrame:
     """One row per page: its columns page_id, host, path, rule, verdict, trust, distrust.
 
     A rule decides where one fits. Elsewhere a page is blocked when its host's distrust is

@@ -161,6 +161,18 @@ def test_trust_and_distrust_follow_links(spark):
     assert urls.judge_urls(df.limit(0)).count() == 0
 
 
+def test_distrust_goes_any_number_of_links(spark):
+    rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">.</a>') for i in range(15)]
+    rows += [(15, "http://h15.net/", '<a href="http://bad.com/">.</a>'), (16, "http://bad.com/de/1", None)]
+    df = spark.createDataFrame(rows, "page_id LONG, url STRING, html STRING")
+    by = {r.host: r for r in urls.judge_urls(df).collect()}
+    d = urls.DAMPING
+    assert all(np.isclose(by[f"h{i}.net"].distrust, (1 - d) * d**(16 - i)) for i in range(16))
+    assert {r.verdict for r in by.values()} == {"block"}
+    with pytest.raises(ValueError):
+        urls.judge_urls(df, rounds=5)
+
+
 def plain_pack(pieces, capacity, per_source):
     """Every piece to the fullest compatible bin, the lowest number among equals, else a new one."""
     bins, out = [], []
