@@ -1,6 +1,19 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from gridspark.llm import chat, jaccard, language, mixing, neighbours, packing, perplexity, quality, suffixes, urls
+from gridspark.llm import (
+    chat,
+    digests,
+    jaccard,
+    language,
+    mixing,
+    neighbours,
+    packing,
+    perplexity,
+    quality,
+    suffixes,
+    trie,
+    urls,
+)
 
 QUERIES = {
     "op1_jaccard_join": jaccard.op1_jaccard_join,
@@ -13,9 +26,13 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_url_filters": urls.op9_url_filters,
     "op10_neighbours": neighbours.op10_neighbours,
+    "op11_exact_dedup": digests.op11_exact_dedup,
+    "op12_conversation_trie": trie.op12_conversation_trie,
 }
 ORACLE = {
     "op5_mixing": mixing.SQL,
     "op6_chat_formatting": chat.SQL,
     "op9_url_filters": urls.SQL,
+    "op11_exact_dedup": digests.SQL,
+    "op12_conversation_trie": trie.SQL,
 }
