@@ -5,6 +5,7 @@ from gridspark.llm import (
     digests,
     jaccard,
     language,
+    lexical,
     mixing,
     neighbours,
     packing,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_neighbours": neighbours.op10_neighbours,
     "op11_exact_dedup": digests.op11_exact_dedup,
     "op12_conversation_trie": trie.op12_conversation_trie,
+    "op13_lexical_search": lexical.op13_lexical_search,
 }
 ORACLE = {
     "op5_mixing": mixing.SQL,
@@ -35,4 +37,5 @@ ORACLE = {
     "op9_url_filters": urls.SQL,
     "op11_exact_dedup": digests.SQL,
     "op12_conversation_trie": trie.SQL,
+    "op13_lexical_search": lexical.SQL,
 }

@@ -102,10 +102,13 @@ class Prints:
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(U))
 
 
-def words(buf: np.ndarray, off: np.ndarray):
-    """(start, end, first word of each text and the end) of the words of every text."""
+def words(buf: np.ndarray, off: np.ndarray, letters: np.ndarray | None = None):
+    """(start, end, first word of each text and the end) of the words of every text.
+
+    ``letters`` marks the bytes that words are made of; all but spaces if it is None.
+    """
     n = len(buf)
-    is_word = ~SPACES[buf]
+    is_word = ~SPACES[buf] if letters is None else letters[buf]
     before = np.zeros(n, bool)
     before[1:] = is_word[:-1]
     heads = off[:-1]
