@@ -29,12 +29,17 @@ def _numbers(df: DataFrame, value: Column, keys) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, col, probs, by=(), most: int = BRACKET_VALUES,
-                    accuracy: int = ACCURACY) -> DataFrame:
-    """(by…, n, quantiles ARRAY<DOUBLE>) with linear interpolation; nulls and NaN ignored."""
+                    accuracy: int = ACCURACY, brackets: DataFrame | None = None) -> DataFrame:
+    """(by…, n, quantiles ARRAY<DOUBLE>) with linear interpolation; nulls and NaN ignored.
+
+    ``brackets`` (by…, n, least, most, p, lo, hi), with one row for each group and place p in
+    ``probs``, spares the sketch where the caller has one: n must be exact, least and most
+    bounds of all values, lo and hi a guess that is checked.
+    """
     by, probs = list(by), [float(p) for p in probs]
     keys = by or ["_all"]
     data = _numbers(df, F.col(col) if isinstance(col, str) else col, keys)
-    state = _brackets(data, keys, probs, accuracy)
+    state = _brackets(data, keys, probs, accuracy) if brackets is None else _given(brackets, keys, probs)
     few = is_small(state)
     values = _counted(data, state, keys, few)
     checked = _checked(values, state, keys, few)
@@ -76,6 +81,13 @@ def _brackets(data, keys, probs, accuracy):
     return settle(spots.withColumns({"first": F.floor("spot"), "last": F.ceil("spot")}))
 
 
+def _given(brackets, keys, probs):
+    """The same from brackets that the caller has."""
+    spot = (F.col("n") - 1) * F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("p") + 1)
+    spots = brackets.withColumn("spot", spot).withColumns({"first": F.floor("spot"), "last": F.ceil("spot")})
+    return settle(spots.select(*keys, "n", "least", "most", "p", "spot", "lo", "hi", "first", "last"))
+
+
 def _placed(data, state, keys, few):
     """Rows of each bracket, and those below it: (keys…, p, v), v null when below."""
     spans = state.groupBy(*keys).agg(F.collect_list(F.struct("p", "lo", "hi")).alias("_spans"))

@@ -28,8 +28,11 @@ def feature_summary(spark, folder):
 
 
 def _text_sql(column: str) -> str:
-    """Two decimals of the exact value, without trailing zeros."""
-    return f"regexp_replace(printf('%.2e', CAST({column} AS DOUBLE)), '0+e', 'e')"
+    """The number's own digits where it has at most two, else two decimals, whose zeros stay."""
+    value = f"CAST({column} AS DOUBLE)"
+    own = f"regexp_replace(printf('%.14e', {value}), '0*e', 'e')"
+    few = f"length(regexp_extract({own}, '[.]([0-9]*)e', 1)) < 2 AND CAST(replace({own}, '.e', 'e') AS DOUBLE) = {value}"
+    return f"CASE WHEN {few} THEN {own} ELSE printf('%.2e', {value}) END"
 
 
 @query(sql(f"""SELECT name, units, {", ".join(f"{_text_sql(c)} AS {c}_text" for c in ("mean", "std", "max", "min"))}

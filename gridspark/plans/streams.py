@@ -2,28 +2,34 @@
 
 from pyspark.sql import functions as F
 
-from gridspark.operators import scaler
+from gridspark.operators import reshape, scaler
+from gridspark.plans import climate  # noqa: F401  its SQL is used here
 from gridspark.plans import fixtures as fx
-from gridspark.plans.evaluation import rounded
+from gridspark.plans.evaluation import PAIRED_SQL, rounded
 from gridspark.plans.fixtures import with_tables as sql
 from gridspark.plans.modelling import LINEAR_SCORE, linear_weights
-from gridspark.plans.registry import query
+from gridspark.plans.registry import ORACLE, query
 from gridspark.plans.sampling import FITTED, rounded_state
 from gridspark.runtime import scratch_path
-from gridspark.streaming import jobs
+from gridspark.streaming import jobs, robust
 
 FILES = 4
 
 
 def arriving(spark, df, order: str):
     """The table as a stream of several files, in the order of a numeric column."""
+    return arriving_at(spark, df, order)[0]
+
+
+def arriving_at(spark, df, order: str):
+    """The same, and the folder it comes from."""
     path = scratch_path(spark, "arriving")
     last = df.agg(F.max(order)).first()[0] or 0
     span = last // FILES + 1
     for i in range(FILES):
         part = df.where((F.col(order) >= i * span) & (F.col(order) < (i + 1) * span))
         part.write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path), path
 
 
 def finish(started):
@@ -72,3 +78,63 @@ def stream_level_metrics(spark, folder):
     path = scratch_path(spark, "stream-metrics")
     finish(jobs.keep_latest(jobs.stream_level_metrics(stream), f"{path}/sink", f"{path}/checkpoint"))
     return rounded(rounded(jobs.latest_state(spark, f"{path}/sink"), 4, "mae", "rmse"), 6, "r_squared")
+
+
+def marked_end(spark, df, order: str, end: dict):
+    """The same stream with one more file at its end: a row without a key that moves the watermark on."""
+    stream, path = arriving_at(spark, df, order)
+    row = spark.range(1).select(*[F.lit(end.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema])
+    row.write.mode("append").parquet(path)
+    return stream
+
+
+@query(sql(PAIRED_SQL + """SELECT plevel, count(*) AS n, round(avg(abs(target - prediction)), 4) AS mae,
+    round(sqrt(avg(power(target - prediction, 2))), 4) AS rmse,
+    round(power(corr(prediction, target), 2), 6) AS r_squared FROM kept GROUP BY plevel"""))
+def stream_robust_metrics(spark, folder):
+    """Sketches kept on the stream; the exact metrics of what arrived, from their brackets."""
+    pairs = fx.pairs(spark, folder)
+    path = scratch_path(spark, "stream-robust")
+    running = robust.stream_robust_metrics(arriving(spark, pairs, "sample_id"), thresh=1.5, capacity=512)
+    finish(jobs.keep_robust(running, f"{path}/state", f"{path}/checkpoint"))
+    found = robust.exact_metrics(pairs, jobs.latest_state(spark, f"{path}/state"), thresh=1.5)
+    return rounded(rounded(found, 4, "mae", "rmse"), 6, "r_squared")
+
+
+@query(sql("""SELECT f.time AS time, f.plevel AS plevel, f.lat AS lat, f.lon AS lon, round(f.ucomp, 8) AS prediction,
+    round(CASE WHEN (f.time + 7 * f.plevel + 3 * f.lat + f.lon) % 12 <= 8 THEN c.ucomp END, 8) AS target
+    FROM forecast f JOIN cells c ON c.time = f.time AND c.plevel = f.plevel AND c.lat = f.lat AND c.lon = f.lon"""))
+def stream_late_truth(spark, folder):
+    """Forecasts meet what was observed up to eight steps later; the rest has no truth."""
+    cell = ["time", "plevel", "lat", "lon"]
+    lag = (F.col("time") + 7 * F.col("plevel") + 3 * F.col("lat") + F.col("lon")) % 12
+
+    def at(step):  # a watermark starts at the epoch, and what is not after it is late
+        return F.timestamp_seconds((step.cast("bigint") + 1) * (jobs.STEP_HOURS * 3600))
+
+    scores = fx.forecast(spark, folder).select(*cell, F.col("ucomp").alias("prediction"), at(F.col("time")).alias("scored_at"))
+    truth = fx.cells(spark, folder).select(*cell, F.col("ucomp").alias("target"), at(F.col("time") + lag).alias("seen_at"),
+                                           (F.col("time") + lag).alias("arrival"))
+    late = {"scored_at": "2200-01-01", "seen_at": "2200-01-01"}
+    both = jobs.scores_with_truth(
+        marked_end(spark, scores, "time", late), marked_end(spark, truth, "arrival", late).drop("arrival"),
+        f"{8 * jobs.STEP_HOURS} hours", "0 hours", "0 hours", key=cell)
+    path = scratch_path(spark, "late-truth")
+    writer = both.writeStream.outputMode("append").format("parquet").option("path", f"{path}/sink")
+    finish(jobs.start(writer, f"{path}/checkpoint"))
+    found = spark.read.schema(both.schema).parquet(f"{path}/sink").where(F.col("time").isNotNull())
+    return rounded(found.select(*cell, "prediction", "target"), 8, "prediction", "target")
+
+
+@query(ORACLE["lag_stack"])
+def stream_lag_stack(spark, folder):
+    """Lags of columns as they arrive, from a ring of past steps per grid point."""
+    columns = reshape.to_columns(fx.cells(spark, folder), ["ucomp"])
+    path = scratch_path(spark, "stream-lags")
+    stacked = jobs.stream_lag_stack(arriving(spark, columns, "time"), "ucomp", step_size=3, start_time=2, num_steps=4)
+    writer = stacked.writeStream.outputMode("append").format("parquet").option("path", f"{path}/sink")
+    with jobs.keyed_state(spark):
+        finish(jobs.start(writer, f"{path}/checkpoint"))
+    by_step = spark.read.schema(stacked.schema).parquet(f"{path}/sink").select(
+        "time", "lat", "lon", F.posexplode("lags").alias("k", "past"))
+    return by_step.select("time", "lat", "lon", "k", F.posexplode("past").alias("pos", "ucomp"))

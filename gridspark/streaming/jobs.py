@@ -7,9 +7,13 @@ all but the last few are removed. All paths must lie in storage the whole cluste
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from gridspark.operators.metrics import level_metrics
 from gridspark.operators.scaler import scaler_fit, scaler_merge
@@ -28,6 +32,18 @@ def start(writer, checkpoint: str, every: str | None = None) -> StreamingQuery:
     return writer.trigger(processingTime=every).start()
 
 
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Queries started inside keep the state of their keys in RocksDB, as custom state needs it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stream_scaler(stream: DataFrame, col: str, state_path: str, checkpoint: str,
                   initial: DataFrame | None = None, every: str | None = None) -> StreamingQuery:
     """Merge each batch into the scaler state; state n is state n-1 plus batch n."""
@@ -109,3 +125,92 @@ def keep_latest(result: DataFrame, path: str, checkpoint: str, every: str | None
         publish(batch, path, number)
 
     return start(result.writeStream.outputMode("complete").foreachBatch(replace), checkpoint, every)
+
+
+def keep_robust(result: DataFrame, path: str, checkpoint: str, by=("plevel",), every: str | None = None) -> StreamingQuery:
+    """Publish the newest row of every key after each batch; read it by ``latest_state``."""
+    def replace(batch: DataFrame, number: int):
+        spark = batch.sparkSession
+        batch = settle(batch)
+        _, done = _published(spark, path)
+        older = [n for n in done if n < number]
+        if older:
+            before = spark.read.parquet(f"{path}/batch={max(older)}")
+            batch = batch.unionByName(before.join(batch.select(*by), list(by), "left_anti"))
+        publish(batch, path, number)
+
+    with keyed_state(result.sparkSession):
+        return start(result.writeStream.outputMode("update").foreachBatch(replace), checkpoint, every)
+
+
+def scores_with_truth(scores: DataFrame, truth: DataFrame, within: str, score_delay: str, truth_delay: str,
+                      key=("sample_id",), scored_at: str = "scored_at", seen_at: str = "seen_at") -> DataFrame:
+    """Each score with the first truth of its key seen from its own time to ``within`` after.
+
+    Both streams have their own watermark, so the state holds no more than ``within`` and the
+    delays. Truth that comes again within its delay is left out. A score whose truth is
+    missing or too late leaves once that is certain, with a null target; a null key has no truth.
+    """
+    left = scores.withWatermark(scored_at, score_delay).alias("s")
+    right = truth.withWatermark(seen_at, truth_delay).dropDuplicatesWithinWatermark(list(key)).alias("t")
+    match = (F.col(f"t.{seen_at}") >= F.col(f"s.{scored_at}")) & (
+        F.col(f"t.{seen_at}") <= F.col(f"s.{scored_at}") + F.expr(f"INTERVAL {within}"))
+    for k in key:
+        match = match & (F.col(f"s.{k}") == F.col(f"t.{k}"))
+    own = [c for c in truth.columns if c not in key]
+    return left.join(right, match, "left_outer").select("s.*", *[f"t.{c}" for c in own])
+
+
+class Past(StatefulProcessor):
+    """The newest steps of one grid point, as far back as its lags reach."""
+
+    def __init__(self, key, col, step_size, start_time, num_steps, ttl_ms):
+        self.key, self.col, self.ttl_ms = key, col, ttl_ms
+        self.offsets = start_time + step_size * np.arange(num_steps)
+
+    def init(self, handle):
+        self.state = handle.getValueState("past", "times BINARY, numbers BINARY", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = pd.concat(list(rows)).sort_values("time", kind="stable").drop_duplicates("time")
+        times = np.zeros(0, np.int64)
+        if self.state.exists():
+            times, numbers = (np.frombuffer(b, t) for b, t in zip(self.state.get(), (np.int64, np.float64)))
+        vector = len(new) and isinstance(new[self.col].iloc[0], (list, np.ndarray))
+        if len(times):
+            new = new[new["time"] > times[-1]]
+        if not len(new):
+            return
+        values = np.stack(new[self.col]) if vector else new[self.col].to_numpy(float)[:, None]
+        if len(times):
+            values = np.concatenate([numbers.reshape(len(times), -1), values])
+        fresh = new["time"].to_numpy(np.int64)
+        times = np.concatenate([times, fresh])
+        wanted = fresh[:, None] - self.offsets
+        at = np.minimum(np.searchsorted(times, wanted), len(times) - 1)
+        whole = (times[at] == wanted).all(axis=1)
+        lags = values[at[whole]]
+        keep = times > times[-1] - self.offsets[-1]
+        self.state.update((times[keep].tobytes(), np.ascontiguousarray(values[keep], np.float64).tobytes()))
+        out = new[whole].copy()
+        out["lags"] = [v.tolist() if vector else v[:, 0].tolist() for v in lags]
+        yield out[["time", *self.key, self.col, "lags"]]
+
+    def close(self):
+        pass
+
+
+def stream_lag_stack(stream: DataFrame, col: str, step_size: int = 1, start_time: int = 1, num_steps: int = 64,
+                     key=("lat", "lon"), ttl_ms: int | None = None) -> DataFrame:
+    """(time, key…, col, lags) as ``lags.lag_stack`` gives them, of columns as they arrive.
+
+    State is a ring of the steps the lags can reach, per grid point. The steps of a point come
+    in order, several in a batch in any order; one that is not newer than the newest seen is
+    left out, and so is a step without its full history. A point quiet for ``ttl_ms``
+    (processing time) is forgotten.
+    """
+    kinds = dict(stream.dtypes)
+    schema = ", ".join([f"{c} {kinds[c]}" for c in ("time", *key, col)] + [f"lags array<{kinds[col]}>"])
+    return stream.select("time", *key, col).groupBy(*key).transformWithStateInPandas(
+        Past(list(key), col, step_size, start_time, num_steps, ttl_ms), schema, "Append",
+        "ProcessingTime" if ttl_ms else "None")

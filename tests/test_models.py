@@ -1,5 +1,7 @@
 """Gradients, training control, scoring and attribution."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -128,8 +130,15 @@ def test_topk_orders_by_size(spark):
     assert [r.idx for r in scoring.attribution_topk(df, 3).collect()] == [1, 3, 2]
 
 
-def test_background_size_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(scoring, "BACKGROUND_ROWS", 10)
+def test_a_large_background_is_joined_not_broadcast(spark):
+    """Draws meet their background rows in a shuffle join, however many there are."""
     net = network.new_net(5, 2, (4,), None)
-    with pytest.raises(ValueError, match="at most 10"):
-        scoring.attribution(rows(spark), rows(spark), network.to_table(spark, net), 0)
+    base = spark.range(30_000).selectExpr("id as sample_id", "array(sin(id), cos(id), 0.1, 0.2, sin(2 * id)) as features")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        found = scoring.attribution(rows(spark).where("sample_id < 6"), base, network.to_table(spark, net), 0, n_permutations=3)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"SortMergeJoin \[.*at#", plan)
+        assert [r.idx for r in found.orderBy("idx").collect()] == [0, 1, 2, 3, 4]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
