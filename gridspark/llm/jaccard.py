@@ -10,9 +10,10 @@ A pair is a candidate only if that holds in several orders:
 * by two hash orders, tested on the pairs left, before the sets are compared.
 
 Groups of alike documents would give a pair of each two. So sets are first compared with one
-centre only, the smallest of those sharing their first token in a hash order, and joined into
-clusters; the exact join then makes pairs between different clusters only. What it finds
-joins the clusters, and nothing that could change a component is left out.
+centre only of those that share their first token in a hash order, after the same tests by two
+other orders, and joined into clusters; the exact join then makes pairs between different
+clusters only. What it finds joins the clusters, and nothing that could change a component is
+left out.
 """
 
 from __future__ import annotations
@@ -27,13 +28,12 @@ from pyspark.sql import functions as F
 from gridspark.llm.links import components, narrow, release, small_batches
 from gridspark.llm.text import Prints, U, chunks, column, inside, mix, spread, words
 from gridspark.llm.ties import tied_entries
-from gridspark.runtime import settle, ship_package
+from gridspark.runtime import settle, ship_package, stored
 
 WIDTH = 5
 PERCENT = 75
-# Orders whose first tokens choose centres: for all sets, then between clusters only.
-STARS = 3
-LATER_STARS = 4
+# Orders whose first tokens choose centres.
+STARS = 7
 CHECKS = 2
 
 
@@ -65,14 +65,13 @@ def _name(tokens) -> bytes:
 def _facts(width):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for first, buf, off in chunks(batch.column(1)):
+            for first, buf, off in chunks(batch.column(2)):
                 tokens, sizes = token_sets(buf, off, width)
                 ends = np.cumsum(sizes)
                 names = [_name(tokens[e - s:e]).hex() for s, e in zip(sizes, ends)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(sizes)), column(sizes, pa.int64()), column(names, pa.string())],
-                    names=["doc_id", "n", "name"])
+                    [*[batch.column(i).slice(first, len(sizes)) for i in range(2)],
+                     column(sizes, pa.int64()), column(names, pa.string())], names=["doc_id", "key", "n", "name"])
     return run
 
 
@@ -94,15 +93,15 @@ def _ordered(tokens, k):
 def _sets(width):
     def run(batches):
         for batch in batches:
-            ids = batch.column(0)
+            keys = batch.column(0)
             for first, buf, off in chunks(batch.column(1)):
                 tokens, sizes = token_sets(buf, off, width)
                 ends = np.cumsum(sizes)
                 own = [tokens[e - s:e] for s, e in zip(sizes, ends)]
                 lead = [[int(_ordered(t, k).min()) >> 1 if len(t) else None for t in own]
-                        for k in range(STARS + LATER_STARS)]
+                        for k in range(STARS)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(sizes)), column([_name(t).hex() for t in own], pa.string()),
+                    [keys.slice(first, len(sizes)), column([_name(t).hex() for t in own], pa.string()),
                      column(sizes, pa.int64()), column([t.tobytes() for t in own], pa.binary()),
                      pa.array(list(zip(*lead)), pa.list_(pa.int64()))],
                     names=["rep", "name", "n", "tokens", "leads"])
@@ -147,34 +146,26 @@ def _linked(percent, checks):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, checks: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that pass the other orders and the exact comparison."""
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("one"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("two"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "one", "two")
-    return both.mapInArrow(_linked(percent, checks), "a long, b long")
+    return both.mapInArrow(_linked(percent, CHECKS), "a long, b long")
 
 
-def _star_pairs(sets: DataFrame, roots: DataFrame, first: int, last: int) -> DataFrame:
-    """Every set with a centre of another cluster that shares its first token in some order.
+def _star_pairs(sets: DataFrame) -> DataFrame:
+    """Every set with a centre that shares its first token in some order.
 
     The centre is the set with the largest part of tokens that others hold too: a copy that
-    was changed has tokens of its own, what it was made from has fewer.
+    was changed has tokens of its own, what it was made from has fewer. Centres are settled,
+    so that Spark can split the join where a first token is hot.
     """
-    keyed = sets.select("node", "own_share", F.posexplode("leads").alias("k", "lead")).where(
-        F.col("lead").isNotNull() & F.col("k").between(first, last - 1)).join(roots, "node")
-    centres = keyed.groupBy("k", "lead").agg(F.min(F.struct("own_share", "node", "root")).alias("a"), F.count("*").alias("c")).where("c > 1")
-    return keyed.join(centres.drop("c"), ["k", "lead"]).where(F.col("root") != F.col("a.root")).select(
-        F.col("a.node").alias("a"), F.col("node").alias("b")).distinct()
-
-
-def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root) after joining the clusters that links (a, b) of nodes connect."""
-    ends = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(
-        roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
-    tops = components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return settle(roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    keyed = sets.select("node", "own_share", F.posexplode("leads").alias("k", "lead")).where(F.col("lead").isNotNull())
+    centres = settle(keyed.groupBy("k", "lead").agg(
+        F.min(F.struct("own_share", "node")).alias("a"), F.count("*").alias("c")).where("c > 1").select("k", "lead", "a.node"))
+    met = keyed.drop("own_share").join(centres.withColumnRenamed("node", "a"), ["k", "lead"])
+    return met.where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
 
 
 def _crossing_pairs(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
@@ -209,56 +200,76 @@ def jaccard_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
     Words are runs of non-space bytes, A-Z folded. A text of fewer than ``width`` words is one
     shingle, the whole of it; a text without words, or a null one, has none and stays alone.
-    The component is the smallest doc_id reachable over links, its own included. Rows with
-    one doc_id are judged each by its own text; a null doc_id takes part in no link. Equal sets
-    are one node from the start, named by a 128-bit fingerprint.
+    The component is the smallest doc_id reachable over links, its own included. Rows with one
+    doc_id, or with none, are judged each by its own text; a component without any doc_id is
+    null. Equal sets are one node from the start, named by a 128-bit fingerprint.
+    """
+    rows = jaccard_rows(docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text")), width, percent)
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, key, n_shingles, component_id, group) of every row of ``docs`` (doc_id, text, key).
+
+    ``key`` is a number that rows of different texts do not share, but for chance: one row of
+    each set is read again by it. ``group`` is the smallest key of those that the component was
+    read by, so it tells components apart where ids are null; rows without shingles have none.
     """
     spark = docs.sparkSession
     ship_package(spark)
     with small_batches(spark):
-        return _jaccard_groups(spark, docs.select("doc_id", "text"), width, percent)
+        return _jaccard_rows(spark, docs.select("doc_id", "key", "text"), width, percent)
 
 
-def _jaccard_groups(spark, docs, width, percent):
-    facts = settle(docs.mapInArrow(_facts(width), "doc_id long, n long, name string"))
-    usable = facts.where("doc_id is not null and n > 0")
-    nodes = usable.groupBy("name").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    tied = tied_entries(docs.where("doc_id is not null").select("text"), _entries(width), by_place=False)
+def _jaccard_rows(spark, docs, width, percent):
+    facts = stored(docs.mapInArrow(_facts(width), "doc_id long, key long, n long, name string"), "shingles")
+    nodes = facts.where("n > 0").groupBy("name").agg(
+        F.min("key").alias("rep"), F.min("doc_id").alias("low"), F.max("n").alias("n"))
+    tied = tied_entries(docs.select("text"), _entries(width), by_place=False)
     credit = settle(tied.select("owner", F.col("n").alias("shared")))
     del tied
     release(spark)
     half = F.conv(F.substring("name", 1, 16), 16, -10).cast("long")
     open_nodes = settle(nodes.withColumn("owner", half).join(credit, "owner").where(
         100 * F.col("shared") >= percent * F.col("n")).select(
-        "name", "rep", F.greatest(1 - F.col("shared") / F.col("n"), F.lit(0.0)).alias("own_share")))
+        "name", "rep", "low", F.greatest(1 - F.col("shared") / F.col("n"), F.lit(0.0)).alias("own_share")))
 
-    texts = narrow(docs, open_nodes.select(F.col("rep").alias("doc_id")))
-    reps = open_nodes.select(F.col("rep").alias("doc_id")).distinct()
+    reps = open_nodes.select(F.col("rep").alias("key")).distinct()
     # An inner join: a semi-join would be pushed below the filter of ``narrow``.
-    found = texts.join(reps.hint("merge"), "doc_id").mapInArrow(
+    found = narrow(docs.select("key", "text"), reps, "key").join(reps.hint("merge"), "key").mapInArrow(
         _sets(width), "rep long, name string, n long, tokens binary, leads array<long>")
-    # A doc_id with several texts brings sets nobody asked for; equal sets come once.
-    sets = settle(found.join(open_nodes, ["name", "rep"]).dropDuplicates(["name"]).withColumn(
-        "node", F.monotonically_increasing_id()))
+    # A key that several rows share brings sets nobody asked for; equal sets come once.
+    sets = stored(found.join(open_nodes, ["name", "rep"]).dropDuplicates(["name"]).withColumn(
+        "node", F.monotonically_increasing_id()), "sets")
 
     release(spark)
     roots = sets.select("node", F.col("node").alias("root"))
-    for first, last in ((0, STARS), (STARS, STARS + LATER_STARS)):
-        roots = _merged(roots, _verified(_star_pairs(sets, roots, first, last), sets, percent, 0))
+    roots = _joined(roots, components(_verified(_star_pairs(sets), sets, percent)))
     pairs = settle(_crossing_pairs(sets, roots, percent))
     release(spark)
-    of_set = _merged(roots, _verified(pairs, sets, percent, CHECKS)).withColumnRenamed("root", "top")
-    named = sets.select("node", "name", "rep").join(of_set, "node")
-    lowest = named.groupBy("top").agg(F.min("rep").alias("low"))
-    linked = named.join(lowest, "top").select("name", "low")
+    # Links between clusters are few; they join roots, not nodes.
+    links = _verified(pairs, sets, percent)
+    between = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(
+        roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+    tops = components(between.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    of_set = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("_top")), "root", "left").select(
+        "node", F.coalesce("_top", "root").alias("top"))
+    named = settle(sets.select("node", "name", "rep", "low").join(of_set, "node"))
+    lowest = settle(named.groupBy("top").agg(F.min("low").alias("component"), F.min("rep").alias("group")))
+    linked = named.join(lowest, "top").select("name", "component", "group")
     # Copies outside any link still form a group: their common set's smallest document.
     # Settled, so that the join below is a plain one, which Spark splits where a set is hot.
     groups = settle(nodes.join(linked, "name", "left").select(
-        "name", F.coalesce("low", "rep").alias("component")))
+        "name", F.coalesce("component", "low").alias("component"), F.coalesce("group", "rep").alias("group")))
     out = facts.join(groups, "name", "left")
-    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    alone = F.col("n") == 0
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"),
+                      F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), "group")
+
+
+def _joined(roots: DataFrame, tops: DataFrame) -> DataFrame:
+    """(node, root) with the roots of those nodes that were joined with others."""
+    return settle(roots.select("node").join(tops, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
 
 
 def op1_jaccard_join(spark, folder):

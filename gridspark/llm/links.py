@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.runtime import settle
@@ -14,6 +14,13 @@ BITS = 24
 WORD_BITS = 32_768
 
 
+def counted(df: DataFrame, condition=None) -> tuple[DataFrame, int]:
+    """The settled table and how many of its rows meet a condition, counted as they are made."""
+    seen = Observation()
+    what = F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    return settle(df.observe(seen, what.alias("n"))), seen.get["n"]
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (a, b): the smallest node it is joined with.
 
@@ -22,20 +29,19 @@ def components(links: DataFrame) -> DataFrame:
     most half of them, so rounds grow with the logarithm. A star is done after one round.
     Null ends and self links say nothing; no links give no rows.
     """
-    edges = settle(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges, left = counted(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = None
-    while not edges.isEmpty():
+    while left:
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
             edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
         hooks = settle(both.groupBy("node").agg(F.min("other").alias("m")).select(
             "node", F.least("node", "m").alias("root")))
-        while True:
+        moved = 1
+        while moved:
             ahead = hooks.select(F.col("node").alias("_at"), F.col("root").alias("_next"))
-            jumped = settle(hooks.join(ahead, F.col("root") == F.col("_at")).select(
-                "node", F.col("_next").alias("root"), (F.col("root") != F.col("_next")).alias("moved")))
+            jumped, moved = counted(hooks.join(ahead, F.col("root") == F.col("_at")).select(
+                "node", F.col("_next").alias("root"), (F.col("root") != F.col("_next")).alias("moved")), F.col("moved"))
             hooks = jumped.select("node", "root")
-            if jumped.where("moved").isEmpty():
-                break
         if roots is None:
             roots = hooks
         else:
@@ -44,7 +50,7 @@ def components(links: DataFrame) -> DataFrame:
                 "node", F.coalesce("_next", "root").alias("root")))
         of_a = hooks.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         of_b = hooks.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        edges = settle(edges.join(of_a, "a").join(of_b, "b").where("ra <> rb").select(
+        edges, left = counted(edges.join(of_a, "a").join(of_b, "b").where("ra <> rb").select(
             F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
     if roots is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
