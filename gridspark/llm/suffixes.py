@@ -28,6 +28,9 @@ LENGTH = 400
 # A perfect difference set: every residue but 0 is a difference of two of them exactly once.
 MODULUS = 133
 COVER = (1, 8, 9, 11, 25, 37, 69, 88, 94, 99, 103, 121)
+# The same for strings too short to wait 133 bytes for a sample.
+SHORT_MODULUS = 57
+SHORT_COVER = (0, 1, 3, 13, 32, 36, 43, 52)
 
 
 def cover_mask(modulus: int = MODULUS, cover=COVER) -> np.ndarray:
@@ -127,11 +130,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
     Facts: doc_id, n_bytes, n_removed, n_spans, kept_sha256, sha (of the whole text) of each
     row, a null text being empty. Every byte of a string of ``length`` bytes that starts anywhere else too goes,
     the same text included; matches never cross rows. Texts shorter than that stay. A text that
-    occurs in several rows goes whole if it is long enough. Rows with one doc_id are judged
-    each by its own text; a row with a null doc_id keeps its text and matches nothing.
+    occurs in several rows goes whole if it is long enough. Rows with one doc_id, or with none,
+    are judged each by its own text.
 
-    Cut texts: doc_id, sha (of the whole text), kept (bytes) of one row of each such text;
-    texts removed whole as copies are not among them.
+    Cut texts: doc_id, sha (of the whole text), kept (bytes) of each text of one row that loses a
+    part; texts removed whole as copies are not among them.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -140,19 +143,20 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
 
 
 def _repeated_bytes(spark, docs, length, modulus, cover):
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
-    facts = settle(rows.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes")))
-    usable = facts.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull())
-    whole = usable.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn(
-        "owner", _owner("sha"))
-
-    texts = rows.where((F.octet_length("text") >= length) & F.col("doc_id").isNotNull()).withColumn("owner", _owner("sha"))
+    # The key finds one row of a text again; ids may be null or repeat.
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
+        "sha", F.sha2("text", 256))
+    facts = settle(rows.select("doc_id", "key", "sha", F.octet_length("text").cast("long").alias("n_bytes")))
+    whole = facts.where(F.col("n_bytes") >= length).groupBy("sha").agg(
+        F.min("key").alias("key"), F.min("doc_id").alias("rep"), F.count("*").alias("copies")).withColumn("owner", _owner("sha"))
+
+    texts = rows.where(F.octet_length("text") >= length).withColumn("owner", _owner("sha"))
     sample = settle(tied_entries(texts.select("owner", "text"), _sample(length, modulus, cover), by_place=True,
                                  short=True, buckets=1))
     release(spark)
-    asked = whole.join(sample, "owner").select("owner", F.col("rep").alias("doc_id"), "places")
+    asked = whole.join(sample, "owner").select("owner", "key", "places")
     path = scratch_path(spark, "tied")
-    narrow(texts, asked).select("doc_id", "owner", "text").join(asked.hint("merge"), ["doc_id", "owner"]).dropDuplicates(
+    narrow(texts, asked, "key").select("key", "owner", "text").join(asked.hint("merge"), ["key", "owner"]).drop("key").dropDuplicates(
         ["owner"]).write.parquet(path)
     tied = spark.read.parquet(path)
 
@@ -164,33 +168,31 @@ def _repeated_bytes(spark, docs, length, modulus, cover):
     del again  # or it would hold on to the shuffle of all suffixes
     release(spark)
 
-    known = whole.join(cut.drop("kept"), "owner", "left").drop("owner")
+    known = whole.select("sha", "owner", "copies").join(cut.drop("kept"), "owner", "left").drop("owner")
     out = facts.join(known, "sha", "left")
     empty = hashlib.sha256(b"").hexdigest()
-    copied = (F.col("copies") > 1) & F.col("doc_id").isNotNull()
-    mine = F.col("doc_id").isNotNull()
+    copied = F.col("copies") > 1
     facts = out.select(
         "doc_id", "n_bytes",
-        F.when(copied, F.col("n_bytes")).when(mine, F.coalesce("n_removed", F.lit(0))).otherwise(0).alias("n_removed"),
-        F.when(copied, F.lit(1)).when(mine, F.coalesce("n_spans", F.lit(0))).otherwise(0).cast("long").alias("n_spans"),
-        F.when(copied, F.lit(empty)).when(mine, F.coalesce("kept_sha256", "sha")).otherwise(F.col("sha")).alias("kept_sha256"),
-        "sha")
+        F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(copied, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(copied, F.lit(empty)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"), "sha")
     single = whole.where("copies = 1").join(cut.select("owner", "kept"), "owner")
     return facts, single.select(F.col("rep").alias("doc_id"), "sha", "kept")
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` without the repeated bytes; rows of which nothing is left go.
+def drop_repeats(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS, cover=COVER) -> DataFrame:
+    """``docs`` without the repeated bytes; rows of which nothing is left go, unless they were empty.
 
     A character cut in two by the edge of a removed string goes with it. ``n_chars``, if
     there, is counted anew for the rows that lost something.
     """
-    facts, cut = repeated_bytes(docs, length)
+    facts, cut = repeated_bytes(docs, length, modulus, cover)
     changed = facts.where(F.col("n_removed") > 0).select("doc_id", "sha").distinct().join(
         cut.select("sha", "kept"), "sha", "left")
     changed = changed.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_cut"), "kept")
     known = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    rows = known.join(changed, (F.col("doc_id") == F.col("_id")) & (F.col("_sha") == F.col("_cut")), "left")
+    rows = known.join(changed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_cut")), "left")
     plain = F.col("_cut").isNull()
     kept = F.col("kept").cast("string")
     text = F.when(plain, F.col("text")).otherwise(
