@@ -283,10 +283,25 @@ def test_pipeline_stages(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(r.doc_id for r in near) == sorted({c for _, _, c in brute.groups(rows)})
     cut = stages["repeated_passages"](spark, docs, folder).collect()
-    want = {i: sha for i, n, gone, _, sha in brute.repeats(rows) if n > gone}
+    want = {i: sha for i, n, gone, _, sha in brute.repeats(rows, corpus_pipeline.PASSAGE) if n > gone}
     assert {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in cut} == want
 
 
+def test_near_duplicates_with_awkward_ids(spark):
+    """One row of each group stays, whatever its id; a second text of an id is a document too."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    long = " ".join(f"word{i}" for i in range(60))
+    near = long.replace("word30", "other")
+    rows = [(1, long, "en"), (1, near, "en"), (1, "quite another text of the same id", "en"), (None, long, None), (None, "lone text", "de"),
+            (None, "lone text", "de"), (None, None, None), (None, None, None), (4, " \n", "en"), (0, "zero " * 9, "en"), (0, "zero " * 9, "fr")]
+    frame = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], docs.schema)
+    got = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, frame, "")
+    texts = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(texts) == 7 and texts.count((None, None)) == 2 and texts.count((None, "lone text")) == 1
+    assert sum(t in (long, near) for _, t in texts) == 1 and (1, "quite another text of the same id") in texts
+    assert sum((t or "").startswith("zero") for _, t in texts) == 1 and (4, " \n") in texts
+
+
 def test_pipeline_run(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")

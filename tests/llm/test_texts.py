@@ -62,8 +62,15 @@ def test_jaccard_groups_of_near_copies(spark):
 
 def test_jaccard_without_rows_or_ids(spark):
     assert jaccard.jaccard_groups(frame(spark, [])).count() == 0
-    got = jaccard.jaccard_groups(frame(spark, [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f")]))
-    assert sorted(map(tuple, got.collect()), key=str) == [(3, 2, 3), (None, 2, None), (None, 2, None)]
+    base = prose(120, 1).split(" ")
+    chain = [" ".join(base[k:k + 100]) for k in (0, 6, 12)]
+    # The row in the middle has no id, and links the other two.
+    got = jaccard.jaccard_groups(frame(spark, [
+        (None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (None, "x y"), (None, "x y"),
+        (8, chain[0]), (None, chain[1]), (7, chain[2]), (None, None)]))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([
+        (3, 2, 3), (None, 2, 3), (None, 2, 3), (None, 1, None), (None, 1, None), (8, 96, 7), (None, 96, 7), (7, 96, 7),
+        (None, 0, None)], key=str)
 
 
 def test_repeated_bytes(spark):
@@ -88,9 +95,15 @@ def test_shortest_repeats_at_any_offset(spark, length):
 
 def test_repeats_of_no_rows_and_without_ids(spark):
     assert suffixes.repeated_bytes(frame(spark, []))[0].count() == 0
-    text = prose(200, 35)
-    got = suffixes.repeated_bytes(frame(spark, [(None, text), (1, text), (1, "other")]))[0].collect()
-    assert {(r.doc_id, r.n_removed) for r in got} == {(None, 0), (1, 0)}
+    text, shared = prose(200, 35), prose(90, 31)
+    rows = [(None, text), (1, text), (1, "other"), (None, shared + prose(100, 32)), (2, prose(37, 33) + shared), (None, None)]
+    got = sorted((tuple(r)[:5] for r in suffixes.repeated_bytes(frame(spark, rows))[0].collect()), key=str)
+    want = [(rows[k][0], *r[1:]) for k, *r in brute.repeats([(k, t) for k, (_, t) in enumerate(rows)]) for r in [(k, *r)]]
+    assert got == sorted(want, key=str) and sum(r[2] > 0 for r in got) == 4
+    kept = suffixes.drop_repeats(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in kept if r.doc_id) == sorted(
+        (r[0], r[4]) for r in want if r[0] and r[1] > r[2])
+    assert len(kept) == 4
 
 
 def test_dropping_repeats_keeps_valid_text(spark):
@@ -101,8 +114,17 @@ def test_dropping_repeats_keeps_valid_text(spark):
 
 
 def test_the_cover_brings_any_two_places_together():
-    mask = suffixes.cover_mask()
-    assert all((mask & np.roll(mask, -d)).any() for d in range(suffixes.MODULUS))
+    for modulus, cover in ((suffixes.MODULUS, suffixes.COVER), (suffixes.SHORT_MODULUS, suffixes.SHORT_COVER)):
+        mask = suffixes.cover_mask(modulus, cover)
+        assert all((mask & np.roll(mask, -d)).any() for d in range(modulus))
+
+
+@pytest.mark.parametrize("length", [199, 200, 230])
+def test_short_repeats_at_any_offset(spark, length):
+    shared = prose(300, 41)[:length]
+    rows = [(i, prose(9 + i, 42 + i) + shared + prose(20, 90 + i)) for i in range(4)]
+    found = suffixes.repeated_bytes(frame(spark, rows), 200, suffixes.SHORT_MODULUS, suffixes.SHORT_COVER)[0]
+    assert sorted(tuple(r)[:5] for r in found.collect()) == brute.repeats(rows, 200)
 
 
 def test_packed_numbers():
