@@ -10,14 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm.jaccard import jaccard_groups
+from gridspark.llm.jaccard import jaccard_rows
 from gridspark.llm.language import UNKNOWN, fold, identify
-from gridspark.llm.mixing import mix_documents, word_count
+from gridspark.llm.mixing import WORD, mix_documents, word_count
 from gridspark.llm.packing import pack_documents
-from gridspark.llm.suffixes import drop_repeats
-from gridspark.runtime import scratch_path
+from gridspark.llm.suffixes import SHORT_COVER, SHORT_MODULUS, drop_repeats
+from gridspark.runtime import scratch_path, settle
 
 MIN_SCORE = 0.5
+# Fifty words of four bytes, spaces included: a passage of more words is longer in any of the languages.
+PASSAGE = 200
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,19 +29,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates.
+    """Keeps one row of each group of near duplicates: the smallest id, null last.
 
-    Rows that share a doc_id are one document; rows without one are linked with nothing.
+    Ids may be null or repeat: rows are told apart by all their columns. Texts without a word
+    are near duplicates of nothing and stay, all of them.
     """
-    groups = jaccard_groups(docs)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("_first")).dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = docs.withColumn("_key", F.xxhash64(*docs.columns))
+    judged = settle(jaccard_rows(rows.select("doc_id", "text", F.col("_key").alias("key"))))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = judged.where("n_shingles > 0").groupBy("group").agg(F.min(order).alias("best")).select(
+        F.col("best.key").alias("_first")).distinct()
+    # Rows equal in every column are one; others that share a key by chance both stay.
+    kept = rows.join(first, F.col("_key") == F.col("_first")).dropDuplicates(docs.columns)
+    bare = ~F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    return kept.where(~bare).select(*docs.columns).unionByName(docs.where(bare))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts byte strings that occur elsewhere too; a document of which nothing is left goes."""
-    return drop_repeats(docs)
+    """Cuts byte strings of ``PASSAGE`` bytes that occur elsewhere too; a document of which nothing is left goes."""
+    return drop_repeats(docs, PASSAGE, SHORT_MODULUS, SHORT_COVER)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
