@@ -1,6 +1,5 @@
 """Queries that write to the shared folder and read back."""
 
-import os
 import struct
 
 import numpy as np
@@ -113,16 +112,18 @@ def _netcdf(arrays: dict, dims: dict) -> bytes:
 def export_netcdf(cells, path: str, names, steps: int) -> None:
     """Write a complete cube as one file per ``steps`` time steps, a task per file.
 
-    The folder must be mounted on every executor, as for reading the files back.
+    The folder may lie in any store that ``sources.grid`` reads.
     """
-    os.makedirs(path, exist_ok=True)
+    store, inner = grid._store(path)
+    store.create_dir(inner)
 
     def save(pdf):
         block = int(pdf["time"].iloc[0]) // steps
         ordered = pdf.sort_values(["time", "plevel", "lat", "lon"])
         dims = {d: int(ordered[d].nunique()) for d in ("time", "plevel", "lat", "lon")}
         arrays = {n: ordered[n].to_numpy().reshape(tuple(dims.values())) for n in names}
-        with open(f"{path}/part{block:05d}.nc", "wb") as f:
+        store, inner = grid._store(path)
+        with store.open_output_stream(f"{inner}/part{block:05d}.nc") as f:
             f.write(_netcdf(arrays, dims))
         return pd.DataFrame({"block": np.array([block], dtype=np.int32)})
 
@@ -131,7 +132,7 @@ def export_netcdf(cells, path: str, names, steps: int) -> None:
 
 def _exported(spark, folder) -> str:
     """The cube as netCDF files of ten steps each."""
-    path = scratch_path(spark, "netcdf").removeprefix("file:")
+    path = scratch_path(spark, "netcdf")
     export_netcdf(fx.cells(spark, folder), path, ["ucomp", "temp"], 10)
     return f"{path}/*.nc"
 
@@ -148,3 +149,12 @@ def grid_columns(spark, folder):
     """Files loaded in parallel as vertical columns and put in line."""
     loaded = grid.read_columns(spark, _exported(spark, folder), ["ucomp", "temp"], steps=4)
     return explode_levels(sources_in_line(loaded), ["ucomp", "temp"], COLUMN_KEY, "pos")
+
+
+@query(sql("""SELECT time, plevel, lon, ucomp FROM cells WHERE lat = 2 AND plevel >= 3 AND plevel < 6
+    AND time BETWEEN 4 AND 47"""))
+def grid_band(spark, folder):
+    """One latitude and a band of levels: the source reads those bytes only."""
+    wanted = {"lat": 2, "plevel": {"from": 3, "to": 6}, "time": {"from": 4, "to": 48}}
+    band = grid.read_grid(spark, _exported(spark, folder), ["ucomp"], steps=4, in_line=True, where=wanted)
+    return band.select("time", "plevel", "lon", "ucomp")

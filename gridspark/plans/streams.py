@@ -9,8 +9,10 @@ from gridspark.plans.evaluation import PAIRED_SQL, rounded
 from gridspark.plans.fixtures import with_tables as sql
 from gridspark.plans.modelling import LINEAR_SCORE, linear_weights
 from gridspark.plans.registry import ORACLE, query
+from gridspark.plans.storage import export_netcdf
 from gridspark.plans.sampling import FITTED, rounded_state
 from gridspark.runtime import scratch_path
+from gridspark.sources import grid
 from gridspark.streaming import jobs, robust
 
 FILES = 4
@@ -138,3 +140,16 @@ def stream_lag_stack(spark, folder):
     by_step = spark.read.schema(stacked.schema).parquet(f"{path}/sink").select(
         "time", "lat", "lon", F.posexplode("lags").alias("k", "past"))
     return by_step.select("time", "lat", "lon", "k", F.posexplode("past").alias("pos", "ucomp"))
+
+
+@query(sql("""SELECT plevel AS idx, count(ucomp) AS n, round(avg(ucomp), 8) AS mean, round(var_pop(ucomp) * count(ucomp), 6) AS m2
+    FROM cells GROUP BY plevel"""))
+def stream_grid_scaler(spark, folder):
+    """The scaler of model output that arrives as files: the first runs, then all the others."""
+    path = scratch_path(spark, "grid-stream")
+    cells, step = fx.cells(spark, folder), F.col("time")
+    for part in (step < 20, step >= 20):
+        export_netcdf(cells.where(part), f"{path}/files", ["ucomp"], 10)
+        stream = grid.stream_columns(spark, f"{path}/files/*.nc", ["ucomp"], steps=4, in_line=True)
+        finish(jobs.stream_scaler(stream, "ucomp", f"{path}/state", f"{path}/checkpoint"))
+    return rounded(rounded(jobs.latest_state(spark, f"{path}/state"), 8, "mean"), 6, "m2")

@@ -134,3 +134,88 @@ def test_summary_json(spark, tmp_path):
     df = spark.createDataFrame([("temp", 1.5)], "name STRING, mean DOUBLE")
     tables.write_summary_json(df, str(tmp_path / "s"))
     assert spark.read.json(str(tmp_path / "s")).select("name", F.col("mean")).first() == ("temp", 1.5)
+
+
+class Counting:
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, f, seen):
+        self.f, self.seen = f, seen
+
+    def read(self, n):
+        self.seen.append(n)
+        return self.f.read(n)
+
+    def seek(self, at):
+        self.f.seek(at)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *error):
+        self.f.close()
+
+
+@pytest.mark.parametrize("unlimited", [None, "time"])
+@pytest.mark.parametrize("kind", [grid.GridReader, grid.ColumnReader])
+def test_conditions_become_byte_ranges(spark, tmp_path, monkeypatch, unlimited, kind):
+    cube, _, _ = year(tmp_path / "a.nc", unlimited)
+    monkeypatch.setattr(grid, "GAP_BYTES", 0)
+    reader = kind([str(tmp_path / "a.nc")], ["temp"], 2, False, {"lat": 1, "time": {"from": 3}, "lon": [0, 1]})
+    parts = reader.partitions()
+    assert [(p.start, p.stop) for p in parts] == [(2, 4), (4, 5)]
+    seen, plain = [], grid.open_input
+    monkeypatch.setattr(grid, "variables_of", lambda path, known=grid.variables_of(str(tmp_path / "a.nc")): known)
+    monkeypatch.setattr(grid, "open_input", lambda path: Counting(plain(path), seen))
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sum(seen) == 2 * 3 * 2 * 8   # two steps, three levels, two longitudes of one latitude
+    if kind is grid.GridReader:
+        assert {(r["time"], r["plevel"], r["lat"], r["lon"]): r["temp"] for r in rows} == {
+            (t, p, 1, x): cube[t, p, 1, x] for t in (3, 4) for p in range(3) for x in (0, 1)}
+    else:
+        assert {(r["time"], r["lat"], r["lon"]): r["temp"] for r in rows} == {
+            (t, 1, x): cube[t, :, 1, x].tolist() for t in (3, 4) for x in (0, 1)}
+
+
+@pytest.mark.parametrize("where, condition", [
+    ({"lat": 1, "time": {"from": 4, "to": 7}}, "lat = 1 and time >= 4 and time < 7"),
+    ({"plevel": [0, 2], "lon": {"to": 3}}, "plevel in (0, 2) and lon < 3"),
+    ({"lat": 99}, "lat = 99"), ({"time": [0, 9]}, "time in (0, 9)"), ({}, "true")])
+def test_where_gives_what_a_filter_gives(spark, tmp_path, where, condition):
+    year(tmp_path / "y1.nc")
+    year(tmp_path / "y2.nc", "time", True)
+    path = f"file://{tmp_path}/*.nc"
+    for read, names in ((grid.read_grid, ["temp", "ucomp"]), (grid.read_columns, ["temp", "slp"])):
+        if read is grid.read_columns and "plevel" in where:
+            with pytest.raises(Exception, match="no condition"):
+                read(spark, path, names, where=where).count()
+            continue
+        whole = read(spark, path, names, steps=2, in_line=True)
+        got = read(spark, path, names, steps=2, in_line=True, where=where)
+        assert sorted(map(str, got.collect())) == sorted(map(str, whole.where(condition).collect()))
+        # Two selections of one table do not mix.
+        both = whole.where("lat = 0").select("lat").unionAll(whole.where("lat = 1 and lon = 2").select("lat"))
+        assert both.where("lat = 0").count() == 4 * both.where("lat = 1").count()
+
+
+def test_files_that_appear_are_streamed_once(spark, tmp_path):
+    from gridspark.streaming import jobs
+    (tmp_path / "in").mkdir()
+    cubes = [year(tmp_path / "in" / "y1.nc")[0]]
+
+    def run():
+        stream = grid.stream_columns(spark, str(tmp_path / "in" / "*.nc"), ["temp"], steps=2, in_line=True)
+        jobs.stream_scaler(stream, "temp", str(tmp_path / "state"), str(tmp_path / "checkpoint")).awaitTermination()
+        return {r.idx: (r.n, r.mean) for r in jobs.latest_state(spark, str(tmp_path / "state")).collect()}
+
+    for name in ("y2.nc", "y3.nc", None):
+        whole = np.concatenate(cubes)
+        got = run()
+        assert all(got[p][0] == whole[:, p].size and np.isclose(got[p][1], whole[:, p].mean()) for p in range(3))
+        if name:
+            cubes.append(year(tmp_path / "in" / name, "time", shift=5.0)[0])
+    cells = grid.stream_grid(spark, str(tmp_path / "in" / "*.nc"), ["temp"], in_line=True)
+    seen = []
+    query = cells.select("time").writeStream.foreachBatch(lambda b, _: seen.extend(r.time for r in b.distinct().collect()))
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert sorted(seen) == list(range(15))
