@@ -1,4 +1,9 @@
-"""Synchronous data-parallel training: a Spark job per step, weights on the driver.
+"""Synchronous data-parallel training: a Spark job per step, or one barrier job per epoch.
+
+In a job per step the driver holds the weights. In a barrier job each task keeps its share of
+every batch of the epoch and its own copy of weights and moments; per step the tasks exchange
+their summed gradients and all make the same update, so a cluster pays one start per epoch. A
+lost task repeats the epoch from the weights it began with.
 
 Batches are written once to the shared folder, in blocks by batch number, so a step
 reads only its own block. Tasks turn their rows into one summed gradient each; these are
@@ -8,10 +13,12 @@ size. A lost executor only repeats its part of the step.
 
 from __future__ import annotations
 
+import base64
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -20,10 +27,12 @@ from pyspark.sql.types import (
 
 from gridspark.operators import network
 from gridspark.runtime import scratch_path
+from gridspark.sources.versions import latest_state, publish
 
 PIECE = 65_536  # gradient elements per row sent to the reducers
 LANES = 32      # first-level reducers per piece
 BLOCK = 64      # batches per folder
+MESSAGE = 1_000_000  # gradient elements a task hands over at once
 
 
 @dataclass
@@ -139,6 +148,121 @@ def step_rows(stored: DataFrame, lengths: dict, step: int) -> DataFrame:
     return stored.where(F.col("block").isin(folders) & match)
 
 
+def _span_rows(stored: DataFrame, lengths: dict, first: int, steps: int) -> DataFrame:
+    """The rows of steps [first, first + steps): a stretch of batches per source, or all of them."""
+    match, blocks = F.lit(False), set()
+    for source, length in lengths.items():
+        low = first % length
+        high = low + steps - 1
+        at = F.col("batch_id")
+        if steps >= length:
+            wanted, spans = F.lit(True), [(0, length - 1)]
+        elif high < length:
+            wanted, spans = at.between(low, high), [(low, high)]
+        else:
+            wanted, spans = (at >= low) | (at <= high - length), [(low, length - 1), (0, high - length)]
+        blocks |= {b for a, z in spans for b in range(a // BLOCK, z // BLOCK + 1)}
+        match = match | ((F.col("source") == source) & wanted)
+    return stored.where(F.col("block").isin(sorted(blocks)) & match)
+
+
+def _added(context, numbers: np.ndarray) -> np.ndarray:
+    """The sum of every task's numbers, in the order of the tasks, so that all get the same."""
+    parts = []
+    for first in range(0, len(numbers), MESSAGE):
+        told = context.allGather(base64.b64encode(numbers[first:first + MESSAGE].tobytes()).decode())
+        parts.append(np.sum([np.frombuffer(base64.b64decode(t)) for t in told], axis=0))
+    return np.concatenate(parts)
+
+
+EPOCH = "flat ARRAY<DOUBLE>, names ARRAY<STRING>, moments ARRAY<ARRAY<DOUBLE>>, seen ARRAY<ARRAY<DOUBLE>>"
+
+
+def run_epoch(stored: DataFrame, lengths: dict, first: int, steps: int, net, optimizer, loss: str, tasks: int):
+    """One barrier job over ``steps`` steps: (weights, optimizer state, losses of the steps).
+
+    ``tasks`` must run at the same time. Each holds its share of the epoch's rows, and each
+    step sends the size of the model to every task; few large tasks do best.
+    """
+    spark = stored.sparkSession
+    held = spark.sparkContext.broadcast((net, optimizer))
+
+    def work(batches):
+        from pyspark import BarrierTaskContext
+        context = BarrierTaskContext.get()
+        mine = {}
+        for batch in batches:
+            xs, ys = (np.array(batch.column(i).flatten()).reshape(batch.num_rows, -1) for i in (2, 3))
+            for k, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                mine.setdefault(key, []).append((xs[k], ys[k]))
+        mine = {key: tuple(np.stack(c) for c in zip(*rows)) for key, rows in mine.items()}
+        model, rule = held.value
+        flat, seen = model.flat(), []
+        outputs = sum(h[-1].shape[1] for h in model.heads)
+        for step in range(first, first + steps):
+            total = np.zeros(4 + flat.size)
+            for source, length in lengths.items():
+                if (source, step % length) in mine:
+                    x, y = mine[source, step % length]
+                    *sums, grad = network.gradient(model, x, y, loss)
+                    total[:4] += len(x), *sums
+                    total[4:] += grad
+            total = _added(context, total)
+            if not total[0]:
+                raise ValueError("no rows to train on")
+            value, mae, mse = total[1:4] / total[0]
+            seen.append([value, mae / outputs, mse / outputs])
+            if not np.isfinite(value):
+                break
+            flat = rule.step(flat, total[4:] / total[0])
+            model = model.with_flat(flat)
+        if context.partitionId() == 0:
+            names = sorted(rule.state)
+            moments = [np.atleast_1d(rule.state[k]).astype(float).tolist() for k in names]
+            yield pa.RecordBatch.from_pylist([{"flat": flat.tolist(), "names": names, "moments": moments, "seen": seen}])
+
+    rows = _span_rows(stored, lengths, first, steps).select("source", "batch_id", "features", "target")
+    spread = rows.repartition(tasks, F.xxhash64("source", "batch_id", "features"))
+    done = spread.mapInArrow(work, EPOCH, barrier=True).collect()[0]
+    held.destroy()
+    state = {k: np.array(v, float) if k != "t" else int(v[0]) for k, v in zip(done.names, done.moments)}
+    # NaN comes back as null.
+    return np.array(done.flat, float), state, [np.array(s, float) for s in done.seen]
+
+
+COUNTERS = ("epoch", "step", "best", "best_rate", "waited", "flat_epochs", "learning_rate", "t", "done")
+
+
+def save_training(spark, path: str, flat, best_flat, optimizer, counters: dict, log: list) -> None:
+    """A version of everything training needs to go on, complete or not there at all."""
+    numbers = {"weights": flat, "best": best_flat, "counters": [float(counters[c]) for c in COUNTERS],
+               "log": np.array([[np.nan if v is None else v for v in row] for row in log], float).ravel(),
+               **{f"state_{k}": v for k, v in optimizer.state.items() if k != "t"}}
+    rows = [(name, i, [float(v) for v in values[i * PIECE:(i + 1) * PIECE]])
+            for name, values in numbers.items() for i in range(-(-len(values) // PIECE))]
+    publish(spark.createDataFrame(rows, "name STRING, piece INT, numbers ARRAY<DOUBLE>"), path, int(counters["epoch"]))
+
+
+def load_training(spark, path: str):
+    """(weights, best weights, optimizer state, counters, log) of the newest version; None if there is none."""
+    saved = latest_state(spark, path)
+    if saved is None:
+        return None
+    parts: dict[str, list] = {}
+    for r in saved.orderBy("name", "piece").toLocalIterator():
+        parts.setdefault(r.name, []).extend(r.numbers)
+    counters = dict(zip(COUNTERS, parts["counters"]))
+    for c in ("epoch", "step", "waited", "flat_epochs", "t"):
+        counters[c] = int(counters[c])
+    state = {k.removeprefix("state_"): np.array(v) for k, v in parts.items() if k.startswith("state_")}
+    if counters["t"]:
+        state["t"] = counters["t"]
+    width = len(LOG.fields)
+    log = [parts["log"][i:i + width] for i in range(0, len(parts.get("log", [])), width)]
+    log = [(int(r[0]), int(r[1]), *[None if np.isnan(v) and k == 6 else v for k, v in enumerate(r[2:], 2)]) for r in log]
+    return np.array(parts["weights"]), np.array(parts["best"]), state, counters, log
+
+
 LOG = StructType([
     StructField("epoch", IntegerType()), StructField("steps", LongType()),
     *[StructField(c, DoubleType()) for c in ("loss", "mae", "mse", "rmse", "val_loss", "learning_rate")],
@@ -149,7 +273,7 @@ def train_mlp(batches: DataFrame, trunk=network.TRUNK, head=network.HEAD, loss:
               optimizer=None, epochs: int = 10, steps_per_epoch: int | None = 1000,
               val: DataFrame | None = None, val_steps: int | None = None, control: TrainControl | None = None,
               init_weights: DataFrame | None = None, seed: int = 0,
-              checkpoint_path: str | None = None):
+              checkpoint_path: str | None = None, tasks: int | None = None, state_path: str | None = None):
     """Train on ([source,] batch_id, features, target) rows; returns (weights, log) tables.
 
     Loss is the batch mean, summed over the outputs. Batches are used in order, and each
@@ -157,7 +281,10 @@ def train_mlp(batches: DataFrame, trunk=network.TRUNK, head=network.HEAD, loss:
     longest. The weights of the best epoch are returned, and written to
     ``checkpoint_path`` whenever an epoch improves. Training ends on a loss that is not
     a number. ``val`` rows are written once; with ``val_steps`` they hold a batch_id, and an
-    epoch takes that many batches of them, going on where the last one stopped.
+    epoch takes that many batches of them, going on where the last one stopped. With ``tasks``
+    an epoch is one barrier job of that many tasks instead of a job per step. With
+    ``state_path`` every epoch leaves a version of weights, moments, step, learning rate and
+    counters there, and training goes on from the newest: ``epochs`` then counts all of them.
     """
     spark = batches.sparkSession
     optimizer, control = optimizer or Adam(), control or TrainControl()
@@ -179,18 +306,30 @@ def train_mlp(batches: DataFrame, trunk=network.TRUNK, head=network.HEAD, loss:
         net = network.new_net(shape.x, shape.y, trunk, head, seed)
 
     flat, best_flat, best, best_rate = net.flat(), net.flat(), np.inf, np.inf
-    waited, flat_epochs, log, step = 0, 0, [], 0
-    for epoch in range(1, epochs + 1):
-        seen = []
-        for _ in range(steps_per_epoch):
-            rows = step_rows(stored, lengths, step)
-            step += 1
-            _, value, mae, mse, grad = batch_sums(rows, net, loss)
-            seen.append((value, mae, mse))
-            if not np.isfinite(value):
-                break
-            flat = optimizer.step(flat, grad)
+    waited, flat_epochs, log, step, begun = 0, 0, [], 0, 1
+    known = load_training(spark, state_path) if state_path else None
+    if known is not None:
+        flat, best_flat, optimizer.state, counters, log = known
+        best, best_rate, optimizer.learning_rate = counters["best"], counters["best_rate"], counters["learning_rate"]
+        waited, flat_epochs, step = counters["waited"], counters["flat_epochs"], counters["step"]
+        begun = epochs + 1 if counters["done"] else counters["epoch"] + 1
+        net = net.with_flat(flat)
+    for epoch in range(begun, epochs + 1):
+        if tasks:
+            flat, optimizer.state, seen = run_epoch(stored, lengths, step, steps_per_epoch, net, optimizer, loss, tasks)
+            step += len(seen)
             net = net.with_flat(flat)
+        else:
+            seen = []
+            for _ in range(steps_per_epoch):
+                rows = step_rows(stored, lengths, step)
+                step += 1
+                _, value, mae, mse, grad = batch_sums(rows, net, loss)
+                seen.append((value, mae, mse))
+                if not np.isfinite(value):
+                    break
+                flat = optimizer.step(flat, grad)
+                net = net.with_flat(flat)
         value, mae, mse = np.mean(seen, axis=0)
         val_loss = None
         if val is not None:
@@ -202,23 +341,28 @@ def train_mlp(batches: DataFrame, trunk=network.TRUNK, head=network.HEAD, loss:
             val_loss = float(batch_sums(rows, net, loss, with_gradient=False)[1])
         log.append((epoch, step, float(value), float(mae), float(mse), float(np.sqrt(mse)),
                     val_loss, float(optimizer.learning_rate)))
-        if not np.isfinite(value):
-            break
+        done = not np.isfinite(value)
         watched = val_loss if control.monitor == "val_loss" else value
-        if watched < best_rate - control.lr_min_gain:
-            best_rate, flat_epochs = watched, 0
-        else:
-            flat_epochs += 1
-            if flat_epochs >= control.lr_patience:
-                optimizer.learning_rate *= control.lr_factor
-                flat_epochs = 0
-        if watched < best:
-            best, best_flat, waited = watched, flat, 0
-            if checkpoint_path:
-                saved = network.to_table(spark, net).withColumn("epoch", F.lit(epoch))
-                saved.write.mode("overwrite").parquet(f"{checkpoint_path}/epoch={epoch:04d}")
-        else:
-            waited += 1
-            if waited >= control.patience:
-                break
+        if not done:
+            if watched < best_rate - control.lr_min_gain:
+                best_rate, flat_epochs = watched, 0
+            else:
+                flat_epochs += 1
+                if flat_epochs >= control.lr_patience:
+                    optimizer.learning_rate *= control.lr_factor
+                    flat_epochs = 0
+            if watched < best:
+                best, best_flat, waited = watched, flat, 0
+                if checkpoint_path:
+                    saved = network.to_table(spark, net).withColumn("epoch", F.lit(epoch))
+                    saved.write.mode("overwrite").parquet(f"{checkpoint_path}/epoch={epoch:04d}")
+            else:
+                waited += 1
+                done = waited >= control.patience
+        if state_path:
+            save_training(spark, state_path, flat, best_flat, optimizer, {
+                "epoch": epoch, "step": step, "best": best, "best_rate": best_rate, "waited": waited, "flat_epochs": flat_epochs,
+                "learning_rate": optimizer.learning_rate, "t": optimizer.state.get("t", 0), "done": done}, log)
+        if done:
+            break
     return network.to_table(spark, net.with_flat(best_flat)), spark.createDataFrame(log, LOG)

@@ -11,6 +11,7 @@ from gridspark.plans.evaluation import rounded
 from gridspark.plans.fixtures import with_tables as sql
 from gridspark.plans.registry import query
 from gridspark.plans.sampling import FITTED
+from gridspark.runtime import scratch_path
 
 SEED = 7
 
@@ -139,8 +140,8 @@ def training_loss(spark, folder):
     return rounded(log.select("epoch", "loss", "mae", "mse"), 8, "loss", "mae", "mse")
 
 
-def _learned_sql(steps: str) -> str:
-    """The linear model after two steps; ``steps`` has the update of step k from w and g."""
+def _learned_sql(steps: str, last: int = 2) -> str:
+    """The linear model after its ``last`` step; ``steps`` has the update of step k from w and g."""
     head = LOSSES[:LOSSES.index("    p AS (")] + LOSSES[LOSSES.index("    r AS ("):LOSSES.index("    st AS (")]
     return head + f"""
     x AS (SELECT sample_id, idx, z FROM z UNION ALL SELECT sample_id, 52, 1.0::DOUBLE FROM vectors),
@@ -149,7 +150,7 @@ def _learned_sql(steps: str) -> str:
              CASE WHEN i.range = 52 THEN j.range / 10.0::DOUBLE
                   ELSE ((7 * i.range + 3 * j.range) % 11 - 5) / 10.0::DOUBLE END AS w FROM range(53) i, range(6) j),
     {steps}
-    SELECT idx, plevel, round(w, 7) AS w FROM w2"""
+    SELECT idx, plevel, round(w, 7) AS w FROM w{last}"""
 
 
 def _step(k: int, moments: str, update: str, clip: float | None) -> str:
@@ -164,13 +165,13 @@ def _step(k: int, moments: str, update: str, clip: float | None) -> str:
     w{k} AS (SELECT idx, plevel, m, v, {update} AS w FROM u{k})"""
 
 
-def _adam_sql(rate: float, clip: float | None) -> str:
+def _adam_sql(rate: float, clip: float | None, last: int = 2) -> str:
     def update(k):
         scale = f"{rate} * sqrt(1 - power(0.999::DOUBLE, {k})) / (1 - power(0.9::DOUBLE, {k}))"
         return f"w - {scale} * m / (sqrt(v) + 1e-8)"
     moments = ("0.9::DOUBLE * m + (1 - 0.9::DOUBLE) * (G) AS m, "
                "0.999::DOUBLE * v + (1 - 0.999::DOUBLE) * (G) * (G) AS v")
-    return ",\n    ".join(_step(k, moments, update(k), clip) for k in (1, 2))
+    return ",\n    ".join(_step(k, moments, update(k), clip) for k in range(1, last + 1))
 
 
 def _rmsprop_sql(rate: float) -> str:
@@ -182,6 +183,10 @@ def _learned(spark, folder, optimizer, **options):
     """Weights of the linear model after two steps, by input and output."""
     weights, _ = _trained(spark, folder, loss="mse", optimizer=optimizer, init_weights=linear_weights(spark),
                           **{"epochs": 1, "steps_per_epoch": 2, **options})
+    return _by_place(weights)
+
+
+def _by_place(weights):
     cells = weights.select("n_cols", F.posexplode("weights").alias("at", "w"))
     return cells.select(F.floor(F.col("at") / F.col("n_cols")).cast("int").alias("idx"),
                         F.pmod("at", "n_cols").alias("plevel"), F.round("w", 7).alias("w"))
@@ -202,6 +207,24 @@ def train_rmsprop(spark, folder):
     return _learned(spark, folder, training.RMSprop(0.002))
 
 
+@query(sql(_learned_sql(_adam_sql(0.01, None))))
+def train_one_job(spark, folder):
+    """The same two steps inside one barrier job."""
+    return _learned(spark, folder, training.Adam(0.01), tasks=2)
+
+
+@query(sql(_learned_sql(_adam_sql(0.01, None, 4), 4)))
+def train_resumed(spark, folder):
+    """Two epochs of a step, then two more by a run that knows only the saved state."""
+    path = scratch_path(spark, "training")
+    for epochs in (2, 4):
+        _trained(spark, folder, loss="mse", optimizer=training.Adam(0.01), init_weights=linear_weights(spark),
+                 epochs=epochs, steps_per_epoch=1, state_path=path)
+    flat = training.load_training(spark, path)[0]
+    net = network.from_table(linear_weights(spark))
+    return _by_place(network.to_table(spark, net.with_flat(flat)))
+
+
 @query()
 def mlp_train(spark, folder):
     weights, _ = _trained(spark, folder)

@@ -2,7 +2,7 @@
 
 Batches are written under their own number, so a batch repeated after a failure replaces
 itself. A batch counts once its success mark is there; readers take the newest such batch, and
-all but the last few are removed. All paths must lie in storage the whole cluster shares.
+all but the last few are removed (``sources.versions``). All paths must lie in storage the whole cluster shares.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from gridspark.operators.metrics import level_metrics
 from gridspark.operators.scaler import scaler_fit, scaler_merge
 from gridspark.operators.scoring import batch_score, share
 from gridspark.runtime import settle
+from gridspark.sources.versions import latest_state, publish
 
 STEP_HOURS = 6
-KEEP = 3  # batches of a state that stay: the newest, its predecessor, and one being read
 
 
 def start(writer, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -58,31 +58,6 @@ def stream_scaler(stream: DataFrame, col: str, state_path: str, checkpoint: str,
     return start(stream.writeStream.foreachBatch(merge), checkpoint, every)
 
 
-def _published(spark: SparkSession, path: str):
-    """(file system, {number: folder}) of the batches below ``path`` that are complete."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    root = hadoop(path)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [s.getPath() for s in files.listStatus(root)] if files.exists(root) else []
-    folders = {int(p.getName().removeprefix("batch=")): p for p in found if p.getName().startswith("batch=")}
-    return files, {n: p for n, p in folders.items() if files.exists(hadoop(p, "_SUCCESS"))}
-
-
-def publish(df: DataFrame, path: str, number: int, keep: int = KEEP) -> None:
-    """Write batch ``number`` and remove complete ones that are ``keep`` or more behind it."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={number}")
-    files, done = _published(df.sparkSession, path)
-    for old, folder in done.items():
-        if old <= number - keep:
-            files.delete(folder, True)
-
-
-def latest_state(spark: SparkSession, state_path: str) -> DataFrame:
-    """The newest complete batch."""
-    _, done = _published(spark, state_path)
-    return spark.read.parquet(f"{state_path}/batch={max(done)}")
-
-
 def stream_score(stream: DataFrame, weights: DataFrame, x_state: DataFrame, y_state: DataFrame,
                  sink: str, checkpoint: str, target: str = "gwfu", every: str | None = None) -> StreamingQuery:
     """Score columns as they arrive; each batch is one folder of the sink.
@@ -132,10 +107,8 @@ def keep_robust(result: DataFrame, path: str, checkpoint: str, by=("plevel",), e
     def replace(batch: DataFrame, number: int):
         spark = batch.sparkSession
         batch = settle(batch)
-        _, done = _published(spark, path)
-        older = [n for n in done if n < number]
-        if older:
-            before = spark.read.parquet(f"{path}/batch={max(older)}")
+        before = latest_state(spark, path, number)
+        if before is not None:
             batch = batch.unionByName(before.join(batch.select(*by), list(by), "left_anti"))
         publish(batch, path, number)
 

@@ -142,3 +142,58 @@ def test_a_large_background_is_joined_not_broadcast(spark):
         assert [r.idx for r in found.orderBy("idx").collect()] == [0, 1, 2, 3, 4]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("optimizer", [lambda: training.Adam(0.02, clip=0.5), lambda: training.RMSprop(0.01)])
+def test_one_job_an_epoch_gives_the_weights_of_a_job_a_step(spark, monkeypatch, optimizer):
+    monkeypatch.setattr(training, "MESSAGE", 37)  # several messages for a small gradient
+    given = dict(trunk=(8,), head=(4,), loss="log_cosh", epochs=2, steps_per_epoch=5, val=rows(spark))
+    runs = [training.train_mlp(rows(spark), optimizer=optimizer(), **given, **how) for how in ({}, {"tasks": 3})]
+    (one, log_one), (two, log_two) = runs
+    assert np.allclose(network.from_table(one).flat(), network.from_table(two).flat(), rtol=0, atol=1e-9)
+    for a, b in zip(log_one.orderBy("epoch").collect(), log_two.orderBy("epoch").collect(), strict=True):
+        assert a.steps == b.steps and np.allclose([a.loss, a.mae, a.mse, a.val_loss], [b.loss, b.mae, b.mse, b.val_loss])
+
+
+def test_an_epoch_is_one_barrier_job(spark):
+    stored = training.store_batches(rows(spark))
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("epoch", "one epoch")
+    net = network.new_net(5, 2, (6,), None, seed=1)
+    flat, state, seen = training.run_epoch(stored, {"0": 4}, 3, 9, net, training.Adam(0.01), "mse", 2)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    # The shuffle that deals the rows is a job of its own under adaptive execution.
+    assert len(tracker.getJobIdsForGroup("epoch")) <= 2
+    assert len(seen) == 9 and state["t"] == 9 and not np.allclose(flat, net.flat())
+
+
+@pytest.mark.parametrize("span", [(0, 2), (3, 2), (3, 4), (2, 9)])
+def test_the_rows_of_a_span_are_those_of_its_steps(spark, span):
+    data = [(k, b, [float(b)], [0.0]) for k, n in (("a", 4), ("b", 3)) for b in range(n)]
+    frame = spark.createDataFrame(data, "source STRING, batch_id BIGINT, features ARRAY<DOUBLE>, target ARRAY<DOUBLE>")
+    stored, lengths = training.store_batches(frame), {"a": 4, "b": 3}
+    want = {(s, k % n) for s, n in lengths.items() for k in range(span[0], span[0] + span[1])}
+    assert {(r.source, r.batch_id) for r in training._span_rows(stored, lengths, *span).collect()} == want
+
+
+@pytest.mark.parametrize("tasks", [None, 2])
+def test_training_goes_on_where_it_stopped(spark, tmp_path, tasks):
+    given = dict(trunk=(8,), head=None, loss="mse", steps_per_epoch=3, val=rows(spark), tasks=tasks, seed=5,
+                 control=training.TrainControl(monitor="val_loss", lr_patience=1, lr_min_gain=1e9, lr_factor=0.5))
+    whole, log = training.train_mlp(rows(spark), optimizer=training.Adam(0.02), epochs=4, **given)
+    path = str(tmp_path)
+    training.train_mlp(rows(spark), optimizer=training.Adam(0.02), epochs=2, state_path=path, **given)
+    (tmp_path / "batch=9").mkdir()  # of a run that was cut off while it wrote
+    parts, more = training.train_mlp(rows(spark), optimizer=training.Adam(0.02), epochs=4, state_path=path, **given)
+    assert np.allclose(network.from_table(whole).flat(), network.from_table(parts).flat(), rtol=0, atol=1e-12)
+    assert [tuple(r) for r in log.collect()] == [tuple(r) for r in more.collect()] and more.count() == 4
+    again, _ = training.train_mlp(rows(spark), optimizer=training.Adam(0.02), epochs=4, state_path=path, **given)
+    assert np.allclose(network.from_table(again).flat(), network.from_table(parts).flat(), rtol=0, atol=0)
+
+
+def test_training_that_has_ended_stays_ended(spark, tmp_path):
+    given = dict(trunk=(), head=None, loss="mse", steps_per_epoch=1, state_path=str(tmp_path),
+                 control=training.TrainControl(patience=1))
+    training.train_mlp(rows(spark), optimizer=training.Adam(0.0), epochs=5, **given)
+    _, log = training.train_mlp(rows(spark), optimizer=training.Adam(0.0), epochs=9, **given)
+    assert log.count() < 5
