@@ -57,6 +57,18 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
+def _marked(rows: DataFrame, ids: DataFrame, key: str, bits: int) -> DataFrame:
+    """``rows`` with ``_asked``: whether the key may be among ``ids``, by a broadcast bitmap."""
+    spot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    marks = ids.where(F.col(key).isNotNull()).select(spot.alias("_h")).groupBy(
+        F.expr(f"_h div {WORD_BITS}").alias("_word")).agg(
+        F.expr(f"bitmap_construct_agg(_h % {WORD_BITS})").alias("_map"))
+    byte = F.expr(f"cast(conv(hex(substring(_map, cast((_h % {WORD_BITS}) div 8 as int) + 1, 1)), 16, 10) as int)")
+    held = rows.withColumn("_h", spot).withColumn("_word", F.expr(f"_h div {WORD_BITS}")).join(
+        F.broadcast(marks), "_word", "left")
+    return held.withColumn("_asked", F.coalesce(F.getbit(byte, F.expr("cast(_h % 8 as int)")) == 1, F.lit(False)))
+
+
 def narrow(rows: DataFrame, ids: DataFrame, key: str = "doc_id", bits: int = BITS) -> DataFrame:
     """The rows whose key may be among ``ids``: all that are, and few others.
 
@@ -64,14 +76,13 @@ def narrow(rows: DataFrame, ids: DataFrame, key: str = "doc_id", bits: int = BIT
     nobody asks for do not enter the shuffle of the exact join that must follow. When ids
     outgrow the bitmap it lets more rows through; the join stays right. A null key is dropped.
     """
-    spot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
-    marks = ids.where(F.col(key).isNotNull()).select(spot.alias("_h")).groupBy(
-        F.expr(f"_h div {WORD_BITS}").alias("_word")).agg(
-        F.expr(f"bitmap_construct_agg(_h % {WORD_BITS})").alias("_map"))
-    byte = F.expr(f"cast(conv(hex(substring(_map, cast((_h % {WORD_BITS}) div 8 as int) + 1, 1)), 16, 10) as int)")
-    held = rows.withColumn("_h", spot).withColumn("_word", F.expr(f"_h div {WORD_BITS}")).join(
-        F.broadcast(marks), "_word")
-    return held.where(F.getbit(byte, F.expr("cast(_h % 8 as int)")) == 1).select(*rows.columns)
+    return _marked(rows.where(F.col(key).isNotNull()), ids, key, bits).where("_asked").select(*rows.columns)
+
+
+def parted(rows: DataFrame, ids: DataFrame, key: str, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among ``ids``, and those whose key certainly is not."""
+    marked = _marked(rows, ids, key, bits)
+    return marked.where("_asked").select(*rows.columns), marked.where("not _asked").select(*rows.columns)
 
 
 def release(spark: SparkSession) -> None:

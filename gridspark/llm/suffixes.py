@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.links import narrow, release, small_batches
+from gridspark.llm.links import narrow, parted, release, small_batches
 from gridspark.llm.text import Prints, chunks, column, inside, spread, unpacked
 from gridspark.llm.ties import tied_entries
-from gridspark.runtime import scratch_path, settle, ship_package
+from gridspark.runtime import discard, scratch_path, settle, ship_package
 
 LENGTH = 400
 # A perfect difference set: every residue but 0 is a difference of two of them exactly once.
@@ -152,7 +152,7 @@ def _repeated_bytes(spark, docs, length, modulus, cover):
 
     texts = rows.where(F.octet_length("text") >= length).withColumn("owner", _owner("sha"))
     sample = settle(tied_entries(texts.select("owner", "text"), _sample(length, modulus, cover), by_place=True,
-                                 short=True, buckets=1))
+                                 short=True))
     release(spark)
     asked = whole.join(sample, "owner").select("owner", "key", "places")
     path = scratch_path(spark, "tied")
@@ -166,6 +166,7 @@ def _repeated_bytes(spark, docs, length, modulus, cover):
     cut = tied.select("owner", "text").join(again.select("owner", "places"), "owner").select("owner", "text", "places")
     cut = settle(cut.mapInArrow(_cut(length), "owner long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
     del again  # or it would hold on to the shuffle of all suffixes
+    discard(spark, path)
     release(spark)
 
     known = whole.select("sha", "owner", "copies").join(cut.drop("kept"), "owner", "left").drop("owner")
@@ -188,10 +189,11 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS,
     there, is counted anew for the rows that lost something.
     """
     facts, cut = repeated_bytes(docs, length, modulus, cover)
-    changed = facts.where(F.col("n_removed") > 0).select("doc_id", "sha").distinct().join(
-        cut.select("sha", "kept"), "sha", "left")
-    changed = changed.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_cut"), "kept")
+    lost = settle(facts.where(F.col("n_removed") > 0).select(F.col("doc_id").alias("_id"), F.col("sha").alias("_cut")).distinct())
+    changed = lost.join(cut.select(F.col("sha").alias("_cut"), "kept"), "_cut", "left")
     known = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    # Most texts keep every byte and need not move.
+    known, same = parted(known, lost.select(F.col("_cut").alias("_sha")), "_sha")
     rows = known.join(changed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_cut")), "left")
     plain = F.col("_cut").isNull()
     kept = F.col("kept").cast("string")
@@ -200,7 +202,7 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS,
     rows = rows.withColumn("text", text).where(plain | (F.octet_length("text") > 0))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(plain, F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
-    return rows.select(*docs.columns)
+    return rows.select(*docs.columns).unionByName(same.select(*docs.columns))
 
 
 def op3_suffix_dedup(spark, folder):
