@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.llm.links import components, narrow, release, small_batches
-from gridspark.llm.text import Prints, U, chunks, column, inside, mix, spread, words
+from gridspark.llm.text import Prints, U, chunks, column, inside, lean, mix, spread, words
 from gridspark.llm.ties import tied_entries
 from gridspark.runtime import settle, ship_package, stored
 
@@ -151,7 +151,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("one"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("two"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "one", "two")
-    return both.mapInArrow(_linked(percent, CHECKS), "a long, b long")
+    return both.mapInArrow(lean(_linked(percent, CHECKS)), "a long, b long")
 
 
 def _star_pairs(sets: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def _star_pairs(sets: DataFrame) -> DataFrame:
 
 def _crossing_pairs(sets: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different clusters that share a prefix token, rarest tokens first."""
-    grams = sets.select("node", "n", "tokens").mapInArrow(_exploded, "token long, node long")
+    grams = sets.select("node", "n", "tokens").mapInArrow(lean(_exploded), "token long, node long")
     often = grams.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = grams.join(often, "token")
     # Tokens of one document only come first in its order; they need no rows.
@@ -222,10 +222,10 @@ def jaccard_rows(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
 
 def _jaccard_rows(spark, docs, width, percent):
-    facts = stored(docs.mapInArrow(_facts(width), "doc_id long, key long, n long, name string"), "shingles")
+    facts = stored(docs.mapInArrow(lean(_facts(width)), "doc_id long, key long, n long, name string"), "shingles")
     nodes = facts.where("n > 0").groupBy("name").agg(
         F.min("key").alias("rep"), F.min("doc_id").alias("low"), F.max("n").alias("n"))
-    tied = tied_entries(docs.select("text"), _entries(width), by_place=False)
+    tied = tied_entries(docs.select("text"), _entries(width), by_place=False, buckets=4)
     credit = settle(tied.select("owner", F.col("n").alias("shared")))
     del tied
     release(spark)
@@ -237,7 +237,7 @@ def _jaccard_rows(spark, docs, width, percent):
     reps = open_nodes.select(F.col("rep").alias("key")).distinct()
     # An inner join: a semi-join would be pushed below the filter of ``narrow``.
     found = narrow(docs.select("key", "text"), reps, "key").join(reps.hint("merge"), "key").mapInArrow(
-        _sets(width), "rep long, name string, n long, tokens binary, leads array<long>")
+        lean(_sets(width)), "rep long, name string, n long, tokens binary, leads array<long>")
     # A key that several rows share brings sets nobody asked for; equal sets come once.
     sets = stored(found.join(open_nodes, ["name", "rep"]).dropDuplicates(["name"]).withColumn(
         "node", F.monotonically_increasing_id()), "sets")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.text import chunks, column, inside
+from gridspark.llm.text import chunks, column, inside, lean
 from gridspark.runtime import ship_package
 
 WINDOW = 256
@@ -224,7 +224,7 @@ def identify(docs: DataFrame, trained_on: DataFrame, text: str = "text", lang: s
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("lettered")
     rows = docs.select(F.col(text).alias("t"), *carried, lettered)
     kinds = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes))
-    out = rows.mapInArrow(_apply(net), f"{kinds}, lettered boolean, guess string, score double")
+    out = rows.mapInArrow(lean(_apply(net)), f"{kinds}, lettered boolean, guess string, score double")
     named = {"lang_pred": F.when(F.col("lettered"), F.col("guess")).otherwise(UNKNOWN),
              "score": F.when(F.col("lettered"), F.col("score")).otherwise(0.0)}
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)],

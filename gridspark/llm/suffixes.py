@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.links import narrow, parted, release, small_batches
-from gridspark.llm.text import Prints, chunks, column, inside, spread, unpacked
+from gridspark.llm.text import Prints, chunks, column, inside, lean, spread, unpacked
 from gridspark.llm.ties import tied_entries
 from gridspark.runtime import discard, scratch_path, settle, ship_package
 
@@ -162,9 +162,9 @@ def _repeated_bytes(spark, docs, length, modulus, cover):
 
     release(spark)
     again = tied_entries(tied.select("owner", "text", "places"), _suffixes(length, modulus, cover), by_place=True,
-                         salt=0x2F0B5A11)
+                         salt=0x2F0B5A11, buckets=4)
     cut = tied.select("owner", "text").join(again.select("owner", "places"), "owner").select("owner", "text", "places")
-    cut = settle(cut.mapInArrow(_cut(length), "owner long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
+    cut = settle(cut.mapInArrow(lean(_cut(length)), "owner long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
     del again  # or it would hold on to the shuffle of all suffixes
     discard(spark, path)
     release(spark)

@@ -6,7 +6,8 @@ task's memory does not depend on how many rows a batch holds.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import ctypes
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,24 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES):
         first = last
 
 
+@lru_cache(1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # a system without it
+        return lambda keep: 0
+
+
+def lean(fn):
+    """The function over batches, after which a worker that is used again gives its memory back."""
+    @wraps(fn)
+    def run(batches):
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        _trim()(0)
+    return run
+
+
 class Prints:
     """Fingerprints of any stretch of a byte array from one prefix sum."""
 

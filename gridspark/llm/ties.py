@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.text import U, column, dealt, joined, mix, packed, packed_runs, runs, unpacked, unpacked_runs
+from gridspark.llm.text import U, column, dealt, joined, lean, mix, packed, packed_runs, runs, unpacked, unpacked_runs
 
 FLUSH = 400_000
 ENTRIES = ["part", "keys", "owners", "places", "hot", "told_owners", "told_places"]
@@ -163,8 +163,8 @@ def tied_entries(rows: DataFrame, entries: Callable, by_place: bool, short: bool
     kind = np.uint32 if short else U
     spot = F.pmod("part", F.lit(parts)).cast("int")
     dealt_out = rows.mapInArrow(
-        _map(entries, kind, n, by_place, salt),
+        lean(_map(entries, kind, n, by_place, salt)),
         "part int, keys binary, owners binary, places binary, hot binary, told_owners binary, told_places binary")
     found = dealt_out.repartitionById(parts, spot).mapInArrow(
-        _sort(kind, n, by_place, salt), "part int, owners binary, places binary")
-    return found.repartitionById(parts, spot).mapInArrow(_gather(by_place), "owner long, n long, places binary")
+        lean(_sort(kind, n, by_place, salt)), "part int, owners binary, places binary")
+    return found.repartitionById(parts, spot).mapInArrow(lean(_gather(by_place)), "owner long, n long, places binary")
