@@ -97,7 +97,7 @@ def _map(entries_of, key_type, n, by_place, salt):
     return deal
 
 
-def _sort(key_type, n, by_place, salt):
+def _sort(key_type, n_owner_parts, by_place, salt):
     def sort(batches):
         held = {}
         for batch in batches:
@@ -114,7 +114,7 @@ def _sort(key_type, n, by_place, salt):
             places = np.concatenate([places, unpacked(told_places, np.int32)])
             if by_place:
                 owners, places = _told(owners, places, True)
-            rows = list(dealt(_spot(owners.astype(U), salt + 2, n), n,
+            rows = list(dealt(_spot(owners.astype(U), salt + 2, n_owner_parts), n_owner_parts,
                               [owners, places.astype(np.int32)], [packed_runs, packed]))
             yield pa.RecordBatch.from_arrays(
                 [column([p for p, _ in rows], pa.int32()),
@@ -162,9 +162,10 @@ def tied_entries(rows: DataFrame, entries: Callable, by_place: bool, short: bool
     n = parts * buckets
     kind = np.uint32 if short else U
     spot = F.pmod("part", F.lit(parts)).cast("int")
+    # What is found goes back in whole partitions: buckets there would only make more rows.
     dealt_out = rows.mapInArrow(
         lean(_map(entries, kind, n, by_place, salt)),
         "part int, keys binary, owners binary, places binary, hot binary, told_owners binary, told_places binary")
     found = dealt_out.repartitionById(parts, spot).mapInArrow(
-        lean(_sort(kind, n, by_place, salt)), "part int, owners binary, places binary")
+        lean(_sort(kind, parts, by_place, salt)), "part int, owners binary, places binary")
     return found.repartitionById(parts, spot).mapInArrow(lean(_gather(by_place)), "owner long, n long, places binary")
