@@ -165,6 +165,8 @@ class Past(StatefulProcessor):
         lags = values[at[whole]]
         keep = times > times[-1] - self.offsets[-1]
         self.state.update((times[keep].tobytes(), np.ascontiguousarray(values[keep], np.float64).tobytes()))
+        if not whole.any():
+            return
         out = new[whole].copy()
         out["lags"] = [v.tolist() if vector else v[:, 0].tolist() for v in lags]
         yield out[["time", *self.key, self.col, "lags"]]
