@@ -28,9 +28,11 @@ LENGTH = 400
 # A perfect difference set: every residue but 0 is a difference of two of them exactly once.
 MODULUS = 133
 COVER = (1, 8, 9, 11, 25, 37, 69, 88, 94, 99, 103, 121)
-# The same for strings too short to wait 133 bytes for a sample.
+# Such a set for strings too short to wait 133 bytes for a sample.
 SHORT_MODULUS = 57
 SHORT_COVER = (0, 1, 3, 13, 32, 36, 43, 52)
+# Buckets a partition of samples, and one of suffixes, is sorted in, one at a time.
+BUCKETS = (1, 2)
 
 
 def cover_mask(modulus: int = MODULUS, cover=COVER) -> np.ndarray:
@@ -124,7 +126,7 @@ def _owner(sha):
     return F.conv(F.substring(sha, 1, 16), 16, -10).cast("long")
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS, cover=COVER):
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS, cover=COVER, buckets=BUCKETS):
     """Two tables: the facts of every row of ``docs``, and the texts that lose a part.
 
     Facts: doc_id, n_bytes, n_removed, n_spans, kept_sha256, sha (of the whole text) of each
@@ -139,10 +141,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS
     spark = docs.sparkSession
     ship_package(spark)
     with small_batches(spark):
-        return _repeated_bytes(spark, docs, length, modulus, cover)
+        return _repeated_bytes(spark, docs, length, modulus, cover, buckets)
 
 
-def _repeated_bytes(spark, docs, length, modulus, cover):
+def _repeated_bytes(spark, docs, length, modulus, cover, buckets):
     # The key finds one row of a text again; ids may be null or repeat.
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
         "sha", F.sha2("text", 256))
@@ -152,7 +154,7 @@ def _repeated_bytes(spark, docs, length, modulus, cover):
 
     texts = rows.where(F.octet_length("text") >= length).withColumn("owner", _owner("sha"))
     sample = settle(tied_entries(texts.select("owner", "text"), _sample(length, modulus, cover), by_place=True,
-                                 short=True))
+                                 short=True, buckets=buckets[0]))
     release(spark)
     asked = whole.join(sample, "owner").select("owner", "key", "places")
     path = scratch_path(spark, "tied")
@@ -162,7 +164,7 @@ def _repeated_bytes(spark, docs, length, modulus, cover):
 
     release(spark)
     again = tied_entries(tied.select("owner", "text", "places"), _suffixes(length, modulus, cover), by_place=True,
-                         salt=0x2F0B5A11, buckets=4)
+                         salt=0x2F0B5A11, buckets=buckets[1])
     cut = tied.select("owner", "text").join(again.select("owner", "places"), "owner").select("owner", "text", "places")
     cut = settle(cut.mapInArrow(lean(_cut(length)), "owner long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
     del again  # or it would hold on to the shuffle of all suffixes
@@ -182,13 +184,13 @@ def _repeated_bytes(spark, docs, length, modulus, cover):
     return facts, single.select(F.col("rep").alias("doc_id"), "sha", "kept")
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS, cover=COVER) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = LENGTH, modulus: int = MODULUS, cover=COVER, buckets=BUCKETS) -> DataFrame:
     """``docs`` without the repeated bytes; rows of which nothing is left go, unless they were empty.
 
     A character cut in two by the edge of a removed string goes with it. ``n_chars``, if
     there, is counted anew for the rows that lost something.
     """
-    facts, cut = repeated_bytes(docs, length, modulus, cover)
+    facts, cut = repeated_bytes(docs, length, modulus, cover, buckets)
     lost = settle(facts.where(F.col("n_removed") > 0).select(F.col("doc_id").alias("_id"), F.col("sha").alias("_cut")).distinct())
     changed = lost.join(cut.select(F.col("sha").alias("_cut"), "kept"), "_cut", "left")
     known = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
