@@ -47,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts byte strings of ``PASSAGE`` bytes that occur elsewhere too; a document of which nothing is left goes."""
-    return drop_repeats(docs, PASSAGE, SHORT_MODULUS, SHORT_COVER)
+    return drop_repeats(docs, PASSAGE, SHORT_MODULUS, SHORT_COVER, buckets=(2, 3))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
