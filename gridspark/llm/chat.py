@@ -8,11 +8,16 @@ collected list; a reader sorts by it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.runtime import settle
 
+# Turns of one number range of a conversation that are ordered in one window.
+TURN_BLOCK = 1024
+
 # Argument name -> (type, required), by tool. Types: string, integer, number, boolean.
 SCHEMAS = {
     "reply": {"language": ("string", False), "prompt": ("string", True), "words": ("integer", True)},
@@ -73,9 +78,10 @@ def levels(calls: DataFrame) -> DataFrame:
 
     ``calls`` has (call_id, needs), one row per dependency (null: none). Calls that need just one
     other form chains, which pointer doubling shortens to (head, distance) in logarithmically many
-    rounds. What is left are calls that need several: each round settles those whose heads are
-    settled by a hash join, so these rounds are as many as such calls follow each other. A call
-    that needs an absent call or sits on a cycle, or behind one, gets level null.
+    rounds. What is left are calls that need several: each round tells those behind the calls
+    settled last how many of their heads are done, so these rounds are as many as such calls
+    follow each other, and a round writes only the calls still open. A call that needs an absent
+    call or sits on a cycle, or behind one, gets level null.
     """
     ids = settle(calls.where(F.col("call_id").isNotNull()).select("call_id", "needs").distinct())
     # A null dependency beside others says nothing.
@@ -97,17 +103,20 @@ def levels(calls: DataFrame) -> DataFrame:
     via = hops.select(F.col("call_id").alias("needs"), "head", "d")
     edges = settle(needs.join(total.where("wanted > 1"), "call_id").join(via, "needs", "left").select(
         "call_id", "wanted", F.coalesce("head", "needs").alias("head"), (F.coalesce("d", F.lit(0)) + 1).alias("d")))
-    latest = done
-    while not edges.isEmpty():
-        # Only a call with a head of the latest round can be settled next.
-        touched = edges.join(latest.select(F.col("call_id").alias("head")), "head").select("call_id").distinct()
-        latest = settle(edges.join(touched, "call_id", "left_semi").join(
-            done.select(F.col("call_id").alias("head"), "level"), "head").groupBy("call_id", "wanted").agg(
-            F.count("*").alias("met"), F.max(F.col("level") + F.col("d")).alias("level")).where(
-            "met = wanted").select("call_id", "level"))
+    # Calls still open: heads they wait for, and the highest level a settled one gives them.
+    waiting = edges.groupBy("call_id").agg(F.first("wanted").alias("left"), F.lit(-1).cast("long").alias("level"))
+    parts, latest = [done], done
+    while True:
+        met = edges.join(latest.select(F.col("call_id").alias("head"), F.col("level").alias("_base")), "head").groupBy(
+            "call_id").agg(F.count("*").alias("_met"), F.max(F.col("_base") + F.col("d")).alias("_level"))
+        waiting = settle(waiting.join(met, "call_id", "left").select(
+            "call_id", (F.col("left") - F.coalesce("_met", F.lit(0))).alias("left"),
+            F.greatest("level", "_level").alias("level")))
+        latest, waiting = waiting.where("left = 0").select("call_id", "level"), waiting.where("left > 0")
         if latest.isEmpty():
             break
-        done = settle(done.unionByName(latest))
+        parts.append(latest)
+    done = reduce(DataFrame.unionByName, parts)
     chained = hops.join(done.select(F.col("call_id").alias("head"), "level"), "head").select(
         "call_id", (F.col("level") + F.col("d")).alias("level"))
     return total.select("call_id").join(done.unionByName(chained), "call_id", "left")
@@ -133,9 +142,11 @@ def link_calls(messages: DataFrame, schemas=SCHEMAS) -> DataFrame:
     depth = levels(edges).select(F.col("call_id").alias("_call"), "level")
     answered = messages.where(F.col("result_of").isNotNull()).select(
         F.col("result_of").alias("_answer")).distinct()
+    known = depth.join(answered, F.col("_call") == F.col("_answer"), "left")
+    # Messages without an identifier meet nothing, and stay out of the join: their null key is one hash.
     own = F.coalesce("call_id", "result_of")
-    linked = messages.join(depth, own == F.col("_call"), "left").join(
-        answered, F.col("call_id") == F.col("_answer"), "left")
+    linked = messages.where(own.isNotNull()).join(known, own == F.col("_call"), "left").unionByName(
+        messages.where(own.isNull()), allowMissingColumns=True)
     is_call, is_result = F.col("call_id").isNotNull(), F.col("result_of").isNotNull() & F.col("call_id").isNull()
     status = F.when(is_call, F.when(F.col("_answer").isNotNull(), "answered").otherwise("open")) \
         .when(is_result, F.when(F.col("_call").isNotNull(), "linked").otherwise("orphan")).otherwise("plain")
@@ -153,28 +164,46 @@ def link_calls(messages: DataFrame, schemas=SCHEMAS) -> DataFrame:
                          status.alias("status"), problem.alias("problem"), json.alias("json"))
 
 
+def earlier_asked(conversations: DataFrame) -> DataFrame:
+    """(_c, _t, _before): every turn number a user has in a conversation, and the one before it.
+
+    Turn numbers are ordered in blocks of ``TURN_BLOCK``, and each block is told the last number
+    of those before it, so that a conversation of any length is no single sort. Repeated turns
+    count once.
+    """
+    asked = conversations.where((F.col("role") == "user") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select(
+        F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.floor(F.col("turn") / TURN_BLOCK).alias("_b")).distinct()
+    blocks = asked.groupBy("_c", "_b").agg(F.max("_t").alias("_last"))
+    carried = blocks.select("_c", "_b", F.lag("_last").over(Window.partitionBy("_c").orderBy("_b")).alias("_carry"))
+    inside = F.lag("_t").over(Window.partitionBy("_c", "_b").orderBy("_t"))
+    return asked.withColumn("_inside", inside).join(carried, ["_c", "_b"]).select(
+        "_c", "_t", F.coalesce("_inside", "_carry").alias("_before"))
+
+
 def turns_as_calls(conversations: DataFrame) -> DataFrame:
     """Plain conversations as tool traffic: a user turn calls, an assistant turn answers it.
 
     A call is identified by conversation and turn, an answer names the turn before it, and
-    every second call (turn 2, 6, ...) builds on the one two turns earlier, if there is one. Prompts under
-    eight words call ``brief``, others ``reply``. System turns stay plain.
+    every call builds on the user turn before it, so calls of a conversation form one chain. Prompts
+    under eight words call ``brief``, others ``reply``. System turns stay plain, as do turns without
+    a number or a conversation.
     """
     words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    ident = lambda back: F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - back).cast("string"))
+    ident = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
     asks = F.col("role") == "user"
     brief = words < 8
     arguments = F.create_map(F.lit("prompt"), canonical("text"), F.lit("words"), words.cast("string"))
-    earlier = conversations.where(asks & (F.pmod("turn", F.lit(4)) == 0)).select(
-        F.col("conv_id").alias("_c"), (F.col("turn") + 2).alias("_t")).distinct()
-    known = conversations.join(earlier, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left")
+    earlier = earlier_asked(conversations).where(F.col("_before").isNotNull())
+    known = conversations.where(asks).join(
+        earlier, (F.col("conv_id") == F.col("_c")) & (F.col("turn") == F.col("_t")), "left").unionByName(
+        conversations.where(~F.coalesce(asks, F.lit(False))), allowMissingColumns=True)
     return known.select(
         "conv_id", "turn", "role", "text",
-        F.when(asks, ident(0)).alias("call_id"),
+        F.when(asks, ident(F.col("turn"))).alias("call_id"),
         F.when(asks, F.when(brief, "brief").otherwise("reply")).alias("name"),
         F.when(asks, arguments).alias("arguments"),
-        F.when(F.col("role") == "assistant", ident(1)).alias("result_of"),
-        F.when(asks & F.col("_t").isNotNull(), F.array(ident(2))).alias("needs"))
+        F.when(F.col("role") == "assistant", ident(F.col("turn") - 1)).alias("result_of"),
+        F.when(F.col("_before").isNotNull(), F.array(ident(F.col("_before")))).alias("needs"))
 
 
 def op6_chat_formatting(spark, folder):
@@ -196,14 +225,13 @@ WITH m AS (
     role = 'user' AS asks, role = 'assistant' AS answers
   FROM conversations),
 calls AS (
-  SELECT DISTINCT a.ident, CASE WHEN b.ident IS NULL THEN 0 ELSE 1 END AS depth
-  FROM m a LEFT JOIN m b ON b.conv_id = a.conv_id AND b.turn = a.turn - 2 AND b.asks AND b.turn % 4 = 0
-  WHERE a.asks),
+  SELECT ident, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS depth
+  FROM (SELECT DISTINCT ident, conv_id, turn FROM m WHERE asks AND ident IS NOT NULL)),
 answered AS (SELECT DISTINCT prior FROM m WHERE answers)
 SELECT conv_id, turn, role,
   CAST(CASE WHEN asks THEN 2 * c.depth WHEN answers THEN 2 * c.depth + 1 ELSE 0 END AS INT) AS level,
-  CASE WHEN asks THEN CASE WHEN a.prior IS NULL THEN 'open' ELSE 'answered' END
-       WHEN answers THEN CASE WHEN c.ident IS NULL THEN 'orphan' ELSE 'linked' END ELSE 'plain' END AS status,
+  CASE WHEN asks AND m.ident IS NOT NULL THEN CASE WHEN a.prior IS NULL THEN 'open' ELSE 'answered' END
+       WHEN answers AND m.prior IS NOT NULL THEN CASE WHEN c.ident IS NULL THEN 'orphan' ELSE 'linked' END ELSE 'plain' END AS status,
   CASE WHEN asks AND text IS NULL THEN 'type of prompt' END AS problem,
   '{{' || CASE WHEN asks THEN '"call_id":' || {literal("m.ident")} || ',' ELSE '' END
     || '"content":' || {literal("text")}

@@ -109,6 +109,28 @@ def test_long_chains_of_calls(spark):
     assert got == {**{f"c{i}": i for i in range(12)}, "c3x": 0}
 
 
+def test_turns_of_a_conversation_form_one_chain(spark, monkeypatch):
+    """Calls follow the user turn before them, across blocks, gaps, repeats and missing numbers."""
+    monkeypatch.setattr(chat, "TURN_BLOCK", 4)
+    asked = {1: [0, 2, 4, 6, 8, 10, 12], 2: [1, 3, 5], 3: [0, 1, 40, 41], 4: [7]}
+    rows = [(c, t, "user", f"say {t}") for c, turns in asked.items() for t in turns]
+    rows += [(c, t + 1, "assistant", None) for c, t, *_ in rows if t + 1 not in asked[c]]
+    rows += [(2, 0, "system", ""), (2, 3, "user", "say 3"), (4, None, "user", "x"), (None, 2, "user", "y"),
+             (4, 3, "assistant", "z"), (5, None, "assistant", "w"), (4, 9, None, "v")]
+    turns = spark.createDataFrame(rows, "conv_id LONG, turn INT, role STRING, text STRING")
+    got = chat.link_calls(chat.turns_as_calls(turns)).collect()
+    assert len(got) == len(rows)
+    for c, wanted in asked.items():
+        level = {r.turn: r.level for r in got if r.conv_id == c and r.status in ("open", "answered")}
+        assert level == {t: 2 * i for i, t in enumerate(wanted)}
+        said = sorted((r.level, r.turn) for r in got if r.conv_id == c and r.level is not None and r.status != "plain")
+        assert [t for _, t in said] == sorted(t for _, t in said)
+    odd = {(r.conv_id, r.turn): r.status for r in got if None in (r.conv_id, r.turn) or r.role is None}
+    assert odd == {(4, None): "plain", (None, 2): "plain", (5, None): "plain", (4, 9): "plain"}
+    assert [r.status for r in got if (r.conv_id, r.turn) == (4, 3)] == ["orphan"]
+    assert chat.link_calls(chat.turns_as_calls(turns.limit(0))).count() == 0
+
+
 def test_deep_graphs_of_calls_take_few_rounds(spark, monkeypatch):
     """A chain of 300 calls, others that branch off and meet again, cycles and absent calls."""
     needs = {f"c{i}": {f"c{i - 1}"} if i else set() for i in range(300)}
