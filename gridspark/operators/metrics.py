@@ -49,12 +49,17 @@ def level_regression(pairs: DataFrame, by="plevel") -> DataFrame:
         F.var_pop("target").alias("vy"),
         F.covar_pop("prediction", "target").alias("cov"),
     )
+    return regression_of(moments, [by])
+
+
+def regression_of(moments: DataFrame, by) -> DataFrame:
+    """The line from n, means (mx, my), population variances (vx, vy) and covariance (cov)."""
     slope = F.try_divide("cov", "vx")
     r = F.coalesce(F.try_divide(F.col("cov"), F.sqrt("vx") * F.sqrt("vy")), F.lit(0.0))
     unexplained = F.greatest(F.lit(0.0), (1 - r * r) * F.try_divide("vy", "vx"))
     free = F.col("n") - 2
     lines = moments.select(
-        by, "n",
+        *by, "n",
         slope.alias("slope"),
         (F.col("my") - slope * F.col("mx")).alias("intercept"),
         r.alias("r_value"),

@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from gridspark.functions import t_two_sided
 from gridspark.operators import experiments as ex
 from gridspark.operators import metrics as mt
+from gridspark.operators.error_state import error_state, lines_of, merge_states, metrics_of
 from gridspark.operators.histogram import histogram_pair as histogram_pair_of
 from gridspark.operators.outliers import remove_paired_outliers
 from gridspark.plans import fixtures as fx
 from gridspark.plans.fixtures import with_tables as sql
 from gridspark.plans.registry import query
-from gridspark.runtime import attach, small
+from gridspark.runtime import attach, small, stored
 
 
 def rounded(df, digits, *cols):
@@ -39,6 +40,29 @@ def level_regression(spark, folder):
     return rounded(rounded(lines, 8, "slope", "r_value", "stderr"), 4, "intercept")
 
 
+def merged_errors(spark, folder):
+    """The error state of seven parts of the samples, stored and merged again."""
+    parts = fx.pairs(spark, folder).withColumn("part", F.pmod("sample_id", F.lit(7)))
+    return merge_states(stored(error_state(parts, ("part", "plevel")), "errors").drop("part"))
+
+
+@query(sql("""SELECT plevel, count(*) AS n, round(avg(abs(target - prediction)), 4) AS mae,
+    round(sqrt(avg(power(target - prediction, 2))), 4) AS rmse,
+    round(power(corr(prediction, target), 2), 6) AS r_squared FROM pairs GROUP BY plevel"""))
+def merged_level_metrics(spark, folder):
+    out = rounded(metrics_of(merged_errors(spark, folder)), 4, "mae", "rmse")
+    return rounded(out, 6, "r_squared")
+
+
+@query(sql("""SELECT plevel, count(*) AS n, round(regr_slope(target, prediction), 8) AS slope,
+    round(regr_intercept(target, prediction), 4) AS intercept, round(corr(target, prediction), 8) AS r_value,
+    round(sqrt((1 - power(corr(target, prediction), 2)) * var_pop(target) / var_pop(prediction) / (count(*) - 2)), 8)
+      AS stderr FROM pairs GROUP BY plevel"""))
+def merged_level_regression(spark, folder):
+    lines = lines_of(merged_errors(spark, folder)).drop("p_value")
+    return rounded(rounded(lines, 8, "slope", "r_value", "stderr"), 4, "intercept")
+
+
 @query(sql("""WITH s AS (SELECT plevel, avg(target) AS m, stddev_pop(target) AS sd FROM pairs GROUP BY plevel)
     SELECT sample_id, round(1 - 2 / pi() * atan(abs(z)), 8) AS p1, round(1 - abs(z) / sqrt(2 + z * z), 8) AS p2
     FROM (SELECT sample_id, (target - m) / sd AS z FROM pairs JOIN s USING (plevel))"""))

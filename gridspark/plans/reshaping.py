@@ -10,6 +10,8 @@ from gridspark.operators.stats import minmax_scaled
 from gridspark.plans import fixtures as fx
 from gridspark.plans.fixtures import with_tables as sql
 from gridspark.plans.registry import query
+from gridspark.runtime import scratch_path
+from gridspark.sources import buckets as bk
 
 CELL = ("time", "plevel", "lat", "lon")
 SID = "(CAST(time AS BIGINT) * 5 + lat) * 5 + lon"
@@ -196,13 +198,15 @@ def paste_join(spark, folder):
         totals])
 
 
-@query(sql("""SELECT a.sample_id AS sample_id, a.gwfu AS total, round(u.m, 6) AS gwfu, round(v.m, 6) AS gwfv
+ZIPPED = """SELECT a.sample_id AS sample_id, a.gwfu AS total, round(u.m, 6) AS gwfu, round(v.m, 6) AS gwfv
     FROM samples a
     JOIN (SELECT l_orderkey AS k, avg(l_extendedprice) AS m FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) u
       ON u.k = a.sample_id
     JOIN (SELECT l_orderkey AS k, avg(l_extendedprice) AS m FROM lineitem WHERE l_returnflag <> 'A' GROUP BY 1) v
-      ON v.k = a.sample_id"""))
-def zip_join(spark, folder):
+      ON v.k = a.sample_id"""
+
+
+def _features_and_targets(spark, folder):
     lines = fx.table(spark, folder, "lineitem")
 
     def target(kept, name):
@@ -210,7 +214,25 @@ def zip_join(spark, folder):
             F.col("l_orderkey").alias("sample_id")).agg(F.round(F.avg("l_extendedprice"), 6).alias(name))
 
     features = fx.samples(spark, folder).withColumnRenamed("gwfu", "total")
-    return rs.zip_join(features, target(F.col("l_returnflag") == "A", "gwfu"), target(F.col("l_returnflag") != "A", "gwfv"))
+    return features, target(F.col("l_returnflag") == "A", "gwfu"), target(F.col("l_returnflag") != "A", "gwfv")
+
+
+@query(sql(ZIPPED))
+def zip_join(spark, folder):
+    return rs.zip_join(*_features_and_targets(spark, folder))
+
+
+@query(sql(ZIPPED))
+def bucketed_zip_join(spark, folder):
+    """Features and targets written in buckets once; the join itself moves nothing."""
+    parts = _features_and_targets(spark, folder)
+    buckets = bk.buckets_for(parts[0].count(), 100_000)
+    names = []
+    for part in parts:
+        path = scratch_path(spark, "buckets")
+        names.append("zip_" + path.rsplit("-", 1)[-1])
+        bk.write_bucketed(part, names[-1], path, buckets)
+    return bk.paste_bucketed(spark, names)
 
 
 @query(sql("SELECT time, lat, lon, plevel, ucomp, slp FROM cells JOIN surface USING (time, lat, lon)"))
