@@ -44,6 +44,17 @@ def concat_years(years, steps_per_year: int = STEPS_PER_YEAR) -> DataFrame:
     return reduce(DataFrame.unionByName, moved)
 
 
+def years_in_line(df: DataFrame, year: str = "year", steps_per_year: int = STEPS_PER_YEAR) -> DataFrame:
+    """One table of several years on one time axis, from its first year on, in one scan of the table.
+
+    The first year is found from the year column alone; a year without rows keeps its span. Rows
+    without a year get no time.
+    """
+    first = df.agg(F.min(year).alias("_first"))
+    after = F.col(year) - F.col("_first")
+    return attach(df, first).withColumn("time", F.col("time") + after * steps_per_year).drop("_first")
+
+
 def sources_in_line(cells: DataFrame, source: str = "source") -> DataFrame:
     """Tagged sources end to end on the time axis, in the order of their names."""
     ends = cells.groupBy(source).agg((F.max("time") + 1).alias("_steps"))

@@ -28,9 +28,7 @@ def concat_years(spark, folder):
     days = fx.table(spark, folder, "lineitem").select(
         F.year("l_shipdate").alias("year"), (F.dayofyear("l_shipdate") - 1).alias("time"),
         (F.col("l_linenumber") - 1).alias("plevel"), F.col("l_extendedprice").alias("gwfu"))
-    years = [r.year for r in days.select("year").distinct().orderBy("year").collect()]
-    span = range(years[0], years[-1] + 1)
-    line = pf.concat_years([days.where(F.col("year") == y).drop("year") for y in span], 366)
+    line = pf.years_in_line(days, "year", 366)
     daily = line.groupBy(F.col("time").cast("bigint").alias("time"), "plevel").agg(
         F.count("*").alias("n"), F.sum("gwfu").alias("gwfu"))
     return rounded(daily, 4, "gwfu")

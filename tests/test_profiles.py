@@ -98,3 +98,14 @@ def test_lag_stack_drops_rows_with_gaps_in_their_past(spark, cells):
     columns = reshape.to_columns(cells.where("time != 20"), ["u"])
     times = {r.time for r in lags.lag_stack(columns, "u", 1, 1, 3).collect()}
     assert times == set(range(3, 47)) - {20, 21, 22, 23}
+
+
+def test_years_in_line_equals_tables_end_to_end(spark):
+    rows = [(y, t, float(y * t)) for y in (2001, 2002, 2004) for t in (0, 5, 9)]
+    table = spark.createDataFrame(rows, "year INT, time INT, u DOUBLE")
+    line = pf.years_in_line(table, "year", 10)
+    years = [table.where(F.col("year") == y) for y in range(2001, 2005)]
+    assert sorted(line.collect()) == sorted(pf.concat_years(years, 10).collect())
+    odd = spark.createDataFrame([(None, 3, 1.0), (2000, 3, 1.0)], "year INT, time INT, u DOUBLE")
+    assert {r.year: r.time for r in pf.years_in_line(odd, "year", 10).collect()} == {None: None, 2000: 3}
+    assert pf.years_in_line(odd.limit(0), "year", 10).count() == 0
