@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -107,30 +106,88 @@ def sampled_attribution(df: DataFrame, background: DataFrame, weights: DataFrame
     return _sampled(rows, background, network.from_table(weights), level, block, n_permutations, seed)
 
 
-def _sampled(rows, background, net, level, block, n_permutations, seed):
-    model, output = _one_output(net, level)
-    held = rows.sparkSession.sparkContext.broadcast(model)
+def _drawn(rows, background, draws, seed):
+    """(sample_id, k, features, base): ``draws`` background rows for each sample, met in a join.
+
+    The place of a row in the seeded order of the background is a hash of seed, sample and k.
+    """
     based = shuffle_rank(background.select("sample_id", "features"), seed, out="at").select(
         "at", F.col("features").alias("base"))
     size = background.select("sample_id").agg(F.count("*").alias("n")).scalar()
-    drawn = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))))
+    drawn = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sample_id").cast("string"), F.col("k").cast("string")))
     place = F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint")
-    paired = drawn.withColumn("at", F.pmod(place, size)).join(based, "at")
-
-    def explain(pdf):
-        x = np.asarray(pdf["features"].iloc[0], dtype=float)
-        phi = np.zeros(len(x))
-        # Row k of ``taken`` holds the first k features of the sample and the rest of the base.
-        taken = np.tri(len(x) + 1, len(x), -1, dtype=bool)
-        for k, base in zip(pdf["k"], pdf["base"]):
-            order = np.random.default_rng([seed, int(pdf["sample_id"].iloc[0]), int(k)]).permutation(len(x))
-            steps = np.tile(np.asarray(base, dtype=float), (len(x) + 1, 1))
-            steps[:, order] = np.where(taken, x[order], steps[:, order])
-            phi[order] += np.diff(network.forward(held.value, steps)[:, output])
-        return pd.DataFrame({"idx": np.arange(len(x), dtype=np.int32), "phi": phi / len(pdf)})
-
-    return _mean_size(paired.groupBy("sample_id").applyInPandas(explain, "idx INT, phi DOUBLE"), block)
+    return drawn.withColumn("at", F.pmod(place, size)).join(based, "at").select(
+        "sample_id", "k", "features", "base")
+
+
+def _mean_phi(explained: DataFrame) -> DataFrame:
+    """(sample_id, idx, phi): the mean over a sample's draws, combined before the shuffle."""
+    return explained.select("sample_id", F.posexplode("phi").alias("idx", "phi")).groupBy("sample_id", "idx").agg(
+        F.avg("phi").alias("phi"))
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    offsets = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+    return pa.ListArray.from_arrays(offsets, values.ravel())
+
+
+def _sampled(rows, background, net, level, block, n_permutations, seed):
+    model, output = _one_output(net, level)
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def explain(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, base = _matrix(batch.column("features")), _matrix(batch.column("base"))
+            phi = np.zeros_like(x)
+            # Row k of ``taken`` holds the first k features of the sample and the rest of the base.
+            taken = np.tri(x.shape[1] + 1, x.shape[1], -1, dtype=bool)
+            ids, draws = (batch.column(c).to_numpy() for c in ("sample_id", "k"))
+            for i in range(len(x)):
+                order = np.random.default_rng([seed, int(ids[i]), int(draws[i])]).permutation(x.shape[1])
+                steps = np.tile(base[i], (x.shape[1] + 1, 1))
+                steps[:, order] = np.where(taken, x[i, order], steps[:, order])
+                phi[i, order] = np.diff(network.forward(held.value, steps)[:, output])
+            yield pa.record_batch([batch.column("sample_id").cast(pa.int64()), _lists(phi)], ["sample_id", "phi"])
+
+    paired = _drawn(rows, background, n_permutations, seed)
+    return _mean_size(_mean_phi(paired.mapInArrow(explain, "sample_id BIGINT, phi ARRAY<DOUBLE>")), block)
+
+
+def path_contributions(df: DataFrame, background: DataFrame, weights: DataFrame, level: int,
+                       draws: int = 32, seed: int = 0, steps: int | None = 32) -> DataFrame:
+    """(sample_id, k, phi ARRAY<DOUBLE>, rise): contributions to one output by backward passes.
+
+    Gradients are integrated along the straight way from a drawn background row to the sample
+    (the draws of :func:`sampled_attribution`). Contributions of a draw add up to ``rise``,
+    the output at the sample less that at the background row, within the error that
+    :func:`network.path_contributions` states: a draw costs ``steps`` backward passes whatever
+    the number of features, or, with None, one for each bend on the way and no error.
+    """
+    model, output = _one_output(network.from_table(weights), level)
+    rows = df.select("sample_id", "features")
+    held = rows.sparkSession.sparkContext.broadcast([*model.trunk, *model.heads[0]])
+
+    def explain(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                some = batch.slice(start, 1024)
+                phi, rise = network.path_contributions(held.value, _matrix(some.column("features")),
+                                                       _matrix(some.column("base")), output, steps)
+                yield pa.record_batch([some.column("sample_id").cast(pa.int64()), some.column("k"), _lists(phi),
+                                       pa.array(rise)], ["sample_id", "k", "phi", "rise"])
+
+    paired = _drawn(rows, background, draws, seed)
+    return paired.mapInArrow(explain, "sample_id BIGINT, k INT, phi ARRAY<DOUBLE>, rise DOUBLE")
+
+
+def path_attribution(df: DataFrame, background: DataFrame, weights: DataFrame, level: int,
+                     block: tuple[int, int] | None = None, draws: int = 32, seed: int = 0,
+                     steps: int | None = 32) -> DataFrame:
+    """(idx, mean_abs) of a net of any depth by :func:`path_contributions`; exact for a linear one."""
+    return _mean_size(_mean_phi(path_contributions(df, background, weights, level, draws, seed, steps)), block)
 
 
 def attribution_topk(attr: DataFrame, k: int = 7) -> DataFrame:

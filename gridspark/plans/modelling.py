@@ -75,24 +75,62 @@ def attribution_topk(spark, folder):
     return rounded(scoring.attribution_topk(found, 7), 8, "mean_abs")
 
 
-@query(sql(f"""
+DRAWS = f"""
     WITH r AS (SELECT sample_id, features, row_number() OVER (ORDER BY md5('{SEED}:' || sample_id)) - 1 AS pos
                FROM vectors),
     d AS (SELECT sample_id, features, CAST('0x' || substr(md5('{SEED}:' || sample_id || ':' || k), 1, 8) AS BIGINT) % 200 AS at
-          FROM r, (SELECT unnest(range(4)) AS k) WHERE pos >= 200),
+          FROM r, (SELECT unnest(range(4)) AS k) WHERE pos >= 200)"""
+
+DRAWN_ATTRIBUTION = sql(DRAWS + """,
     p AS (SELECT d.sample_id, CAST(unnest(range(52)) AS INT) AS idx, unnest(d.features) - unnest(b.features) AS gap
           FROM d JOIN r b ON b.pos = d.at),
     q AS (SELECT sample_id, idx, avg(gap) * ((7 * idx + 3 * 2) % 11 - 5) / 10.0::DOUBLE AS phi FROM p GROUP BY sample_id, idx)
-    SELECT idx, round(avg(abs(phi)), 8) AS mean_abs FROM q GROUP BY idx"""))
-def attribution_sampled(spark, folder):
-    """The sampled path with a linear net, where the order of the features does not matter."""
+    SELECT idx, round(avg(abs(phi)), 8) AS mean_abs FROM q GROUP BY idx""")
+
+
+def _test_and_background(spark, folder):
     rows = shuffle_rank(fx.vectors(spark, folder).select("sample_id", "features"), SEED)
     parts = split.attribution_split(rows, 200, rows.count())
-    found = scoring.sampled_attribution(parts.where("role = 'test'"), parts.where("role = 'background'"),
-                                        linear_weights(spark), 2, None, 4, SEED)
+    return parts.where("role = 'test'"), parts.where("role = 'background'")
+
+
+@query(DRAWN_ATTRIBUTION)
+def attribution_sampled(spark, folder):
+    """The sampled path with a linear net, where the order of the features does not matter."""
+    found = scoring.sampled_attribution(*_test_and_background(spark, folder), linear_weights(spark), 2, None, 4, SEED)
     return rounded(found, 8, "mean_abs")
 
 
+@query(DRAWN_ATTRIBUTION)
+def attribution_path(spark, folder):
+    """Gradients along the way from the background, of a linear net."""
+    found = scoring.path_attribution(*_test_and_background(spark, folder), linear_weights(spark), 2, None, 4, SEED)
+    return rounded(found, 8, "mean_abs")
+
+
+def hidden_weights(spark):
+    """A net with a hidden layer of 8 given by a rule, so that SQL can score it."""
+    i, j = np.indices((fx.FEATURES, 8))
+    hidden = np.vstack([((7 * i + 3 * j) % 11 - 5) / 10, np.arange(8)[None, :] / 10])
+    i, j = np.indices((8, fx.TARGETS))
+    last = np.vstack([((5 * i + 2 * j) % 7 - 3) / 10, np.zeros((1, fx.TARGETS))])
+    return network.to_table(spark, network.Net([hidden], [[last]]))
+
+
+@query(sql(DRAWS + """,
+    w AS (SELECT j, list(((7 * i + 3 * j) % 11 - 5) / 10.0::DOUBLE ORDER BY i) AS w
+          FROM (SELECT unnest(range(52)) AS i), (SELECT unnest(range(8)) AS j) GROUP BY j),
+    f AS (SELECT sample_id, pos, sum(greatest(list_dot_product(features, w) + j / 10.0::DOUBLE, 0)
+            * ((5 * j + 2 * 2) % 7 - 3) / 10.0::DOUBLE) AS f FROM r, w GROUP BY ALL)
+    SELECT d.sample_id AS sample_id, round(avg(x.f - b.f), 6) AS total
+    FROM d JOIN f x ON x.sample_id = d.sample_id JOIN f b ON b.pos = d.at GROUP BY d.sample_id"""))
+def attribution_total(spark, folder):
+    """Contributions to a net with a hidden layer: they add up to what SQL scores by two forward passes."""
+    found = scoring.path_contributions(*_test_and_background(spark, folder), hidden_weights(spark), 2, 4, SEED, None)
+    sums = found.withColumn("total", F.aggregate("phi", F.lit(0.0), lambda a, v: a + v))
+    return rounded(sums.groupBy("sample_id").agg(F.avg("total").alias("total")), 6, "total")
+
+
 @query()
 def attribution_net(spark, folder):
     net = network.new_net(fx.FEATURES, fx.TARGETS, (16,), (8,), seed=1)

@@ -125,6 +125,44 @@ def test_sampled_attribution_of_a_linear_model_is_exact(spark):
     assert np.allclose([a[i] for i in (1, 2, 3)], want[1:4])
 
 
+def test_contributions_along_the_way_match_a_fine_grid():
+    rng = np.random.default_rng(4)
+    for trunk, head in (((6, 5), (4,)), ((30,), (9, 7)), ((), None)):
+        net = network.new_net(5, 3, trunk, head, seed=5)
+        matrices = [*net.trunk, *net.heads[-1 if head else 0]]
+        output = 0 if head else 2
+        x, base = rng.normal(size=(20, 5)), rng.normal(size=(20, 5))
+        x[3] = base[3]  # no way to go
+        x[4] = 0.0  # every unit without bias sits on its bend
+        phi, rise = network.path_contributions(matrices, x, base, output)
+        assert np.allclose(rise, (network.forward(net, x) - network.forward(net, base))[:, 2])
+        assert np.abs(phi.sum(axis=1) - rise).max() < 1e-9 and not phi[3].any()
+        assert np.abs(phi - network.path_contributions(matrices, x, base, output, 20_000)[0]).max() < 1e-3
+        rough = network.path_contributions(matrices, x, base, output, 8)[0]
+        grid = (np.arange(2000) + 0.5) / 2000
+        gap = x - base
+        along = np.array([(network.slopes(matrices, base + t * gap, gap, output)[1] * gap).sum(axis=1) for t in grid])
+        changes = np.abs(np.diff(along, axis=0)).sum(axis=0)
+        assert (np.abs(rough.sum(axis=1) - rise) <= changes / 16 + 1e-9).all()
+    assert network.path_contributions(matrices, x[:0], base[:0], output)[0].shape == (0, 5)
+
+
+def test_path_attribution_of_a_deep_net(spark):
+    net = network.new_net(5, 2, (6, 4), (3,), seed=3)
+    weights, df = network.to_table(spark, net), rows(spark)
+    test, base = df.where("sample_id >= 3"), df.where("sample_id < 3")
+    found = scoring.path_contributions(test, base, weights, 1, draws=4, seed=2, steps=None).collect()
+    assert sorted((r.sample_id, r.k) for r in found) == [(i, k) for i in range(3, len(X)) for k in range(4)]
+    assert all(abs(sum(r.phi) - r.rise) < 1e-9 for r in found)
+    want = {}
+    for r in found:
+        want.setdefault(r.sample_id, []).append(r.phi)
+    want = np.abs([np.mean(v, axis=0) for v in want.values()]).mean(axis=0)
+    got = scoring.path_attribution(test, base, weights, 1, (1, 4), draws=4, seed=2, steps=None).collect()
+    assert np.allclose([v for _, v in sorted((r.idx, r.mean_abs) for r in got)], want[1:4])
+    assert scoring.path_attribution(test.limit(0), base, weights, 1).collect() == []
+
+
 def test_topk_orders_by_size(spark):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate([1, 5, 3, 5])], "idx INT, mean_abs DOUBLE")
     assert [r.idx for r in scoring.attribution_topk(df, 3).collect()] == [1, 3, 2]
