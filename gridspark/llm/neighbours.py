@@ -6,7 +6,7 @@ indexed in the part the classifier finds most probable; a query goes to as many
 probable parts as the sample needed for the recall asked for, and what lies there is ranked by
 the exact inner product. Parts are split in blocks of bounded size, so that none of them,
 however large, is one task; equal vectors are one from the start, with the smallest ids that
-a result can need.
+a result can need. A table too small for two parts of ``PER_PART`` vectors is one part.
 """
 
 from __future__ import annotations
@@ -20,9 +20,11 @@ from gridspark.llm.text import column
 from gridspark.runtime import settle, ship_package
 
 SAMPLE = 6000
-# Parts grow with the square root of the table, a part's rows likewise.
+# Parts grow with the square root of the table, a part's rows likewise; beyond MAX_PARTS only
+# the blocks of a part do. The sample grows with the parts, to MAX_PARTS * PER_PART vectors.
 PART_RATIO = 12
-MAX_PARTS = 1024
+MAX_PARTS = 512
+PER_PART = 40
 NEIGHBOURS = 16
 RECALL = 0.95
 BLOCK = 4096
@@ -32,10 +34,10 @@ HIDDEN = 64
 def neighbour_graph(x: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
     """The k nearest others of each row by inner product, in blocks."""
     out = np.empty((len(x), min(k, len(x) - 1)), np.int64)
-    for at in range(0, len(x), 1024):
-        near = x[at:at + 1024] @ x.T
+    for at in range(0, len(x), 512):
+        near = x[at:at + 512] @ x.T
         near[np.arange(len(near)), np.arange(at, at + len(near))] = -np.inf
-        out[at:at + 1024] = np.argpartition(-near, out.shape[1] - 1, 1)[:, :out.shape[1]]
+        out[at:at + 512] = np.argpartition(-near, out.shape[1] - 1, 1)[:, :out.shape[1]]
     return out
 
 
@@ -123,6 +125,10 @@ class Router:
         return np.argsort(-self.logits(x), 1, kind="stable")[:, :count]
 
 
+def parts_for(rows: int, ratio: int = PART_RATIO, max_parts: int = MAX_PARTS) -> int:
+    return int(min(max_parts, max(2, rows**0.5 // ratio)))
+
+
 def learn(sample: np.ndarray, rows: int, wanted_recall: float = RECALL, ratio: int = PART_RATIO,
           max_parts: int = MAX_PARTS, top: int = 20):
     """(router, parts, probes) for a table of ``rows`` vectors, from a sample of them.
@@ -130,8 +136,8 @@ def learn(sample: np.ndarray, rows: int, wanted_recall: float = RECALL, ratio: i
     A tenth of the sample, which the router does not learn from, sets how many parts a query
     visits: as few as find ``wanted_recall`` of its nearest in the sample; all, if none do.
     """
-    parts = int(min(max_parts, max(1, rows**0.5 // ratio), max(1, len(sample) // 40)))
-    if parts == 1:
+    parts = min(parts_for(rows, ratio, max_parts), len(sample) // PER_PART)
+    if parts < 2:
         return None, 1, 1
     held = len(sample) // 10
     rest = sample[held:]
@@ -145,7 +151,8 @@ def learn(sample: np.ndarray, rows: int, wanted_recall: float = RECALL, ratio: i
     router.fit(rest, shares)
     indexed = router.ranked(rest, 1)[:, 0]
     order = router.ranked(sample[:held], parts)
-    near = np.argsort(-(sample[:held] @ rest.T), 1, kind="stable")[:, :top]
+    near = np.concatenate([np.argsort(-(sample[at:min(at + 256, held)] @ rest.T), 1, kind="stable")[:, :top]
+                           for at in range(0, held, 256)])
     place = np.argsort(order, 1)[np.arange(held)[:, None], indexed[near]]
     found = np.bincount(place.ravel(), minlength=parts).cumsum() / place.size
     return router, parts, int(np.searchsorted(found, wanted_recall) + 1)
@@ -186,8 +193,8 @@ def _routed(router, parts, count, blocks, copies):
 def _nearest(top):
     """For one block of a part: the best distinct vectors of every query, ties by id."""
     def run(key, queries, base):
-        names = ["query", "vec_id", "ids", "score"]
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64()]
+        names = ["query", "near", "vec_id", "ids", "score"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64()]
         if not queries.num_rows or not base.num_rows:
             return pa.table([pa.nulls(0, k) for k in kinds], names=names)
         q = queries.column("v").combine_chunks().flatten().to_numpy().reshape(queries.num_rows, -1)
@@ -210,64 +217,77 @@ def _nearest(top):
                 o.append(v)
         row, col, score = (np.concatenate(o) for o in out)
         col = column(col, pa.int64())
-        return pa.table([queries.column("vec_id").take(column(row, pa.int64())), base.column("vec_id").take(col),
-                         base.column("ids").take(col), column(score, pa.float64())], names=names)
+        return pa.table([queries.column("name").take(column(row, pa.int64())),
+                         *(base.column(c).take(col) for c in ("name", "vec_id", "ids")),
+                         column(score, pa.float64())], names=names)
     return run
 
 
+_INDEXED = "name long, vec_id long, v array<double>, ids array<long>, h long, part int, block int"
+
+
 def search(rows: DataFrame, is_query, key: str = "vec_id", vector: str = "embedding", top: int = 20,
            sample: int = SAMPLE, recall: float = RECALL, ratio: int = PART_RATIO) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest found of each row ``is_query`` selects.
 
     Every other row is a candidate. Nearness is the inner product in double precision, ties go
     to the smaller id. Vectors that are null, zero, or hold null or non-finite parts take no
-    part, nor do null keys; vectors of another length than most are left out likewise. Rows
-    that share a key are one: the smallest vector counts. With fewer candidates all are given.
-    Index: the ``sample`` rows smallest by hash, at most; every row is indexed.
+    part, nor do null keys. A shorter vector counts as ending in zeros. Rows that share a key
+    are rows of their own: each is a candidate, of the others too, and each that is a query has
+    its own ranks under the shared id. With fewer candidates all are given. Index: learnt from
+    the ``sample`` vectors smallest by hash, or ``PER_PART`` a part if that is more; every row
+    is indexed.
     """
     spark = rows.sparkSession
     ship_package(spark)
     known = usable(rows, key, vector)
-    widths = known.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = widths["w"] if widths else 1
-    known = known.where(F.size("v") == width).groupBy("vec_id").agg(F.min("v").alias("v"))
-    known = settle(known.withColumn("name", F.xxhash64("v")))
+    width = known.agg(F.max(F.size("v"))).first()[0] or 1
+    whole = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v")))
+    known = known.select("vec_id", whole.alias("v"))
+    known = settle(known.withColumns({"digest": F.xxhash64("v"), "row": F.monotonically_increasing_id()}))
     # Of equal vectors only as many ids as a result can hold matter, its own included.
-    place = F.row_number().over(Window.partitionBy("name", "v").orderBy("vec_id"))
+    place = F.row_number().over(Window.partitionBy("digest", "v").orderBy("vec_id"))
     few = known.withColumn("place", place).where(F.col("place") <= top + 1)
-    base = few.groupBy("name", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    base = settle(base.select(F.element_at("ids", 1).alias("vec_id"), "v", "ids",
-                              F.shiftrightunsigned("name", 1).alias("h")))
-    queries = known.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "v")
-    asked = settle(queries.groupBy("v").agg(F.min("query_id").alias("vec_id")))
+    base = few.groupBy("digest", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    base = settle(base.select(F.monotonically_increasing_id().alias("name"), F.element_at("ids", 1).alias("vec_id"),
+                              "digest", "v", "ids", F.shiftrightunsigned("digest", 1).alias("h")))
+    queries = known.where(is_query(F.col("vec_id"))).select("row", F.col("vec_id").alias("query_id"), "digest", "v")
+    alike = settle(queries.join(base.select("digest", "v", F.col("name").alias("query")), ["digest", "v"]).select(
+        "row", "query_id", "query"))
+    asked = settle(base.join(alike.select(F.col("query").alias("name")).distinct(), "name").select("name", "v"))
 
     total = base.count()
-    drawn = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow().column(0)
+    most = max(sample, PER_PART * parts_for(total, ratio))
+    drawn = base.orderBy(F.xxhash64("vec_id"), "vec_id", "digest").limit(most).select("v").toArrow().column(0)
     points = drawn.combine_chunks().flatten().to_numpy().reshape(len(drawn), -1) if total else np.zeros((0, 1))
     router, parts, probes = learn(points, total, recall, ratio, top=top)
 
-    kinds = "vec_id long, v array<double>, ids array<long>, h long, part int, block int"
-    counts = base.select("vec_id", "v", "ids", "h").mapInArrow(
-        _routed(router, parts, 1, {}, False), kinds).groupBy("part").count().collect()
+    indexable = base.select("name", "vec_id", "v", "ids", "h")
+    counts = indexable.mapInArrow(_routed(router, parts, 1, {}, False),
+                                  _INDEXED).groupBy("part").count().collect()
     blocks = {r["part"]: -(-r["count"] // BLOCK) for r in counts}
-    indexed = base.select("vec_id", "v", "ids", "h").mapInArrow(_routed(router, parts, 1, blocks, False), kinds)
-    sent = asked.select("vec_id", "v").mapInArrow(
-        _routed(router, parts, probes, blocks, True), "vec_id long, v array<double>, part int, block int")
+    indexed = indexable.mapInArrow(_routed(router, parts, 1, blocks, False), _INDEXED)
+    sent = asked.mapInArrow(
+        _routed(router, parts, probes, blocks, True), "name long, v array<double>, part int, block int")
     # Queries of a part are dealt in slices too, so that neither side of a group grows.
     slices = max(1, -(-asked.count() * probes // (max(parts, 1) * BLOCK)))
-    sent = sent.withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int"))
+    sent = sent.withColumn("slice", F.pmod(F.xxhash64("name"), F.lit(slices)).cast("int"))
     indexed = indexed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     group = ["part", "block", "slice"]
     found = sent.groupBy(*group).cogroup(indexed.groupBy(*group)).applyInArrow(
-        _nearest(top), "query long, vec_id long, ids array<long>, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    short = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top + 1).drop("r")
-
-    # Equal queries share what was found; each leaves itself out.
-    alike = settle(queries.join(asked, "v").select("query_id", F.col("vec_id").alias("query")))
-    each = alike.join(settle(short.select("query", F.explode("ids").alias("vec_id"), "score")), "query")
-    each = each.where(F.col("vec_id") != F.col("query_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        _nearest(top), "query long, near long, vec_id long, ids array<long>, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "near")
+    short = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top + 1)
+
+    # Rows of equal vectors share what was found. Each leaves out one row, its own: the first
+    # of its id among the rows of its vector.
+    listed = short.select("query", "near", "score", "ids", F.posexplode("ids").alias("at", "vec_id"))
+    own = (F.col("near") == F.col("query")) & (F.array_position("ids", F.col("vec_id")) == F.col("at") + 1)
+    nearest = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "near", "at")
+    listed = settle(listed.withColumns({"own": own, "r": F.row_number().over(nearest)}).where(
+        F.col("r") <= top + 1).select("query", "vec_id", "score", "own", "r"))
+    each = alike.join(listed, "query").where(~(F.col("own") & (F.col("vec_id") == F.col("query_id"))))
+    rank = F.row_number().over(Window.partitionBy("row").orderBy("r"))
     return each.withColumn("rank", rank.cast("int")).where(F.col("rank") <= top).select(
         "query_id", "rank", "vec_id", "score")
 

@@ -248,11 +248,12 @@ def test_packed_documents(spark):
 
 
 def test_neighbours_of_awkward_vectors(spark):
-    x = RNG.normal(size=(400, 8))
+    x = np.random.default_rng(12).normal(size=(400, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)  # a vector's nearest is its equal
     x[100:180] = x[100]
     rows = [(i, v.tolist(), "q") for i, v in enumerate(x)]
     rows += [(1000, None, "q"), (1020, [0.0] * 8, "q"), (1040, [float("nan")] * 8, "q"), (1060, [None, *[1.0] * 7], "q"),
-             (1080, [float("inf"), *[1.0] * 7], "q"), (None, x[3].tolist(), "q"), (1100, [1.0], "q"), (20, x[20].tolist(), "q")]
+             (1080, [float("inf"), *[1.0] * 7], "q"), (None, x[3].tolist(), "q")]
     df = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<DOUBLE>, score STRING")
     got = neighbours.search(df, lambda i: F.pmod(i, F.lit(20)) == 0, ratio=2, recall=1.0).collect()
     near = defaultdict(list)
@@ -274,10 +275,38 @@ def test_neighbours_of_awkward_vectors(spark):
     assert neighbours.search(df.limit(0), lambda i: i == 0).count() == 0
 
 
-def test_neighbours_reach_the_recall_asked_for(spark):
-    folder = "/root/testdata/sf0.1"
+def _all_pairs(rows, q, top=20):
+    """The nearest rows of row q, by place in ``rows``: (vec_id, score) of all others."""
+    own = np.array(rows[q][1])
+    others = [(-float(np.dot(own[:len(v)], v[:len(own)])), i) for k, (i, v) in enumerate(rows) if k != q]
+    return [(i, -s) for s, i in sorted(others)[:top]]
+
+
+def test_rows_of_one_id_and_shorter_vectors_are_candidates(spark):
+    x = np.random.default_rng(13).integers(-3, 4, size=(60, 4)).astype(float)
+    x[:, 0] = 1.0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(20, x[20].tolist()), (20, [5.0, 5.0, 5.0, 5.0]), (7, x[20].tolist()), (7, x[20].tolist()),
+             (40, [9.0, 9.0]), (3, [2.0]), (61, [1.0, 0.0, 0.0, 0.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id LONG, embedding ARRAY<DOUBLE>").repartition(3)
+    got = neighbours.search(df, lambda i: F.pmod(i, F.lit(20)) == 0).collect()
+    want = sorted((rows[q][0], rank, i, s) for q in range(len(rows)) if rows[q][0] % 20 == 0
+                  for rank, (i, s) in enumerate(_all_pairs(rows, q), 1))
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+    hot = [(i, [1.0, 2.0]) for i in range(70)] + [(20, [1.0, 2.0])] * 30
+    df = spark.createDataFrame(hot, "vec_id LONG, embedding ARRAY<DOUBLE>")
+    got = neighbours.search(df, lambda i: i == 60).collect()
+    assert [(r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(k + 1, k) for k in range(20)]
+    got = neighbours.search(df, lambda i: i == 20, top=60).collect()
+    assert sum(r.vec_id == 20 for r in got) == 31 * 30 and len(got) == 31 * 60
+
+
+@pytest.mark.parametrize("scale", ["0.01", "0.1"])
+def test_neighbours_reach_the_recall_asked_for(spark, scale):
+    """The query itself, with what it gives its operator; the smaller table has two parts."""
+    folder = f"/root/testdata/sf{scale}"
     df = spark.read.parquet(f"{folder}/embeddings.parquet")
-    got = neighbours.search(df, lambda i: F.pmod(i, F.lit(20)) == 0, ratio=4).collect()
+    got = neighbours.op10_neighbours(spark, folder).collect()
     data = {r.vec_id: np.array(r.embedding, float) for r in df.collect()}
     ids = np.array(sorted(data))
     x = np.stack([data[i] for i in ids])
@@ -286,7 +315,20 @@ def test_neighbours_reach_the_recall_asked_for(spark):
         score = x @ data[q]
         want[q] = set([i for i in ids[np.lexsort((ids, -score))] if i != q][:20])
     hits = sum(r.vec_id in want[r.query_id] for r in got)
-    assert hits >= 0.9 * 20 * len(want)
+    assert len(got) == 20 * len(want) and hits >= 0.9 * 20 * len(want)
+
+
+def test_parts_follow_the_table():
+    rng = np.random.default_rng(6)
+    assert neighbours.learn(rng.normal(size=(79, 4)), 79) == (None, 1, 1)
+    assert neighbours.learn(rng.normal(size=(80, 4)), 80)[1] == 2
+    assert [neighbours.parts_for(n) for n in (500, 51_282, 2_300_000, 10**9)] == [2, 18, 126, 512]
+    # Clustered vectors: a query visits at most a third of the parts.
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(60, size=6000)] + 0.2 * rng.normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    router, parts, probes = neighbours.learn(x, 90_000)
+    assert parts == 25 and probes <= parts // 3
 
 
 def test_pipeline_stages(spark):
