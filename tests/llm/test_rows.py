@@ -218,7 +218,40 @@ def test_packing_is_best_fit_under_conflicts(seed):
     rng = np.random.default_rng(seed)
     pieces = sorted(((int(rng.integers(1, 40)), int(rng.integers(0, 3)), int(rng.integers(0, 1 + 12 * (seed % 3))))
                      for _ in range(160)), key=lambda p: (-p[0], p[2], p[1]))
-    assert packing.pack(pieces, 40, 2) == plain_pack(pieces, 40, 2)
+    want = plain_pack(pieces, 40, 2)
+    assert packing.pack(pieces, 40, 2) == want
+    # Orders of their own for sources and clusters from the first bin on change nothing.
+    assert packing.pack(pieces, 40, 2, 1) == want and packing.pack(pieces, 40, 2, 7) == want
+
+
+def test_packing_with_shared_bits_and_copies_of_many_sources(monkeypatch):
+    rng = np.random.default_rng(3)
+    pieces = [(int(n), int(s), int(c)) for n, s, c in zip(
+        rng.integers(1, 20, 400), rng.integers(0, 9, 400), rng.integers(0, 300, 400))]
+    pieces += [(7, s % 50, 1000) for s in range(150)]
+    pieces.sort(key=lambda p: (-p[0], p[2], p[1]))
+    want = plain_pack(pieces, 40, 2)
+    for bits, block, many in ((1, 512, 256), (8, 2, 3), (256, 1, 1)):
+        monkeypatch.setattr(packing, "BITS", bits)
+        monkeypatch.setattr(packing, "BLOCK", block)
+        assert packing.pack(pieces, 40, 2, many) == want
+
+
+def test_packing_of_a_hot_source_does_not_walk_its_full_bins(monkeypatch):
+    """What a search looks at stays far below the bins that are open."""
+    looks = 0
+    plain = packing.Order.successor
+
+    def counted(order, value):
+        nonlocal looks
+        looks += 1
+        return plain(order, value)
+
+    monkeypatch.setattr(packing.Order, "successor", counted)
+    rng = np.random.default_rng(8)
+    pieces = sorted(((int(n), 0, i) for i, n in enumerate(rng.integers(50, 150, 8000))), key=lambda p: (-p[0], p[2]))
+    assert len({b for b, _ in packing.pack(pieces)}) == 2000
+    assert looks < 20 * len(pieces)
 
 
 def test_packed_documents(spark):
