@@ -193,13 +193,19 @@ def evaluate(spark: SparkSession, source: str, scaler_path: str, model: str, out
 
 
 def attribute(spark: SparkSession, source: str, scaler_path: str, model: str, out: str, level: int = 13,
-              background: int = 4500, test: int = 5000, block=None, n_permutations: int = 32, k: int = 7) -> None:
-    """Mean contribution of each feature to one output level, and the top k."""
+              background: int = 4500, test: int = 5000, block=None, n_permutations: int = 32, k: int = 7,
+              along_path: bool = False) -> None:
+    """Mean contribution of each feature to one output level, and the top k.
+
+    ``along_path`` takes gradients along the way from the background, ``n_permutations`` draws
+    of it for each sample, in place of features replaced one by one.
+    """
     rows = spark.read.parquet(f"{source}/samples")
     scaled = scaler.scaler_transform(rows, scaler.load_scaler(spark, f"{scaler_path}/features"), "features")
     parts = splits.attribution_split(scaled, background, test)
-    found = scoring.attribution(parts.where("role = 'test'"), parts.where("role = 'background'"),
-                                spark.read.parquet(f"{model}/weights"), level, block, n_permutations)
+    explain = scoring.path_attribution if along_path else scoring.attribution
+    found = explain(parts.where("role = 'test'"), parts.where("role = 'background'"),
+                    spark.read.parquet(f"{model}/weights"), level, block, n_permutations)
     found.write.mode("overwrite").parquet(f"{out}/attribution")
     top = scoring.attribution_topk(spark.read.parquet(f"{out}/attribution"), k)
     top.write.mode("overwrite").parquet(f"{out}/top")

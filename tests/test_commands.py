@@ -89,6 +89,9 @@ def test_commands_end_to_end(spark, world):
                        background=50, test=60, n_permutations=4, k=3)
     top = spark.read.parquet(f"{root}/why/top").orderBy(F.desc("mean_abs")).collect()
     assert top[0].idx == 4  # ucomp on the top level drives the top output
+    commands.attribute(spark, f"{root}/rows", f"{root}/split/scaler", f"{root}/model", f"{root}/why2", level=0,
+                       background=50, test=60, n_permutations=4, k=3, along_path=True)
+    assert spark.read.parquet(f"{root}/why2/top").orderBy(F.desc("mean_abs")).first().idx == 4
 
     ranks = commands.compare(spark, {("full", "gwfu"): f"{root}/eval", ("random", "gwfu"): f"{root}/random"},
                              f"{root}/compare")
