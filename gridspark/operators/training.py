@@ -1,14 +1,21 @@
-"""Synchronous data-parallel training: a Spark job per step, or one barrier job per epoch.
+"""Synchronous data-parallel training: runs of small steps in one task after the other, a Spark
+job per large step, or one barrier job per epoch.
 
-In a job per step the driver holds the weights. In a barrier job each task keeps its share of
-every batch of the epoch and its own copy of weights and moments; per step the tasks exchange
-their summed gradients and all make the same update, so a cluster pays one start per epoch. A
-lost task repeats the epoch from the weights it began with.
+A step needs the weights of the step before it, so steps follow each other. Where a step has few
+rows, a job takes a run of steps: its task reads their rows in the order of the steps, a few Arrow
+batches at a time, and hands weights and moments on to the next job. No task sees more than its
+run, and an epoch pays one start for each run instead of each step.
 
-Batches are written once to the shared folder, in blocks by batch number, so a step
-reads only its own block. Tasks turn their rows into one summed gradient each; these are
-added in pieces on the executors, and the driver receives one vector of the model's
-size. A lost executor only repeats its part of the step.
+A step of more than ``STEP_ROWS`` rows is a job of its own. It reads only its own block of
+batches; tasks turn their rows into one summed gradient each; these are added in pieces on the
+executors, and the driver receives one vector of the model's size.
+
+In a barrier job each task has its share of every step and its own copy of weights and moments;
+per step the tasks exchange their summed gradients and all make the same update. Spark's
+``allGather`` answers only once a second, so this suits steps that take longer than that.
+
+Batches are written once to the shared folder, in blocks by batch number. A lost executor
+repeats its part of the step, the run, or in a barrier job the epoch, from the weights it began with.
 """
 
 from __future__ import annotations
@@ -33,6 +40,8 @@ PIECE = 65_536  # gradient elements per row sent to the reducers
 LANES = 32      # first-level reducers per piece
 BLOCK = 64      # batches per folder
 MESSAGE = 1_000_000  # gradient elements a task hands over at once
+STEP_ROWS = 16_384    # a step of more rows is dealt over tasks
+RUN_ROWS = 131_072    # rows of the steps that one task takes at most
 
 
 @dataclass
@@ -176,38 +185,84 @@ def _added(context, numbers: np.ndarray) -> np.ndarray:
 
 
 EPOCH = "flat ARRAY<DOUBLE>, names ARRAY<STRING>, moments ARRAY<ARRAY<DOUBLE>>, seen ARRAY<ARRAY<DOUBLE>>"
+DONE = pa.schema([("flat", pa.list_(pa.float64())), ("names", pa.list_(pa.string())),
+                  ("moments", pa.list_(pa.list_(pa.float64()))), ("seen", pa.list_(pa.list_(pa.float64())))])
+
+
+def _matrix(column) -> np.ndarray:
+    """Vectors of one length as rows; a null element is NaN."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    if (sizes != sizes[0]).any():
+        raise ValueError("vectors of different length, or null")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(sizes), -1)
+
+
+def _by_step(batches):
+    """(step, features, targets) of the steps that Arrow batches, in order of step, have rows of."""
+    step, xs, ys = None, [], []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = batch.column(0).to_numpy()
+        x, y = _matrix(batch.column(1)), _matrix(batch.column(2))
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1), len(at)]
+        for low, high in zip(cuts, cuts[1:]):
+            if at[low] != step:
+                if xs:
+                    yield step, np.concatenate(xs), np.concatenate(ys)
+                step, xs, ys = at[low], [], []
+            xs.append(x[low:high])
+            ys.append(y[low:high])
+    if xs:
+        yield step, np.concatenate(xs), np.concatenate(ys)
+
+
+def _step_shares(stored: DataFrame, lengths: dict, first: int, steps: int, tasks: int) -> DataFrame:
+    """(step, features, target) of steps [first, first + steps), dealt over tasks, each in the order of its steps."""
+    length = F.element_at(F.create_map(*[F.lit(v) for pair in lengths.items() for v in pair]), F.col("source"))
+    start = F.lit(first) + F.pmod(F.col("batch_id") - first, length)
+    rows = _span_rows(stored, lengths, first, steps).withColumns({
+        "step": F.explode(F.sequence(start.cast("bigint"), F.lit(first + steps - 1).cast("bigint"), length.cast("bigint"))),
+        "_mix": F.xxhash64("source", "batch_id", "features")})
+    # The hash also fixes the order inside a step, and with it how its gradient is rounded.
+    return rows.repartition(tasks, "_mix").sortWithinPartitions("step", "_mix").select("step", "features", "target")
+
+
+def steps_at_once(rows_per_step: float) -> int:
+    """How many steps one task takes in a run; 0 if a step is large enough to be dealt over tasks."""
+    return 0 if rows_per_step > STEP_ROWS else max(1, int(RUN_ROWS // max(rows_per_step, 1)))
 
 
 def run_epoch(stored: DataFrame, lengths: dict, first: int, steps: int, net, optimizer, loss: str, tasks: int):
-    """One barrier job over ``steps`` steps: (weights, optimizer state, losses of the steps).
+    """One job over ``steps`` steps: (weights, optimizer state, losses of the steps).
 
-    ``tasks`` must run at the same time. Each holds its share of the epoch's rows, and each
-    step sends the size of the model to every task; few large tasks do best.
+    Each task reads its share of the rows step by step, so it holds a few Arrow batches however
+    many steps there are. More than one task make a barrier job: all must run at the same time,
+    and each step sends the size of the model to every task; few large tasks do best.
     """
     spark = stored.sparkSession
     held = spark.sparkContext.broadcast((net, optimizer))
 
     def work(batches):
-        from pyspark import BarrierTaskContext
-        context = BarrierTaskContext.get()
-        mine = {}
-        for batch in batches:
-            xs, ys = (np.array(batch.column(i).flatten()).reshape(batch.num_rows, -1) for i in (2, 3))
-            for k, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                mine.setdefault(key, []).append((xs[k], ys[k]))
-        mine = {key: tuple(np.stack(c) for c in zip(*rows)) for key, rows in mine.items()}
+        context = None
+        if tasks > 1:
+            from pyspark import BarrierTaskContext
+            context = BarrierTaskContext.get()
+        own = _by_step(batches)
+        ahead = next(own, None)
         model, rule = held.value
         flat, seen = model.flat(), []
         outputs = sum(h[-1].shape[1] for h in model.heads)
         for step in range(first, first + steps):
             total = np.zeros(4 + flat.size)
-            for source, length in lengths.items():
-                if (source, step % length) in mine:
-                    x, y = mine[source, step % length]
-                    *sums, grad = network.gradient(model, x, y, loss)
-                    total[:4] += len(x), *sums
-                    total[4:] += grad
-            total = _added(context, total)
+            if ahead is not None and ahead[0] == step:
+                _, x, y = ahead
+                *sums, grad = network.gradient(model, x, y, loss)
+                total[:4] = len(x), *sums
+                total[4:] = grad
+                ahead = next(own, None)
+            if context is not None:
+                total = _added(context, total)
             if not total[0]:
                 raise ValueError("no rows to train on")
             value, mae, mse = total[1:4] / total[0]
@@ -216,14 +271,14 @@ def run_epoch(stored: DataFrame, lengths: dict, first: int, steps: int, net, opt
                 break
             flat = rule.step(flat, total[4:] / total[0])
             model = model.with_flat(flat)
-        if context.partitionId() == 0:
+        if context is None or context.partitionId() == 0:
             names = sorted(rule.state)
             moments = [np.atleast_1d(rule.state[k]).astype(float).tolist() for k in names]
-            yield pa.RecordBatch.from_pylist([{"flat": flat.tolist(), "names": names, "moments": moments, "seen": seen}])
+            done = {"flat": flat.tolist(), "names": names, "moments": moments, "seen": seen}
+            yield pa.RecordBatch.from_pylist([done], DONE)
 
-    rows = _span_rows(stored, lengths, first, steps).select("source", "batch_id", "features", "target")
-    spread = rows.repartition(tasks, F.xxhash64("source", "batch_id", "features"))
-    done = spread.mapInArrow(work, EPOCH, barrier=True).collect()[0]
+    spread = _step_shares(stored, lengths, first, steps, tasks)
+    done = spread.mapInArrow(work, EPOCH, barrier=tasks > 1).collect()[0]
     held.destroy()
     state = {k: np.array(v, float) if k != "t" else int(v[0]) for k, v in zip(done.names, done.moments)}
     # NaN comes back as null.
@@ -281,10 +336,11 @@ def train_mlp(batches: DataFrame, trunk=network.TRUNK, head=network.HEAD, loss:
     longest. The weights of the best epoch are returned, and written to
     ``checkpoint_path`` whenever an epoch improves. Training ends on a loss that is not
     a number. ``val`` rows are written once; with ``val_steps`` they hold a batch_id, and an
-    epoch takes that many batches of them, going on where the last one stopped. With ``tasks``
-    an epoch is one barrier job of that many tasks instead of a job per step. With
-    ``state_path`` every epoch leaves a version of weights, moments, step, learning rate and
-    counters there, and training goes on from the newest: ``epochs`` then counts all of them.
+    epoch takes that many batches of them, going on where the last one stopped. Runs of
+    small steps and single large ones are a job each; with ``tasks`` an epoch is one barrier job
+    of that many tasks instead. With ``state_path`` every epoch leaves a version of weights,
+    moments, step, learning rate and counters there, and training goes on from the newest:
+    ``epochs`` then counts all of them.
     """
     spark = batches.sparkSession
     optimizer, control = optimizer or Adam(), control or TrainControl()
@@ -293,6 +349,7 @@ def train_mlp(batches: DataFrame, trunk=network.TRUNK, head=network.HEAD, loss:
                                            F.count("*").alias("rows")).collect()
     lengths = {r.source: r.n for r in sources}
     steps_per_epoch = steps_per_epoch or max(lengths.values())
+    run = steps_per_epoch if tasks else steps_at_once(sum(r.rows / r.n for r in sources))
     if val is not None:
         path = scratch_path(spark, "validation")
         val.write.parquet(path)
@@ -315,21 +372,18 @@ def train_mlp(batches: DataFrame, trunk=network.TRUNK, head=network.HEAD, loss:
         begun = epochs + 1 if counters["done"] else counters["epoch"] + 1
         net = net.with_flat(flat)
     for epoch in range(begun, epochs + 1):
-        if tasks:
-            flat, optimizer.state, seen = run_epoch(stored, lengths, step, steps_per_epoch, net, optimizer, loss, tasks)
-            step += len(seen)
+        seen = []
+        while len(seen) < steps_per_epoch and (not seen or np.isfinite(seen[-1][0])):
+            if run:
+                flat, optimizer.state, more = run_epoch(
+                    stored, lengths, step, min(run, steps_per_epoch - len(seen)), net, optimizer, loss, tasks or 1)
+            else:
+                *more, grad = batch_sums(step_rows(stored, lengths, step), net, loss)[1:]
+                flat = optimizer.step(flat, grad) if np.isfinite(more[0]) else flat
+                more = [more]
+            seen += more
+            step += len(more)
             net = net.with_flat(flat)
-        else:
-            seen = []
-            for _ in range(steps_per_epoch):
-                rows = step_rows(stored, lengths, step)
-                step += 1
-                _, value, mae, mse, grad = batch_sums(rows, net, loss)
-                seen.append((value, mae, mse))
-                if not np.isfinite(value):
-                    break
-                flat = optimizer.step(flat, grad)
-                net = net.with_flat(flat)
         value, mae, mse = np.mean(seen, axis=0)
         val_loss = None
         if val is not None:

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridspark.operators import network, scaler, scoring, training
@@ -235,3 +236,40 @@ def test_training_that_has_ended_stays_ended(spark, tmp_path):
     training.train_mlp(rows(spark), optimizer=training.Adam(0.0), epochs=5, **given)
     _, log = training.train_mlp(rows(spark), optimizer=training.Adam(0.0), epochs=9, **given)
     assert log.count() < 5
+
+
+def test_jobs_do_not_grow_with_small_steps(spark, monkeypatch):
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    nets, jobs = [], []
+    for most, steps in ((training.STEP_ROWS, 4), (training.STEP_ROWS, 12), (0, 12)):
+        monkeypatch.setattr(training, "STEP_ROWS", most, raising=False)
+        sc.setJobGroup(f"steps-{most}-{steps}", "an epoch")
+        weights, log = training.train_mlp(rows(spark), trunk=(6,), head=None, loss="mse", optimizer=training.Adam(0.01),
+                                          epochs=2, steps_per_epoch=steps, seed=2)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(tracker.getJobIdsForGroup(f"steps-{most}-{steps}")))
+        nets.append((network.from_table(weights).flat(), np.array([tuple(r)[:6] for r in log.collect()], float)))
+    assert jobs[0] == jobs[1] and jobs[2] >= jobs[1] + 2 * 10
+    for one, other in zip(nets[1], nets[2]):
+        assert np.allclose(one, other, rtol=0, atol=1e-12)
+
+
+def test_runs_of_steps_hand_over_weights_and_moments(spark, monkeypatch):
+    given = dict(trunk=(6,), head=None, loss="mse", epochs=2, steps_per_epoch=7, seed=2)
+    whole, _ = training.train_mlp(rows(spark), optimizer=training.Adam(0.01), **given)
+    monkeypatch.setattr(training, "RUN_ROWS", 130)
+    parts, log = training.train_mlp(rows(spark), optimizer=training.Adam(0.01), **given)
+    assert np.allclose(network.from_table(whole).flat(), network.from_table(parts).flat(), rtol=0, atol=1e-12)
+    assert [r.steps for r in log.collect()] == [7, 14]
+
+
+def test_rows_come_step_by_step_and_ragged_ones_are_refused():
+    def batch(steps, vectors):
+        return pa.RecordBatch.from_arrays([pa.array(steps, pa.int64()), pa.array(vectors, pa.list_(pa.float64())),
+                                           pa.array([[1.0]] * len(steps))], ["step", "features", "target"])
+    got = list(training._by_step([batch([3, 3, 5], [[1.0], [2.0], [None]]), batch([], []), batch([5, 6], [[4.0], [5.0]])]))
+    assert [(int(k), len(x)) for k, x, _ in got] == [(3, 2), (5, 2), (6, 1)]
+    assert np.isnan(got[1][1][0, 0]) and got[1][1][1, 0] == 4.0
+    for bad in ([[1.0], [1.0, 2.0, 3.0]], [[1.0], None]):
+        with pytest.raises(ValueError):
+            list(training._by_step([batch([1, 1], bad)]))
