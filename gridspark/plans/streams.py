@@ -11,27 +11,43 @@ from gridspark.plans.modelling import LINEAR_SCORE, linear_weights
 from gridspark.plans.registry import ORACLE, query
 from gridspark.plans.storage import export_netcdf
 from gridspark.plans.sampling import FITTED, rounded_state
-from gridspark.runtime import scratch_path
+from gridspark.runtime import discard, scratch_path
 from gridspark.sources import grid
 from gridspark.streaming import jobs, robust
 
-FILES = 4
+PARTS = 4               # parts of a stream, at least
+PART_ROWS = 20_000_000  # a larger part is cut
+FILE_ROWS = 100_000     # rows that each file of a part has at least, where it has several
+MOST_FILES = 32
 
 
 def arriving(spark, df, order: str):
-    """The table as a stream of several files, in the order of a numeric column."""
+    """The table as a stream in several parts, in the order of a numeric column."""
     return arriving_at(spark, df, order)[0]
 
 
 def arriving_at(spark, df, order: str):
-    """The same, and the folder it comes from."""
+    """The same, and the folder it comes from.
+
+    A batch is one part: all rows of a stretch of ``order``, however large the table is. Files
+    come by their time of writing, so parts are written one after the other, in equally many
+    files each, and a batch takes that many.
+    """
     path = scratch_path(spark, "arriving")
-    last = df.agg(F.max(order)).first()[0] or 0
-    span = last // FILES + 1
-    for i in range(FILES):
-        part = df.where((F.col(order) >= i * span) & (F.col(order) < (i + 1) * span))
-        part.write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path), path
+    whole = f"{path}-whole"
+    df.write.parquet(whole)
+    rows = spark.read.parquet(whole)
+    last, count = rows.agg(F.max(order), F.count("*")).first()
+    n_parts = max(PARTS, -(-count // PART_ROWS))
+    span = (last or 0) // n_parts + 1
+    inside = rows.where((F.col(order) >= 0) & (F.col(order) < n_parts * span))
+    sizes = dict(inside.groupBy(F.floor(F.col(order) / span).alias("part")).count().collect())
+    files = max(1, min([MOST_FILES, *[n // FILE_ROWS for n in sizes.values()]]))
+    for i in sorted(sizes) or [0]:
+        part = inside.where((F.col(order) >= i * span) & (F.col(order) < (i + 1) * span))
+        part.repartition(files).write.mode("append").parquet(path)
+    discard(spark, whole)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path), path
 
 
 def finish(started):

@@ -169,3 +169,26 @@ def test_stream_lags_equal_batch_lags(spark, tmp_path, vector):
     got = sorted((r.time, r.lat, str(r.lags)) for r in spark.read.schema(out.schema).parquet(f"{root}/out").collect())
     want = sorted((r.time, r.lat, str(r.lags)) for r in lag_stack(cells, "u", 2, 1, 3).collect())
     assert got == want and len(got) > 20
+
+
+def test_a_batch_holds_all_rows_of_its_stretch(spark, tmp_path, monkeypatch):
+    from gridspark.plans import streams
+    monkeypatch.setattr(streams, "FILE_ROWS", 100, raising=False)
+    # Enough partitions that a part is several files; what a file lacks comes in the same batch.
+    table = spark.range(4000).selectExpr("cast(id % 1000 AS INT) AS time", "id DIV 1000 AS k").repartition(6, "time", "k")
+    seen = {}
+
+    def take(batch, number):
+        seen[number] = (batch.count(), *batch.selectExpr("min(time)", "max(time)").first())
+
+    out = streams.arriving(spark, table, "time").writeStream.foreachBatch(take)
+    streams.finish(jobs.start(out, str(tmp_path / "checkpoint")))
+    assert [seen[k] for k in sorted(seen)] == [(1000, 250 * k, 250 * k + 249) for k in range(4)]
+
+
+def test_a_stream_of_an_empty_table_ends(spark, tmp_path):
+    from gridspark.plans import streams
+    seen = []
+    out = streams.arriving(spark, spark.range(0), "id").writeStream.foreachBatch(lambda batch, _: seen.append(batch.count()))
+    streams.finish(jobs.start(out, str(tmp_path / "checkpoint")))
+    assert sum(seen) == 0
