@@ -225,7 +225,9 @@ def _step_shares(stored: DataFrame, lengths: dict, first: int, steps: int, tasks
         "step": F.explode(F.sequence(start.cast("bigint"), F.lit(first + steps - 1).cast("bigint"), length.cast("bigint"))),
         "_mix": F.xxhash64("source", "batch_id", "features")})
     # The hash also fixes the order inside a step, and with it how its gradient is rounded.
-    return rows.repartition(tasks, "_mix").sortWithinPartitions("step", "_mix").select("step", "features", "target")
+    # One task needs no key: a deployment may raise the partitions of a keyed shuffle.
+    spread = rows.repartition(tasks, "_mix") if tasks > 1 else rows.repartition(1)
+    return spread.sortWithinPartitions("step", "_mix").select("step", "features", "target")
 
 
 def steps_at_once(rows_per_step: float) -> int:
@@ -264,7 +266,7 @@ def run_epoch(stored: DataFrame, lengths: dict, first: int, steps: int, net, opt
             if context is not None:
                 total = _added(context, total)
             if not total[0]:
-                raise ValueError("no rows to train on")
+                raise ValueError(f"no rows to train on in step {step}")
             value, mae, mse = total[1:4] / total[0]
             seen.append([value, mae / outputs, mse / outputs])
             if not np.isfinite(value):
