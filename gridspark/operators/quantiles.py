@@ -41,7 +41,7 @@ def exact_quantiles(df: DataFrame, col, probs, by=(), most: int = BRACKET_VALUES
     data = _numbers(df, F.col(col) if isinstance(col, str) else col, keys)
     state = _brackets(data, keys, probs, accuracy) if brackets is None else _given(brackets, keys, probs)
     few = is_small(state)
-    values = _counted(data, state, keys, few)
+    values = _counted(data, state, keys, few, len(probs) == 1)
     checked = _checked(values, state, keys, few)
     missed, crowded = checked.agg(F.count_if("missed"), F.max("different")).first()
     if missed:
@@ -49,7 +49,7 @@ def exact_quantiles(df: DataFrame, col, probs, by=(), most: int = BRACKET_VALUES
         state = settle(checked.withColumns({
             "lo": F.when(F.col("missed"), F.col("least")).otherwise(F.col("lo")),
             "hi": F.when(F.col("missed"), F.col("most")).otherwise(F.col("hi"))}).select(*state.columns))
-        values = _counted(data, state, keys, few)
+        values = _counted(data, state, keys, few, len(probs) == 1)
         crowded = _checked(values, state, keys, few).agg(F.max("different")).first()[0]
     while (crowded or 0) > max(most, CELLS):
         values = _thinned(values, state, keys, max(most, CELLS), few)
@@ -88,8 +88,11 @@ def _given(brackets, keys, probs):
     return settle(spots.select(*keys, "n", "least", "most", "p", "spot", "lo", "hi", "first", "last"))
 
 
-def _placed(data, state, keys, few):
+def _placed(data, state, keys, few, single):
     """Rows of each bracket, and those below it: (keys…, p, v), v null when below."""
+    if single:
+        rows = attach(data, state.select(*keys, "p", "lo", "hi"), keys, few=few).where(F.col("_v") <= F.col("hi"))
+        return rows.select(*keys, "p", F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("v"))
     spans = state.groupBy(*keys).agg(F.collect_list(F.struct("p", "lo", "hi")).alias("_spans"))
     held = F.filter("_spans", lambda s: F.col("_v") <= s["hi"])
     rows = attach(data, spans, keys, few=few).select(*keys, "_v", F.explode(held).alias("_s"))
@@ -97,9 +100,9 @@ def _placed(data, state, keys, few):
                        F.when(F.col("_v") >= F.col("_s.lo"), F.col("_v")).alias("v"))
 
 
-def _counted(data, state, keys, few):
+def _counted(data, state, keys, few, single):
     """(keys…, p, v, c): how often each value of a bracket occurs; v null for all below it."""
-    return settle(_placed(data, state, keys, few).groupBy(*keys, "p", "v").agg(F.count("*").alias("c")))
+    return settle(_placed(data, state, keys, few, single).groupBy(*keys, "p", "v").agg(F.count("*").alias("c")))
 
 
 def _checked(values, state, keys, few):

@@ -41,12 +41,18 @@ def arriving_at(spark, df, order: str):
     n_parts = max(PARTS, -(-count // PART_ROWS))
     span = (last or 0) // n_parts + 1
     inside = rows.where((F.col(order) >= 0) & (F.col(order) < n_parts * span))
-    sizes = dict(inside.groupBy(F.floor(F.col(order) / span).alias("part")).count().collect())
+    number = F.floor(F.col(order) / span).alias("_part")
+    sizes = dict(inside.groupBy(number).count().collect())
     files = max(1, min([MOST_FILES, *[n // FILE_ROWS for n in sizes.values()]]))
-    for i in sorted(sizes) or [0]:
-        part = inside.where((F.col(order) >= i * span) & (F.col(order) < (i + 1) * span))
-        part.repartition(files).write.mode("append").parquet(path)
+    # Dealt by part once: a part is then read without the others, however many there are.
+    inside.select("*", number).write.partitionBy("_part").parquet(f"{path}-parts")
     discard(spark, whole)
+    for i in sorted(sizes):
+        part = spark.read.schema(df.schema).parquet(f"{path}-parts/_part={i}")
+        part.repartition(files).write.mode("append").parquet(path)
+    if not sizes:
+        spark.createDataFrame([], df.schema).write.parquet(path)
+    discard(spark, f"{path}-parts")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path), path
 
 

@@ -33,15 +33,27 @@ def start(writer, checkpoint: str, every: str | None = None) -> StreamingQuery:
 
 
 @contextmanager
-def keyed_state(spark: SparkSession):
-    """Queries started inside keep the state of their keys in RocksDB, as custom state needs it."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def keyed_state(spark: SparkSession, parts: int | None = None):
+    """Queries started inside keep the state of their keys in RocksDB, as custom state needs it.
+
+    The state is cut in ``parts``, as many as tasks run at once and no more than a shuffle has. A
+    part without any key costs each batch a store and a call of Python too. A query that starts
+    again from its checkpoint keeps the parts it has.
+    """
+    shuffle = "spark.sql.shuffle.partitions"
+    parts = min(parts or spark.sparkContext.defaultParallelism, int(spark.conf.get(shuffle)))
+    inside = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        shuffle: str(parts),
+    }
+    before = {name: spark.conf.get(name) for name in inside}
+    for name, value in inside.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def stream_scaler(stream: DataFrame, col: str, state_path: str, checkpoint: str,

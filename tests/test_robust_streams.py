@@ -186,6 +186,42 @@ def test_a_batch_holds_all_rows_of_its_stretch(spark, tmp_path, monkeypatch):
     assert [seen[k] for k in sorted(seen)] == [(1000, 250 * k, 250 * k + 249) for k in range(4)]
 
 
+def test_many_parts_are_read_one_by_one(spark, tmp_path, monkeypatch):
+    from gridspark.plans import streams
+    monkeypatch.setattr(streams, "PART_ROWS", 100)
+    table = spark.range(1000).selectExpr("CASE WHEN id < 990 THEN id * 2 END AS at", "id").repartition(5)
+    seen, read = {}, []
+    whole = spark.read.__class__.parquet
+    monkeypatch.setattr(spark.read.__class__, "parquet", lambda self, *paths, **how: read.extend(paths) or whole(self, *paths, **how))
+
+    def take(batch, number):
+        seen[number] = (batch.count(), *batch.selectExpr("min(at)", "max(at)").first())
+
+    out = streams.arriving(spark, table, "at").writeStream.foreachBatch(take)
+    streams.finish(jobs.start(out, str(tmp_path / "checkpoint")))
+    # Rows without a place are left out; 990 have one, 1,000 were counted.
+    assert sum(n for n, *_ in seen.values()) == 990 and len(seen) == 10
+    assert all(198 * k <= low <= high < 198 * (k + 1) for k, (_, low, high) in seen.items())
+    assert len([p for p in read if "_part=" in p]) == 10
+
+
+def test_state_is_cut_in_no_more_parts_than_tasks_run_at_once(spark, tmp_path):
+    root, name = str(tmp_path), "spark.sql.shuffle.partitions"
+    put(spark, f"{root}/in", pairs_of(40))
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{root}/in")
+    before = spark.conf.get(name)
+    spark.conf.set(name, "40")
+    try:
+        query = jobs.keep_robust(robust.stream_robust_metrics(stream), f"{root}/out", f"{root}/checkpoint")
+        query.awaitTermination()
+        assert spark.conf.get(name) == "40"
+    finally:
+        spark.conf.set(name, before)
+    parts = {o.numShufflePartitions for p in query.recentProgress for o in p.stateOperators}
+    assert parts == {min(40, spark.sparkContext.defaultParallelism)}
+    assert sorted(r.n for r in jobs.latest_state(spark, f"{root}/out").collect()) == [20, 20]
+
+
 def test_a_stream_of_an_empty_table_ends(spark, tmp_path):
     from gridspark.plans import streams
     seen = []
