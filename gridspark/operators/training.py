@@ -40,6 +40,7 @@ PIECE = 65_536  # gradient elements per row sent to the reducers
 LANES = 32      # first-level reducers per piece
 BLOCK = 64      # batches per folder
 MESSAGE = 1_000_000  # gradient elements a task hands over at once
+HANDED = 16_384  # numbers per row that a run hands on to the next
 STEP_ROWS = 16_384    # a step of more rows is dealt over tasks
 RUN_ROWS = 131_072    # rows of the steps that one task takes at most
 
@@ -184,9 +185,25 @@ def _added(context, numbers: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
-EPOCH = "flat ARRAY<DOUBLE>, names ARRAY<STRING>, moments ARRAY<ARRAY<DOUBLE>>, seen ARRAY<ARRAY<DOUBLE>>"
-DONE = pa.schema([("flat", pa.list_(pa.float64())), ("names", pa.list_(pa.string())),
-                  ("moments", pa.list_(pa.list_(pa.float64()))), ("seen", pa.list_(pa.list_(pa.float64())))])
+# What a run hands on, as pieces of bytes: in arrays each number would be an object on the driver.
+EPOCH = "name STRING, numbers BINARY"
+DONE = pa.schema([("name", pa.string()), ("numbers", pa.binary())])
+
+
+def _told(numbers: dict):
+    """Arrow batches of the named numbers, a piece each."""
+    for name, values in numbers.items():
+        values = np.asarray(values, float).ravel()
+        for i in range(0, values.size, HANDED):
+            yield pa.RecordBatch.from_pylist([{"name": name, "numbers": values[i:i + HANDED].tobytes()}], DONE)
+
+
+def _heard(rows) -> dict:
+    """The named numbers of such pieces, in their order."""
+    pieces: dict[str, list] = {}
+    for r in rows:
+        pieces.setdefault(r.name, []).append(np.frombuffer(r.numbers, float))
+    return {name: np.concatenate(values) for name, values in pieces.items()}
 
 
 def _matrix(column) -> np.ndarray:
@@ -274,17 +291,18 @@ def run_epoch(stored: DataFrame, lengths: dict, first: int, steps: int, net, opt
             flat = rule.step(flat, total[4:] / total[0])
             model = model.with_flat(flat)
         if context is None or context.partitionId() == 0:
-            names = sorted(rule.state)
-            moments = [np.atleast_1d(rule.state[k]).astype(float).tolist() for k in names]
-            done = {"flat": flat.tolist(), "names": names, "moments": moments, "seen": seen}
-            yield pa.RecordBatch.from_pylist([done], DONE)
+            yield from _told({"weights": flat, "seen": seen, **{f"state_{k}": v for k, v in rule.state.items()}})
 
     spread = _step_shares(stored, lengths, first, steps, tasks)
-    done = spread.mapInArrow(work, EPOCH, barrier=tasks > 1).collect()[0]
+    done = _heard(spread.mapInArrow(work, EPOCH, barrier=tasks > 1).collect())
     held.destroy()
-    state = {k: np.array(v, float) if k != "t" else int(v[0]) for k, v in zip(done.names, done.moments)}
-    # NaN comes back as null.
-    return np.array(done.flat, float), state, [np.array(s, float) for s in done.seen]
+    if done["weights"].size > PIECE:
+        # Copies of a large net and its moments; a driver that waits for room to run out grows by each run.
+        spark.sparkContext._jvm.System.gc()
+    state = {k.removeprefix("state_"): v for k, v in done.items() if k.startswith("state_")}
+    if "t" in state:
+        state["t"] = int(state["t"][0])
+    return done["weights"], state, list(done["seen"].reshape(-1, 3))
 
 
 COUNTERS = ("epoch", "step", "best", "best_rate", "waited", "flat_epochs", "learning_rate", "t", "done")

@@ -146,8 +146,12 @@ def training_batches(spark, folder, batch_size=128):
                              batch_size, 500_000, SEED)
 
 
+SMALL = dict(trunk=(32, 32), head=(16, 8))
+
+
 def _trained(spark, folder, **options):
-    given = dict(trunk=(32, 32), head=(16, 8), optimizer=training.Adam(1e-3), epochs=2, steps_per_epoch=None)
+    """A whole training unless options say less: the full net, ten epochs, each a pass of the longest source."""
+    given = dict(trunk=network.TRUNK, head=network.HEAD, optimizer=training.Adam(1e-3), epochs=10, steps_per_epoch=None)
     return training.train_mlp(training_batches(spark, folder), **{**given, **options})
 
 
@@ -173,7 +177,7 @@ LOSSES = f"""
 @query(sql(LOSSES))
 def training_loss(spark, folder):
     """Epoch losses of a fixed linear model: scaling, balanced batches, cycling, reduction."""
-    _, log = _trained(spark, folder, loss="mse", optimizer=training.Adam(0.0),
+    _, log = _trained(spark, folder, loss="mse", optimizer=training.Adam(0.0), epochs=2,
                       init_weights=linear_weights(spark))
     return rounded(log.select("epoch", "loss", "mae", "mse"), 8, "loss", "mae", "mse")
 
@@ -265,7 +269,7 @@ def train_resumed(spark, folder):
 
 @query()
 def mlp_train(spark, folder):
-    weights, _ = _trained(spark, folder)
+    weights, _ = _trained(spark, folder, epochs=2, **SMALL)
     return weights.select("part", "head", "layer", F.posexplode("weights").alias("at", "w")).withColumn(
         "w", F.round("w", 4))
 
@@ -292,6 +296,6 @@ def training_log(spark, folder):
 
 @query()
 def mlp_resume(spark, folder):
-    weights, _ = _trained(spark, folder, epochs=1)
+    weights, _ = _trained(spark, folder, epochs=1, **SMALL)
     clipped = training.Adam(1e-3, clip=0.1)
     return _trained(spark, folder, epochs=1, optimizer=clipped, init_weights=weights)[1]

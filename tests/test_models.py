@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from gridspark.operators import network, scaler, scoring, training
+from gridspark.plans import modelling
 
 RNG = np.random.default_rng(4)
 X = RNG.normal(size=(240, 5))
@@ -273,3 +274,22 @@ def test_rows_come_step_by_step_and_ragged_ones_are_refused():
     for bad in ([[1.0], [1.0, 2.0, 3.0]], [[1.0], None]):
         with pytest.raises(ValueError):
             list(training._by_step([batch([1, 1], bad)]))
+
+
+def test_the_log_is_of_the_full_net_and_all_epochs(spark, tmp_path):
+    vectors = np.random.default_rng(6).normal(size=(300, 64))
+    data = [(i, v.tolist(), int(i >= 200)) for i, v in enumerate(vectors)]
+    spark.createDataFrame(data, "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT").write.parquet(
+        f"{tmp_path}/embeddings.parquet")
+    batches = {}
+    for r in modelling.training_batches(spark, str(tmp_path)).collect():
+        batches.setdefault((r.source, r.batch_id), []).append((r.features, r.target))
+    net, adam, want = network.new_net(52, 6, (256, 256, 256, 256), (256, 128, 64, 32)), training.Adam(1e-3), []
+    for step in range(30):  # 200 rows of one source are three batches of 64, 100 of the other one
+        x, y = (np.array(v) for v in zip(*batches[0, step % 3], *batches[1, 0]))
+        *sums, grad = network.gradient(net, x, y, "mse")
+        want.append([sums[0] / 128, sums[1] / 768, sums[2] / 768])
+        net = net.with_flat(adam.step(net.flat(), grad / 128))
+    log = modelling.training_log(spark, str(tmp_path)).orderBy("epoch").collect()
+    assert [(r.epoch, r.steps) for r in log] == [(e, 3 * e) for e in range(1, 11)]
+    assert np.allclose([[r.loss, r.mae, r.mse] for r in log], np.reshape(want, (10, 3, 3)).mean(axis=1), rtol=1e-6)
