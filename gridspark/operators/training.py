@@ -41,6 +41,7 @@ LANES = 32      # first-level reducers per piece
 BLOCK = 64      # batches per folder
 MESSAGE = 1_000_000  # gradient elements a task hands over at once
 HANDED = 16_384  # numbers per row that a run hands on to the next
+RESULTS = 16  # tasks that bring these to the driver
 STEP_ROWS = 16_384    # a step of more rows is dealt over tasks
 RUN_ROWS = 131_072    # rows of the steps that one task takes at most
 
@@ -186,22 +187,23 @@ def _added(context, numbers: np.ndarray) -> np.ndarray:
 
 
 # What a run hands on, as pieces of bytes: in arrays each number would be an object on the driver.
-EPOCH = "name STRING, numbers BINARY"
-DONE = pa.schema([("name", pa.string()), ("numbers", pa.binary())])
+EPOCH = "name STRING, piece INT, numbers BINARY"
+DONE = pa.schema([("name", pa.string()), ("piece", pa.int32()), ("numbers", pa.binary())])
 
 
 def _told(numbers: dict):
     """Arrow batches of the named numbers, a piece each."""
     for name, values in numbers.items():
         values = np.asarray(values, float).ravel()
-        for i in range(0, values.size, HANDED):
-            yield pa.RecordBatch.from_pylist([{"name": name, "numbers": values[i:i + HANDED].tobytes()}], DONE)
+        for k, i in enumerate(range(0, values.size, HANDED)):
+            piece = {"name": name, "piece": k, "numbers": values[i:i + HANDED].tobytes()}
+            yield pa.RecordBatch.from_pylist([piece], DONE)
 
 
 def _heard(rows) -> dict:
-    """The named numbers of such pieces, in their order."""
+    """The named numbers of such pieces."""
     pieces: dict[str, list] = {}
-    for r in rows:
+    for r in sorted(rows, key=lambda r: r.piece):
         pieces.setdefault(r.name, []).append(np.frombuffer(r.numbers, float))
     return {name: np.concatenate(values) for name, values in pieces.items()}
 
@@ -294,10 +296,14 @@ def run_epoch(stored: DataFrame, lengths: dict, first: int, steps: int, net, opt
             yield from _told({"weights": flat, "seen": seen, **{f"state_{k}": v for k, v in rule.state.items()}})
 
     spread = _step_shares(stored, lengths, first, steps, tasks)
-    done = _heard(spread.mapInArrow(work, EPOCH, barrier=tasks > 1).collect())
+    told, large = spread.mapInArrow(work, EPOCH, barrier=tasks > 1), net.flat().size > PIECE
+    if large and tasks == 1:
+        # The driver gets the results of several tasks one by one, and not a single large one.
+        told = told.repartition(RESULTS)
+    done = _heard(told.collect())
     held.destroy()
-    if done["weights"].size > PIECE:
-        # Copies of a large net and its moments; a driver that waits for room to run out grows by each run.
+    if large:
+        # Copies of the net and its moments; a driver that waits for room to run out grows by each run.
         spark.sparkContext._jvm.System.gc()
     state = {k.removeprefix("state_"): v for k, v in done.items() if k.startswith("state_")}
     if "t" in state:
